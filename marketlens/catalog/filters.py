@@ -98,20 +98,19 @@ def _(t):
 
 @query("fil11_pricing_columns", """
 with p as (select d.*, prix_base, cout, case when y > 0 then ca / y end as paid from pday d join products using (produit_key))
-select produit_key, ds, round(paid, 6) as prix_paye, round(100 * (1 - paid / prix_base), 6) as remise_appliquee_pct, round(paid - cout, 6) as marge_unitaire,
-  round((paid - cout) * y, 4) as marge_totale, round((paid - cout) / paid, 6) as taux_marge from p""")
+select produit_key, ds, paid as prix_paye, 100 * (1 - paid / prix_base) as remise_appliquee_pct, paid - cout as marge_unitaire,
+  (paid - cout) * y as marge_totale, (paid - cout) / paid as taux_marge from p""")
 def _(t):
     df = O.pricing_columns(t.pday.join(t.products.select("produit_key", "prix_base", "cout"), "produit_key"))
-    return df.select("produit_key", "ds", S.r("prix_paye"), S.r("remise_appliquee_pct"), S.r("marge_unitaire"), S.r("marge_totale", 4),
-                     S.r("taux_marge")).toDF("produit_key", "ds", "prix_paye", "remise_appliquee_pct", "marge_unitaire", "marge_totale", "taux_marge")
+    return df.select("produit_key", "ds", "prix_paye", "remise_appliquee_pct", "marge_unitaire", "marge_totale", "taux_marge")
 
 
 @query("fil12_realised_vs_expected", """
-select produit_key, ds, round(case when y > 0 then ca / y end, 6) as prix_realise, round(prix_base * (1 - remise_pct / 100), 6) as prix_attendu
+select produit_key, ds, case when y > 0 then ca / y end as prix_realise, prix_base * (1 - remise_pct / 100) as prix_attendu
 from pday join products using (produit_key)""")
 def _(t):
     df = O.realised_vs_expected(t.pday.join(t.products.select("produit_key", "prix_base"), "produit_key"))
-    return df.select("produit_key", "ds", S.r("prix_realise").alias("prix_realise"), S.r("prix_attendu").alias("prix_attendu"))
+    return df.select("produit_key", "ds", "prix_realise", "prix_attendu")
 
 
 @query("fil13_price_is_eligible", """

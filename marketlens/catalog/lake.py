@@ -92,14 +92,14 @@ with p as (select product_id, 'PRD' || lpad((row_number() over (order by product
 c as (select customer_id, 'CLI' || lpad((row_number() over (order by customer_id) - 1)::varchar, 6, '0') as client_key from clients),
 m as (select promo_key as promotion_id, 'PRM' || lpad((row_number() over (order by promo_key) - 1)::varchar, 4, '0') as promo_key from promotions)
 select strftime(ds, '%Y%m%d') as date_key, p.produit_key, c.client_key, m.promo_key, statut_commande, count(*) as n_lines,
-  sum(quantite)::bigint as quantite, round(sum(quantite * montant_net), 2) as montant
+  sum(quantite)::bigint as quantite, round(sum(quantite * montant_net), 4) as montant
 from sales s left join p on p.product_id = 'P' || cast(substr(s.produit_key, 4)::int as varchar)
 left join c on c.customer_id = 'C' || cast(substr(s.client_key, 4)::int as varchar)
 left join m on m.promotion_id = s.promo_key group by all""")
 def _(t):
     fact = lake.gold(source_tables(t))["fact_ventes"]
     return fact.groupBy("date_key", "produit_key", "client_key", "promo_key", "statut_commande").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.sum("quantite").alias("quantite"), F.round(F.sum("montant_net_xof"), 2).alias("montant"))
+        F.count(F.lit(1)).alias("n_lines"), F.sum("quantite").alias("quantite"), F.round(F.sum("montant_net_xof"), 4).alias("montant"))
 
 
 @query("src5_gold_dim_product", """

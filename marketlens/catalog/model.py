@@ -45,7 +45,7 @@ select concat(cast(l_orderkey as string), '-', cast(l_linenumber as string)) as
   case when l_returnflag = 'R' and l_linestatus = 'F' then 'retournee' when l_returnflag = 'A' and l_linestatus = 'O' then 'annulee' else 'confirmee' end as statut_commande
 from {lineitem} join {orders} on l_orderkey = o_orderkey""",
     "web": """
-select event_id, ts - interval 8400 days as event_timestamp, case event_type when 'signup' then 'add_to_cart' else event_type end as event_type,
+select event_id, cast(ts - interval 8400 days as timestamp) as event_timestamp, case event_type when 'signup' then 'add_to_cart' else event_type end as event_type,
   concat('PRD', lpad(regexp_extract(props, '([0-9]+)', 1), 6, '0')) as produit_key,
   case when user_id % 3 = 0 then null else concat('CLI', lpad(cast(user_id as string), 6, '0')) end as client_key,
   case when user_id % 3 = 0 then concat('ANON', cast(user_id as string)) end as anonymous_id, user_id, value, user_id % 37 = 0 as est_bot,
@@ -128,6 +128,10 @@ left join (select categorie as unique_id, date_trunc('week', ds)::date as wk, su
 select produit_key, ds, sum(quantite)::bigint as y, round(sum(montant_net), 4) as ca, count(*) as n_transactions,
   max(remise_pct) as remise_pct
 from confirmed group by produit_key, ds""",
+    # product-day panel: a discount of 4 % or more counts as a promotion, less as none
+    "panel": """
+select produit_key, ds, categorie, marque, prix_base, cout, case when remise_pct >= 4 then remise_pct else 0 end as remise_pct,
+  remise_pct >= 4 as en_promotion, y, ca, n_transactions from pday join products using (produit_key)""",
 }
 
 
@@ -218,3 +222,9 @@ class Tables:
         return (self.confirmed.groupBy("produit_key", "ds")
                 .agg(F.sum("quantite").alias("y"), F.round(F.sum("montant_net"), 4).alias("ca"),
                      F.count(F.lit(1)).alias("n_transactions"), F.max("remise_pct").alias("remise_pct")))
+
+    @cached_property
+    def panel(self) -> DataFrame:
+        promo = F.col("remise_pct") >= 4
+        return (self.pday.join(self.products.select("produit_key", "categorie", "marque", "prix_base", "cout"), "produit_key")
+                .withColumn("en_promotion", promo).withColumn("remise_pct", F.when(promo, F.col("remise_pct")).otherwise(0)))

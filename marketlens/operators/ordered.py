@@ -6,22 +6,16 @@ forward. The second step sees chunks, not rows, so its size is the number of sli
 """
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 CHUNK = "_chunk"
 
 
-def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Equi join on same-named keys in which NULL equals NULL; the right copies of the keys are dropped."""
-    renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
-                           *[c for c in right.columns if c not in keys])
-    cond = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
-    return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
-
-
 def time_chunk(ts: str, seconds: int) -> Column:
     """Number of the time slice an instant or a date falls in; grows with time."""
     return F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / seconds)
@@ -52,15 +46,15 @@ def range_chunks(df: DataFrame, order: Sequence[Column], chunks: int = 64, sampl
     cuts = rows[step::step] if len(rows) >= 2 * chunks else []
     if not cuts:
         return df.withColumn(CHUNK, F.lit(0))
-    types = df.select(key.alias("k")).schema[0].dataType
-    cut_array = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(c, types.fields)])
-                          for c in cuts])
+    names = [f"k{i}" for i in range(len(order))]
+    text = json.dumps([dict(zip(names, c)) for c in cuts], default=lambda v: v.isoformat() if hasattr(v, "isoformat") else str(v))
+    cut_array = F.from_json(F.lit(text), ArrayType(df.select(key.alias("k")).schema[0].dataType))
     return df.withColumn(CHUNK, F.size(F.filter(cut_array, lambda s: s <= key)))
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column], measures: dict[str, Column],
                    seconds: int | None = None, ts: str | None = None) -> DataFrame:
-    """Adds inclusive running sums (columns named after `measures`) along `order` within `keys`."""
+    """Adds inclusive running sums (columns named after `measures`) along `order` within `keys` (never NULL)."""
     chunked = (df.withColumn(CHUNK, time_chunk(ts, seconds)) if seconds
                else range_chunks(df, order))
     inputs = chunked.withColumns({f"_m_{n}": c for n, c in measures.items()})
@@ -68,7 +62,7 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = inputs.withColumns({f"_w_{n}": F.sum(f"_m_{n}").over(within) for n in measures})
     before = carry_over(inputs, keys, {f"_c_{n}": F.sum(f"_m_{n}") for n in measures})
-    joined = null_safe(local, before, [*keys, CHUNK])
+    joined = local.join(before, [*keys, CHUNK], "left")
     totals = {n: F.coalesce(F.col(f"_w_{n}"), F.lit(0)) + F.coalesce(F.col(f"_c_{n}"), F.lit(0)) for n in measures}
     drop = [f"_{p}_{n}" for n in measures for p in "mwc"]
     return joined.withColumns(totals).drop(*drop, CHUNK)
@@ -101,10 +95,11 @@ def asof_before(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str,
     """
     packed = F.struct(F.col(right_ts).alias("_at"), *[F.col(c) for c in payload])
     winner = F.max_by(packed, F.col(tie)) if tie else F.max(packed)
-    facts = (right.filter(F.col(right_ts).isNotNull())
+    usable = " and ".join(f"`{k}` is not null" for k in keys)
+    facts = (right.filter(usable).filter(F.col(right_ts).isNotNull())
              .groupBy(*keys, F.col(right_ts).alias("_t")).agg(winner.alias("_hit"))
              .withColumn("_side", F.lit(0 if inclusive else 1)))
-    probes = (left.select(*keys, F.col(ts).alias("_t")).distinct()
+    probes = (left.filter(usable).filter(F.col(ts).isNotNull()).select(*keys, F.col(ts).alias("_t")).distinct()
               .withColumn("_hit", F.lit(None).cast(facts.schema["_hit"].dataType))
               .withColumn("_side", F.lit(1 if inclusive else 0)))
     both = facts.unionByName(probes).withColumn(CHUNK, time_chunk("_t", seconds))
@@ -113,9 +108,9 @@ def asof_before(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str,
     local = both.withColumn("_near", F.last("_hit", ignorenulls=True).over(within))
     far = carry_over(both, keys, {"_far": F.max("_hit")}, lambda n: F.last(n, ignorenulls=True))
     probe_side = 1 if inclusive else 0
-    found = (null_safe(local.filter((F.col("_side") == probe_side) & F.col("_t").isNotNull()), far, [*keys, CHUNK])
+    found = (local.filter(F.col("_side") == probe_side).join(far, [*keys, CHUNK], "left")
              .select(*keys, F.col("_t").alias(ts), F.coalesce("_near", "_far").alias("_hit")))
-    joined = null_safe(left, found, [*keys, ts])
+    joined = left.join(found, [*keys, ts], "left")
     return joined.select(*left.columns, F.col("_hit._at").alias(right_ts if right_ts not in left.columns else f"{right_ts}_asof"),
                          *[F.col(f"_hit.{c}").alias(c) for c in payload])
 
@@ -131,7 +126,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
               .agg(F.count(F.lit(1)).alias("_n")))
     ranked = running_totals(counts, keys, [F.col("_v")], {"_cum": F.col("_n")})
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    joined = null_safe(ranked, totals, keys) if keys else ranked.withColumn("_total", totals.scalar())
+    joined = ranked.join(totals, list(keys)) if keys else ranked.withColumn("_total", totals.scalar())
     aggs = []
     for name, p in probs.items():
         pos = (F.col("_total") - 1) * F.lit(float(p))
@@ -151,7 +146,7 @@ def pick_rank(df: DataFrame, keys: Sequence[str], value: str, rank: Column, out:
               .agg(F.count(F.lit(1)).alias("_n")))
     ranked = running_totals(counts, keys, [F.col("_v")], {"_cum": F.col("_n")})
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    joined = null_safe(ranked, totals, keys) if keys else ranked.withColumn("_total", totals.scalar())
+    joined = ranked.join(totals, list(keys)) if keys else ranked.withColumn("_total", totals.scalar())
     hit = (rank <= F.col("_cum")) & (rank > F.col("_cum") - F.col("_n"))
     return (joined.filter(hit).groupBy(*keys)
             .agg(F.max("_v").alias(out), F.max("_total").alias("n")))

@@ -19,7 +19,7 @@ def local_session(cpus: str | int = 8, shuffle_partitions: int = 8, memory: str
     """Session for tests and the bench; a cluster passes its own configured session instead."""
     builder = (SparkSession.builder.master(f"local[{cpus}]").appName("marketlens")
                .config("spark.driver.memory", memory)
-               .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+               .config("spark.ui.enabled", "false").config("spark.python.sql.dataFrameDebugging.enabled", "false").config("spark.ui.showConsoleProgress", "false")
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions)))
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
