@@ -54,7 +54,7 @@ def _(t):
 @query("agg6_product_day_pricing", """
 select produit_key, ds, categorie, marque, prix_base, cout, remise_pct, sum(quantite)::bigint as quantite, round(sum(montant_net), 4) as ca, count(*) as n_lignes,
   round(round(sum(montant_net), 4) - cout * sum(quantite), 4) as marge, round(sum(montant_net), 4) / sum(quantite) as prix_paye
-from confirmed join products using (produit_key) group by all""")
+from confirmed join products using (produit_key) group by produit_key, ds, categorie, marque, prix_base, cout, remise_pct""")
 def _(t):
     return A.product_day_pricing(t.confirmed, t.products)
 
@@ -221,11 +221,11 @@ def _(t):
     return A.discount_eligibility(t.panel, {**A.ELIGIBILITY, "jours_promo": 10, "jours_hors_promo": 6})
 
 
-NEG = """neg as (select *, (ca / y - cout) as mu, (ca / y - cout) * y as mt, prix_base * (1 - remise_pct / 100) >= cout as bruit from panel where y > 0 and ca / y - cout < 0)"""
+NEG = """neg as (select *, (ca / y - cout) as mu, ca - cout * y as mt, prix_base * (1 - remise_pct / 100) >= cout as bruit from panel where y > 0 and ca / y - cout < 0)"""
 
 
 @query("agg32_negative_margin_report", f"""
-with {NEG} select remise_pct, categorie, count(*) as n_lignes, count(distinct produit_key) as n_produits, round(sum(ca), 4) as ca, round(sum(mt), 3) as perte_totale, count(case when bruit then 1 end) as n_bruit,
+with {NEG} select remise_pct, categorie, count(*) as n_lignes, count(distinct produit_key) as n_produits, round(sum(ca), 4) as ca, round(sum(mt), 4) as perte_totale, count(case when bruit then 1 end) as n_bruit,
   count(case when bruit then 1 end) / count(*) as part_bruit from neg group by grouping sets ((remise_pct), (categorie), ())""")
 def _(t):
     return A.negative_margin_report(t.panel)
@@ -234,7 +234,7 @@ def _(t):
 @query("agg32_negative_margin_campaigns", f"""
 with {NEG}, pp as (select produit_key, promo_key, portee, date_debut, date_fin from promotions join products on cible = product_id where portee = 'product'
   union all select produit_key, promo_key, portee, date_debut, date_fin from promotions join products on cible = categorie where portee = 'category')
-select promo_key, portee, count(*) as n_lignes, round(sum(mt), 3) as perte_totale from neg join pp on neg.produit_key = pp.produit_key and ds between date_debut and date_fin group by 1, 2""")
+select promo_key, portee, count(*) as n_lignes, round(sum(mt), 4) as perte_totale from neg join pp on neg.produit_key = pp.produit_key and ds between date_debut and date_fin group by 1, 2""")
 def _(t):
     return A.negative_margin_campaigns(t.panel, J.expand_promotions(t.promotions, t.products))
 
@@ -307,8 +307,8 @@ def _(t):
 
 @query("agg40_price_amplitude", """
 with s as (select produit_key, ds, y::double as y, ca / y as p, en_promotion from panel where y > 0)
-select produit_key, min(p) as prix_min, max(p) as prix_max, round(corr(p, y) filter (not en_promotion), 6) as corr, round(corr(p, y) filter (not en_promotion and ds < date '1998-06-01'), 6) as corr_p1,
-  round(corr(p, y) filter (not en_promotion and ds >= date '1998-06-01'), 6) as corr_p2 from s group by 1""")
+select produit_key, min(p) as prix_min, max(p) as prix_max, round(covar_pop(p, y) filter (not en_promotion) / nullif(stddev_pop(p) filter (not en_promotion) * stddev_pop(y) filter (not en_promotion), 0), 6) as corr, round(covar_pop(p, y) filter (not en_promotion and ds < date '1998-06-01') / nullif(stddev_pop(p) filter (not en_promotion and ds < date '1998-06-01') * stddev_pop(y) filter (not en_promotion and ds < date '1998-06-01'), 0), 6) as corr_p1,
+  round(covar_pop(p, y) filter (not en_promotion and ds >= date '1998-06-01') / nullif(stddev_pop(p) filter (not en_promotion and ds >= date '1998-06-01') * stddev_pop(y) filter (not en_promotion and ds >= date '1998-06-01'), 0), 6) as corr_p2 from s group by 1""")
 def _(t):
     return A.price_amplitude_and_correlation(t.panel, F.lit("1998-06-01").cast("date"))
 

@@ -132,6 +132,13 @@ from confirmed group by produit_key, ds""",
     "panel": """
 select produit_key, ds, categorie, marque, prix_base, cout, case when remise_pct >= 4 then remise_pct else 0 end as remise_pct,
   remise_pct >= 4 as en_promotion, y, ca, n_transactions from pday join products using (produit_key)""",
+    # product-day rows of the stock span with sales, discount, stock and web counters
+    "daily": """
+select produit_key, ds, categorie, marque, coalesce(y, 0)::bigint as y, coalesce(ca, 0.0) as ca, coalesce(remise_pct, 0)::int as remise_pct, niveau_stock, quantite_vendue,
+  quantite_reapprovisionnee, coalesce(v, 0) as "view", coalesce(k, 0) as add_to_cart
+from stock join (select produit_key, categorie, marque from products) using (produit_key) left join pday using (produit_key, ds)
+left join (select produit_key, cast(event_timestamp as date) as ds, count(case when event_type = 'view' then 1 end) v, count(case when event_type = 'add_to_cart' then 1 end) k
+  from web where not est_bot group by 1, 2) using (produit_key, ds)""",
 }
 
 
@@ -228,3 +235,13 @@ class Tables:
         promo = F.col("remise_pct") >= 4
         return (self.pday.join(self.products.select("produit_key", "categorie", "marque", "prix_base", "cout"), "produit_key")
                 .withColumn("en_promotion", promo).withColumn("remise_pct", F.when(promo, F.col("remise_pct")).otherwise(0)))
+
+    @cached_property
+    def daily(self) -> DataFrame:
+        seen = (self.web.filter("not est_bot").groupBy("produit_key", F.to_date("event_timestamp").alias("ds"))
+                .agg(F.count_if(F.col("event_type") == "view").alias("_v"), F.count_if(F.col("event_type") == "add_to_cart").alias("_k")))
+        zero = lambda c, v=0: F.coalesce(c, F.lit(v))
+        return (self.stock.join(self.products.select("produit_key", "categorie", "marque"), "produit_key")
+                .join(self.pday, ["produit_key", "ds"], "left").join(seen, ["produit_key", "ds"], "left")
+                .select("produit_key", "ds", "categorie", "marque", zero("y").alias("y"), zero("ca", 0.0).alias("ca"), zero("remise_pct").alias("remise_pct"),
+                        "niveau_stock", "quantite_vendue", "quantite_reapprovisionnee", zero("_v").alias("view"), zero("_k").alias("add_to_cart")))

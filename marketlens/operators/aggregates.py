@@ -263,7 +263,7 @@ def negative_margins(panel: DataFrame) -> DataFrame:
     """Sold rows under cost, and whether the planned discount alone would have stayed above cost."""
     paid = ratio("ca", "y")
     return (panel.filter("y > 0").withColumn("marge_unitaire", paid - F.col("cout")).filter("marge_unitaire < 0")
-            .withColumn("marge_totale", F.col("marge_unitaire") * F.col("y"))
+            .withColumn("marge_totale", F.col("ca") - F.col("cout") * F.col("y"))
             .withColumn("prix_plan", F.col("prix_base") * (1 - F.col("remise_pct") / 100))
             .withColumn("du_au_bruit", F.col("prix_plan") >= F.col("cout")))
 
@@ -273,14 +273,14 @@ def negative_margin_report(panel: DataFrame) -> DataFrame:
     neg = negative_margins(panel)
     return (neg.groupingSets([[F.col("remise_pct")], [F.col("categorie")], []], F.col("remise_pct"), F.col("categorie"))
             .agg(N.alias("n_lignes"), F.count_distinct("produit_key").alias("n_produits"), F.round(F.sum("ca"), 4).alias("ca"),
-                 F.round(F.sum("marge_totale"), 3).alias("perte_totale"), F.count_if("du_au_bruit").alias("n_bruit"))
+                 F.round(F.sum("marge_totale"), 4).alias("perte_totale"), F.count_if("du_au_bruit").alias("n_bruit"))
             .withColumn("part_bruit", ratio("n_bruit", "n_lignes")))
 
 
 def negative_margin_campaigns(panel: DataFrame, promo_days: DataFrame) -> DataFrame:
     """Negative-margin rows that fall in a campaign of their product, per campaign."""
     return (negative_margins(panel).drop("remise_pct").join(promo_days.select("produit_key", "ds", "promo_key", "portee"), ["produit_key", "ds"])
-            .groupBy("promo_key", "portee").agg(N.alias("n_lignes"), F.round(F.sum("marge_totale"), 3).alias("perte_totale")))
+            .groupBy("promo_key", "portee").agg(N.alias("n_lignes"), F.round(F.sum("marge_totale"), 4).alias("perte_totale")))
 
 
 def level_support_audit(panel: DataFrame) -> DataFrame:
@@ -343,8 +343,8 @@ def scd_versions(dim: DataFrame, natural_id: str) -> DataFrame:
                                   F.count_if(F.col("valid_to") < F.col("valid_from")).alias("n_inverted"),
                                   F.count_if(F.col("_next") <= F.col("valid_to")).alias("n_overlaps"),
                                   F.count_if(F.col("_next") > F.date_add("valid_to", 1)).alias("n_gaps")))
-    return v.agg(N.alias("n_ids"), F.sum("n_versions").alias("n_versions"), F.count_if("n_versions > 1").alias("ids_multi_version"),
-                 F.count_if("n_current > 1").alias("ids_multi_current"), F.count_if("n_current = 0").alias("ids_no_current"),
+    return v.agg(N.alias("n_ids"), F.sum("n_versions").alias("n_versions"), F.count_if(F.col("n_versions") > 1).alias("ids_multi_version"),
+                 F.count_if(F.col("n_current") > 1).alias("ids_multi_current"), F.count_if(F.col("n_current") == 0).alias("ids_no_current"),
                  F.sum("n_inverted").alias("n_inverted"), F.sum("n_overlaps").alias("n_overlaps"), F.sum("n_gaps").alias("n_gaps"))
 
 
@@ -353,7 +353,9 @@ def price_amplitude_and_correlation(panel: DataFrame, split: Column) -> DataFram
     sold = panel.filter("y > 0").withColumn("p", ratio("ca", "y"))
     plain = ~F.col("en_promotion")
     early, late = plain & (F.col("ds") < split), plain & (F.col("ds") >= split)
-    corr = lambda cond: F.corr(F.when(cond, F.col("p")), F.when(cond, F.col("y").cast("double")))
+    def corr(cond):
+        p, y = F.when(cond, F.col("p")), F.when(cond, F.col("y").cast("double"))
+        return ratio(F.covar_pop(p, y), F.stddev_pop(p) * F.stddev_pop(y))
     return sold.groupBy("produit_key").agg(
         F.min("p").alias("prix_min"), F.max("p").alias("prix_max"), F.round(corr(plain), 6).alias("corr"),
         F.round(corr(early), 6).alias("corr_p1"), F.round(corr(late), 6).alias("corr_p2"))
