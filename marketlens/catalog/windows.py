@@ -352,7 +352,7 @@ def _(t):
     return g.groupBy("produit_key").agg(F.min("ds").alias("debut"), F.count(F.lit(1)).alias("n_jours"))
 
 
-ANA = ["y", "ca", "n_transactions", "age_produit_jours", "prix_catalogue", "prix_realise", "en_promotion", "remise_pct", "n_promotions", "prix_attendu", "web_view", "web_total", "web_data_observed"]
+ANA = ["y", "ca", "n_transactions", "age_produit_jours", "prix_catalogue", "en_promotion", "remise_pct", "n_promotions", "prix_attendu", "web_view", "web_total", "web_data_observed"]
 
 
 @query("win28_analytical_table", f"""

@@ -1,0 +1,14 @@
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from marketlens.functions.scalar import category_codes
+
+
+def interaction_features(panel: DataFrame) -> DataFrame:
+    """Discount x category code, discount x product code, planned price and unit margins before and after discount."""
+    coded = category_codes(category_codes(panel, "categorie", "category_code"), "produit_key", "product_code")
+    planned = F.col("prix_base") * (1 - F.col("remise_pct") / 100)
+    return (coded.withColumn("discount_x_category", F.col("remise_pct") * (F.col("category_code") + 1))
+            .withColumn("discount_x_product", F.col("remise_pct") * (F.col("product_code") + 1))
+            .withColumn("planned_price", planned).withColumn("margin_before", F.col("prix_base") - F.col("cout"))
+            .withColumn("margin_after", planned - F.col("cout")))
