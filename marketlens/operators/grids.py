@@ -15,9 +15,12 @@ def explode_days(df: DataFrame, start: Column, end: Column, day: str = "ds", ste
 
 def dense_days(keys: DataFrame, span: DataFrame, facts: DataFrame, on: Sequence[str], fill: dict,
                day: str = "ds", step_days: int = 1) -> DataFrame:
-    """Every key on every day of `span` (one row: lo, hi); facts joined, missing measures filled."""
-    bounds = span.select(F.struct("lo", "hi")).scalar()
-    grid = explode_days(keys.withColumn("_b", bounds), F.col("_b.lo"), F.col("_b.hi"), day, step_days).drop("_b")
+    """Every key on every day of `span` (one row: lo, hi); facts joined, missing measures filled.
+
+    The two bounds are read once and become literals of the plan.
+    """
+    bounds = span.select(F.col("lo").cast("date"), F.col("hi").cast("date")).first()
+    grid = explode_days(keys, F.lit(bounds[0]).cast("date"), F.lit(bounds[1]).cast("date"), day, step_days)
     return (grid.join(facts, [*on, day], "left")
             .select(*on, day, *[F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in fill.items()]))
 
