@@ -273,8 +273,8 @@ def pointwise_ranker(train: DataFrame, score: DataFrame, columns: Sequence[str],
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import vector_to_array
     from marketlens.plans.forecast import assemble
-    model = GBTClassifier(labelCol=label, featuresCol="features", maxIter=8, maxDepth=3, seed=42, probabilityCol="_p").fit(assemble(train, columns, label))
-    return model.transform(assemble(score.withColumn(label, F.lit(0)), columns, label)).withColumn("score", vector_to_array("_p")[1]).drop("features", "_p", "rawPrediction", "prediction")
+    model = GBTClassifier(labelCol=label, featuresCol="features", maxIter=8, maxDepth=3, seed=42).fit(assemble(train, columns, label))
+    return model.transform(assemble(score.withColumn(label, F.lit(0)), columns, label)).withColumn("score", vector_to_array("probability")[1]).drop("features", "probability", "rawPrediction", "prediction")
 
 
 def weekly_popularity(sales: DataFrame, products: DataFrame, sessions: DataFrame) -> DataFrame:
