@@ -11,7 +11,11 @@ from marketlens.operators.filters import exclude_bots, valid_lines
 from marketlens.operators.ordered import exact_quantiles, running_totals
 from marketlens.operators.schema import require_columns
 
-N = F.count(F.lit(1))
+
+
+def N() -> Column:
+    return F.count(F.lit(1))
+
 
 
 def daily_sales_by_product(sales: DataFrame) -> DataFrame:
@@ -23,20 +27,20 @@ def daily_sales_by_product(sales: DataFrame) -> DataFrame:
 def product_performance(sales: DataFrame) -> DataFrame:
     return sales.groupBy("produit_key").agg(
         F.sum("quantite").alias("total_qty"), F.round(F.sum("montant_net"), 4).alias("total_revenue"),
-        F.round(F.avg(ratio("montant_net", "quantite")), 6).alias("avg_price"), N.alias("n_orders"))
+        F.round(F.avg(ratio("montant_net", "quantite")), 6).alias("avg_price"), N().alias("n_orders"))
 
 
 def sales_daily(sales: DataFrame, key: str = "produit_key") -> DataFrame:
     """y, ca, n_transactions per series and day; rows without a date are dropped, negative quantities kept."""
     return (sales.filter("ds is not null").groupBy(F.col(key).cast("string").alias("unique_id"), "ds")
-            .agg(F.sum("quantite").alias("y"), F.round(F.sum("montant_net"), 4).alias("ca"), N.alias("n_transactions")))
+            .agg(F.sum("quantite").alias("y"), F.round(F.sum("montant_net"), 4).alias("ca"), N().alias("n_transactions")))
 
 
 def web_daily(web: DataFrame, types: Sequence[str]) -> DataFrame:
     """web_<type> and web_total per product and day, with the product's first and last tracked day."""
     dated = web.withColumn("ds", F.to_date("event_timestamp")).filter("ds is not null and produit_key is not null")
     counts = dated.groupBy("produit_key", "ds").agg(
-        *[F.count_if(F.col("event_type") == x).alias(f"web_{x}") for x in types], N.alias("web_total"))
+        *[F.count_if(F.col("event_type") == x).alias(f"web_{x}") for x in types], N().alias("web_total"))
     spans = counts.groupBy("produit_key").agg(F.min("ds").alias("web_debut"), F.max("ds").alias("web_fin"))
     return counts.join(spans, "produit_key")
 
@@ -56,7 +60,7 @@ def product_day_pricing(confirmed: DataFrame, products: DataFrame) -> DataFrame:
     """Quantity, revenue, margin and lines per product, day, price, cost and discount."""
     priced = confirmed.join(products.select("produit_key", "categorie", "marque", "prix_base", "cout"), "produit_key")
     out = (priced.groupBy("produit_key", "ds", "categorie", "marque", "prix_base", "cout", "remise_pct")
-           .agg(F.sum("quantite").alias("quantite"), F.round(F.sum("montant_net"), 4).alias("ca"), N.alias("n_lignes")))
+           .agg(F.sum("quantite").alias("quantite"), F.round(F.sum("montant_net"), 4).alias("ca"), N().alias("n_lignes")))
     return (out.withColumn("marge", F.round(F.col("ca") - F.col("cout") * F.col("quantite"), 4))
             .withColumn("prix_paye", ratio("ca", "quantite")))
 
@@ -101,7 +105,7 @@ def interactions(web: DataFrame, weights: dict | None = None, quantity_weight: f
 
 def user_item_matrix(inter: DataFrame) -> DataFrame:
     return inter.groupBy("identite", "produit_key").agg(
-        F.sum("poids_total").alias("poids_cumule"), N.alias("n_interactions"), F.max("event_timestamp").alias("derniere_interaction"))
+        F.sum("poids_total").alias("poids_cumule"), N().alias("n_interactions"), F.max("event_timestamp").alias("derniere_interaction"))
 
 
 def series_features(daily: DataFrame, key: str = "unique_id", last_day: Column | None = None) -> DataFrame:
@@ -114,7 +118,7 @@ def series_features(daily: DataFrame, key: str = "unique_id", last_day: Column |
     yd = F.col("y").cast("double")
     g = daily.groupBy(key).agg(
         F.min("ds").alias("debut"), F.sum("y").alias("total"), F.sum(yd * yd).alias("_sq"), F.max("y").alias("_max"),
-        F.round(F.sum("ca"), 4).alias("ca"), F.count_if(pos).alias("n_jours_vente"), N.alias("_rows"),
+        F.round(F.sum("ca"), 4).alias("ca"), F.count_if(pos).alias("n_jours_vente"), N().alias("_rows"),
         F.avg(F.when(pos, F.col("y"))).alias("taille_demande_moy"), F.stddev_samp(F.when(pos, F.col("y"))).alias("taille_demande_ecart"),
         F.max(F.when(pos, F.col("ds"))).alias("derniere_vente"))
     g = g.withColumn("fin", end).withColumn("n_jours", F.datediff("fin", "debut") + 1)
@@ -181,9 +185,9 @@ def segmentation_summary(classified: DataFrame) -> DataFrame:
     for i, c in enumerate(cols):
         which = which.when(F.grouping(c) == 0, c)
     g = (classified.groupingSets(sets, *[F.col(c) for c in cols])
-         .agg(which.alias("axe"), N.alias("n_series"), F.sum("total").alias("volume"), F.round(F.sum("ca"), 4).alias("ca"),
+         .agg(which.alias("axe"), N().alias("n_series"), F.sum("total").alias("volume"), F.round(F.sum("ca"), 4).alias("ca"),
               F.avg("taux_jours_sans_vente").alias("taux_zero_moyen")))
-    whole = classified.agg(F.struct(N.alias("n"), F.sum("total").alias("v"))).scalar()
+    whole = classified.agg(F.struct(N().alias("n"), F.sum("total").alias("v"))).scalar()
     return (g.withColumn("valeur", F.coalesce(*cols)).withColumn("part_series", ratio("n_series", whole.getField("n")))
             .withColumn("part_volume", ratio("volume", whole.getField("v"))).drop(*cols))
 
@@ -195,13 +199,13 @@ def abc_xyz_matrix(classified: DataFrame) -> DataFrame:
 
 def most_frequent(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Most frequent value per key; ties go to the smallest. Values are counted before the winner is taken."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(N.alias("_n"))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(N().alias("_n"))
     return counts.groupBy(*keys).agg(F.min(F.struct(-F.col("_n"), F.col(value))).getField(value).alias(out))
 
 
 def best_descriptive_discount(panel: DataFrame, min_support: int = 20) -> DataFrame:
     """Discount level with the best mean quantity among levels with enough rows, else 0 (ties: smallest level)."""
-    levels = panel.groupBy("produit_key", "remise_pct").agg(F.avg("y").alias("_m"), N.alias("_n"))
+    levels = panel.groupBy("produit_key", "remise_pct").agg(F.avg("y").alias("_m"), N().alias("_n"))
     best = F.min(F.when(F.col("_n") >= min_support, F.struct(-F.col("_m"), F.col("remise_pct")))).getField("remise_pct")
     return levels.groupBy("produit_key").agg(F.coalesce(best, F.lit(0)).alias("best_descriptive"))
 
@@ -216,7 +220,7 @@ def all_baselines(panel: DataFrame, min_support: int = 20) -> DataFrame:
 
 
 def observed_discount_grid(panel: DataFrame, min_support: int = 50) -> DataFrame:
-    return (panel.filter("en_promotion").groupBy(F.col("remise_pct").alias("level")).agg(N.alias("n"))
+    return (panel.filter("en_promotion").groupBy(F.col("remise_pct").alias("level")).agg(N().alias("n"))
             .filter(F.col("n") >= min_support))
 
 
@@ -230,7 +234,7 @@ def discount_support_table(panel: DataFrame) -> DataFrame:
     """Per level: products, days, units, categories, months, products also seen without promotion."""
     plain = panel.filter("not en_promotion").select("produit_key").distinct().withColumn("_plain", F.lit(1))
     g = (panel.filter("en_promotion").join(plain, "produit_key", "left").groupBy("remise_pct")
-         .agg(F.count_distinct("produit_key").alias("produits_exposes"), N.alias("jours"), F.sum("y").alias("ventes_totales"),
+         .agg(F.count_distinct("produit_key").alias("produits_exposes"), N().alias("jours"), F.sum("y").alias("ventes_totales"),
               F.count_distinct("categorie").alias("n_categories"), F.count_distinct(F.trunc("ds", "month")).alias("mois_couverts"),
               F.count_distinct(F.when(F.col("_plain") == 1, F.col("produit_key"))).alias("support_commun")))
     return g.withColumn("pct_support_commun", ratio("support_commun", "produits_exposes"))
@@ -272,7 +276,7 @@ def negative_margin_report(panel: DataFrame) -> DataFrame:
     """Negative-margin rows by discount level, by category and overall, in one pass over grouping sets."""
     neg = negative_margins(panel)
     return (neg.groupingSets([[F.col("remise_pct")], [F.col("categorie")], []], F.col("remise_pct"), F.col("categorie"))
-            .agg(N.alias("n_lignes"), F.count_distinct("produit_key").alias("n_produits"), F.round(F.sum("ca"), 4).alias("ca"),
+            .agg(N().alias("n_lignes"), F.count_distinct("produit_key").alias("n_produits"), F.round(F.sum("ca"), 4).alias("ca"),
                  F.round(F.sum("marge_totale"), 4).alias("perte_totale"), F.count_if("du_au_bruit").alias("n_bruit"))
             .withColumn("part_bruit", ratio("n_bruit", "n_lignes")))
 
@@ -280,31 +284,31 @@ def negative_margin_report(panel: DataFrame) -> DataFrame:
 def negative_margin_campaigns(panel: DataFrame, promo_days: DataFrame) -> DataFrame:
     """Negative-margin rows that fall in a campaign of their product, per campaign."""
     return (negative_margins(panel).drop("remise_pct").join(promo_days.select("produit_key", "ds", "promo_key", "portee"), ["produit_key", "ds"])
-            .groupBy("promo_key", "portee").agg(N.alias("n_lignes"), F.round(F.sum("marge_totale"), 4).alias("perte_totale")))
+            .groupBy("promo_key", "portee").agg(N().alias("n_lignes"), F.round(F.sum("marge_totale"), 4).alias("perte_totale")))
 
 
 def level_support_audit(panel: DataFrame) -> DataFrame:
     """Rows, products and share of rows per discount level."""
-    total = panel.agg(N).scalar()
-    return (panel.groupBy("remise_pct").agg(N.alias("n_lignes"), F.count_distinct("produit_key").alias("n_produits"),
+    total = panel.agg(N()).scalar()
+    return (panel.groupBy("remise_pct").agg(N().alias("n_lignes"), F.count_distinct("produit_key").alias("n_produits"),
                                             F.sum("y").alias("unites")).withColumn("part", ratio("n_lignes", total)))
 
 
 def grain_audit(panel: DataFrame) -> DataFrame:
     """Product-day completeness of the panel: rows, distinct cells, cells of the full rectangle, fill rate."""
-    g = panel.agg(N.alias("n_lignes"), F.count_distinct("produit_key", "ds").alias("n_cellules"),
+    g = panel.agg(N().alias("n_lignes"), F.count_distinct("produit_key", "ds").alias("n_cellules"),
                   F.count_distinct("produit_key").alias("n_produits"), F.count_distinct("ds").alias("n_jours"))
     return g.withColumn("taux_remplissage", ratio("n_cellules", F.col("n_produits") * F.col("n_jours")))
 
 
 def support_quantiles(panel: DataFrame) -> DataFrame:
     """Quantiles of the number of rows per product x level cell."""
-    cells = panel.groupBy("produit_key", "remise_pct").agg(N.alias("n"))
+    cells = panel.groupBy("produit_key", "remise_pct").agg(N().alias("n"))
     return exact_quantiles(cells, [], "n", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
 
 
 def monthly_promo_share(panel: DataFrame) -> DataFrame:
-    return (panel.groupBy(F.trunc("ds", "month").alias("mois")).agg(N.alias("n"), F.count_if("en_promotion").alias("n_promo"))
+    return (panel.groupBy(F.trunc("ds", "month").alias("mois")).agg(N().alias("n"), F.count_if("en_promotion").alias("n_promo"))
             .withColumn("part_promo", ratio("n_promo", "n")))
 
 
@@ -312,7 +316,7 @@ def uplift_stability(panel: DataFrame, split: Column, min_support: int = 30) ->
     """Promo mean over plain mean per level in two periods, and their relative gap."""
     p = panel.withColumn("periode", F.when(F.col("ds") < split, "p1").otherwise("p2"))
     base = p.filter("not en_promotion").groupBy("periode").agg(F.avg("y").alias("base"))
-    levels = (p.filter("en_promotion").groupBy("periode", "remise_pct").agg(N.alias("n"), F.avg("y").alias("m"))
+    levels = (p.filter("en_promotion").groupBy("periode", "remise_pct").agg(N().alias("n"), F.avg("y").alias("m"))
               .filter(F.col("n") >= min_support).join(base, "periode").withColumn("uplift", ratio("m", "base")))
     wide = levels.groupBy("remise_pct").pivot("periode", ["p1", "p2"]).agg(F.max("uplift"))
     return wide.withColumn("ecart_relatif", ratio(F.abs(F.col("p2") - F.col("p1")), "p1"))
@@ -339,11 +343,11 @@ def scd_versions(dim: DataFrame, natural_id: str) -> DataFrame:
     """Version counts per natural id and the defects of a slowly changing dimension."""
     w = Window.partitionBy(natural_id).orderBy("valid_from", "valid_to")
     v = (dim.withColumn("_next", F.lead("valid_from").over(w))
-         .groupBy(natural_id).agg(N.alias("n_versions"), F.count_if("is_current").alias("n_current"),
+         .groupBy(natural_id).agg(N().alias("n_versions"), F.count_if("is_current").alias("n_current"),
                                   F.count_if(F.col("valid_to") < F.col("valid_from")).alias("n_inverted"),
                                   F.count_if(F.col("_next") <= F.col("valid_to")).alias("n_overlaps"),
                                   F.count_if(F.col("_next") > F.date_add("valid_to", 1)).alias("n_gaps")))
-    return v.agg(N.alias("n_ids"), F.sum("n_versions").alias("n_versions"), F.count_if(F.col("n_versions") > 1).alias("ids_multi_version"),
+    return v.agg(N().alias("n_ids"), F.sum("n_versions").alias("n_versions"), F.count_if(F.col("n_versions") > 1).alias("ids_multi_version"),
                  F.count_if(F.col("n_current") > 1).alias("ids_multi_current"), F.count_if(F.col("n_current") == 0).alias("ids_no_current"),
                  F.sum("n_inverted").alias("n_inverted"), F.sum("n_overlaps").alias("n_overlaps"), F.sum("n_gaps").alias("n_gaps"))
 
@@ -363,14 +367,14 @@ def price_amplitude_and_correlation(panel: DataFrame, split: Column) -> DataFram
 
 def response_by_level(panel: DataFrame, step: int = 5) -> DataFrame:
     """Rows and mean quantity by discount rounded to a step."""
-    return panel.groupBy((F.round(F.col("remise_pct") / step, 0) * step).cast("int").alias("niveau")).agg(N.alias("n"), F.avg("y").alias("q_moy"))
+    return panel.groupBy((F.round(F.col("remise_pct") / step, 0) * step).cast("int").alias("niveau")).agg(N().alias("n"), F.avg("y").alias("q_moy"))
 
 
 def interaction_density(lines: DataFrame, clients: DataFrame, products: DataFrame) -> DataFrame:
     """Active clients and products, pairs and sparsity, quantiles of lines and distinct products per client."""
     base = lines.agg(F.count_distinct("client_key").alias("clients_actifs"), F.count_distinct("produit_key").alias("produits_vendus"),
                      F.count_distinct("client_key", "produit_key").alias("n_paires"))
-    per = lines.groupBy("client_key").agg(N.alias("lignes"), F.count_distinct("produit_key").alias("distincts"))
+    per = lines.groupBy("client_key").agg(N().alias("lignes"), F.count_distinct("produit_key").alias("distincts"))
     q1 = exact_quantiles(per, [], "lignes", {"p10": 0.1, "p50": 0.5, "p90": 0.9}).select(F.struct("p10", "p50", "p90")).scalar()
     q2 = exact_quantiles(per, [], "distincts", {"p50": 0.5}).scalar()
     return (base.withColumn("part_clients_actifs", ratio("clients_actifs", clients.agg(F.count_distinct("client_key")).scalar()))
@@ -383,7 +387,7 @@ def interaction_density(lines: DataFrame, clients: DataFrame, products: DataFram
 def evaluable_clients(lines: DataFrame, clients: DataFrame, windows: DataFrame) -> DataFrame:
     """Per window (fenetre, train_end, test_start, test_end): rows, evaluable clients, clients without history."""
     n_clients = clients.agg(F.count_distinct("client_key")).scalar()
-    daily = lines.groupBy("client_key", "ds").agg(N.alias("n"))
+    daily = lines.groupBy("client_key", "ds").agg(N().alias("n"))
     tagged = daily.join(F.broadcast(windows), (F.col("ds") <= F.col("train_end")) | F.col("ds").between(F.col("test_start"), F.col("test_end")))
     train, test = F.col("ds") <= F.col("train_end"), F.col("ds").between(F.col("test_start"), F.col("test_end"))
     return (tagged.groupBy("fenetre").agg(

@@ -1,20 +1,24 @@
 """Business indicators: each fact table is read once per indicator family."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.functions.scalar import ratio
 from marketlens.operators.filters import exclude_bots
 
-N = F.count(F.lit(1))
+
+
+def N() -> Column:
+    return F.count(F.lit(1))
+
 
 
 def funnel_counts(web: DataFrame) -> DataFrame:
     """Non-robot events by type, by device and by traffic source, in one pass."""
     axes = [F.col("event_type"), F.col("appareil"), F.col("source_trafic")]
     axis = (F.when(F.grouping("event_type") == 0, "type").when(F.grouping("appareil") == 0, "device").otherwise("source"))
-    return (exclude_bots(web).groupingSets([[a] for a in axes], *axes).agg(axis.alias("axe"), N.alias("n"))
+    return (exclude_bots(web).groupingSets([[a] for a in axes], *axes).agg(axis.alias("axe"), N().alias("n"))
             .select("axe", F.coalesce("event_type", "appareil", "source_trafic").alias("valeur"), "n"))
 
 
@@ -87,7 +91,7 @@ def segment_revenue(lines: DataFrame) -> DataFrame:
 
 def product_detail(lines: DataFrame) -> DataFrame:
     return lines.groupBy("produit_key").agg(
-        F.sum("quantite").alias("qty"), F.round(F.sum("montant_net"), 4).alias("ca"), N.alias("lignes"),
+        F.sum("quantite").alias("qty"), F.round(F.sum("montant_net"), 4).alias("ca"), N().alias("lignes"),
         F.count_distinct("order_id").alias("commandes"), F.min("ds").alias("premiere"), F.max("ds").alias("derniere"))
 
 
@@ -111,7 +115,7 @@ def client_status(rhythm: DataFrame, reference) -> DataFrame:
 
 def client_detail(filtered: DataFrame, history: DataFrame) -> DataFrame:
     """Filtered quantity, revenue, lines and orders per client next to the rhythm over all history."""
-    f = filtered.groupBy("client_key").agg(F.sum("quantite").alias("qty"), F.round(F.sum("montant_net"), 4).alias("ca"), N.alias("lignes"),
+    f = filtered.groupBy("client_key").agg(F.sum("quantite").alias("qty"), F.round(F.sum("montant_net"), 4).alias("ca"), N().alias("lignes"),
                                            F.count_distinct("order_id").alias("commandes"))
     return f.join(purchase_rhythm(history).select("client_key", "n_cmd", "premiere", "derniere", "freq_mois", "jours_entre", "panier_moyen"), "client_key")
 
@@ -119,7 +123,7 @@ def client_detail(filtered: DataFrame, history: DataFrame) -> DataFrame:
 def stock_kpis(stock: DataFrame, lines: DataFrame) -> DataFrame:
     """Cover days, rotation and rupture share from the latest level of each product."""
     latest = stock.groupBy("produit_key").agg(F.max_by("niveau_stock", "ds").alias("lvl"))
-    s = latest.agg(F.sum("lvl").alias("total_stock"), N.alias("n_produits"), F.count_if(F.col("lvl") <= 0).alias("n_rupture"))
+    s = latest.agg(F.sum("lvl").alias("total_stock"), N().alias("n_produits"), F.count_if(F.col("lvl") <= 0).alias("n_rupture"))
     q = lines.agg(F.struct(F.sum("quantite").alias("q"), F.count_distinct("ds").alias("d"))).scalar()
     qty, days = q.getField("q"), q.getField("d")
     return s.select("total_stock", F.round(ratio(F.col("total_stock"), ratio(qty, days)), 4).alias("stock_cover_days"),

@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 from marketlens.functions.scalar import has_offset, ratio
 from marketlens.operators.ordered import CHUNK, carry_over, exact_quantiles, time_chunk
 
-N = F.count(F.lit(1))
+
+
+def N() -> Column:
+    return F.count(F.lit(1))
+
 
 
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
@@ -52,7 +56,7 @@ def expectations(df: DataFrame, table: str, products: DataFrame | None = None, r
     if any(r[1] == "known_product" for r in mine):
         known = products.select("product_id").distinct().withColumn("_known", F.lit(True))
         base = df.join(known, "product_id", "left")
-    aggs = [N.alias("_n")]
+    aggs = [N().alias("_n")]
     for i, (_, rule, c, arg) in enumerate(mine):
         v = F.col(c)
         if rule == "not_null":
@@ -72,7 +76,7 @@ def expectations(df: DataFrame, table: str, products: DataFrame | None = None, r
     one = base.agg(*aggs)
     for i, (_, rule, c, _arg) in enumerate(mine):
         if rule == "unique":
-            repeated = (df.filter(F.col(c).isNotNull()).groupBy(c).agg(N.alias("n")).filter("n > 1").agg(F.coalesce(F.sum("n"), F.lit(0))))
+            repeated = (df.filter(F.col(c).isNotNull()).groupBy(c).agg(N().alias("n")).filter("n > 1").agg(F.coalesce(F.sum("n"), F.lit(0))))
             one = one.withColumn(f"r{i}", repeated.scalar())
     rows = F.array(*[F.struct(F.lit(r[1]).alias("rule"), F.lit(r[2]).alias("column"), F.col(f"r{i}").cast("long").alias("unexpected"),
                               F.lit(float(r[3]) if r[1] == "not_null" else 1.0).alias("mostly")) for i, r in enumerate(mine)])
@@ -91,7 +95,7 @@ def missing_values(df: DataFrame, required: Sequence[str] = (), sparse: Sequence
 
 def duplicates(df: DataFrame, key: Sequence[str]) -> DataFrame:
     """Repeated rows (all but the first) on the whole row and on the key."""
-    full = df.groupBy(*df.columns).agg(N.alias("n"))
+    full = df.groupBy(*df.columns).agg(N().alias("n"))
     per_key = full.groupBy(*key).agg(F.sum("n").alias("n"), F.sum(F.col("n") - 1).alias("d"))
     return (per_key.agg(F.sum("n").alias("n_lignes"), F.sum("d").alias("doublons_ligne"), F.sum(F.col("n") - 1).alias("doublons_cle"))
             .withColumn("status", F.when(F.col("doublons_cle") > 0, "critique").when(F.col("doublons_ligne") > 0, "alerte").otherwise("ok")))
@@ -118,8 +122,8 @@ def negatives_zeros(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def returns_cancellations(df: DataFrame, status: str = "statut_commande", quantity: str = "quantite") -> DataFrame:
-    total = df.agg(N).scalar()
-    return df.groupBy(F.col(status).alias("valeur")).agg(N.alias("n"), F.count_if(F.col(quantity) < 0).alias("n_negatifs")).withColumn("part", ratio("n", total))
+    total = df.agg(N()).scalar()
+    return df.groupBy(F.col(status).alias("valeur")).agg(N().alias("n"), F.count_if(F.col(quantity) < 0).alias("n_negatifs")).withColumn("part", ratio("n", total))
 
 
 def amount_formulas(qty: Column, price: Column, discount: Column) -> dict[str, Column]:
@@ -151,7 +155,7 @@ def amount_ratio_quantiles(df: DataFrame, expected: Column, amount: str) -> Data
 def launch_dates(sales: DataFrame, products: DataFrame, validity: str = "valid_from") -> DataFrame:
     """Sales before the declared launch, and the delay from launch to first sale."""
     joined = sales.join(products.select("produit_key", F.col(validity).alias("_launch")), "produit_key").filter("_launch is not null")
-    per = joined.groupBy("produit_key", "_launch").agg(F.min("ds").alias("first"), N.alias("n"), F.count_if(F.col("ds") < F.col("_launch")).alias("before"))
+    per = joined.groupBy("produit_key", "_launch").agg(F.min("ds").alias("first"), N().alias("n"), F.count_if(F.col("ds") < F.col("_launch")).alias("before"))
     per = per.withColumn("delay", F.datediff("first", "_launch"))
     med = exact_quantiles(per, [], "delay", {"m": 0.5}).scalar()
     rate = ratio("n_avant", "n_ventes")
@@ -164,7 +168,7 @@ def promotion_windows(sales: DataFrame, promotions: DataFrame) -> DataFrame:
     """Share of promoted sales inside the declared window of their promotion."""
     promo = sales.filter("promo_key is not null").join(promotions.select("promo_key", "date_debut", "date_fin"), "promo_key", "left")
     inside = F.coalesce(F.col("ds").between(F.col("date_debut"), F.col("date_fin")), F.lit(False))
-    return (promo.agg(N.alias("n_ventes_promues"), F.count_if(inside).alias("n_dedans")).withColumn("taux", ratio("n_dedans", "n_ventes_promues"))
+    return (promo.agg(N().alias("n_ventes_promues"), F.count_if(inside).alias("n_dedans")).withColumn("taux", ratio("n_dedans", "n_ventes_promues"))
             .withColumn("status", F.when(F.col("taux") > 0.99, "ok").when(F.col("taux") > 0.9, "alerte").otherwise("critique")))
 
 
@@ -219,7 +223,7 @@ def history_coverage(df: DataFrame, day: str, start: Column, end: Column, minimu
 
 def uniqueness(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows involved in repeated keys and ten sample keys."""
-    rep = df.groupBy(*columns).agg(N.alias("n")).filter("n > 1")
+    rep = df.groupBy(*columns).agg(N().alias("n")).filter("n > 1")
     total = rep.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
     return rep.orderBy(*columns).limit(10).withColumn("n_lignes_dupliquees", total)
 
@@ -251,7 +255,7 @@ def bots_and_tests(df: DataFrame, bot: str = "est_bot", test: str | None = None)
     """Robot and test shares; a rate of exactly zero robots is suspicious."""
     flag = lambda c: F.count_if(F.coalesce(F.col(c), F.lit(False)))
     n_test = flag(test) if test else F.lit(0).cast("long")
-    return (df.agg(N.alias("n_lignes"), flag(bot).alias("n_bots"), n_test.alias("n_tests"))
+    return (df.agg(N().alias("n_lignes"), flag(bot).alias("n_bots"), n_test.alias("n_tests"))
             .withColumn("part_a_exclure", ratio(F.col("n_bots") + F.col("n_tests"), F.col("n_lignes")))
             .withColumn("passed", ~((F.col("n_lignes") > 0) & (F.col("n_bots") == 0))))
 
@@ -278,23 +282,23 @@ def returns_after_order(sales: DataFrame, flag: str, returned: str, ordered: str
 
 def closed_domain(df: DataFrame, column: str, values: Sequence) -> DataFrame:
     """Values outside a closed list, with their number of rows."""
-    return df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("valeur")).agg(N.alias("n")).filter(~F.col("valeur").isin(*values))
+    return df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("valeur")).agg(N().alias("n")).filter(~F.col("valeur").isin(*values))
 
 
 def summary(results: DataFrame) -> DataFrame:
     """Checks, errors, warnings and the verdict. `results`: name, severity (erreur / avertissement), passed."""
     failed = ~F.coalesce(F.col("passed"), F.lit(False))
-    return (results.agg(N.alias("n_controles"), F.count_if(failed & (F.col("severity") == "erreur")).alias("n_erreurs"),
+    return (results.agg(N().alias("n_controles"), F.count_if(failed & (F.col("severity") == "erreur")).alias("n_erreurs"),
                         F.count_if(failed & (F.col("severity") == "avertissement")).alias("n_avertissements"))
             .withColumn("passed", F.col("n_erreurs") == 0))
 
 
 def repeated_keys(df: DataFrame, columns: Sequence[str]) -> Column:
-    return df.groupBy(*columns).agg(N.alias("n")).agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0))).scalar()
+    return df.groupBy(*columns).agg(N().alias("n")).agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0))).scalar()
 
 
 def missing_refs(fact: DataFrame, dim: DataFrame, key: str) -> Column:
-    return fact.filter(F.col(key).isNotNull()).join(dim.select(key).distinct(), key, "left_anti").agg(N).scalar()
+    return fact.filter(F.col(key).isNotNull()).join(dim.select(key).distinct(), key, "left_anti").agg(N()).scalar()
 
 
 def final_build_checks(sales: DataFrame, products: DataFrame, clients: DataFrame, web: DataFrame, stock: DataFrame) -> DataFrame:
@@ -304,7 +308,7 @@ def final_build_checks(sales: DataFrame, products: DataFrame, clients: DataFrame
     expected = F.col("prix_base") * F.col("quantite") * (1 - F.col("remise_pct") / 100)
     buy = F.col("event_type") == "purchase"
     one = sales.agg(
-        F.count_if(~F.col("statut_commande").isin("confirmee", "annulee", "retournee")).alias("statuts"), N.alias("_n")).select(
+        F.count_if(~F.col("statut_commande").isin("confirmee", "annulee", "retournee")).alias("statuts"), N().alias("_n")).select(
         "statuts", repeated_keys(sales, ["vente_id"]).alias("pk_ventes"), repeated_keys(web, ["event_id"]).alias("pk_web"),
         repeated_keys(stock, ["produit_key", "ds"]).alias("pk_stock"), missing_refs(sales, products, "produit_key").alias("fk_ventes_produit"),
         missing_refs(sales, clients, "client_key").alias("fk_ventes_client"), missing_refs(web, products, "produit_key").alias("fk_web_produit"),
@@ -327,13 +331,13 @@ def sales_conservation(source: DataFrame, grid: DataFrame) -> DataFrame:
     both = (a.select(*keys, F.col("y").alias("ya"), F.col("ca").alias("ca_a")).join(b.select(*keys, F.col("y").alias("yb"), F.col("ca").alias("ca_b")), ["p", "m"], "full_outer"))
     same = (F.coalesce("ya", F.lit(0)) == F.coalesce("yb", F.lit(0))) & (F.abs(F.coalesce("ca_a", F.lit(0.0)) - F.coalesce("ca_b", F.lit(0.0))) < 0.01)
     level = F.when((F.col("p") == "") & (F.col("m") == ""), "total").when(F.col("m") == "", "produit").otherwise("mois")
-    return both.groupBy(level.alias("niveau")).agg(N.alias("n"), F.count_if(~same).alias("n_ecarts"))
+    return both.groupBy(level.alias("niveau")).agg(N().alias("n"), F.count_if(~same).alias("n_ecarts"))
 
 
 def zero_rows_from_filling(source: DataFrame, grid: DataFrame) -> DataFrame:
     """Grid defects: zero rows with a source row, repeated keys."""
     j = grid.join(source.select("produit_key", "ds", F.lit(1).alias("_s")), ["produit_key", "ds"], "left")
-    return j.agg(N.alias("n_lignes"), F.count_if(F.col("y") == 0).alias("n_zeros"), F.count_if((F.col("y") == 0) & (F.col("_s") == 1)).alias("n_zeros_source")) \
+    return j.agg(N().alias("n_lignes"), F.count_if(F.col("y") == 0).alias("n_zeros"), F.count_if((F.col("y") == 0) & (F.col("_s") == 1)).alias("n_zeros_source")) \
         .withColumn("n_repetes", repeated_keys(grid, ["produit_key", "ds"]))
 
 
@@ -364,14 +368,14 @@ def pricing_experiment_checks(decisions: DataFrame, stock: DataFrame, promo_days
         "*", repeated_keys(decisions, ["decision_id"]).alias("decision_repetee"), repeated_keys(decisions, ["produit_key", "week"]).alias("plusieurs_par_semaine"),
         per_product.agg(F.count_if("flat")).scalar().alias("impressions_constantes"),
         seen.agg(F.count_if(~F.col("stock").eqNullSafe(F.col("niveau_stock")))).scalar().alias("stock_pas_de_la_veille"),
-        overlaps_promotion(decisions, promo_days).agg(N).scalar().alias("chevauche_promotion"))
+        overlaps_promotion(decisions, promo_days).agg(N()).scalar().alias("chevauche_promotion"))
     return as_rows(one, one.columns, "controle", "n_defauts").withColumn("n_defauts", F.col("n_defauts").cast("long"))
 
 
 def exposure_checks(expo: DataFrame, web: DataFrame, slate_size: int = 5) -> DataFrame:
     """Defect counts of the exposure journal. `expo`: recommendation_id, slate_id, session_id, client_key, anonymous_id, rank, impression_timestamp, probability, added_to_cart, purchased."""
     from marketlens.operators.joins import impressions_outside_session
-    slates = expo.groupBy("slate_id").agg(N.alias("n"), F.count_distinct("rank").alias("d"), F.min("rank").alias("lo"), F.max("rank").alias("hi"), F.sum("probability").alias("p"))
+    slates = expo.groupBy("slate_id").agg(N().alias("n"), F.count_distinct("rank").alias("d"), F.min("rank").alias("lo"), F.max("rank").alias("hi"), F.sum("probability").alias("p"))
     bots = web.filter("est_bot").select("session_id").distinct()
     one = slates.agg(F.count_if(F.col("n") != slate_size).alias("taille_slate"),
                      F.count_if((F.col("lo") != 1) | (F.col("hi") != F.col("n")) | (F.col("d") != F.col("n"))).alias("rangs"),
@@ -379,23 +383,23 @@ def exposure_checks(expo: DataFrame, web: DataFrame, slate_size: int = 5) -> Dat
         "*", repeated_keys(expo, ["recommendation_id"]).alias("id_repete"),
         expo.agg(F.count_if(F.col("client_key").isNotNull() == F.col("anonymous_id").isNotNull())).scalar().alias("identite_exclusive"),
         expo.agg(F.count_if(F.col("purchased") & ~F.col("added_to_cart"))).scalar().alias("achat_sans_panier"),
-        expo.join(bots, "session_id", "left_semi").agg(N).scalar().alias("session_bot"),
-        impressions_outside_session(expo, web).agg(N).scalar().alias("hors_session"))
+        expo.join(bots, "session_id", "left_semi").agg(N()).scalar().alias("session_bot"),
+        impressions_outside_session(expo, web).agg(N()).scalar().alias("hors_session"))
     return as_rows(one, one.columns, "controle", "n_defauts").withColumn("n_defauts", F.col("n_defauts").cast("long"))
 
 
 def recommendation_output_checks(recs: DataFrame, k: int, user: str = "client_key", item: str = "produit_key") -> DataFrame:
     """Repeats, non-finite scores, wrong list sizes, broken ranks."""
-    per = recs.groupBy(user).agg(N.alias("n"), F.count_distinct(item).alias("items"), F.min("rang").alias("lo"), F.max("rang").alias("hi"), F.count_distinct("rang").alias("ranks"),
+    per = recs.groupBy(user).agg(N().alias("n"), F.count_distinct(item).alias("items"), F.min("rang").alias("lo"), F.max("rang").alias("hi"), F.count_distinct("rang").alias("ranks"),
                                  F.count_if(F.col("score").isNull() | F.isnan("score")).alias("bad"))
-    return per.agg(N.alias("n_listes"), F.count_if(F.col("items") != F.col("n")).alias("repetes"), F.sum("bad").alias("scores_non_finis"), F.count_if(F.col("n") > k).alias("listes_trop_longues"),
+    return per.agg(N().alias("n_listes"), F.count_if(F.col("items") != F.col("n")).alias("repetes"), F.sum("bad").alias("scores_non_finis"), F.count_if(F.col("n") > k).alias("listes_trop_longues"),
                    F.count_if((F.col("lo") != 1) | (F.col("hi") != F.col("n")) | (F.col("ranks") != F.col("n"))).alias("rangs_non_consecutifs"))
 
 
 def prediction_checks(preds: DataFrame, expected: DataFrame) -> DataFrame:
     """Per model and window: rows against the expected number, non-finite, negative. `expected`: window, n_expected."""
     bad = F.col("pred").isNull() | F.isnan("pred")
-    g = preds.groupBy("model", "window").agg(N.alias("n"), F.count_if(bad).alias("n_non_finis"), F.count_if(F.col("pred") < 0).alias("n_negatifs"))
+    g = preds.groupBy("model", "window").agg(N().alias("n"), F.count_if(bad).alias("n_non_finis"), F.count_if(F.col("pred") < 0).alias("n_negatifs"))
     return g.join(expected, "window").withColumn("ok", (F.col("n") == F.col("n_expected")) & (F.col("n_non_finis") == 0) & (F.col("n_negatifs") == 0))
 
 
@@ -424,7 +428,7 @@ def delivery_validation(tables: dict[str, DataFrame], contract: dict) -> DataFra
         if table not in tables or any(c not in tables[table].columns for c in columns):
             parts.append(failed(name))
             continue
-        g = tables[table].groupBy(*columns).agg(N.alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("m"))
+        g = tables[table].groupBy(*columns).agg(N().alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("m"))
         parts.append(g.select(F.lit(name).alias("name"), F.lit("erreur").alias("severity"), (F.col("m") <= 1).alias("passed")))
     for table, column, dim, dim_column in contract.get("foreign_keys", []):
         name = f"fk::{table}.{column}"
@@ -432,7 +436,7 @@ def delivery_validation(tables: dict[str, DataFrame], contract: dict) -> DataFra
             parts.append(failed(name))
             continue
         known = tables[dim].select(F.col(dim_column).alias(column)).distinct()
-        g = tables[table].filter(F.col(column).isNotNull()).join(known, column, "left_anti").agg(N.alias("n"))
+        g = tables[table].filter(F.col(column).isNotNull()).join(known, column, "left_anti").agg(N().alias("n"))
         parts.append(g.select(F.lit(name).alias("name"), F.lit("erreur").alias("severity"), (F.col("n") == 0).alias("passed")))
     for table, column, values in contract.get("domains", []):
         g = tables[table].agg(F.count_if(F.col(column).isNotNull() & ~F.col(column).isin(*values)).alias("n"))
@@ -441,5 +445,5 @@ def delivery_validation(tables: dict[str, DataFrame], contract: dict) -> DataFra
 
 
 def delivery_aggregates(web: DataFrame) -> DataFrame:
-    return (web.agg(N.alias("n_lignes"), F.count_distinct("event_id").alias("n_ids"), F.count_distinct("session_id").alias("n_sessions"))
+    return (web.agg(N().alias("n_lignes"), F.count_distinct("event_id").alias("n_ids"), F.count_distinct("session_id").alias("n_sessions"))
             .withColumn("n_doublons", F.col("n_lignes") - F.col("n_ids")))

@@ -156,7 +156,7 @@ def cutoff_features(daily: DataFrame, key: str = "produit_key", lags: Sequence[i
              "restock_frequency_84": rolling((F.col("quantite_reapprovisionnee") > 0).cast("int"), "mean", w, 84, 14, end=0)}
     d = days_since_positive(daily.withColumns(cols), "quantite_reapprovisionnee", key, "days_since_restock")
     d = (d.withColumn("adi", ratio("observed_days", "active_days_cumulative"))
-         .withColumn("cv2_84", F.pow(ratio("sales_std_84", "sales_mean_84"), 2))
+         .withColumn("cv2_84", F.pow(ratio(rolling(y, "std", w, 84, 21, end=0), rolling(y, "mean", w, 84, 21, end=0)), 2))
          .withColumn("intermittent", (F.coalesce(F.col("adi"), F.lit(0.0)) > 1.32).cast("int")))
     for group, prefix in (("categorie", "category"), ("marque", "brand")):
         total = daily.groupBy(group, "ds").agg(F.sum("y").alias("_t"))

@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 from marketlens.functions.scalar import horizon_bucket, ratio
 from marketlens.operators.ordered import exact_quantiles, pick_rank
 
-N = F.count(F.lit(1))
-Y, P = F.col("y").cast("double"), F.col("pred").cast("double")
 
 
-def error_metrics(y: Column = Y, p: Column = P, weight: Column | None = None) -> list[Column]:
+def N() -> Column:
+    return F.count(F.lit(1))
+
+
+
+def error_metrics(y: str = "y", p: str = "pred", weight: Column | None = None) -> list[Column]:
     """All point metrics as aggregate columns; a volume of zero gives NULL instead of a ratio."""
+    y, p = F.col(y).cast("double"), F.col(p).cast("double")
     e = p - y
     den = (F.abs(y) + F.abs(p)) / 2
     w = weight if weight is not None else F.abs(y)
@@ -23,7 +27,7 @@ def error_metrics(y: Column = Y, p: Column = P, weight: Column | None = None) ->
             F.avg(F.when(F.abs(y) > 1e-9, F.abs(e) / F.abs(F.when(F.abs(y) > 1e-9, y)))).alias("mape_positive"),
             F.avg(e).alias("bias"), ratio(F.sum(e), F.sum(F.abs(y))).alias("relative_bias"), F.avg((p < y).cast("int")).alias("under_rate"), F.avg((p > y).cast("int")).alias("over_rate"),
             F.avg(F.when(e < 0, -1.5 * e).otherwise(e)).alias("asym_cost_1_5"), F.avg(F.when(e < 0, -2.0 * e).otherwise(e)).alias("asym_cost_2"),
-            ratio(F.sum(w * F.abs(e)), F.sum(w)).alias("weighted_mae"), N.alias("n")]
+            ratio(F.sum(w * F.abs(e)), F.sum(w)).alias("weighted_mae"), N().alias("n")]
 
 
 METRICS = ("mae", "rmse", "wape", "smape", "mape_positive", "bias", "relative_bias", "under_rate", "over_rate", "asym_cost_1_5", "asym_cost_2", "weighted_mae")
@@ -65,7 +69,7 @@ def compare_to_reference(per_window: DataFrame, reference: str, metrics: Sequenc
     """Mean delta of each metric against a reference model and the number of windows improved."""
     ref = per_window.filter(F.col("model") == reference).select("window", *[F.col(m).alias(f"_r_{m}") for m in metrics])
     d = per_window.filter(F.col("model") != reference).join(F.broadcast(ref), "window")
-    return d.groupBy("model").agg(*[F.avg(F.col(m) - F.col(f"_r_{m}")).alias(f"delta_{m}") for m in metrics], F.count_if(F.col(metrics[0]) < F.col(f"_r_{metrics[0]}")).alias("fenetres_ameliorees"), N.alias("n_fenetres"))
+    return d.groupBy("model").agg(*[F.avg(F.col(m) - F.col(f"_r_{m}")).alias(f"delta_{m}") for m in metrics], F.count_if(F.col(metrics[0]) < F.col(f"_r_{metrics[0]}")).alias("fenetres_ameliorees"), N().alias("n_fenetres"))
 
 
 def macro_wape(df: DataFrame, key: str = "produit_key") -> DataFrame:
@@ -78,7 +82,7 @@ def margin_metrics(df: DataFrame) -> DataFrame:
     """Margin error and guard rails: rows priced under cost, rows under the margin floor. Columns: y, pred, prix, cout."""
     m, mp = F.col("y") * (F.col("prix") - F.col("cout")), F.col("pred") * (F.col("prix") - F.col("cout"))
     return df.agg(ratio(F.sum(F.abs(mp - m)), F.sum(F.abs(m))).alias("wape_marge"), ratio(F.sum(mp - m), F.sum(F.abs(m))).alias("biais_marge"),
-                  F.count_if(F.col("prix") < F.col("cout")).alias("sous_cout"), F.count_if(F.col("prix") - F.col("cout") < 0.05 * F.col("prix")).alias("sous_plancher"), N.alias("n"))
+                  F.count_if(F.col("prix") < F.col("cout")).alias("sous_cout"), F.count_if(F.col("prix") - F.col("cout") < 0.05 * F.col("prix")).alias("sous_plancher"), N().alias("n"))
 
 
 # ---------------------------------------------------------------- ranking metrics
@@ -86,11 +90,11 @@ def margin_metrics(df: DataFrame) -> DataFrame:
 def ranking_metrics(recs: DataFrame, truth: DataFrame, k: int = 10, user: str = "client_key", item: str = "produit_key") -> DataFrame:
     """Precision, recall, NDCG, MAP, MRR and hit rate at k; users without a target are left out."""
     t = truth.select(user, item).distinct()
-    sizes = t.groupBy(user).agg(N.alias("_n"))
+    sizes = t.groupBy(user).agg(N().alias("_n"))
     hits = recs.filter(F.col("rang") <= k).join(t, [user, item], "left_semi")
     w = Window.partitionBy(user).orderBy("rang")  # at most k rows
     gains = hits.withColumn("_i", F.row_number().over(w)).groupBy(user).agg(
-        N.alias("_h"), F.sum(1 / F.log2(F.col("rang") + 1)).alias("_dcg"), F.sum(F.col("_i") / F.col("rang")).alias("_ap"), F.min("rang").alias("_first"))
+        N().alias("_h"), F.sum(1 / F.log2(F.col("rang") + 1)).alias("_dcg"), F.sum(F.col("_i") / F.col("rang")).alias("_ap"), F.min("rang").alias("_first"))
     d = sizes.join(gains, user, "left").na.fill(0, ["_h"]).na.fill(0.0, ["_dcg", "_ap"])
     top = F.least("_n", F.lit(k))
     ideal = F.aggregate(F.sequence(F.lit(1), top.cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1.0))
@@ -99,7 +103,7 @@ def ranking_metrics(recs: DataFrame, truth: DataFrame, k: int = 10, user: str =
 
 
 def mean_metrics(per_user: DataFrame, columns: Sequence[str] = ("precision", "recall", "ndcg", "ap", "mrr", "hit")) -> DataFrame:
-    return per_user.agg(*[F.avg(c).alias(c) for c in columns], N.alias("n_users"))
+    return per_user.agg(*[F.avg(c).alias(c) for c in columns], N().alias("n_users"))
 
 
 def masked_item_metrics(recs: DataFrame, targets: DataFrame, ks: Sequence[int] = (5, 10, 20), ctx: str = "order_id", item: str = "produit_key") -> DataFrame:
@@ -125,16 +129,16 @@ def beyond_accuracy(recs: DataFrame, products: DataFrame, popularity: DataFrame,
     top = recs.filter(F.col("rang") <= k).join(products.select("produit_key", "categorie"), "produit_key")
     total = popularity.agg(F.sum("n")).scalar()
     catalogue = products.agg(F.count_distinct("produit_key")).scalar()
-    shown = top.groupBy("produit_key").agg(N.alias("_s"))
+    shown = top.groupBy("produit_key").agg(N().alias("_s"))
     ten = shown.orderBy(F.desc("_s"), "produit_key").limit(10).agg(F.sum("_s")).scalar()
     novelty = top.join(popularity, "produit_key").agg(F.avg(-F.log2(F.col("n") / total))).scalar()
     per = top.groupBy(user).agg(F.count_distinct("categorie").alias("_c")).agg(F.avg("_c")).scalar()
-    return shown.agg(ratio(N, catalogue).alias("couverture"), ratio(ten, F.sum("_s")).alias("concentration_top10")).withColumn("diversite", per).withColumn("nouveaute", novelty)
+    return shown.agg(ratio(N(), catalogue).alias("couverture"), ratio(ten, F.sum("_s")).alias("concentration_top10")).withColumn("diversite", per).withColumn("nouveaute", novelty)
 
 
 def client_segments(train: DataFrame, clients: DataFrame) -> DataFrame:
     """Cold start, active (at or above the median number of purchases) or low."""
-    n = train.groupBy("client_key").agg(N.alias("n"))
+    n = train.groupBy("client_key").agg(N().alias("n"))
     median = exact_quantiles(n, [], "n", {"m": 0.5}).scalar()
     d = clients.select("client_key").join(n, "client_key", "left")
     return d.select("client_key", F.when(F.col("n").isNull(), "demarrage_a_froid").when(F.col("n") >= median, "actif").otherwise("peu_actif").alias("segment"))
@@ -157,7 +161,7 @@ def bootstrap_draws(units: DataFrame, unit: str, numerators: Sequence[str], deno
     """Resampled totals per draw. Units are first added up into unit rows; each unit row meets its draws by explode and
     is added up again on the map side, so the shuffle carries draws x partitions rows."""
     columns = [*numerators, *([denominator] if denominator else [])]
-    per = units.groupBy(unit).agg(*[F.sum(c).alias(c) for c in columns], N.alias("_n"))
+    per = units.groupBy(unit).agg(*[F.sum(c).alias(c) for c in columns], N().alias("_n"))
     d = per.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("_w", poisson_weight(F.col(unit), F.col("draw"), seed))
     return d.groupBy("draw").agg(*[F.sum(F.col(c) * F.col("_w")).alias(c) for c in columns], F.sum(F.col("_n") * F.col("_w")).alias("_n"))
 
@@ -166,8 +170,8 @@ def paired_bootstrap(units: DataFrame, unit: str, a: str, b: str, denominator: s
     """Observed difference a - b (mean, or ratio of sums) with a percentile interval over resampled units."""
     den = denominator or "_n"
     d = bootstrap_draws(units, unit, [a, b], denominator, draws, seed).withColumn("diff", ratio(F.col(a) - F.col(b), F.col(den)))
-    obs = units.agg(ratio(F.sum(a) - F.sum(b), F.sum(denominator) if denominator else N)).scalar()
-    return d.agg(F.percentile("diff", F.lit(0.025)).alias("ci_low"), F.percentile("diff", F.lit(0.975)).alias("ci_high"), N.alias("draws")).withColumn("difference", obs)
+    obs = units.agg(ratio(F.sum(a) - F.sum(b), F.sum(denominator) if denominator else N())).scalar()
+    return d.agg(F.percentile("diff", F.lit(0.025)).alias("ci_low"), F.percentile("diff", F.lit(0.975)).alias("ci_high"), N().alias("draws")).withColumn("difference", obs)
 
 
 def permutation_test(units: DataFrame, unit: str, a: str, b: str, draws: int = 200, seed: int = 42) -> DataFrame:
@@ -176,7 +180,7 @@ def permutation_test(units: DataFrame, unit: str, a: str, b: str, draws: int = 2
     obs = per.agg(F.sum("_d")).scalar()
     sign = F.when(F.pmod(F.xxhash64(unit, "draw", F.lit(seed)), F.lit(2)) == 0, 1).otherwise(-1)
     d = per.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).groupBy("draw").agg(F.sum(F.col("_d") * sign).alias("_s"))
-    return d.agg(((F.count_if(F.abs("_s") >= F.abs(obs) - 1e-12) + 1) / (N + 1)).alias("p_value")).withColumn("total", obs)
+    return d.agg(((F.count_if(F.abs("_s") >= F.abs(obs) - 1e-12) + 1) / (N() + 1)).alias("p_value")).withColumn("total", obs)
 
 
 def two_sample_test(units: DataFrame, treated: str, value: str, draws: int = 200, seed: int = 42) -> DataFrame:
@@ -191,13 +195,13 @@ def two_sample_test(units: DataFrame, treated: str, value: str, draws: int = 200
         (ratio(F.sum(F.when(t == 1, v * F.col("_w"))), F.sum(F.when(t == 1, F.col("_w")))) - ratio(F.sum(F.when(t == 0, v * F.col("_w"))), F.sum(F.when(t == 0, F.col("_w"))))).alias("_b"),
         (F.avg(F.when(F.col("_l") == 1, v)) - F.avg(F.when(F.col("_l") == 0, v))).alias("_p"))
     return g.agg(F.percentile("_b", F.lit(0.025)).alias("ci_low"), F.percentile("_b", F.lit(0.975)).alias("ci_high"),
-                 ((F.count_if(F.abs("_p") >= F.abs(obs)) + 1) / (N + 1)).alias("p_value")).withColumn("difference", obs)
+                 ((F.count_if(F.abs("_p") >= F.abs(obs)) + 1) / (N() + 1)).alias("p_value")).withColumn("difference", obs)
 
 
 def holm(tests: DataFrame, family: str, p: str = "p_value", name: str = "test") -> DataFrame:
     """Step-down adjusted p values per family: running maximum of (m - rank + 1) x p, at most 1."""
     w = Window.partitionBy(family).orderBy(p, name)  # a family is a handful of tests
-    m = N.over(Window.partitionBy(family))
+    m = N().over(Window.partitionBy(family))
     step = tests.withColumn("_s", (m - F.row_number().over(w) + 1) * F.col(p))
     return step.withColumn("p_holm", F.least(F.max("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0))).drop("_s")
 
@@ -233,7 +237,7 @@ def bucket_intervals(df: DataFrame, level: float = 0.8, regime: str = "prior", m
     used = F.col("window") < F.col("_for") if regime == "prior" else F.col("window") != F.col("_for")
     calib = d.select("window", "bucket", "residual").join(F.broadcast(windows), used)
     q = exact_quantiles(calib, ["_for", "bucket"], "residual", {"lo": (1 - level) / 2, "hi": 1 - (1 - level) / 2})
-    n = calib.groupBy("_for", "bucket").agg(N.alias("_n"))
+    n = calib.groupBy("_for", "bucket").agg(N().alias("_n"))
     lim = q.join(n, ["_for", "bucket"]).filter(F.col("_n") >= min_rows).withColumnRenamed("_for", "window")
     out = d.join(F.broadcast(lim), ["window", "bucket"], "left").withColumn("calibrable", F.col("lo").isNotNull())
     low = F.when(F.col("calibrable"), F.greatest(F.col("pred") + F.col("lo"), F.lit(0.0)))
@@ -245,8 +249,8 @@ def coverage_report(df: DataFrame) -> DataFrame:
     """Coverage and width of the calibrated points, and the share wider than three times the median."""
     c = df.filter("calibrable").withColumn("_w", F.col("borne_haute") - F.col("borne_basse"))
     median = exact_quantiles(c, [], "_w", {"m": 0.5}).scalar()
-    total = df.agg(N).scalar()
-    return (c.agg(N.alias("n_calibrables"), F.avg(F.col("y").between(F.col("borne_basse"), F.col("borne_haute")).cast("int")).alias("couverture"), F.avg("_w").alias("largeur_moyenne"),
+    total = df.agg(N()).scalar()
+    return (c.agg(N().alias("n_calibrables"), F.avg(F.col("y").between(F.col("borne_basse"), F.col("borne_haute")).cast("int")).alias("couverture"), F.avg("_w").alias("largeur_moyenne"),
                   F.avg((F.col("_w") > 3 * median).cast("int")).alias("part_trop_larges")).withColumn("n_total", total).withColumn("largeur_mediane", median))
 
 
@@ -301,15 +305,15 @@ def end_to_end_vs_eligible(recs: DataFrame, truth: DataFrame, candidates: DataFr
     inside = t.join(candidates.select(*on).distinct(), on, "left_semi")
     rows = None
     for name, targets in (("bout_en_bout", t), ("eligible", inside)):
-        part = mean_metrics(ranking_metrics(recs, targets, k), ("recall", "ndcg", "hit")).withColumn("perimetre", F.lit(name)).withColumn("n_cibles", targets.agg(N).scalar())
+        part = mean_metrics(ranking_metrics(recs, targets, k), ("recall", "ndcg", "hit")).withColumn("perimetre", F.lit(name)).withColumn("n_cibles", targets.agg(N()).scalar())
         rows = part if rows is None else rows.unionByName(part)
-    return rows.withColumn("taux_eligibilite", ratio(inside.agg(N).scalar(), t.agg(N).scalar()))
+    return rows.withColumn("taux_eligibilite", ratio(inside.agg(N()).scalar(), t.agg(N()).scalar()))
 
 
 def average_popularity(recs: DataFrame, truth: DataFrame, popularity: DataFrame, k: int = 10) -> DataFrame:
     """Mean popularity of recommended items and mean number of targets per client. `popularity`: produit_key, n."""
-    targets = truth.select("client_key", "produit_key").distinct().groupBy("client_key").agg(N.alias("_t")).agg(F.avg("_t")).scalar()
-    return recs.filter(F.col("rang") <= k).join(popularity, "produit_key").agg(F.avg("n").alias("popularite_moyenne"), N.alias("n")).withColumn("cibles_par_client", targets)
+    targets = truth.select("client_key", "produit_key").distinct().groupBy("client_key").agg(N().alias("_t")).agg(F.avg("_t")).scalar()
+    return recs.filter(F.col("rang") <= k).join(popularity, "produit_key").agg(F.avg("n").alias("popularite_moyenne"), N().alias("n")).withColumn("cibles_par_client", targets)
 
 
 def window_mean_vs_pooled(df: DataFrame) -> DataFrame:
@@ -346,4 +350,4 @@ def recompute_counts(left: DataFrame, facts: DataFrame, key: str, ts: str, fact_
 
 def agreement(a: DataFrame, b: DataFrame, keys: Sequence[str], left: str, right: str) -> DataFrame:
     j = a.join(b, list(keys), "full_outer")
-    return j.agg(N.alias("n"), F.count_if(~F.col(left).eqNullSafe(F.col(right))).alias("n_ecarts"))
+    return j.agg(N().alias("n"), F.count_if(~F.col(left).eqNullSafe(F.col(right))).alias("n_ecarts"))

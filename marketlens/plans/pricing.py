@@ -16,8 +16,20 @@ from marketlens.operators import windows as W
 from marketlens.operators.grids import explode_days
 from marketlens.operators.ordered import exact_quantiles
 
-N = F.count(F.lit(1))
-PLAIN, PROMO = ~F.col("en_promotion"), F.col("en_promotion")
+
+
+def N() -> Column:
+    return F.count(F.lit(1))
+
+
+
+def PLAIN() -> Column:
+    return ~F.col("en_promotion")
+
+
+def PROMO() -> Column:
+    return F.col("en_promotion")
+
 
 
 def interaction_features(panel: DataFrame) -> DataFrame:
@@ -32,10 +44,10 @@ def interaction_features(panel: DataFrame) -> DataFrame:
 
 def descriptive_uplift(panel: DataFrame, min_days: int = 5) -> DataFrame:
     """Residual against the product's weekday mean outside promotion, per product and level."""
-    base = panel.filter(PLAIN).groupBy("produit_key", "dow").agg(F.avg("y").alias("_m"))
-    has = panel.filter(PLAIN).select("produit_key").distinct()
-    promo = panel.filter(PROMO).join(has, "produit_key", "left_semi").join(base, ["produit_key", "dow"], "left")
-    return (promo.groupBy("produit_key", "remise_pct").agg(N.alias("n_jours"), F.avg(F.col("y") - F.col("_m")).alias("uplift_residuel"), F.avg("y").alias("y_promo"), F.avg("_m").alias("y_attendu"))
+    base = panel.filter(PLAIN()).groupBy("produit_key", "dow").agg(F.avg("y").alias("_m"))
+    has = panel.filter(PLAIN()).select("produit_key").distinct()
+    promo = panel.filter(PROMO()).join(has, "produit_key", "left_semi").join(base, ["produit_key", "dow"], "left")
+    return (promo.groupBy("produit_key", "remise_pct").agg(N().alias("n_jours"), F.avg(F.col("y") - F.col("_m")).alias("uplift_residuel"), F.avg("y").alias("y_promo"), F.avg("_m").alias("y_attendu"))
             .filter(F.col("n_jours") >= min_days))
 
 
@@ -52,10 +64,10 @@ def panel_fixed_effects(panel: DataFrame, controls: Sequence[str] = ("stock_lag1
             **{f"mois{m}": (F.month("ds") == m).cast("double") for m in months}, **{c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in controls}}
     names = list(cols)
     d = d.select(group, "_y", *[c.alias(n) for n, c in cols.items()])
-    means = d.groupBy(group).agg(N.alias("_n"), *[F.avg(c).alias(f"_m_{c}") for c in ["_y", *names]]).filter(F.col("_n") >= min_obs)
+    means = d.groupBy(group).agg(N().alias("_n"), *[F.avg(c).alias(f"_m_{c}") for c in ["_y", *names]]).filter(F.col("_n") >= min_obs)
     w = d.join(means, group).select(group, *[(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in ["_y", *names]])
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    sums = w.agg(N.alias("n"), F.count_distinct(group).alias("g"), F.sum(F.col("_y") * F.col("_y")).alias("yy"), *[F.sum(F.col(names[i]) * F.col("_y")).alias(f"b{i}") for i in range(len(names))],
+    sums = w.agg(N().alias("n"), F.count_distinct(group).alias("g"), F.sum(F.col("_y") * F.col("_y")).alias("yy"), *[F.sum(F.col(names[i]) * F.col("_y")).alias(f"b{i}") for i in range(len(names))],
                  *[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"a{i}_{j}") for i, j in pairs]).first()
     k = len(names)
     xx, xy = np.zeros((k, k)), np.array([sums[f"b{i}"] for i in range(k)], float)
@@ -78,13 +90,13 @@ def panel_fixed_effects(panel: DataFrame, controls: Sequence[str] = ("stock_lag1
 
 
 def log_uplift() -> Column:
-    p, h = F.avg(F.when(PROMO, F.col("y"))), F.avg(F.when(PLAIN, F.col("y")))
+    p, h = F.avg(F.when(PROMO(), F.col("y"))), F.avg(F.when(PLAIN(), F.col("y")))
     return F.when((p > 0) & (h > 0), F.log(p) - F.log(h))
 
 
 def hierarchical_pooling(panel: DataFrame, k: float = 30.0) -> DataFrame:
     """Log uplift of a product shrunk to its category's with weight n / (n + k)."""
-    p = panel.groupBy("produit_key").agg(F.min("categorie").alias("categorie"), log_uplift().alias("effet_produit"), F.count_if(PROMO).alias("n_jours_promo"))
+    p = panel.groupBy("produit_key").agg(F.min("categorie").alias("categorie"), log_uplift().alias("effet_produit"), F.count_if(PROMO()).alias("n_jours_promo"))
     c = panel.groupBy("categorie").agg(log_uplift().alias("effet_categorie"))
     w = F.col("n_jours_promo") / (F.col("n_jours_promo") + F.lit(k))
     return (p.join(c, "categorie").withColumn("poids", w)
@@ -93,11 +105,11 @@ def hierarchical_pooling(panel: DataFrame, k: float = 30.0) -> DataFrame:
 
 def descriptive_predictor(train: DataFrame, rows: DataFrame) -> DataFrame:
     """Weekday baseline plus the mean residual of the level for the product, else for the category; never negative."""
-    plain = train.filter(PLAIN)
+    plain = train.filter(PLAIN())
     based = J.fallback_lookup(rows, plain)
     overall = plain.agg(F.avg("y")).scalar()
     own = plain.groupBy("produit_key", "dow").agg(F.avg("y").alias("_m"))
-    promo = train.filter(PROMO).join(own, ["produit_key", "dow"], "left").withColumn("_e", F.col("y") - F.coalesce("_m", overall))
+    promo = train.filter(PROMO()).join(own, ["produit_key", "dow"], "left").withColumn("_e", F.col("y") - F.coalesce("_m", overall))
     by_p = promo.groupBy("produit_key", "remise_pct").agg(F.avg("_e").alias("_rp"))
     by_c = promo.groupBy("categorie", "remise_pct").agg(F.avg("_e").alias("_rc"))
     resid = F.coalesce(F.col("_rp"), F.col("_rc"), F.lit(0.0))
@@ -108,9 +120,9 @@ def descriptive_predictor(train: DataFrame, rows: DataFrame) -> DataFrame:
 def hierarchical_predictor(train: DataFrame, rows: DataFrame) -> DataFrame:
     """expm1(log1p(baseline) + rate x discount): the shrunk log effect spread over the mean promoted discount."""
     effects = hierarchical_pooling(train)
-    depth = train.filter(PROMO).groupBy("produit_key").agg(F.avg("remise_pct").alias("_depth"))
+    depth = train.filter(PROMO()).groupBy("produit_key").agg(F.avg("remise_pct").alias("_depth"))
     rate = effects.join(depth, "produit_key", "left").select("produit_key", ratio("effet_shrinkage", "_depth").alias("_rate"))
-    based = J.fallback_lookup(rows, train.filter(PLAIN)).join(rate, "produit_key", "left")
+    based = J.fallback_lookup(rows, train.filter(PLAIN())).join(rate, "produit_key", "left")
     return based.withColumn("pred", F.greatest(F.expm1(F.log1p("baseline") + F.coalesce("_rate", F.lit(0.0)) * F.col("remise_pct")), F.lit(0.0))).drop("_rate")
 
 
@@ -157,7 +169,7 @@ def fit_volume(train: DataFrame, test: DataFrame, kind: str, calibrate_days: int
 
 def category_discount_shrinkage(train: DataFrame, k: float = 20.0) -> DataFrame:
     """Mean of a category x discount cell shrunk to the category mean by n / (n + k)."""
-    cell = train.groupBy("categorie", "remise_pct").agg(F.avg("y").alias("_m"), N.alias("n"))
+    cell = train.groupBy("categorie", "remise_pct").agg(F.avg("y").alias("_m"), N().alias("n"))
     base = train.groupBy("categorie").agg(F.avg("y").alias("_b"))
     return cell.join(base, "categorie").select("categorie", "remise_pct", "n", ((F.col("_m") * F.col("n") + F.col("_b") * k) / (F.col("n") + k)).alias("pred"))
 
@@ -171,7 +183,7 @@ def calibration_factors(history: DataFrame, windows: DataFrame, variant: str = "
 
     `history`: window, categorie, y, y_pred; `windows`: window (one row each). A window without a past gets 1.
     """
-    cells = history.groupBy("categorie", F.col("window").alias("_w")).agg(F.sum("y").alias("y"), F.sum("y_pred").alias("p"), N.alias("n"))
+    cells = history.groupBy("categorie", F.col("window").alias("_w")).agg(F.sum("y").alias("y"), F.sum("y_pred").alias("p"), N().alias("n"))
     past = cells.join(F.broadcast(windows.select("window")), F.col("_w") < F.col("window"))
     cat = past.groupBy("window", "categorie").agg(F.sum("y").alias("y"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     whole = past.groupBy("window").agg(F.sum("y").alias("_y"), F.sum("p").alias("_p"))
@@ -220,10 +232,10 @@ def aipw(train: DataFrame, test: DataFrame, columns: Sequence[str] = ("prix_base
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.regression import LinearRegression
     from marketlens.plans.forecast import assemble
-    ready = assemble(train.withColumn("t", PROMO.cast("double")), columns, "y")
+    ready = assemble(train.withColumn("t", PROMO().cast("double")), columns, "y")
     prop = LogisticRegression(labelCol="t", featuresCol="features", maxIter=20, regParam=0.01, probabilityCol="_e", rawPredictionCol="_r", predictionCol="_c").fit(ready)
     mu = {a: LinearRegression(labelCol="y", featuresCol="features", regParam=0.1, predictionCol=f"mu{a}").fit(ready.filter(F.col("t") == a)) for a in (0, 1)}
-    d = mu[1].transform(mu[0].transform(prop.transform(assemble(test.withColumn("t", PROMO.cast("double")), columns, "y"))))
+    d = mu[1].transform(mu[0].transform(prop.transform(assemble(test.withColumn("t", PROMO().cast("double")), columns, "y"))))
     e = F.greatest(F.least(vector_to_array("_e")[1], F.lit(0.98)), F.lit(0.02))
     t, y = F.col("t"), F.col("y")
     return (d.withColumn("e", e).withColumn("score", F.col("mu1") - F.col("mu0") + t * (y - F.col("mu1")) / F.col("e") - (1 - t) * (y - F.col("mu0")) / (1 - F.col("e")))
@@ -237,7 +249,7 @@ def propensity_weights(train: DataFrame, rows: DataFrame, levels: int, columns:
     from marketlens.plans.forecast import assemble
     ready = assemble(train.withColumn("lvl", F.col("niveau").cast("double")), columns, "y")
     model = LogisticRegression(labelCol="lvl", featuresCol="features", family="multinomial", maxIter=20, regParam=0.01, probabilityCol="_p", rawPredictionCol="_r", predictionCol="_c").fit(ready)
-    share = train.groupBy("niveau").agg(N.alias("_n")).withColumn("prevalence", F.col("_n") / train.agg(N).scalar()).drop("_n")
+    share = train.groupBy("niveau").agg(N().alias("_n")).withColumn("prevalence", F.col("_n") / train.agg(N()).scalar()).drop("_n")
     d = model.transform(assemble(rows, columns, "y")).withColumn("propension", F.get(vector_to_array("_p"), F.col("niveau")))
     return (d.join(share, "niveau").withColumn("poids", F.greatest(F.least(ratio("prevalence", "propension"), F.lit(5.0)), F.lit(0.2)))
             .withColumn("supporte", F.col("propension") >= 0.02).select("produit_key", "ds", "niveau", "propension", "poids", "supporte"))
@@ -251,7 +263,7 @@ def discount_scenario_grid(panel: DataFrame, levels: Sequence[int], floor: float
 
     Quantity of a level: the product's own mean with 10 rows or more, else the category's. Never applied automatically.
     """
-    own = panel.groupBy("produit_key", "remise_pct").agg(F.avg("y").alias("_q"), N.alias("_n"))
+    own = panel.groupBy("produit_key", "remise_pct").agg(F.avg("y").alias("_q"), N().alias("_n"))
     cat = panel.groupBy("categorie", "remise_pct").agg(F.avg("y").alias("_qc"))
     info = panel.groupBy("produit_key").agg(F.min("categorie").alias("categorie"), F.max("prix_base").alias("prix_base"), F.max("cout").alias("cout"),
                                             F.avg("y").alias("q_actuelle"), F.avg(F.col("ca") - F.col("cout") * F.col("y")).alias("marge_actuelle"))
@@ -335,12 +347,12 @@ def campaign_baselines(episodes: DataFrame, n_chunks: int = 3) -> DataFrame:
     dates = episodes.select("date_debut").distinct()
     chunks = dates.select("date_debut", F.ntile(n_chunks).over(Window.orderBy("date_debut")).alias("window"))  # a calendar
     d = episodes.join(F.broadcast(chunks), "date_debut")
-    per = d.groupBy("produit_key", "window").agg(F.sum("qty_campaign").alias("s"), N.alias("n"))
+    per = d.groupBy("produit_key", "window").agg(F.sum("qty_campaign").alias("s"), N().alias("n"))
     past = Window.partitionBy("produit_key").orderBy("window").rangeBetween(Window.unboundedPreceding, -1)
     seen = per.select("produit_key", "window", ratio(F.sum("s").over(past), F.sum("n").over(past)).alias("_m"))
     j = d.join(seen, ["produit_key", "window"], "left")
     wape = lambda p: ratio(F.sum(F.abs(F.col("qty_campaign") - p)), F.sum("qty_campaign"))
-    return j.groupBy("window").agg(N.alias("n"), wape(F.col("qty_control_28d")).alias("wape_controle"), wape(F.coalesce("_m", F.lit(0.0))).alias("wape_moyenne_produit"))
+    return j.groupBy("window").agg(N().alias("n"), wape(F.col("qty_control_28d")).alias("wape_controle"), wape(F.coalesce("_m", F.lit(0.0))).alias("wape_moyenne_produit"))
 
 
 def weekly_price_decisions(products: DataFrame, stock: DataFrame, promo_days: DataFrame, web: DataFrame, span: DataFrame) -> DataFrame:
@@ -357,7 +369,7 @@ def weekly_price_decisions(products: DataFrame, stock: DataFrame, promo_days: Da
 def log_unit_slope(df: DataFrame, y: str = "y", x: str = "remise_pct", group: str = "categorie") -> DataFrame:
     """Least-squares slope of log1p(y) on the discount with group effects: demeaned covariance over variance."""
     d = df.select(group, F.col(x).cast("double").alias("_x"), F.log1p(F.greatest(F.col(y).cast("double"), F.lit(0.0))).alias("_y"))
-    g = d.groupBy(group).agg(N.alias("n"), F.sum("_x").alias("sx"), F.sum("_y").alias("sy"), F.sum(F.col("_x") * F.col("_y")).alias("sxy"), F.sum(F.col("_x") * F.col("_x")).alias("sxx"))
+    g = d.groupBy(group).agg(N().alias("n"), F.sum("_x").alias("sx"), F.sum("_y").alias("sy"), F.sum(F.col("_x") * F.col("_y")).alias("sxy"), F.sum(F.col("_x") * F.col("_x")).alias("sxx"))
     return g.agg(ratio(F.sum(F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")), F.sum(F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n"))).alias("pente"), F.sum("n").alias("n"))
 
 

@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 from marketlens.functions.scalar import ratio
 from marketlens.operators import joins as J
 
-N = F.count(F.lit(1))
+
+
+def N() -> Column:
+    return F.count(F.lit(1))
+
 
 
 def normalised(df: DataFrame, column: str = "score") -> DataFrame:
@@ -29,7 +33,7 @@ def popularity(sales: DataFrame, since: Column | None = None) -> DataFrame:
 
 def favourite_category(sales: DataFrame) -> DataFrame:
     """Category with most lines per client (ties: smallest)."""
-    counts = sales.groupBy("client_key", "categorie").agg(N.alias("_n"))
+    counts = sales.groupBy("client_key", "categorie").agg(N().alias("_n"))
     return counts.groupBy("client_key").agg(F.min(F.struct(-F.col("_n"), "categorie")).getField("categorie").alias("favorite"))
 
 
@@ -66,7 +70,7 @@ def both_ways(pairs: DataFrame, value: str = "sim") -> DataFrame:
 
 def item_item_scores(matrix: DataFrame, sims: DataFrame) -> DataFrame:
     """Mean similarity of each item to the items a user owns, over the user's best."""
-    owned = matrix.groupBy("client_key").agg(N.alias("_owned"))
+    owned = matrix.groupBy("client_key").agg(N().alias("_owned"))
     raw = (matrix.select("client_key", F.col("produit_key").alias("src")).join(both_ways(sims), "src").groupBy("client_key", F.col("dst").alias("produit_key"))
            .agg(F.sum("sim").alias("_s")).join(owned, "client_key").withColumn("_s", F.col("_s") / F.col("_owned")))
     best = raw.groupBy("client_key").agg(F.max("_s").alias("_m"))
@@ -77,8 +81,8 @@ def association_lift(sales: DataFrame) -> DataFrame:
     """Joint buyers over the product of buyers by the number of users; pairs a < b."""
     m = binary_matrix(sales)
     users = m.agg(F.count_distinct("client_key")).scalar()
-    pop = m.groupBy("produit_key").agg(N.alias("_p"))
-    co = J.pair_rows(m, "client_key", "produit_key").groupBy("a", "b").agg(N.alias("co"))
+    pop = m.groupBy("produit_key").agg(N().alias("_p"))
+    co = J.pair_rows(m, "client_key", "produit_key").groupBy("a", "b").agg(N().alias("co"))
     pa, pb = (pop.select(F.col("produit_key").alias(x), F.col("_p").alias(f"_p{x}")) for x in ("a", "b"))
     return co.join(pa, "a").join(pb, "b").select("a", "b", "co", ratio(F.col("co") * users, F.col("_pa") * F.col("_pb")).alias("lift"))
 
@@ -90,7 +94,7 @@ def content_score(sales: DataFrame, web: DataFrame, products: DataFrame, candida
     seen = web.filter(F.col("event_type").isin("view", "add_to_cart") & F.col("client_key").isNotNull()).join(cat.join(sales.select("produit_key").distinct(), "produit_key", "left_semi"), "produit_key")
 
     def shares(lines, name):
-        n = lines.groupBy("client_key", "categorie").agg(N.alias("_n"))
+        n = lines.groupBy("client_key", "categorie").agg(N().alias("_n"))
         total = n.groupBy("client_key").agg(F.sum("_n").alias("_t"))
         return n.join(total, "client_key").select("client_key", "categorie", ratio("_n", "_t").alias(name)), total.select("client_key", F.lit(True).alias(f"_has{name}"))
     buy, has_buy = shares(bought, "_sb")
@@ -107,8 +111,8 @@ def content_score(sales: DataFrame, web: DataFrame, products: DataFrame, candida
 def bm25_matrix(matrix: DataFrame, k1: float = 1.2, b: float = 0.75, user: str = "client_key", item: str = "produit_key", value: str = "v") -> DataFrame:
     """BM25 weights of a user x item matrix: users are documents, items are terms, idf never negative."""
     sizes = matrix.groupBy(user).agg(F.sum(value).alias("_len"))
-    stats = sizes.agg(F.struct(F.avg("_len").alias("avg"), N.alias("n"))).scalar()
-    df = matrix.groupBy(item).agg(N.alias("_df"))
+    stats = sizes.agg(F.struct(F.avg("_len").alias("avg"), N().alias("n"))).scalar()
+    df = matrix.groupBy(item).agg(N().alias("_df"))
     d = matrix.join(sizes, user).join(df, item).withColumn("_st", stats)
     idf = F.greatest(F.log((F.col("_st.n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)), F.lit(0.0))
     tf = F.col(value) * (k1 + 1) / (F.col(value) + k1 * (1 - b + b * F.col("_len") / F.col("_st.avg")))
@@ -139,8 +143,8 @@ def hybrid_matrix(sales: DataFrame, inter: DataFrame, web_weight: float = 0.2) -
 def basket_statistics(lines: DataFrame) -> dict[str, DataFrame]:
     """Co-occurrence (a < b), popularity and category popularity over distinct order items."""
     items = lines.select("order_id", "produit_key", "categorie").distinct()
-    return {"cooccurrence": J.cooccurrence(items), "popularity": items.groupBy("produit_key").agg(N.alias("pop")),
-            "category": items.groupBy("categorie", "produit_key").agg(N.alias("cpop"))}
+    return {"cooccurrence": J.cooccurrence(items), "popularity": items.groupBy("produit_key").agg(N().alias("pop")),
+            "category": items.groupBy("categorie", "produit_key").agg(N().alias("cpop"))}
 
 
 def complement_scores(context: DataFrame, stats: dict[str, DataFrame], context_categories: DataFrame | None = None) -> DataFrame:
@@ -163,7 +167,7 @@ def complement_scores(context: DataFrame, stats: dict[str, DataFrame], context_c
 def masked_target(lines: DataFrame) -> DataFrame:
     """First item in sorted order of each order with several items; the others are the context."""
     items = lines.select("order_id", "produit_key").distinct()
-    return items.groupBy("order_id").agg(F.min("produit_key").alias("target"), N.alias("n_items")).filter("n_items >= 2")
+    return items.groupBy("order_id").agg(F.min("produit_key").alias("target"), N().alias("n_items")).filter("n_items >= 2")
 
 
 def masked_context(lines: DataFrame, targets: DataFrame) -> DataFrame:
@@ -174,8 +178,8 @@ def masked_context(lines: DataFrame, targets: DataFrame) -> DataFrame:
 def user_cooccurrence(history: DataFrame, candidates: DataFrame) -> DataFrame:
     """Sum of co-purchases between the history and each candidate; popularity for users without any."""
     m = history.select("client_key", "produit_key").distinct()
-    co = both_ways(J.pair_rows(m, "client_key", "produit_key").groupBy("a", "b").agg(N.alias("n")), "n")
-    pop = m.groupBy("produit_key").agg(N.alias("_pop"))
+    co = both_ways(J.pair_rows(m, "client_key", "produit_key").groupBy("a", "b").agg(N().alias("n")), "n")
+    pop = m.groupBy("produit_key").agg(N().alias("_pop"))
     s = candidates.join(m.select("client_key", F.col("produit_key").alias("src")), "client_key").join(co.withColumnRenamed("dst", "produit_key"), ["src", "produit_key"])
     sums = s.groupBy("client_key", "produit_key").agg(F.sum("n").alias("_n"))
     known = m.select("client_key").distinct().withColumn("_k", F.lit(True))
@@ -216,9 +220,9 @@ def choose_on_past(scores: DataFrame, option: str, value: str, default) -> DataF
 
 def client_profiles(lines: DataFrame, min_purchases: int = 3, min_categories: int = 2, share: float = 0.6) -> DataFrame:
     """Dominant categories covering 60 % of a client's lines, and whether the profile is usable."""
-    n = lines.groupBy("client_key", "categorie").agg(N.alias("_n"))
+    n = lines.groupBy("client_key", "categorie").agg(N().alias("_n"))
     w = Window.partitionBy("client_key").orderBy(F.desc("_n"), "categorie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = n.groupBy("client_key").agg(F.sum("_n").alias("n_achats"), N.alias("n_categories"))
+    total = n.groupBy("client_key").agg(F.sum("_n").alias("n_achats"), N().alias("n_categories"))
     d = n.join(total, "client_key").withColumn("_cum", F.sum("_n").over(w) / F.col("n_achats"))
     dominant = F.col("_cum") - F.col("_n") / F.col("n_achats") < share - 1e-12
     p = d.groupBy("client_key", "n_achats", "n_categories").agg(F.count_if(dominant).alias("_nd"), F.array_sort(F.collect_list(F.when(dominant, F.col("categorie")))).alias("_cats"))
@@ -258,8 +262,8 @@ def ranker_features(candidates: DataFrame, sales: DataFrame, products: DataFrame
     """Popularity, category affinity, recency, stock, price and margin of each candidate, before the cutoff."""
     past = sales.filter(F.col("ds") < cutoff)
     info = products.select("produit_key", "categorie", "prix_base", (F.col("prix_base") - F.col("cout")).alias("marge"))
-    affinity = past.join(products.select("produit_key", "categorie"), "produit_key").groupBy("client_key", "categorie").agg(N.alias("_aff"))
-    last = past.groupBy("client_key").agg(F.datediff(cutoff, F.max("ds")).alias("_rec"), N.alias("_freq"))
+    affinity = past.join(products.select("produit_key", "categorie"), "produit_key").groupBy("client_key", "categorie").agg(N().alias("_aff"))
+    last = past.groupBy("client_key").agg(F.datediff(cutoff, F.max("ds")).alias("_rec"), N().alias("_freq"))
     pop = past.groupBy("produit_key").agg(F.sum("quantite").alias("_pop"))
     level = J.stock_available_at(stock, cutoff).select("produit_key", "niveau_stock")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
@@ -302,15 +306,15 @@ def weekly_slates(web: DataFrame, sales: DataFrame, products: DataFrame, group:
     base = pop.join(launched, "produit_key")
     depth = Window.partitionBy("wk").orderBy(F.desc("pop"), "produit_key")
     lead = base.withColumn("_r", F.row_number().over(depth))
-    late = lead.filter(F.col("valid_from") >= F.col("wk")).groupBy("wk").agg(N.alias("_late"))
+    late = lead.filter(F.col("valid_from") >= F.col("wk")).groupBy("wk").agg(N().alias("_late"))
     room = lead.join(late, "wk", "left").filter(F.col("_r") <= k + F.coalesce("_late", F.lit(0)))
     control = meta.filter("groupe = 'controle'").join(room, "wk").filter(F.col("valid_from").cast("timestamp") < F.col("impression_timestamp")).withColumn("score", F.col("pop").cast("double"))
     by_cat = Window.partitionBy("wk", "categorie").orderBy(F.desc("pop"), "produit_key")
     leaders = base.withColumn("_r", F.row_number().over(by_cat))
-    late_c = leaders.filter(F.col("valid_from") >= F.col("wk")).groupBy("wk", "categorie").agg(N.alias("_late"))
+    late_c = leaders.filter(F.col("valid_from") >= F.col("wk")).groupBy("wk", "categorie").agg(N().alias("_late"))
     room_c = leaders.join(late_c, ["wk", "categorie"], "left").filter(F.col("_r") <= k + F.coalesce("_late", F.lit(0)))
     treated = meta.filter("groupe <> 'controle'")
-    bought = sales.join(launched.select("produit_key", "categorie"), "produit_key").groupBy("client_key", "categorie", F.trunc("ds", "week").alias("_w")).agg(N.alias("_n"))
+    bought = sales.join(launched.select("produit_key", "categorie"), "produit_key").groupBy("client_key", "categorie", F.trunc("ds", "week").alias("_w")).agg(N().alias("_n"))
     fed = bought.withColumn("wk", F.explode(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.date_add(F.col("_w"), i * 7))))
     aff = fed.groupBy("client_key", "categorie", "wk").agg(F.sum("_n").alias("_aff"))
     chal = (treated.join(room_c, "wk").join(aff, ["client_key", "categorie", "wk"], "left").filter(F.col("valid_from").cast("timestamp") < F.col("impression_timestamp"))
@@ -331,7 +335,7 @@ def recall_of(candidates: DataFrame, truth: DataFrame, keys: Sequence[str] = ("c
     """Mean share of true items found among the candidates, over keys that have a truth."""
     t = truth.select(*keys, item).distinct()
     hit = t.join(candidates.select(*keys, item).distinct().withColumn("_h", F.lit(1)), [*keys, item], "left")
-    return hit.groupBy(*keys).agg(ratio(F.count("_h"), N).alias("_r")).agg(F.avg("_r").alias("recall"), N.alias("n"))
+    return hit.groupBy(*keys).agg(ratio(F.count("_h"), N()).alias("_r")).agg(F.avg("_r").alias("recall"), N().alias("n"))
 
 
 def session_to_purchase(web: DataFrame, sims: DataFrame, k: int = 10) -> DataFrame:
@@ -339,7 +343,7 @@ def session_to_purchase(web: DataFrame, sims: DataFrame, k: int = 10) -> DataFra
     buys = web.filter("event_type = 'purchase'").groupBy("session_id").agg(F.min(F.struct("event_timestamp", "event_id", "produit_key")).alias("_p"))
     target = buys.select("session_id", F.col("_p.event_timestamp").alias("_t"), F.col("_p.produit_key").alias("target"))
     context = web.join(target, "session_id").filter((F.col("event_timestamp") < F.col("_t")) & (F.col("event_type") != "purchase")).select("session_id", "target", F.col("produit_key").alias("src")).distinct()
-    seen = context.groupBy("session_id", "target").agg(N.alias("n_contexte"), F.bool_or(F.col("src") == F.col("target")).alias("deja_vu"))
+    seen = context.groupBy("session_id", "target").agg(N().alias("n_contexte"), F.bool_or(F.col("src") == F.col("target")).alias("deja_vu"))
     scored = context.join(both_ways(sims), "src").groupBy("session_id", F.col("dst").alias("produit_key")).agg(F.sum("sim").alias("score"))
     w = Window.partitionBy("session_id").orderBy(F.desc(F.round("score", 9)), "produit_key")
     top = scored.withColumn("rang", F.row_number().over(w)).filter(F.col("rang") <= k)
@@ -362,7 +366,7 @@ def target_coverage(targets: DataFrame, policies: dict[str, DataFrame]) -> DataF
     out = None
     for name, c in policies.items():
         on = [x for x in ("client_key", "produit_key") if x in c.columns]
-        hit = t.join(c.select(*on).distinct().withColumn("_h", F.lit(1)), on, "left").agg(ratio(F.count("_h"), N).alias("couverture"), N.alias("n_cibles")).withColumn("politique", F.lit(name))
+        hit = t.join(c.select(*on).distinct().withColumn("_h", F.lit(1)), on, "left").agg(ratio(F.count("_h"), N()).alias("couverture"), N().alias("n_cibles")).withColumn("politique", F.lit(name))
         out = hit if out is None else out.unionByName(hit)
     return out
 
@@ -379,7 +383,7 @@ def leave_one_out(lines: DataFrame, k: int = 50) -> DataFrame:
     """
     items = lines.select("order_id", "produit_key").distinct()
     pairs = both_ways(J.cooccurrence(items), "n_commandes")
-    multi = items.join(items.groupBy("order_id").agg(N.alias("_n")).filter("_n >= 2"), "order_id").select("order_id", "produit_key")
+    multi = items.join(items.groupBy("order_id").agg(N().alias("_n")).filter("_n >= 2"), "order_id").select("order_id", "produit_key")
     ctx = multi.select("order_id", F.col("produit_key").alias("src"))
     inside = multi.select("order_id", F.col("produit_key").alias("dst"), F.lit(1).alias("_in"))
     cand = (ctx.join(pairs, "src").join(inside, ["order_id", "dst"], "left").withColumn("_w", F.col("n_commandes") - F.coalesce("_in", F.lit(0))).filter("_w > 0"))
