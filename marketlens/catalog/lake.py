@@ -110,7 +110,7 @@ select 'PRD' || lpad((row_number() over (order by product_id) - 1)::varchar, 6,
   canon as categorie, marque, prix_base as prix_base_xof, cout as cout_xof, valid_from, valid_to, is_current
 from s join b on lower(raw_cat) = low""")
 def _(t):
-    return lake.gold(source_tables(t))["dim_produit"]
+    return lake.dim_product(source_tables(t)["dim_products"])
 
 
 @query("src5_gold_dim_date", """
@@ -119,7 +119,8 @@ select strftime(d, '%Y%m%d') as date_key, d::date as date_complete, year(d)::int
 from (select unnest(generate_series(least((select min(ds) from sales), (select min(event_timestamp)::date from web)),
   greatest((select max(ds) from sales), (select max(event_timestamp)::date from web)), interval 1 day)) d)""")
 def _(t):
-    return lake.gold(source_tables(t))["dim_date"]
+    src = source_tables(t)
+    return lake.dim_calendar(src["fact_transactions"], src["web_events"])
 
 
 @query("src6_cached_parquet")

@@ -169,5 +169,20 @@ with a as (select client_key, list(distinct produit_key) l from confirmed where
 select client_key, len(list_intersect(a.l, b.l))::int as hits from a join b using (client_key)""")
 def _(t):
     cut = F.lit("2001-01-01").cast("date")
-    item_set = lambda c, n: t.confirmed.filter(c).groupBy("client_key").agg(F.collect_set("produit_key").alias(n))
-    return item_set(F.col("ds") < cut, "a").join(item_set(F.col("ds") >= cut, "b"), "client_key").select("client_key", R.list_hits(F.col("a"), F.col("b")).alias("hits"))
+    pairs = t.confirmed.select("client_key", "produit_key", (F.col("ds") < cut).alias("before"))
+    sides = pairs.groupBy("client_key", "produit_key").agg(F.bool_or("before").alias("a"), F.bool_or(~F.col("before")).alias("b"))
+    per = sides.groupBy("client_key").agg(F.count_if("a").alias("na"), F.count_if("b").alias("nb"), F.count_if(F.col("a") & F.col("b")).cast("int").alias("hits"))
+    return per.filter("na > 0 and nb > 0").select("client_key", "hits")
+
+
+@query("set5_recommended_list_hits", """
+with a as (select client_key, produit_key, row_number() over (partition by client_key order by sum(quantite)::double desc, produit_key) r from confirmed where ds < date '2001-01-01' group by 1, 2), l as (select client_key, list(produit_key) l from a where r <= 10 group by 1),
+b as (select client_key, produit_key, row_number() over (partition by client_key order by sum(quantite)::double desc, produit_key) r from confirmed where ds >= date '2000-01-01' group by 1, 2), m as (select client_key, list(produit_key) m from b where r <= 10 group by 1)
+select client_key, len(list_intersect(l, m))::int as hits from l join m using (client_key)""")
+def _(t):
+    def top(lines, name):
+        best = R.top_k(lines.groupBy("client_key", "produit_key").agg(F.sum("quantite").cast("double").alias("score")), 10)
+        return best.groupBy("client_key").agg(F.collect_list("produit_key").alias(name))  # ten items per list
+    before = top(t.confirmed.filter("ds < date '2001-01-01'"), "a")
+    after = top(t.confirmed.filter("ds >= date '2000-01-01'"), "b")
+    return before.join(after, "client_key").select("client_key", R.list_hits(F.col("a"), F.col("b")).alias("hits"))

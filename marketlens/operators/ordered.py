@@ -7,12 +7,15 @@ forward. The second step sees chunks, not rows, so its size is the number of sli
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
+from marketlens.session import checkpoint_dir
+
 CHUNK = "_chunk"
 
 
@@ -21,6 +24,17 @@ def time_chunk(ts: str, seconds: int) -> Column:
     return F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / seconds)
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """Writes an intermediate result once to the shared checkpoint folder and reads it back.
+
+    Used where a result is needed several times (sampling, chunks, carried rows): the work before it is done once,
+    its lineage ends there, and the loss of an executor does not bring it back.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def carry_over(df: DataFrame, keys: Sequence[str], summary: dict[str, Column],
                combine: Callable[[str], Column] = F.sum) -> DataFrame:
     """One row per (keys, chunk) holding the summary of all strictly earlier chunks of the same key."""
@@ -33,9 +47,10 @@ def carry_over(df: DataFrame, keys: Sequence[str], summary: dict[str, Column],
 def range_chunks(df: DataFrame, order: Sequence[Column], chunks: int = 64, sample: int = 1024) -> DataFrame:
     """Adds a chunk number that grows with the sort key (ascending, all parts of the key together).
 
-    Cut points come from a hash sample of at most `sample` keys. They only balance the chunks; results
+    The input is written once, then cut points come from a hash sample of at most `sample` keys. They only balance the chunks; results
     never depend on them. Including the tie-break column in `order` also splits long runs of equal values.
     """
+    df = materialise(df)
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
     slot = F.pmod(F.xxhash64("k"), F.lit(sample))
     rows = (df.select(key.alias("k")).groupBy(slot.alias("slot"))
@@ -78,7 +93,7 @@ def prefix_at(facts: DataFrame, instants: DataFrame, keys: Sequence[str], ts: st
     grains = facts.groupBy(*keys, ts).agg(*[F.sum(c).alias(n) for n, c in measures.items()])
     probes = (instants.select(*keys, ts).distinct()
               .select(*keys, ts, *[F.lit(None).alias(n) for n in measures], F.lit(0).alias("_side")))
-    both = grains.withColumn("_side", F.lit(1)).unionByName(probes)
+    both = materialise(grains.withColumn("_side", F.lit(1)).unionByName(probes))
     summed = running_totals(both, keys, [F.col(ts), F.col("_side")],
                             {n: F.col(n) for n in measures}, seconds=seconds, ts=ts)
     return summed.filter("_side = 0").select(*keys, ts, *measures)
@@ -102,7 +117,7 @@ def asof_before(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str,
     probes = (left.filter(usable).filter(F.col(ts).isNotNull()).select(*keys, F.col(ts).alias("_t")).distinct()
               .withColumn("_hit", F.lit(None).cast(facts.schema["_hit"].dataType))
               .withColumn("_side", F.lit(1 if inclusive else 0)))
-    both = facts.unionByName(probes).withColumn(CHUNK, time_chunk("_t", seconds))
+    both = materialise(facts.unionByName(probes)).withColumn(CHUNK, time_chunk("_t", seconds))
     within = (Window.partitionBy(*keys, CHUNK).orderBy("_t", "_side")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = both.withColumn("_near", F.last("_hit", ignorenulls=True).over(within))
@@ -115,6 +130,12 @@ def asof_before(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str,
                          *[F.col(f"_hit.{c}").alias(c) for c in payload])
 
 
+def with_total(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds the group size: the largest running count of the key."""
+    totals = ranked.groupBy(*keys).agg(F.max("_cum").alias("_total"))
+    return ranked.join(totals, list(keys)) if keys else ranked.withColumn("_total", totals.scalar())
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
                     higher: bool = False) -> DataFrame:
     """Exact quantiles per key (linear interpolation, or the next higher value), without gathering a group.
@@ -125,8 +146,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     counts = (df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v"))
               .agg(F.count(F.lit(1)).alias("_n")))
     ranked = running_totals(counts, keys, [F.col("_v")], {"_cum": F.col("_n")})
-    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    joined = ranked.join(totals, list(keys)) if keys else ranked.withColumn("_total", totals.scalar())
+    joined = with_total(ranked, keys)
     aggs = []
     for name, p in probs.items():
         pos = (F.col("_total") - 1) * F.lit(float(p))
@@ -145,8 +165,7 @@ def pick_rank(df: DataFrame, keys: Sequence[str], value: str, rank: Column, out:
     counts = (df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v"))
               .agg(F.count(F.lit(1)).alias("_n")))
     ranked = running_totals(counts, keys, [F.col("_v")], {"_cum": F.col("_n")})
-    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    joined = ranked.join(totals, list(keys)) if keys else ranked.withColumn("_total", totals.scalar())
+    joined = with_total(ranked, keys)
     hit = (rank <= F.col("_cum")) & (rank > F.col("_cum") - F.col("_n"))
     return (joined.filter(hit).groupBy(*keys)
             .agg(F.max("_v").alias(out), F.max("_total").alias("n")))

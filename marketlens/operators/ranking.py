@@ -49,7 +49,8 @@ def rank_with_fallback(scores: DataFrame, contexts: DataFrame, popularity: DataF
     places = need.withColumn("_p", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_len").cast("long")))).select(ctx, "_p")
     from marketlens.operators.ordered import running_totals
     order = running_totals(pop.withColumn("_tie", tie), [], [-F.col("_pop"), F.col("_tie")], {"_p": F.lit(1)}).select(item, F.col("_p").cast("long").alias("_p"))
-    fill = places.join(order, "_p").select(ctx, item, F.lit(0.0).alias("score"), F.lit(1).alias("_tier"), "_p")
+    deepest = need.agg(F.max("_len")).scalar()
+    fill = places.join(order.filter(F.col("_p") <= deepest), "_p").select(ctx, item, F.lit(0.0).alias("score"), F.lit(1).alias("_tier"), "_p")
     if context_items is not None:
         fill = fill.join(context_items.select(ctx, item), [ctx, item], "left_anti")
     fill = fill.join(ranked.select(ctx, item), [ctx, item], "left_anti")

@@ -124,29 +124,43 @@ def canonical_category(df: DataFrame, column: str) -> DataFrame:
             .withColumn(column, F.col("_canon")).drop("_low", "_canon"))
 
 
-def star_schema(products: DataFrame, customers: DataFrame, promotions: DataFrame, transactions: DataFrame,
-                stock: DataFrame, web: DataFrame) -> dict[str, DataFrame]:
-    """Four dimensions and three facts; NULL promotion and NULL client are legal."""
-    no_date = F.lit(None).cast("date")
-    dim_produit = surrogate_keys(canonical_category(products, "category"), "product_id", "produit_key", "PRD").select(
-        "produit_key", "product_id", "product_name", F.col("category").alias("categorie"), F.col("brand").alias("marque"),
-        F.col("base_price_xof").alias("prix_base_xof"), "cost_xof", F.col("launch_date").alias("valid_from"),
-        no_date.alias("valid_to"), F.lit(True).alias("is_current")).withColumnRenamed("cost_xof", "cout_xof")
-    dim_client = surrogate_keys(customers, "customer_id", "client_key", "CLI").select(
+def dim_product(products: DataFrame) -> DataFrame:
+    keyed = surrogate_keys(canonical_category(products, "category"), "product_id", "produit_key", "PRD")
+    return keyed.select("produit_key", "product_id", "product_name", F.col("category").alias("categorie"), F.col("brand").alias("marque"),
+                        F.col("base_price_xof").alias("prix_base_xof"), F.col("cost_xof").alias("cout_xof"), F.col("launch_date").alias("valid_from"),
+                        F.lit(None).cast("date").alias("valid_to"), F.lit(True).alias("is_current"))
+
+
+def dim_customer(customers: DataFrame) -> DataFrame:
+    return surrogate_keys(customers, "customer_id", "client_key", "CLI").select(
         "client_key", "customer_id", F.coalesce("region", F.lit(UNKNOWN_LABEL)).alias("region"),
         F.coalesce("age_bracket", F.lit(UNKNOWN_LABEL)).alias("age_bracket"),
         F.col("loyalty_segment").alias("segment_fidelite"), F.col("signup_date").alias("valid_from"),
-        no_date.alias("valid_to"), F.lit(True).alias("is_current"))
-    dim_promotion = surrogate_keys(promotions, "promotion_id", "promo_key", "PRM", 4).select(
+        F.lit(None).cast("date").alias("valid_to"), F.lit(True).alias("is_current"))
+
+
+def dim_promotions(promotions: DataFrame) -> DataFrame:
+    return surrogate_keys(promotions, "promotion_id", "promo_key", "PRM", 4).select(
         "promo_key", "promotion_id", F.col("scope").alias("portee"), F.col("target").alias("cible"),
         F.col("discount_pct").alias("remise_pct"), F.col("start_date").alias("date_debut"), F.col("end_date").alias("date_fin"))
+
+
+def dim_calendar(transactions: DataFrame, web: DataFrame) -> DataFrame:
+    """Every day from the first to the last date of both facts."""
     span = (transactions.select(F.to_date("order_date").alias("d"))
             .union(web.select(F.to_date("event_timestamp"))).agg(F.min("d").alias("lo"), F.max("d").alias("hi")))
-    dim_date = explode_days(span, F.col("lo"), F.col("hi"), "date_complete").select(
+    return explode_days(span, F.col("lo"), F.col("hi"), "date_complete").select(
         F.date_format("date_complete", "yyyyMMdd").alias("date_key"), "date_complete",
         F.year("date_complete").alias("annee"), F.month("date_complete").alias("mois"),
         F.dayofmonth("date_complete").alias("jour"), F.date_format("date_complete", "EEEE").alias("jour_semaine"),
         (F.weekday("date_complete") >= 5).alias("est_weekend"))
+
+
+def star_schema(products: DataFrame, customers: DataFrame, promotions: DataFrame, transactions: DataFrame,
+                stock: DataFrame, web: DataFrame) -> dict[str, DataFrame]:
+    """Four dimensions and three facts; NULL promotion and NULL client are legal."""
+    dim_produit, dim_client, dim_promotion = dim_product(products), dim_customer(customers), dim_promotions(promotions)
+    dim_date = dim_calendar(transactions, web)
     p = dim_produit.select("product_id", "produit_key")
     c = dim_client.select("customer_id", "client_key")
     m = dim_promotion.select("promotion_id", "promo_key")
