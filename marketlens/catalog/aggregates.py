@@ -1,7 +1,7 @@
 """Aggregations over sales, web events and product-day panels."""
 from pyspark.sql import functions as F
 
-from marketlens.catalog.base import query
+from marketlens.catalog.base import digest, digest_sql, query
 from marketlens.functions.scalar import r
 from marketlens.operators import aggregates as A
 from marketlens.operators import grids
@@ -42,13 +42,15 @@ def _(t):
     return A.web_daily(t.web, TYPES)
 
 
+FILLED = ["niveau_stock", "web_view", "web_total", "web_data_observed"]
+
+
 @query("agg5_web_observed_fill", f"""
-with {WEBD} select produit_key, ds, niveau_stock, case when ds between web_debut and web_fin then coalesce(web_view, 0) end as web_view,
+with {WEBD}, x as (select produit_key, niveau_stock, case when ds between web_debut and web_fin then coalesce(web_view, 0) end as web_view,
   case when ds between web_debut and web_fin then coalesce(web_total, 0) end as web_total, coalesce(ds between web_debut and web_fin, false)::int as web_data_observed
-from stock left join wd using (produit_key, ds) left join ws using (produit_key) where month(ds) <= 2""")
+from stock left join wd using (produit_key, ds) left join ws using (produit_key)) """ + digest_sql("x", ["produit_key"], FILLED))
 def _(t):
-    grid = t.stock.filter(F.month("ds") <= 2).select("produit_key", "ds", "niveau_stock")
-    return A.web_observed_fill(grid, t.web, TYPES).select("produit_key", "ds", "niveau_stock", "web_view", "web_total", "web_data_observed")
+    return digest(A.web_observed_fill(t.stock.select("produit_key", "ds", "niveau_stock"), t.web, TYPES), ["produit_key"], FILLED)
 
 
 @query("agg6_product_day_pricing", """

@@ -297,13 +297,14 @@ def _(t):
 
 
 @query("win24_weekly_rolling_popularity", """
-with s as (select produit_key, date_trunc('week', ds)::date as wk, sum(quantite) u from confirmed where ds >= date '2000-07-03' group by 1, 2),
-g as (select produit_key, w::date as wk, coalesce(u, 0) u from products, (select unnest(generate_series(timestamp '2000-07-03', (select date_trunc('week', max(ds)) from confirmed)::timestamp, interval 7 day)) w) left join s using (produit_key, wk))
-select produit_key, wk, coalesce(sum(u) over (partition by produit_key order by wk rows between 4 preceding and 1 preceding), 0)::double as popularite from g""".replace("left join s using (produit_key, wk)", "left join s on s.produit_key = products.produit_key and s.wk = w::date").replace("select produit_key, w::date", "select products.produit_key, w::date"))
+with s as (select produit_key, date_trunc('week', ds)::date as wk, sum(quantite) u from confirmed group by 1, 2), wks as (select unnest(generate_series((select date_trunc('week', min(ds)) from confirmed)::timestamp, (select date_trunc('week', max(ds)) from confirmed)::timestamp, interval 7 day))::date as wk),
+g as (select p.produit_key, wks.wk, coalesce(u, 0) u from products p, wks left join s on s.produit_key = p.produit_key and s.wk = wks.wk),
+x as (select produit_key, wk, coalesce(sum(u) over (partition by produit_key order by wk rows between 4 preceding and 1 preceding), 0)::double as popularite from g)
+select produit_key, count(*) as n, sum(popularite) as total, max(popularite) as plus_haut, count(case when popularite = 0 then 1 end) as n_zero from x group by 1""")
 def _(t):
-    recent = t.confirmed.filter("ds >= date '2000-07-03'")
-    span = recent.agg(F.lit("2000-07-03").cast("date").alias("lo"), F.trunc(F.max("ds"), "week").alias("hi"))
-    return W.weekly_rolling_popularity(recent, t.products, span)
+    span = t.confirmed.agg(F.trunc(F.min("ds"), "week").alias("lo"), F.trunc(F.max("ds"), "week").alias("hi"))
+    d = W.weekly_rolling_popularity(t.confirmed, t.products, span)
+    return d.groupBy("produit_key").agg(F.count(F.lit(1)).alias("n"), F.sum("popularite").alias("total"), F.max("popularite").alias("plus_haut"), F.count_if(F.col("popularite") == 0).alias("n_zero"))
 
 
 @query("win25_week_index", """
@@ -358,15 +359,14 @@ ANA = ["y", "ca", "n_transactions", "age_produit_jours", "prix_catalogue", "en_p
 @query("win28_analytical_table", f"""
 with {PROMO_PAIRS}, best as (select produit_key, ds, max(remise_pct) as remise, count(*) as np from pd group by 1, 2),
 g as (select produit_key, unnest(generate_series(debut, fin, interval 1 day))::date as ds from (select produit_key, least(p, coalesce(greatest(valid_from, lo), p)) as debut, hi as fin
-  from (select produit_key, min(ds) as p from pday where ds >= date '2000-09-01' group by 1) left join products using (produit_key), (select min(ds) lo, max(ds) hi from pday where ds >= date '2000-09-01'))),
+  from (select produit_key, min(ds) as p from pday group by 1) left join products using (produit_key), (select min(ds) lo, max(ds) hi from pday))),
 wd as (select produit_key, cast(event_timestamp as date) as ds, count(case when event_type = 'view' then 1 end) as v, count(*) as tot from web group by 1, 2), ws as (select produit_key, min(ds) a, max(ds) b from wd group by 1),
 x as (select produit_key, ds, coalesce(y, 0) as y, coalesce(ca, 0.0) as ca, coalesce(n_transactions, 0) as n_transactions, greatest(ds - valid_from, 0) as age_produit_jours, prix_base as prix_catalogue, case when y > 0 then ca / y end as prix_realise,
   (remise is not null)::int as en_promotion, coalesce(remise, 0) as remise_pct, coalesce(np, 0) as n_promotions, prix_base * (1 - coalesce(remise, 0) / 100) as prix_attendu,
   case when ds between a and b then coalesce(v, 0) end as web_view, case when ds between a and b then coalesce(tot, 0) end as web_total, coalesce(ds between a and b, false)::int as web_data_observed
   from g left join (select produit_key, ds, y, ca, n_transactions from pday) using (produit_key, ds) join products using (produit_key) left join best using (produit_key, ds) left join wd using (produit_key, ds) left join ws using (produit_key)) """ + digest_sql("x", ["produit_key"], ANA))
 def _(t):
-    recent = t.confirmed.filter("ds >= date '2000-09-01'")
-    return digest(datasets.analytical_table(recent, t.products, t.promotions, t.web, ("view", "click", "add_to_cart", "purchase", "error")), ["produit_key"], ANA)
+    return digest(datasets.analytical_table(t.confirmed, t.products, t.promotions, t.web, ("view", "click", "add_to_cart", "purchase", "error")), ["produit_key"], ANA)
 
 
 @query("win29_best_promo_per_day", f"""
@@ -378,13 +378,13 @@ def _(t):
 
 
 @query("win30_weekly_panel", f"""
-with {PROMO_PAIRS}, rc as (select * from confirmed where ds >= date '2000-07-03'), pw as (select produit_key, unnest(generate_series(date_trunc('week', date_debut)::date, date_trunc('week', date_fin)::date, interval 7 day))::date as wk, remise_pct from pp),
+with {PROMO_PAIRS}, rc as (select * from confirmed), pw as (select produit_key, unnest(generate_series(date_trunc('week', date_debut)::date, date_trunc('week', date_fin)::date, interval 7 day))::date as wk, remise_pct from pp),
 pa as (select produit_key, wk, avg(remise_pct) as m from pw group by 1, 2), s as (select produit_key, date_trunc('week', ds)::date as wk, sum(quantite) q, round(sum(montant_net), 4) ca from rc group by 1, 2),
 wks as (select unnest(generate_series(date_trunc('week', lo)::timestamp, hi::timestamp, interval 7 day))::date as wk from (select min(ds) lo, max(ds) hi from rc)), g as (select produit_key, wk from products, wks),
 x as (select produit_key, wk, coalesce(q, 0) as qty, coalesce(ca, 0.0) as ca, coalesce(m, 0.0) as remise_ponderee from g left join s using (produit_key, wk) left join pa using (produit_key, wk)),
 y as (select *, coalesce(avg(qty) over (partition by produit_key order by wk rows between 4 preceding and 1 preceding), 0.0) as pred_ma4 from x) """ + digest_sql("y", ["produit_key"], ["qty", "ca", "remise_ponderee", "pred_ma4"]))
 def _(t):
-    d = W.weekly_panel(t.confirmed.filter("ds >= date '2000-07-03'"), t.products, J.promotion_products(t.promotions, t.products))
+    d = W.weekly_panel(t.confirmed, t.products, J.promotion_products(t.promotions, t.products))
     return digest(d, ["produit_key"], ["qty", "ca", "remise_ponderee", "pred_ma4"])
 
 
