@@ -6,8 +6,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import packing, quality
-from marketlens.llm.common import documents
+from marketlens.llm import langid, packing, quality
+from marketlens.llm.common import documents, held_out
 from marketlens.llm.packing import byte_bpe_encoder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,10 @@ def gpt_encoder():
 @query("op4_quality_rules")
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir))
+
+
+@query("op6_language_id")
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    made = langid.language_id(docs, docs.filter(~held_out()))
+    return made.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
