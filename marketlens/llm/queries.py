@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import langid, packing, quality, toxicity
+from marketlens.llm import langid, neardup, packing, quality, toxicity
 from marketlens.llm.common import documents, held_out
 from marketlens.llm.packing import byte_bpe_encoder
 
@@ -47,3 +47,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out()))
     return toxicity.toxicity(docs, model, keep=["doc_id"]).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+@query("op2_minhash_neardup")
+def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir))
