@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import langid, neardup, packing, quality, suffixdup, toxicity
+from marketlens.llm import fingerprints, langid, neardup, packing, quality, suffixdup, toxicity
 from marketlens.llm.common import documents, held_out
 from marketlens.llm.packing import byte_bpe_encoder
 
@@ -60,3 +60,8 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = suffixdup.remove_repeats(documents(spark, sf_dir), keep=["doc_id"])
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"])
     return made.select("doc_id", (F.octet_length("kept_bytes") + removed).alias("n_bytes"), removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
+@query("op10_fingerprints")
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(documents(spark, sf_dir))
