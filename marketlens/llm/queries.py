@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import fingerprints, langid, neardup, packing, quality, suffixdup, toxicity
+from marketlens.llm import fingerprints, langid, neardup, packing, pii, quality, suffixdup, toxicity
 from marketlens.llm.common import documents, held_out
 from marketlens.llm.packing import byte_bpe_encoder
 
@@ -65,3 +65,11 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_fingerprints")
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(documents(spark, sf_dir))
+
+
+@query("op8_pii")
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pii.find_private(documents(spark, sf_dir))
+    counts = [F.size(pii.of_kind(F.col("found"), i)).cast("long").alias(f"n_{k.name}") for i, k in enumerate(pii.KINDS)]
+    base = pii.span_list(F.col("found"))
+    return made.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), pii.span_list(F.col("found"), F.col("terms")).alias("spans"))
