@@ -7,7 +7,6 @@ best-fit into each other, whole, until one group is left.
 """
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Callable
 
@@ -17,24 +16,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import Scratch, text_blocks
+from marketlens.llm.common import Scratch, by_spaced_words, text_blocks
 
 LENGTH = 1024
 OPEN_WINDOWS = 16
 FAN = 64
 END_ID = 0
-#: A task keeps the ids of at most so many distinct words.
-CACHE_WORDS = 200_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task long, window long, offset long, open boolean"
-#: A space that white space precedes and no other character follows: here words can't be cut apart at spaces.
-UNEVEN_SPACE = re.compile(r"\s (?!\S)")
 
 
 def byte_bpe_encoder(json_path: str, rank_path: str, special: str = "<|endoftext|>") -> Callable[[str], bytes]:
     """Text to ids as little-endian unsigned 32-bit integers.
 
-    A text is cut before the spaces between words, where no match of the vocabulary's split pattern runs on, and the ids of a word are kept for
-    its next occurrence. Texts with uneven white space are encoded whole, those that hold the special token's string by `tokenizers`.
+    Texts that hold the special token's string are encoded by `tokenizers`, which gives it its own id.
     """
     import base64
 
@@ -46,28 +40,12 @@ def byte_bpe_encoder(json_path: str, rank_path: str, special: str = "<|endoftext
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
     plain = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     whole = Tokenizer.from_file(json_path)
-    known: dict[str, bytes] = {}
-
-    def ids(text: str) -> bytes:
-        return np.asarray(plain.encode_ordinary(text), dtype="<u4").tobytes()
+    words = by_spaced_words(lambda text: np.asarray(plain.encode_ordinary(text), dtype="<u4").tobytes())
 
     def encode(text: str) -> bytes:
         if special in text:
             return np.asarray(whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if UNEVEN_SPACE.search(text):
-            return ids(text)
-        first, *words = text.split(" ")
-        out = [ids(first)]
-        for word in words:
-            got = known.get(word)
-            if got is None:
-                if len(known) >= CACHE_WORDS:
-                    known.clear()
-                got = ids(f" {word}")
-                if len(word) < 64:
-                    known[word] = got
-            out.append(got)
-        return b"".join(out)
+        return words(text)
 
     return encode
 

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import fingerprints, langid, neardup, packing, pii, quality, suffixdup, toxicity
+from marketlens.llm import bpe, fingerprints, langid, neardup, packing, pii, quality, suffixdup, toxicity
 from marketlens.llm.common import documents, held_out
 from marketlens.llm.packing import byte_bpe_encoder
 
@@ -73,3 +73,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.size(pii.of_kind(F.col("found"), i)).cast("long").alias(f"n_{k.name}") for i, k in enumerate(pii.KINDS)]
     base = pii.span_list(F.col("found"))
     return made.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), pii.span_list(F.col("found"), F.col("terms")).alias("spans"))
+
+
+@query("op9_byte_bpe")
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    made = bpe.round_trip(documents(spark, sf_dir), "text", public_tokenizers.PATTERN, path, keep=["doc_id"])
+    return made.select("doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
