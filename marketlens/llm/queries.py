@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import bpe, fingerprints, langid, neardup, packing, pii, quality, suffixdup, toxicity
+from marketlens.llm import bpe, fingerprints, langid, licenses, neardup, packing, pii, quality, suffixdup, toxicity
 from marketlens.llm.common import documents, held_out
 from marketlens.llm.packing import byte_bpe_encoder
 
@@ -80,3 +80,11 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     made = bpe.round_trip(documents(spark, sf_dir), "text", public_tokenizers.PATTERN, path, keep=["doc_id"])
     return made.select("doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op7_license_scan")
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = licenses.license_scan(documents(spark, sf_dir), keep=["doc_id"])
+    best = F.array_max(F.transform("notices", lambda n: F.struct(n["coverage"].alias("coverage"), n["name"].alias("name"))))
+    spans = F.array_join(F.transform("notices", lambda n: F.concat_ws(":", n["name"], n["start"], n["end"])), ",")
+    return made.select("doc_id", F.size("notices").cast("long").alias("n_notices"), F.coalesce(best["name"], F.lit("")).alias("license"), F.coalesce(best["coverage"], F.lit(0.0)).alias("coverage"), spans.alias("spans"))
