@@ -306,12 +306,14 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def shortened(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The documents with the repeats taken out of their texts; a character that a span cuts apart goes as a whole. Null texts stay null."""
-    others = [c for c in docs.columns if c != text]
-    made = remove_repeats(docs.withColumn("was_null", docs[text].isNull()), text, doc_id, keep=[*others, "was_null"])
+    """The documents with the repeats taken out of their texts; a character that a span cuts apart goes as a whole. Null texts stay null.
 
-    def decode(texts):
-        return [[t.decode("utf-8", "ignore") for t in texts]]
-
-    done = map_texts(made.drop("removed"), "kept_bytes", "made string", decode, [*others, "was_null"])
-    return done.select(*[F.when(~F.col("was_null"), F.col("made")).alias(c) if c == text else F.col(c) for c in docs.columns])
+    Columns keep their names and order, whatever these are.
+    """
+    names = {c: f"own_{i}" for i, c in enumerate(docs.columns)}
+    inner = docs.toDF(*names.values())
+    inner = inner.withColumn("was_null", inner[names[text]].isNull())
+    kept = ["was_null", *[n for c, n in names.items() if c != text]]
+    made = remove_repeats(inner, names[text], names[doc_id], keep=kept)
+    done = map_texts(made, "kept_bytes", "made string", lambda texts: [[t.decode("utf-8", "ignore") for t in texts]], kept)
+    return done.select(*[F.when(~F.col("was_null"), F.col("made")).alias(c) if c == text else F.col(n).alias(c) for c, n in names.items()])
