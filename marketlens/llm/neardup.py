@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import Scratch, map_texts
+from marketlens.llm.common import Scratch, free_name, map_texts
 
 WORDS = 5
 K = 64
@@ -143,8 +143,12 @@ def listed(classes: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def star_pairs(lists: DataFrame) -> DataFrame:
-    """Pairs of each member of a long list with one hub, and of neighbours by set size in chunks of about CHUNK members."""
-    hub = lists.groupBy("v").agg(F.min(F.struct(F.xxhash64("cid").alias("h"), "cid")).alias("hub")).select("v", F.col("hub.cid").alias("hub"))
+    """Pairs of each member of a long list with one hub, and of neighbours by set size in chunks of about CHUNK members.
+
+    The hub is the member that most long lists hold: where texts are edited copies of one, each edit drops out of lists, so the least edited one is taken.
+    """
+    often = lists.groupBy("cid").agg(F.count("*").alias("lists"))
+    hub = lists.join(often, "cid").groupBy("v").agg(F.max(F.struct("lists", (-F.col("cid")).alias("c"))).alias("hub")).select("v", (-F.col("hub.c")).alias("hub"))
     stars = lists.join(hub, "v").filter("cid <> hub").select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b"))
     chunk = F.pmod(F.xxhash64("cid"), F.ceil(F.col("held") / CHUNK))
     chain = lists.withColumn("c", chunk).withColumn("next", F.lead("cid").over(Window.partitionBy("v", "c").orderBy("n", "cid")))
@@ -208,9 +212,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, with all its columns; of rows with the same id the one with the smallest text."""
-    kept = near_duplicates(docs, doc_id, text).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    own = [docs[c] for c in docs.columns]
-    id_ = docs[doc_id]
-    single = docs.join(kept, id_.cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
-    return single.withColumn("_r", F.row_number().over(Window.partitionBy(id_).orderBy(docs[text]))).filter((F.col("_r") == 1) | id_.isNull()).select(*own)
+    """One document of each component, with all its columns; of rows with the same id the one with the smallest text. Rows without an id stay."""
+    found = near_duplicates(docs, doc_id, text).filter("doc_id is not null")
+    gone = found.filter("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    left = docs.join(gone, docs[doc_id].cast("long") == F.col("gone"), "left_anti")
+    if found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        return left
+    rank = free_name("rank", docs.columns)
+    first = F.row_number().over(Window.partitionBy(docs[doc_id]).orderBy(docs[text]))
+    return left.withColumn(rank, first).filter((F.col(rank) == 1) | docs[doc_id].isNull()).drop(rank)
