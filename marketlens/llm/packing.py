@@ -2,8 +2,8 @@
 
 Each partition keeps a fixed number of open windows. A document's ids fill whole windows first; the rest goes to the open window that it
 fills best. When none has room, the fullest window is filled to its end with the first part of the piece and emitted, so emitted
-windows carry no padding. What is left open at the end of the partitions is merged in a tree: windows of some partitions are placed
-best-fit into each other, whole, until one group is left.
+windows carry no padding. What is left open at the end of the partitions is merged in a tree: the open windows of some partitions are packed
+the same way, until one group is left.
 """
 from __future__ import annotations
 
@@ -11,7 +11,6 @@ import zlib
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +21,9 @@ LENGTH = 1024
 OPEN_WINDOWS = 16
 FAN = 64
 END_ID = 0
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task long, window long, offset long, open boolean"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task long, window long, offset long, ids binary, open boolean"
+PIECE_NAMES = [x.split()[0] for x in PIECES.split(", ")]
+PIECE_TYPES = [*[pa.int64()] * 8, pa.binary(), pa.bool_()]
 
 
 def byte_bpe_encoder(json_path: str, rank_path: str, special: str = "<|endoftext|>") -> Callable[[str], bytes]:
@@ -63,6 +64,13 @@ class Packer:
         self.emit(self.count, pieces)
         self.count += 1
 
+    def finish(self, is_open: bool) -> None:
+        """Hands out the windows that are still open."""
+        for _, pieces in self.open:
+            self.emit(self.count, pieces, is_open)
+            self.count += 1
+        self.open = []
+
     def add(self, doc, size: int) -> None:
         """Places the ids 0 to size - 1 of a document; a piece is (document, start, length, offset)."""
         at = 0
@@ -89,6 +97,20 @@ class Packer:
                 self.close(i)
 
 
+def pieces_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [[]] * len(PIECE_TYPES)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, PIECE_TYPES, strict=True)], names=PIECE_NAMES)
+
+
+def piece_rows(task: int, window: int, pieces: list, is_open: bool) -> list[tuple]:
+    """Rows of one window; only open windows, a fixed number per task, carry their ids on."""
+    out = []
+    for (doc, first, ids, total), at, n, offset in pieces:
+        own = ids[4 * at:4 * (at + n)]
+        out.append((doc, first + at, n, zlib.crc32(own), total, task, window, offset, own if is_open else None, is_open))
+    return out
+
+
 def pack_partitions(docs: DataFrame, doc_id: str, text: str, encoder: Callable[[], Callable[[str], bytes]], length: int, windows: int) -> DataFrame:
     """Pieces by task and window; `open` marks those of windows that were open at the end of the task."""
     from pyspark import TaskContext
@@ -98,50 +120,32 @@ def pack_partitions(docs: DataFrame, doc_id: str, text: str, encoder: Callable[[
     def run(batches):
         encode, task = encoder(), TaskContext.get().partitionId()
         rows: list[tuple] = []
-
-        def emit(window, pieces, is_open=False):
-            rows.extend((d[0], at, n, zlib.crc32(memoryview(d[1])[4 * at:4 * (at + n)]), len(d[1]) // 4, task, window, offset, is_open) for d, at, n, offset in pieces)
-
-        def taken():
-            columns = list(zip(*rows)) or [[]] * len(types)
-            rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
-
-        packer = Packer(emit, length, windows)
+        packer = Packer(lambda window, pieces, is_open=False: rows.extend(piece_rows(task, window, pieces, is_open)), length, windows)
         for part, texts in text_blocks(batches, "text", 1 << 20):
             for key, raw in zip(part.column(0).to_pylist(), texts):
                 ids = encode(raw.decode("utf-8", "replace")) + END_ID.to_bytes(4, "little")
-                packer.add((key, ids), len(ids) // 4)
-            if rows:
-                yield taken()
-        for held, pieces in packer.open:
-            emit(packer.count, pieces, True)
-            packer.count += 1
-        yield taken()
-
-    names = [x.split()[0] for x in PIECES.split(", ")]
-    types = [pa.int64()] * 8 + [pa.bool_()]
+                packer.add((key, 0, ids, len(ids) // 4), len(ids) // 4)
+            yield pieces_batch(rows)
+            rows.clear()
+        packer.finish(True)
+        yield pieces_batch(rows)
+
     return source.mapInArrow(run, PIECES)
 
 
-def merge_open(units: pd.DataFrame, length: int, windows: int, last: bool) -> pd.DataFrame:
-    """Places whole units (task, window, length) best-fit, longest first; the fullest window is closed when none fits."""
-    open_: list[list] = []
-    done = []
-    for u in units.sort_values(["length", "task", "window"], ascending=[False, True, True]).itertuples():
-        fits = [(length - w[0], i) for i, w in enumerate(open_) if length - w[0] >= u.length]
-        if fits:
-            i = min(fits)[1]
-        else:
-            if len(open_) == windows:
-                done.append(open_.pop(max(range(windows), key=lambda j: open_[j][0])))
-            open_.append([0, []])
-            i = len(open_) - 1
-        open_[i][1].append((u.task, u.window, open_[i][0]))
-        open_[i][0] += u.length
-    closed = len(done) + (len(open_) if last else 0)
-    rows = [(t, w, i, base, held, i < closed) for i, (held, inside) in enumerate(done + open_) for t, w, base in inside]
-    return pd.DataFrame(rows, columns=["task", "window", "into", "base", "held", "closed"])
+def merge_group(fan: int, length: int, windows: int, last: bool) -> Callable[[pa.Table], pa.Table]:
+    """Packs the open pieces of some tasks once more, longest first."""
+    def run(table: pa.Table) -> pa.Table:
+        rows: list[tuple] = []
+        pieces = sorted(table.to_pylist(), key=lambda p: (-p["length"], p["task"], p["window"], p["offset"]))
+        task = pieces[0]["task"] // fan
+        packer = Packer(lambda window, held, is_open=False: rows.extend(piece_rows(task, window, held, is_open)), length, windows)
+        for p in pieces:
+            packer.add((p["doc_id"], p["start"], p["ids"], p["doc_tokens"]), p["length"])
+        packer.finish(not last)
+        return pa.Table.from_batches([pieces_batch(rows)])
+
+    return run
 
 
 def pack(docs: DataFrame, encoder: Callable[[], Callable[[str], bytes]], doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, windows: int = OPEN_WINDOWS, fan: int = FAN) -> DataFrame:
@@ -149,32 +153,22 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[str], bytes]], doc_id:
 
     Each document's ids end with END_ID; a null or empty text is that id alone. Repeated rows are packed as often as they come, an
     empty table gives no rows, a null id is kept, other columns are not read. Sequences are padded by their reader: to `length`, unless they are a
-    power of two long. Only windows that are still open at the end can be short. `encoder()` runs once per task and gives text -> ids.
+    power of two long. Only the last `windows` sequences can be short. `encoder()` runs once per task and gives text -> ids.
     """
     scratch = Scratch(docs.sparkSession)
-    pieces = scratch.table("pieces", pack_partitions(docs, doc_id, text, encoder, length, windows))
-    done = pieces.filter("not open").select("*", (F.shiftleft("task", 34) + F.col("window")).alias("sequence_id"))
-    left = pieces.filter("open")
-    # A unit is an open window, known by the window of the first level that it began as; a table of units has a few rows per task.
-    units = left.groupBy("task", "window").agg(F.sum("length").alias("length"))
-    tasks = units.agg(F.coalesce(F.max("task"), F.lit(0))).first()[0] + 1
-    level, places, closed = 0, left.select("task", "window").distinct().select("*", F.col("task").alias("t"), F.col("window").alias("w"), F.lit(0).cast("long").alias("base")), []
+    pieces = scratch.table("level0", pack_partitions(docs, doc_id, text, encoder, length, windows))
+    tasks = pieces.filter("open").agg(F.coalesce(F.max("task"), F.lit(0))).first()[0] + 1
+    level, closed = 0, [pieces.filter("not open").withColumn("level", F.lit(0))]
     while True:
         level, tasks = level + 1, -(-tasks // fan)
-        last = tasks == 1
-        schema = "task long, window long, into long, base long, held long, closed boolean"
-        # The rows of a group: `windows` from each of `fan` tasks.
-        merged = scratch.table(f"merged{level}", units.groupBy(F.floor(F.col("task") / fan).alias("g")).applyInPandas(lambda u: merge_open(u, length, windows, last), schema))
-        m = merged.select(F.col("task").alias("t"), F.col("window").alias("w"), F.floor(F.col("task") / fan).alias("g"), "into", F.col("base").alias("shift"), "held", "closed")
-        moved = scratch.table(f"places{level}", places.join(m, ["t", "w"]).select("task", "window", F.col("g").alias("t"), F.col("into").alias("w"), (F.col("base") + F.col("shift")).alias("base"), "closed"))
-        closed.append(moved.filter("closed").select("task", "window", "base", (F.lit(level).cast("long") * F.lit(1 << 58) + F.shiftleft("t", 34) + F.col("w")).alias("sequence_id")))
-        if last:
+        # A group holds at most `fan` * `windows` windows of `length` ids.
+        groups = pieces.filter("open").groupBy(F.floor(F.col("task") / fan))
+        pieces = scratch.table(f"level{level}", groups.applyInArrow(merge_group(fan, length, windows, tasks == 1), PIECES))
+        closed.append(pieces.filter("not open").withColumn("level", F.lit(level)))
+        if tasks == 1:
             break
-        places = moved.filter("not closed").drop("closed")
-        units = m.filter("not closed").groupBy(F.col("g").alias("task"), F.col("into").alias("window")).agg(F.max("held").alias("length"))
-    placed = closed[0]
+    done = closed[0]
     for more in closed[1:]:
-        placed = placed.unionByName(more)
-    rest = left.join(placed, ["task", "window"]).withColumn("offset", F.col("offset") + F.col("base"))
-    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    return done.select(*columns).unionByName(rest.select(*columns))
+        done = done.unionByName(more)
+    sequence = F.col("level").cast("long") * F.lit(1 << 58) + F.shiftleft("task", 34) + F.col("window")
+    return done.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", sequence.alias("sequence_id"), "offset")
