@@ -66,7 +66,7 @@ class ToxicityModel:
 
 
 def fit_weights(x: list[np.ndarray], swapped: list[tuple[int, np.ndarray]], y: np.ndarray, rows: np.ndarray, features: int,
-                penalty: float = 1.0, ridge: float = 2e-4, rounds: int = 400) -> tuple[float, np.ndarray]:
+                penalty: float = 1.0, ridge: float = 4e-5, rounds: int = 400) -> tuple[float, np.ndarray]:
     """Minimises mean log loss + penalty * mean squared change of the logit under a swap + ridge * |w|^2, by accelerated gradient steps.
 
     x: feature numbers of each text; swapped: (text, feature numbers after the swap); rows: weight of each text.
@@ -74,29 +74,47 @@ def fit_weights(x: list[np.ndarray], swapped: list[tuple[int, np.ndarray]], y: n
     if not len(y) or y.min() == y.max():  # nothing to tell apart
         share = (y @ rows + 1) / (rows.sum() + 2) if len(y) else .25
         return float(np.log(share / (1 - share))), np.zeros(features)
-    size = np.array([len(v) for v in x])
-    text, number = np.repeat(np.arange(len(x)), size), np.concatenate(x).astype(np.int64)
+    n, bias = len(y), features
+    size = np.array([len(v) + 1 for v in x])
+    text, number = np.repeat(np.arange(n), size), np.concatenate([np.r_[v, bias] for v in x]).astype(np.int64)
     # The change under a swap is linear in the weights: +1 for features gained, -1 for those lost.
     delta = [(np.r_[v, x[i]], np.r_[np.ones(len(v)), -np.ones(len(x[i]))]) for i, v in swapped]
     pair = np.repeat(np.arange(len(delta)), [len(d[0]) for d in delta])
     moved = np.concatenate([d[0] for d in delta]).astype(np.int64) if delta else np.empty(0, dtype=np.int64)
     sign = np.concatenate([d[1] for d in delta]) if delta else np.empty(0)
-    weight, scale = rows / rows.sum(), np.sqrt(np.maximum(1, np.bincount(number, minlength=features)) / len(y))
-    w, b = np.zeros(features), float(np.log(y @ weight / (1 - y @ weight)))
-    vw, vb, step = w.copy(), b, 8.0
-    for t in range(rounds):
-        pull = t / (t + 3)
-        aw, ab = w + pull * (w - vw), b + pull * (b - vb)
-        z = np.bincount(text, weights=aw[number], minlength=len(x)) + ab
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
-        grad = np.bincount(number, weights=error[text], minlength=features) + 2 * ridge * aw
+    weight, shrink = rows / rows.sum(), np.r_[np.full(features, 2 * ridge), 0.0]
+
+    def logits(w):
+        return np.bincount(text, weights=w[number], minlength=n)
+
+    def pull_back(error):
+        return np.bincount(number, weights=error[text], minlength=features + 1)
+
+    def smooth(w):
+        """Gradient of the swap penalty and the ridge; linear in w."""
+        out = shrink * w
         if delta:
-            change = np.bincount(pair, weights=sign * aw[moved], minlength=len(delta))
-            grad += 2 * penalty / len(delta) * np.bincount(moved, weights=sign * change[pair], minlength=features)
-        norm = np.maximum(scale, .02)
-        vw, vb = w, b
-        w, b = aw - step * grad / (norm * max(1.0, size.mean() / 50)), ab - step * error.sum() / max(1.0, size.mean() / 50)
-    return float(b), w
+            change = np.bincount(pair, weights=sign * w[moved], minlength=len(delta))
+            out += 2 * penalty / len(delta) * np.bincount(moved, weights=sign * change[pair], minlength=features + 1)
+        return out
+
+    # Rare features get longer steps; the largest eigenvalue in these units bounds all of them.
+    scale = np.sqrt(np.maximum(np.bincount(number, weights=weight[text], minlength=features + 1), .0004))
+    v = np.ones(features + 1)
+    for _ in range(40):
+        v = (pull_back(weight * logits(v / np.sqrt(scale)) / 4) + smooth(v / np.sqrt(scale))) / np.sqrt(scale)
+        largest = np.linalg.norm(v)
+        v /= largest
+    step = 1 / (1.1 * largest * scale)
+    start = y @ weight
+    w = np.zeros(features + 1)
+    w[bias] = np.log(start / (1 - start))
+    last = w
+    for t in range(rounds):
+        at = w + t / (t + 3) * (w - last)
+        error = weight * (1 / (1 + np.exp(-np.clip(logits(at), -30, 30))) - y)
+        last, w = w, at - step * (pull_back(error) + smooth(at))
+    return float(w[bias]), w[:features]
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES,
