@@ -129,23 +129,25 @@ def _(t):
 
 
 def complement_recs(t, leaky=False):
+    """Ranked complements of the evaluable orders; the leaky arm also scores with the hidden item."""
     ln = lines(t)
-    targets = R.masked_target(ln)
-    ctx = R.masked_context(ln, targets)
-    shown = ctx.select("order_id", "produit_key")
+    windows = R.order_windows(ln)
+    targets = R.masked_target(ln).join(windows, "order_id").filter("window > 1")
+    ctx = R.masked_context(ln, targets.select("order_id", "target"))
+    shown = ctx.select("order_id", "window", "produit_key")
     if leaky:
-        shown = shown.unionByName(targets.select("order_id", F.col("target").alias("produit_key")))
+        shown = shown.unionByName(targets.select("order_id", "window", F.col("target").alias("produit_key")))
     s = R.complement_scores(shown, R.basket_statistics(ln)).join(ctx.select("order_id", "produit_key"), ["order_id", "produit_key"], "left_anti")
     w = Window.partitionBy("order_id").orderBy(F.desc("cooccurrence"), "produit_key")
     return s.withColumn("rang", F.row_number().over(w)).filter("rang <= 20"), targets
 
 
-MR = "sx as (select order_id, dst as produit_key, sum(n)::double as v from cx join oc on oc.src = cx.produit_key group by 1, 2), rk as (select s.order_id, s.produit_key, row_number() over (partition by s.order_id order by v desc, s.produit_key) as rang from sx s where not exists (select 1 from cx where cx.order_id = s.order_id and cx.produit_key = s.produit_key))"
+MR = "sx as (select order_id, dst as produit_key, sum(n)::double as v from cx join oc on oc.src = cx.produit_key and oc.w = cx.w group by 1, 2), rk as (select s.order_id, s.produit_key, row_number() over (partition by s.order_id order by v desc, s.produit_key) as rang from sx s where not exists (select 1 from cx where cx.order_id = s.order_id and cx.produit_key = s.produit_key))"
 
 
 @query("eva9_masked_item_metrics", f"""
 with {MASK}, {MR} select tg.order_id, coalesce((rang <= 5)::int, 0) as recall_5, coalesce((rang <= 10)::int, 0) as recall_10, coalesce((rang <= 20)::int, 0) as recall_20, round(case when rang <= 5 then 1 / log2(rang + 1) else 0 end, 8) as ndcg_5, round(case when rang <= 10 then 1 / log2(rang + 1) else 0 end, 8) as ndcg_10,
-  round(case when rang <= 20 then 1 / log2(rang + 1) else 0 end, 8) as ndcg_20, round(case when rang <= 20 then 1 / rang else 0 end, 8) as mrr from tg left join rk on rk.order_id = tg.order_id and rk.produit_key = target""")
+  round(case when rang <= 20 then 1 / log2(rang + 1) else 0 end, 8) as ndcg_20, round(case when rang <= 20 then 1 / rang else 0 end, 8) as mrr from tg left join rk on rk.order_id = tg.order_id and rk.produit_key = target where tg.w > 1""")
 def _(t):
     rec, targets = complement_recs(t)
     return rounded(E.masked_item_metrics(rec, targets), ("ndcg_5", "ndcg_10", "ndcg_20", "mrr"), 8)
@@ -298,7 +300,18 @@ def _(t):
 def _(t):
     honest, targets = complement_recs(t)
     leaky, _unused = complement_recs(t, leaky=True)
-    return E.leak_audit(E.masked_item_metrics(honest, targets), E.masked_item_metrics(leaky, targets), draws=50)
+    return E.leak_audit(E.masked_item_metrics(honest, targets), E.masked_item_metrics(leaky, targets), draws=2000)
+
+
+@query("eva22_leak_audit_means", f"""
+with {MASK}, {MR}, lx as (select order_id, w, produit_key from cx union all select order_id, w, target from tg), ls as (select order_id, dst as produit_key, sum(n)::double as v from lx join oc on oc.src = lx.produit_key and oc.w = lx.w group by 1, 2),
+lk as (select s.order_id, s.produit_key, row_number() over (partition by s.order_id order by v desc, s.produit_key) as rang from ls s where not exists (select 1 from cx where cx.order_id = s.order_id and cx.produit_key = s.produit_key))
+select avg(coalesce((rk.rang <= 10)::int, 0)) as sans_fuite, avg(coalesce((lk.rang <= 10)::int, 0)) as avec_fuite, count(*) as n from tg left join rk on rk.order_id = tg.order_id and rk.produit_key = target left join lk on lk.order_id = tg.order_id and lk.produit_key = target where tg.w > 1""")
+def _(t):
+    honest, targets = complement_recs(t)
+    leaky, _unused = complement_recs(t, leaky=True)
+    return E.masked_item_metrics(honest, targets).select("order_id", F.col("recall_10").alias("_h")).join(E.masked_item_metrics(leaky, targets).select("order_id", F.col("recall_10").alias("_l")), "order_id").agg(
+        F.avg("_h").alias("sans_fuite"), F.avg("_l").alias("avec_fuite"), F.count(F.lit(1)).alias("n"))
 
 
 @query("eva23_experiment_analysis")

@@ -1,12 +1,16 @@
 """Recommendation."""
+from types import SimpleNamespace
+
 from pyspark.sql import functions as F
 
 from marketlens.catalog.base import query
 from marketlens.functions import scalar as S
 from marketlens.functions.scalar import r
 from marketlens.operators import aggregates as A
+from marketlens.operators import filters as L
 from marketlens.operators import joins as J
 from marketlens.operators import ranking as K
+from marketlens.operators.ordered import materialise
 from marketlens.plans import recsys as R
 
 CUT = "2001-01-01"
@@ -20,9 +24,13 @@ def cutoff():
     return F.lit(CUT).cast("date")
 
 
-def candidates(t):
+def candidates_of(web):
     """Products a known client looked at on the web."""
-    return t.web.filter("client_key is not null").select("client_key", "produit_key").distinct()
+    return web.filter("client_key is not null").select("client_key", "produit_key").distinct()
+
+
+def candidates(t):
+    return candidates_of(t.web)
 
 
 LN = "ln as (select c.*, categorie, marque, prix_base from confirmed c join products using (produit_key)), cd as (select distinct client_key, produit_key from web where client_key is not null)"
@@ -106,35 +114,41 @@ def _(t):
     return R.implicit_factors(m, rank=6, iterations=3)
 
 
-@query("rec7_hybrid_purchase_web", """
-with h as (select client_key, produit_key, sum(v) as v from (select client_key, produit_key, 1.0::double as v from confirmed union all select client_key, produit_key, case event_type when 'view' then 1.0 when 'click' then 2.0 when 'add_to_cart' then 3.0 when 'purchase' then 5.0 else 0.0 end::double * 0.2::double from web where client_key is not null and not est_bot) group by 1, 2),
+WEB_CUT = "2024-01-20"
+
+
+@query("rec7_hybrid_purchase_web", f"""
+with h as (select client_key, produit_key, sum(v) as v from (select client_key, produit_key, 1.0::double as v from confirmed where ds < date '{WEB_CUT}' union all select client_key, produit_key, case event_type when 'view' then 1.0 when 'click' then 2.0 when 'add_to_cart' then 3.0 else 0.0 end::double * 0.2::double from web
+  where client_key is not null and not est_bot and event_type <> 'purchase' and event_timestamp < timestamp '{WEB_CUT}') group by 1, 2),
 nm as (select produit_key, sqrt(sum(v * v)) as q from h group by 1), d as (select x.produit_key as a, y.produit_key as b, sum(x.v * y.v) as d from h x join h y on x.client_key = y.client_key and x.produit_key < y.produit_key group by 1, 2)
 select a, count(*) as n, round(sum(d / nullif(na.q * nb.q, 0)), 6) as s from d join nm na on na.produit_key = a join nm nb on nb.produit_key = b group by 1""")
 def _(t):
-    m = R.hybrid_matrix(t.confirmed, A.interactions(t.web))
+    m = R.hybrid_matrix(t.confirmed, A.interactions(t.web), F.lit(WEB_CUT).cast("timestamp"))
     return R.cosine(m).groupBy("a").agg(F.count(F.lit(1)).alias("n"), r(F.sum("sim")).alias("s"))
 
 
-MASK = f"""{LN}, oi as (select distinct order_id, produit_key, categorie from ln), tg as (select order_id, min(produit_key) as target, count(*) as n_items from oi group by 1 having count(*) >= 2),
-cx as (select oi.* from oi join tg using (order_id) where produit_key <> target), oc as (select x.produit_key as src, y.produit_key as dst, count(*) as n from oi x join oi y on x.order_id = y.order_id and x.produit_key <> y.produit_key group by 1, 2),
-op as (select produit_key, count(*) as pop from oi group by 1), cp as (select categorie, produit_key, count(*) as cpop from oi group by 1, 2)"""
+MASK = f"""{LN}, mo as (select order_id, min(ds) as ds from ln group by 1 having count(distinct produit_key) >= 2), dn as (select ds, count(*) as n from mo group by 1),
+dw as (select ds, (floor((sum(n) over (order by ds) - n) * 4 / sum(n) over ()) + 1)::int as w from dn), oi as (select distinct ln.order_id, produit_key, categorie, w from ln join mo using (order_id) join dw on dw.ds = mo.ds),
+tg as (select order_id, w, min(produit_key) as target, count(*) as n_items from oi group by 1, 2), cx as (select oi.* from oi join tg using (order_id) where produit_key <> target), kw as (select unnest([2, 3, 4])::int as w),
+oc as (select kw.w, x.produit_key as src, y.produit_key as dst, count(*) as n from oi x join oi y on x.order_id = y.order_id and x.produit_key <> y.produit_key join kw on x.w < kw.w group by 1, 2, 3),
+op as (select kw.w, produit_key, count(*) as pop from oi join kw on oi.w < kw.w group by 1, 2), cp as (select kw.w, categorie, produit_key, count(*) as cpop from oi join kw on oi.w < kw.w group by 1, 2, 3)"""
 
 
 @query("rec8_complement_scores", f"""
-with {MASK}, sc as (select order_id, dst as produit_key, sum(n)::double as v from cx join oc on oc.src = cx.produit_key group by 1, 2)
-select order_id, count(*) as n, sum(v) as cooccurrence, round(sum(v / (1 + ln(1 + pop))), 6) as bm25, round(sum(v / greatest(pop, 1)), 6) as lift from sc join op using (produit_key) group by 1""")
+with {MASK}, sc as (select order_id, cx.w, dst as produit_key, sum(n)::double as v from cx join oc on oc.src = cx.produit_key and oc.w = cx.w group by 1, 2, 3)
+select order_id, sc.w as "window", count(*) as n, sum(v) as cooccurrence, round(sum(v / (1 + ln(1 + pop))), 6) as bm25, round(sum(v / greatest(pop, 1)), 6) as lift from sc join op on op.produit_key = sc.produit_key and op.w = sc.w group by 1, 2""")
 def _(t):
     ln = lines(t)
     s = R.complement_scores(R.masked_context(ln, R.masked_target(ln)), R.basket_statistics(ln))
-    return s.groupBy("order_id").agg(F.count(F.lit(1)).alias("n"), F.sum("cooccurrence").alias("cooccurrence"), r(F.sum("bm25")).alias("bm25"), r(F.sum("lift")).alias("lift"))
+    return s.groupBy("order_id", "window").agg(F.count(F.lit(1)).alias("n"), F.sum("cooccurrence").alias("cooccurrence"), r(F.sum("bm25")).alias("bm25"), r(F.sum("lift")).alias("lift"))
 
 
-@query("rec8_basket_statistics", f"with {MASK} select categorie, count(*) as n_items, sum(cpop)::bigint as total, max(cpop) as best from cp group by 1")
+@query("rec8_basket_statistics", f"with {MASK} select w as \"window\", categorie, count(*) as n_items, sum(cpop)::bigint as total, max(cpop) as best from cp group by 1, 2")
 def _(t):
-    return R.basket_statistics(lines(t))["category"].groupBy("categorie").agg(F.count(F.lit(1)).alias("n_items"), F.sum("cpop").alias("total"), F.max("cpop").alias("best"))
+    return R.basket_statistics(lines(t))["category"].groupBy("window", "categorie").agg(F.count(F.lit(1)).alias("n_items"), F.sum("cpop").alias("total"), F.max("cpop").alias("best"))
 
 
-@query("rec9_masked_target", f"with {MASK} select * from tg")
+@query("rec9_masked_target", f"with {MASK} select order_id, target, n_items from tg")
 def _(t):
     return R.masked_target(t.confirmed)
 
@@ -219,17 +233,20 @@ def _(t):
     return R.ranker_features(candidates(t), t.confirmed, t.products, t.stock, cutoff())
 
 
-def _labelled(t):
-    f = R.ranker_features(candidates(t), t.confirmed, t.products, t.stock, cutoff())
-    bought = t.web.filter("event_type = 'purchase' and client_key is not null").select("client_key", "produit_key").distinct().withColumn("y", F.lit(1))
+def _labelled(t, cut):
+    """Candidates seen before the cutoff; the label is a web purchase from the cutoff on."""
+    at = F.lit(cut).cast("timestamp")
+    seen = candidates_of(t.web.filter(F.col("event_timestamp") < at))
+    f = R.ranker_features(seen, t.confirmed, t.products, t.stock, F.lit(cut).cast("date"))
+    bought = t.web.filter("event_type = 'purchase' and client_key is not null").filter(F.col("event_timestamp") >= at).select("client_key", "produit_key").distinct().withColumn("y", F.lit(1))
     return f.join(bought, ["client_key", "produit_key"], "left").na.fill(0, ["y"])
 
 
 @query("rec16_pointwise_ranker")
 def _(t):
-    d = _labelled(t)
-    train = d.filter(F.pmod(F.xxhash64("client_key"), F.lit(2)) == 0)
-    return R.pointwise_ranker(train, d.drop("y"), ["popularite", "affinite", "recence", "stock", "prix_base", "marge"]).select("client_key", "produit_key", "score")
+    known = t.web.filter(F.col("event_timestamp") < F.lit(WEB_CUT).cast("timestamp"))
+    earlier = _labelled(SimpleNamespace(web=known, confirmed=t.confirmed, products=t.products, stock=t.stock), "2024-01-10")
+    return R.pointwise_ranker(earlier, _labelled(t, WEB_CUT).drop("y"), ["popularite", "affinite", "recence", "stock", "prix_base", "marge"]).select("client_key", "produit_key", "score")
 
 
 def slates(t):
@@ -254,7 +271,7 @@ def _(t):
 
 @query("rec18_uniform_session_sample")
 def _(t):
-    s = t.web.filter(S.hash_sample(F.col("session_id"), 0.25))
+    s = L.exclude_bot_sessions(t.web).filter(S.hash_sample(F.col("session_id"), 0.25))
     return s.groupBy("event_type").agg(F.count_distinct("session_id").alias("n_sessions"), F.count(F.lit(1)).alias("n"))
 
 
@@ -331,31 +348,32 @@ def _(t):
                     F.when(known, "modele").otherwise("repli_popularite").alias("source"))
 
 
+RANKS = f"""sc as (select order_id, cx.w, dst as produit_key, sum(n)::double as v from cx join oc on oc.src = cx.produit_key and oc.w = cx.w group by 1, 2, 3),
+cc as (select order_id, x.w, produit_key, sum(cpop)::double as v from (select distinct order_id, w, categorie from cx) x join cp using (w, categorie) group by 1, 2, 3),
+al as (select order_id, tg.w, op.produit_key, pop from tg join op on op.w = tg.w where not exists (select 1 from cx where cx.order_id = tg.order_id and cx.produit_key = op.produit_key)),
+gs as (select al.*, m, round(coalesce(case m when 'cooccurrence' then sc.v when 'bm25' then sc.v / (1 + ln(1 + pop)) when 'lift' then sc.v / greatest(pop, 1) when 'categorie_contexte' then cc.v else 0 end, 0), 9) as s
+  from al left join sc using (order_id, produit_key) left join cc using (order_id, produit_key), (values ('cooccurrence'), ('bm25'), ('lift'), ('categorie_contexte'), ('popularite')) g(m)),
+gr as (select order_id, w, m as model, produit_key, row_number() over (partition by order_id, m order by s desc, pop desc, produit_key)::int as rang from gs qualify rang <= 50),
+fs as (select order_id, w, produit_key, round(sum(1 / (60 + rang)), 9) as v from gr group by 1, 2, 3), fu as (select order_id, w, 'rrf' as model, produit_key, row_number() over (partition by order_id order by v desc, produit_key)::int as rang from fs qualify rang <= 50)"""
+
+
 @query("rec24_candidate_recall", f"""
-with {MASK}, sc as (select order_id, dst, sum(n)::double as v from cx join oc on oc.src = cx.produit_key group by 1, 2), sx as (select s.* from sc s where not exists (select 1 from cx where cx.order_id = s.order_id and cx.produit_key = s.dst)),
-r as (select order_id, dst, row_number() over (partition by order_id order by v desc, dst) as ra, row_number() over (partition by order_id order by round(v / greatest(pop, 1), 9) desc, dst) as rb from sx join op on op.produit_key = dst)
-select count(*) as n, avg(coalesce((ra <= 20)::int, 0)) as recall20_cooccurrence, avg(coalesce((ra <= 50)::int, 0)) as recall50_cooccurrence, avg(coalesce((rb <= 50)::int, 0)) as recall50_lift from tg left join r on r.order_id = tg.order_id and dst = target""")
+with {MASK}, {RANKS}, ar as (select * from gr union all select * from fu) select tg.w as "window", m.model, count(*) as n, tg.w > 1 as evaluable, avg(coalesce((rang <= 20)::int, 0)) as recall_20, avg(coalesce((rang <= 50)::int, 0)) as recall_50
+from tg, (select distinct model from ar) m left join ar on ar.order_id = tg.order_id and ar.model = m.model and ar.produit_key = target group by 1, 2""")
 def _(t):
-    from pyspark.sql import Window
     ln = lines(t)
     targets = R.masked_target(ln)
-    ctx = R.masked_context(ln, targets)
-    s = R.complement_scores(ctx, R.basket_statistics(ln)).join(ctx.select("order_id", "produit_key"), ["order_id", "produit_key"], "left_anti")
-    rank = lambda c: F.row_number().over(Window.partitionBy("order_id").orderBy(F.desc(c), "produit_key"))
-    rk = s.select("order_id", "produit_key", "cooccurrence", F.round("lift", 9).alias("lift")).withColumn("ra", rank("cooccurrence")).withColumn("rb", rank("lift"))
-    j = targets.join(rk.withColumnRenamed("produit_key", "target"), ["order_id", "target"], "left")
-    share = lambda c, k: F.avg(F.coalesce((F.col(c) <= k).cast("int"), F.lit(0)))
-    return j.agg(F.count(F.lit(1)).alias("n"), share("ra", 20).alias("recall20_cooccurrence"), share("ra", 50).alias("recall50_cooccurrence"), share("rb", 50).alias("recall50_lift"))
+    stats = {k: materialise(d) for k, d in R.basket_statistics(ln).items()}
+    ranks = materialise(R.candidate_ranks(materialise(R.masked_context(ln, targets)), stats))
+    return R.candidate_recall(targets.join(R.order_windows(ln), "order_id"), ranks.unionByName(R.fused_candidates(ranks)))
 
 
 @query("rec25_leave_one_out_frame", f"""
-with {MASK}, mi as (select order_id, produit_key from oi where order_id in (select order_id from tg)),
-c as (select h.order_id, h.produit_key as target, x.produit_key as src, oc.dst, oc.n - case when ins.produit_key is not null then 1 else 0 end as w, ins.produit_key is not null as inn from mi h join mi x on x.order_id = h.order_id and x.produit_key <> h.produit_key join oc on oc.src = x.produit_key left join mi ins on ins.order_id = h.order_id and ins.produit_key = oc.dst),
-g as (select order_id, target, dst, sum(w) as cooccurrence from c where (not inn or dst = target) group by 1, 2, 3 having sum(w) > 0),
+with {MASK}, mi as (select order_id, w, produit_key from oi),
+c as (select h.order_id, h.w, h.produit_key as target, x.produit_key as src, oc.dst, oc.n as v, ins.produit_key is not null as inn from mi h join mi x on x.order_id = h.order_id and x.produit_key <> h.produit_key join oc on oc.src = x.produit_key and oc.w = x.w left join mi ins on ins.order_id = h.order_id and ins.produit_key = oc.dst),
+g as (select order_id, w, target, dst, sum(v) as cooccurrence, count(*) as n_sources from c where (not inn or dst = target) group by 1, 2, 3, 4),
 q as (select *, row_number() over (partition by order_id, target order by cooccurrence desc, dst) as rang from g qualify rang <= 50)
-select order_id, target, count(*) as n, sum(cooccurrence)::bigint as s, sum((dst = target)::int)::bigint as label from q group by 1, 2""")
+select order_id, target, count(*) as n, sum(cooccurrence)::bigint as s, sum(n_sources)::bigint as n_sources, round(sum(cooccurrence / greatest(pop, 1)), 6) as lift, sum((dst = target)::int)::bigint as label from q join op on op.w = q.w and op.produit_key = q.dst group by 1, 2""")
 def _(t):
-    d = R.leave_one_out(t.confirmed)
-    return d.groupBy("order_id", "target").agg(F.count(F.lit(1)).alias("n"), F.sum("cooccurrence").alias("s"), F.sum("label").alias("label"))
-
-
+    d = R.leave_one_out(lines(t))
+    return d.groupBy("order_id", "target").agg(F.count(F.lit(1)).alias("n"), F.sum("cooccurrence").alias("s"), F.sum("n_sources").alias("n_sources"), r(F.sum("lift")).alias("lift"), F.sum("label").alias("label"))

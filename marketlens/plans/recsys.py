@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions.scalar import ratio
 from marketlens.operators import joins as J
+from marketlens.operators.filters import eligible_web_history
 
 
 
@@ -133,35 +134,110 @@ def implicit_factors(inter: DataFrame, rank: int = 8, iterations: int = 5, k: in
             .join(users, "_u").join(items, "_i").select(user, item, "rang", "score"))
 
 
-def hybrid_matrix(sales: DataFrame, inter: DataFrame, web_weight: float = 0.2) -> DataFrame:
-    """Purchases plus a fraction of the web weight, per (client, product)."""
-    buys = sales.select("client_key", "produit_key", F.lit(1.0).alias("v"))
-    web = inter.filter("type_identite = 'client'").select(F.col("identite").alias("client_key"), "produit_key", (F.col("poids_total") * web_weight).alias("v"))
+def hybrid_matrix(sales: DataFrame, inter: DataFrame, cutoff: Column, web_weight: float = 0.2) -> DataFrame:
+    """Purchases plus a fraction of the web weight per (client, product), all before the cutoff; web purchases are left out, as the sales hold them."""
+    buys = sales.filter(F.col("ds").cast("timestamp") < cutoff).select("client_key", "produit_key", F.lit(1.0).alias("v"))
+    web = eligible_web_history(inter, cutoff).select(F.col("identite").alias("client_key"), "produit_key", (F.col("poids_total") * web_weight).alias("v"))
     return buys.unionByName(web).groupBy("client_key", "produit_key").agg(F.sum("v").alias("v"))
 
 
-def basket_statistics(lines: DataFrame) -> dict[str, DataFrame]:
-    """Co-occurrence (a < b), popularity and category popularity over distinct order items."""
-    items = lines.select("order_id", "produit_key", "categorie").distinct()
-    return {"cooccurrence": J.cooccurrence(items), "popularity": items.groupBy("produit_key").agg(N().alias("pop")),
-            "category": items.groupBy("categorie", "produit_key").agg(N().alias("cpop"))}
+WINDOWS = 4
+
+
+def order_windows(lines: DataFrame, windows: int = WINDOWS) -> DataFrame:
+    """(order_id, window) of orders with several items: `windows` blocks of dates with about as many orders each.
+
+    An order belongs to the block of its first date, and a date to one block, so all orders of earlier blocks are strictly earlier.
+    """
+    orders = lines.groupBy("order_id").agg(F.min("ds").alias("ds"), F.count_distinct("produit_key").alias("_k")).filter("_k >= 2")
+    days = orders.groupBy("ds").agg(N().alias("_n"))  # one row per calendar day
+    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("ds")) - F.col("_n")
+    total = F.sum("_n").over(Window.partitionBy(F.lit(0)))
+    return orders.join(days.select("ds", (F.floor(before * windows / total) + 1).cast("int").alias("window")), "ds").select("order_id", "window")
+
+
+def windowed_items(lines: DataFrame, windows: int = WINDOWS) -> DataFrame:
+    return lines.select("order_id", "produit_key", "categorie").distinct().join(order_windows(lines, windows), "order_id")
+
+
+def basket_statistics(lines: DataFrame, windows: int = WINDOWS) -> dict[str, DataFrame]:
+    """Co-occurrence (a < b), popularity and category popularity for each window, learned on the orders of earlier windows only.
+
+    The first window has none. Each window is counted once; its counts then go to all later ones.
+    """
+    items = windowed_items(lines, windows)
+    pairs = J.pair_rows(items.select("order_id", "produit_key", "window"), "order_id", "produit_key", carry=("window",))
+
+    def later(counted: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+        d = counted.filter(F.col("_w") < windows).select(*keys, "_n", F.explode(F.sequence(F.col("_w") + 1, F.lit(windows))).alias("window"))
+        return d.groupBy("window", *keys).agg(F.sum("_n").alias(name))
+
+    def counts(d: DataFrame, window: str, keys: Sequence[str], name: str) -> DataFrame:
+        return later(d.groupBy(F.col(window).alias("_w"), *keys).agg(N().alias("_n")), keys, name)
+
+    return {"cooccurrence": counts(pairs, "window_a", ["a", "b"], "n_commandes"), "popularity": counts(items, "window", ["produit_key"], "pop"),
+            "category": counts(items, "window", ["categorie", "produit_key"], "cpop")}
+
+
+def neighbours(stats: DataFrame, value: str) -> DataFrame:
+    """Both directions of windowed pairs: window, src, dst, value."""
+    return stats.select("window", F.col("a").alias("src"), F.col("b").alias("dst"), value).unionByName(stats.select("window", F.col("b").alias("src"), F.col("a").alias("dst"), value))
 
 
 def complement_scores(context: DataFrame, stats: dict[str, DataFrame], context_categories: DataFrame | None = None) -> DataFrame:
-    """Scores of every generator for a context (order_id, produit_key): nothing but the context can be passed in.
+    """Scores of every generator for a context (order_id, window, produit_key): nothing but the context can be passed in.
 
-    Columns: cooccurrence, bm25, lift and, when categories are given, category popularity.
+    Columns: cooccurrence, bm25, lift and, when categories are given, category popularity. Contexts of the first window get no rows.
     """
-    pairs = both_ways(stats["cooccurrence"], "n_commandes")
-    co = (context.select("order_id", F.col("produit_key").alias("src")).distinct().join(pairs, "src")
-          .groupBy("order_id", F.col("dst").alias("produit_key")).agg(F.sum("n_commandes").cast("double").alias("cooccurrence")))
-    d = co.join(stats["popularity"], "produit_key", "left")
-    d = d.select("order_id", "produit_key", "cooccurrence", (F.col("cooccurrence") / (1 + F.log1p(F.coalesce("pop", F.lit(0)).cast("double")))).alias("bm25"),
+    pairs = neighbours(stats["cooccurrence"], "n_commandes")
+    co = (context.select("order_id", "window", F.col("produit_key").alias("src")).distinct().join(pairs, ["window", "src"])
+          .groupBy("order_id", "window", F.col("dst").alias("produit_key")).agg(F.sum("n_commandes").cast("double").alias("cooccurrence")))
+    d = co.join(stats["popularity"], ["window", "produit_key"], "left")
+    d = d.select("order_id", "window", "produit_key", "cooccurrence", (F.col("cooccurrence") / (1 + F.log1p(F.coalesce("pop", F.lit(0)).cast("double")))).alias("bm25"),
                  (F.col("cooccurrence") / F.greatest(F.coalesce("pop", F.lit(0)), F.lit(1))).alias("lift"))
     if context_categories is None:
         return d
-    cat = (context_categories.select("order_id", "categorie").distinct().join(stats["category"], "categorie").groupBy("order_id", "produit_key").agg(F.sum("cpop").cast("double").alias("categorie_contexte")))
-    return d.join(cat, ["order_id", "produit_key"], "full_outer")
+    cat = (context_categories.select("order_id", "window", "categorie").distinct().join(stats["category"], ["window", "categorie"]).groupBy("order_id", "window", "produit_key").agg(F.sum("cpop").cast("double").alias("categorie_contexte")))
+    return d.join(cat, ["order_id", "window", "produit_key"], "full_outer")
+
+
+GENERATORS = ("cooccurrence", "bm25", "lift", "categorie_contexte", "popularite")
+
+
+def candidate_ranks(context: DataFrame, stats: dict[str, DataFrame], k: int = 50) -> DataFrame:
+    """Top k of each generator per context, without the context's own items: order_id, window, model, produit_key, rang.
+
+    Only positive scores rank; the remaining places go to the most popular other items, and popularity, then the item, breaks ties.
+    """
+    scores = complement_scores(context, stats, context)
+    own = [F.struct(F.lit(g).alias("model"), F.col(g).alias("score")) for g in GENERATORS[:-1]]
+    scored = scores.select("order_id", "window", "produit_key", F.explode(F.array(*own)).alias("s")).select("order_id", "window", "produit_key", "s.*").filter("score > 0")
+    # The k most popular items that a context lacks are among the k + (items of the context) most popular ones.
+    sizes = context.groupBy("order_id", "window").agg(F.count_distinct("produit_key").alias("_held"))
+    most = sizes.groupBy("window").agg(F.max("_held").alias("_most"))
+    leaders = stats["popularity"].join(F.broadcast(most), "window").withColumn("_p", F.row_number().over(Window.partitionBy("window").orderBy(F.desc("pop"), "produit_key"))).filter(F.col("_p") <= k + F.col("_most"))
+    filler = sizes.join(F.broadcast(leaders), "window").filter(F.col("_p") <= k + F.col("_held")).select("order_id", "window", "produit_key")
+    fill = filler.select("*", F.explode(F.array(*[F.lit(g) for g in GENERATORS])).alias("model"), F.lit(0.0).alias("score"))
+    inside = context.select("order_id", "produit_key").distinct()
+    both = scored.unionByName(fill).groupBy("order_id", "window", "model", "produit_key").agg(F.max("score").alias("score")).join(inside, ["order_id", "produit_key"], "left_anti")
+    d = both.join(stats["popularity"], ["window", "produit_key"], "left")
+    rank = F.row_number().over(Window.partitionBy("order_id", "model").orderBy(F.round("score", 9).desc(), F.coalesce("pop", F.lit(0)).desc(), "produit_key"))
+    return d.withColumn("rang", rank).filter(F.col("rang") <= k).select("order_id", "window", "model", "produit_key", "rang")
+
+
+def fused_candidates(ranks: DataFrame, k: int = 50, constant: int = 60) -> DataFrame:
+    """Reciprocal rank fusion of the generators' completed lists, as the model `rrf`."""
+    d = ranks.groupBy("order_id", "window", "produit_key").agg(F.round(F.sum(1 / (constant + F.col("rang"))), 9).alias("_s"))
+    rank = F.row_number().over(Window.partitionBy("order_id").orderBy(F.desc("_s"), "produit_key"))
+    return d.withColumn("rang", rank).filter(F.col("rang") <= k).select("order_id", "window", F.lit("rrf").alias("model"), "produit_key", "rang")
+
+
+def candidate_recall(targets: DataFrame, ranks: DataFrame, ks: Sequence[int] = (20, 50), models: Sequence[str] = (*GENERATORS, "rrf")) -> DataFrame:
+    """Share of hidden items (order_id, window, target) among the first k candidates by window and model; the first window, without earlier orders, is not evaluable."""
+    asked = targets.withColumn("model", F.explode(F.lit(list(models))))
+    hit = asked.join(ranks.select("order_id", "model", F.col("produit_key").alias("target"), "rang"), ["order_id", "model", "target"], "left")
+    share = [F.avg(F.coalesce(F.col("rang") <= k, F.lit(False)).cast("int")).alias(f"recall_{k}") for k in ks]
+    return hit.groupBy("window", "model").agg(N().alias("n"), *share).withColumn("evaluable", F.col("window") > 1)
 
 
 def masked_target(lines: DataFrame) -> DataFrame:
@@ -171,8 +247,10 @@ def masked_target(lines: DataFrame) -> DataFrame:
 
 
 def masked_context(lines: DataFrame, targets: DataFrame) -> DataFrame:
-    items = lines.select("order_id", "produit_key", "categorie").distinct()
-    return items.join(targets, "order_id").filter("produit_key <> target").select("order_id", "produit_key", "categorie")
+    """Items of each order but the hidden one, with the order's window where lines have dates."""
+    dated = "ds" in lines.columns
+    items = windowed_items(lines) if dated else lines.select("order_id", "produit_key", "categorie").distinct()
+    return items.join(targets.select("order_id", "target"), "order_id").filter("produit_key <> target").select("order_id", *(["window"] if dated else []), "produit_key", "categorie")
 
 
 def user_cooccurrence(history: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -377,21 +455,25 @@ def repurchase_rate(train: DataFrame, test: DataFrame) -> DataFrame:
 
 
 def leave_one_out(lines: DataFrame, k: int = 50) -> DataFrame:
-    """Every item of an order hidden in turn; candidates come from the co-occurrence with the other items only.
+    """Every item of an order hidden in turn; candidates come from co-occurrence with the other items in earlier windows.
 
-    Co-occurrence is counted on all orders, so the order's own pairs are taken out of the counts it is scored with.
+    Features of a candidate use the context only: co-occurrence, bm25, lift, popularity and context items that point to it.
     """
-    items = lines.select("order_id", "produit_key").distinct()
-    pairs = both_ways(J.cooccurrence(items), "n_commandes")
-    multi = items.join(items.groupBy("order_id").agg(N().alias("_n")).filter("_n >= 2"), "order_id").select("order_id", "produit_key")
-    ctx = multi.select("order_id", F.col("produit_key").alias("src"))
+    stats = basket_statistics(lines)
+    pairs = neighbours(stats["cooccurrence"], "n_commandes")
+    multi = windowed_items(lines).select("order_id", "window", "produit_key")
+    ctx = multi.select("order_id", "window", F.col("produit_key").alias("src"))
     inside = multi.select("order_id", F.col("produit_key").alias("dst"), F.lit(1).alias("_in"))
-    cand = (ctx.join(pairs, "src").join(inside, ["order_id", "dst"], "left").withColumn("_w", F.col("n_commandes") - F.coalesce("_in", F.lit(0))).filter("_w > 0"))
-    per = cand.groupBy("order_id", "dst").agg(F.sum("_w").alias("_all"), F.max("_in").alias("_in"))
-    by_src = cand.select("order_id", F.col("src").alias("target"), "dst", F.col("_w").alias("_own"))
+    cand = ctx.join(pairs, ["window", "src"])
+    per = cand.groupBy("order_id", "window", "dst").agg(F.sum("n_commandes").alias("_all"), N().alias("_sources")).join(inside, ["order_id", "dst"], "left")
+    by_src = cand.select("order_id", F.col("src").alias("target"), "dst", F.col("n_commandes").alias("_own"))
     hidden = multi.select("order_id", F.col("produit_key").alias("target"))
     d = hidden.join(per, "order_id").join(by_src, ["order_id", "target", "dst"], "left")
-    d = d.withColumn("cooccurrence", F.col("_all") - F.coalesce("_own", F.lit(0))).filter((F.col("cooccurrence") > 0) & (F.col("_in").isNull() | (F.col("dst") == F.col("target"))))
+    d = d.withColumn("cooccurrence", F.col("_all") - F.coalesce("_own", F.lit(0))).withColumn("n_sources", F.col("_sources") - F.col("_own").isNotNull().cast("int"))
+    d = d.filter((F.col("cooccurrence") > 0) & (F.col("_in").isNull() | (F.col("dst") == F.col("target"))))
     w = Window.partitionBy("order_id", "target").orderBy(F.desc("cooccurrence"), "dst")
-    return (d.withColumn("rang", F.row_number().over(w)).filter(F.col("rang") <= k)
-            .select("order_id", "target", F.col("dst").alias("candidat"), "cooccurrence", "rang", (F.col("dst") == F.col("target")).cast("int").alias("label")))
+    d = d.withColumn("rang", F.row_number().over(w)).filter(F.col("rang") <= k)
+    d = d.join(stats["popularity"].withColumnRenamed("produit_key", "dst"), ["window", "dst"], "left")
+    n = F.col("cooccurrence").cast("double")
+    return d.select("order_id", "window", "target", F.col("dst").alias("candidat"), "cooccurrence", (n / (1 + F.log1p(F.col("pop").cast("double")))).alias("bm25"), (n / F.greatest("pop", F.lit(1))).alias("lift"),
+                    "pop", "n_sources", "rang", (F.col("dst") == F.col("target")).cast("int").alias("label"))

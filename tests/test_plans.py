@@ -14,6 +14,7 @@ from marketlens.operators import schema as SC
 from marketlens.plans import evaluate as E
 from marketlens.plans import forecast as P
 from marketlens.plans import pricing as PR
+from marketlens.plans import recsys as R
 from marketlens.sources import lake, tables
 
 D0 = dt.date(2024, 1, 1)
@@ -215,3 +216,24 @@ def test_masked_context_never_contains_the_target(spark):
     t = R.masked_target(lines)
     assert [(r["order_id"], r["target"]) for r in t.collect()] == [("o1", "a")]
     assert [r["produit_key"] for r in R.masked_context(lines, t).collect()] == ["b"]
+
+
+def test_later_orders_change_no_complement_score(spark):
+    """Statistics of a window come from strictly earlier orders only."""
+    days = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(16)]
+    rows = [(f"o{i}", d, p, "cat") for i, d in enumerate(days) for p in ("a", "b", f"p{i % 3}")]
+    lines = spark.createDataFrame(rows, "order_id string, ds date, produit_key string, categorie string")
+    stats = R.basket_statistics(lines)
+    scores = R.complement_scores(R.masked_context(lines, R.masked_target(lines)), stats).collect()
+    windows = {r["order_id"]: r["window"] for r in R.order_windows(lines).collect()}
+    assert sorted(set(windows.values())) == [1, 2, 3, 4] and {r["window"] for r in scores} == {2, 3, 4}
+    first = min(d for i, d in enumerate(days) if windows[f"o{i}"] == 2)
+    earlier = [x for x in rows if x[1] < first]
+    by_hand = {}
+    for order in {x[0] for x in earlier}:
+        items = {x[2] for x in earlier if x[0] == order}
+        for x in items:
+            for y in items - {x}:
+                by_hand[x, y] = by_hand.get((x, y), 0) + 1
+    got = {(r["src"], r["dst"]): r["n_commandes"] for r in R.neighbours(stats["cooccurrence"], "n_commandes").filter("window = 2").collect()}
+    assert got == by_hand
