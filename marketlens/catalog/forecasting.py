@@ -32,16 +32,17 @@ def _(t):
 
 
 @query("for2_signal_baselines", """
-with d as (select produit_key, ds, y, en_promotion, isodow(ds)::int - 1 as dow from panel), tr as (select * from d where ds < date '2001-01-01'), te as (select * from d where ds >= date '2001-01-01'),
-pm as (select produit_key, avg(y) m from tr group by 1), pd2 as (select produit_key, dow, avg(y) m from tr group by 1, 2), dw as (select dow, avg(y) filter (not en_promotion) m from tr group by 1),
+with d as (select produit_key, ds, y, en_promotion, isodow(ds)::int - 1 as dow from panel), tr as (select * from d where ds < date '2001-01-01'), te as (select * from d where ds >= date '2001-01-01'), la as (select max(ds) as l from tr),
+pm as (select produit_key, avg(y) m, arg_max(y, ds)::double as v, avg(y) filter (ds >= l - 27) as r from tr, la group by 1), pd2 as (select produit_key, dow, avg(y) m, max(y) filter (ds > l - 7) as w from tr, la group by 1, 2),
 up as (select avg(y) filter (en_promotion) / avg(y) filter (not en_promotion) as u, avg(y) as g from tr)
-select te.produit_key, ds, 0.0::double as zero, g as global, coalesce(pm.m, g) as product, coalesce(pd2.m, pm.m, g) as product_weekday, coalesce(dw.m, g) * case when en_promotion then u else 1.0 end as weekday_promo
-from te, up left join pm on pm.produit_key = te.produit_key left join pd2 on pd2.produit_key = te.produit_key and pd2.dow = te.dow left join dw on dw.dow = te.dow""")
+select te.produit_key, ds, 0.0::double as zero, g as global, coalesce(pm.m, g) as product, coalesce(pd2.m, pm.m, g) as product_weekday, coalesce(pm.r, g) as mean28, coalesce(pm.v, 0)::double as naive, coalesce(pd2.w, pm.m, 0)::double as seasonal_naive7,
+  coalesce(pd2.m, pm.m, g) * case when en_promotion then u else 1.0 end as weekday_promo
+from te, up left join pm on pm.produit_key = te.produit_key left join pd2 on pd2.produit_key = te.produit_key and pd2.dow = te.dow""")
 def _(t):
-    from marketlens.plans.baselines import signal_baselines
+    from marketlens.plans.baselines import SIGNALS, signal_baselines
     d = t.panel.withColumn("dow", F.weekday("ds"))
     cut = F.lit("2001-01-01").cast("date")
-    return signal_baselines(d.filter(F.col("ds") < cut), d.filter(F.col("ds") >= cut)).select("produit_key", "ds", "zero", "global", "product", "product_weekday", "weekday_promo")
+    return signal_baselines(d.filter(F.col("ds") < cut), d.filter(F.col("ds") >= cut)).select("produit_key", "ds", *SIGNALS)
 
 
 def _train(t):

@@ -49,9 +49,10 @@ def _(t):
 
 @query("joi2_star_join", """
 select vente_id, produit_key, ds, categorie, coalesce(m.remise_pct, 0)::int as remise_pct from sales s join products using (produit_key)
-left join promotions m on m.promo_key = s.promo_key where ds in (select distinct ds from stock)""")
+left join promotions m on m.promo_key = s.promo_key where ds is not null""")
 def _(t):
-    return (J.star_join(t.sales, t.stock.select("ds").distinct(), t.products, t.promotions)
+    span = t.sales.agg(F.min("ds").alias("lo"), F.max("ds").alias("hi"))  # the calendar of all sales
+    return (J.star_join(t.sales, span.select(F.explode(F.sequence("lo", "hi")).alias("ds")), t.products, t.promotions)
             .select("vente_id", "produit_key", "ds", "categorie", "remise_pct"))
 
 

@@ -1,14 +1,21 @@
 """Column functions: text, dates, money, hashing, encodings. All stay inside code generation."""
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# fixed values: accented Latin letters and their plain forms
-ACCENTED = "àâäáãåçéèêëíìîïñóòôöõúùûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+def plain_letters() -> dict[str, str]:
+    """Letters whose compatibility decomposition is one letter and combining marks, and that letter."""
+    pairs = {}
+    for code in range(0xC0, 0x2000):
+        base = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
+        if len(base) == 1 and base != chr(code) and chr(code).isalpha():
+            pairs[chr(code)] = base
+    return pairs
+
 
 # fixed values: event weights, funnel steps
 EVENT_WEIGHTS = {"view": 1.0, "click": 2.0, "add_to_cart": 3.0, "purchase": 5.0}
@@ -28,8 +35,9 @@ def ratio(num, den) -> Column:
 
 
 def strip_accents_lower(text: Column) -> Column:
-    """Lower case without combining marks."""
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
+    """Lower case without combining marks, written together with their letter or behind it."""
+    pairs = plain_letters()
+    return F.regexp_replace(F.translate(F.lower(text), "".join(pairs), "".join(pairs.values())), r"\p{M}+", "")
 
 
 def is_upper_category(text: Column) -> Column:

@@ -59,7 +59,9 @@ def backtest_windows(spark, last_day, backs: Sequence[int], length: int = 30) ->
 def backtest_naive(days: DataFrame, windows: DataFrame, key: str = "unique_id") -> DataFrame:
     """The naive family on every window in one plan: each day row is used only by the windows that need it."""
     w = F.broadcast(windows)
-    recent = days.join(w, F.col("ds").between(F.date_sub("start", 28), F.date_sub("start", 1)))
+    # The last 28 rows of each series before each window, however long ago: a series may have gaps or have ended.
+    newest = F.row_number().over(Window.partitionBy(key, "window").orderBy(F.desc("ds")))
+    recent = days.join(w, F.col("ds") < F.col("start")).withColumn("_r", newest).filter(F.col("_r") <= 28)
     pairs = F.sort_array(F.collect_list(F.struct("ds", F.col("y").cast("double").alias("y"))))
     arrays = recent.groupBy(key, "window").agg(F.transform(pairs, lambda p: p["y"]).alias("ys"))
     overall = days.join(w, F.col("ds") < F.col("start")).groupBy("window").agg(F.avg("y").alias("_g"))

@@ -205,9 +205,10 @@ def arm_learners(train: DataFrame, test: DataFrame, arms: Sequence[int], columns
     s = gbt("s").fit(assemble(train, [*columns, "remise_pct"], "y"))
     rows = test.select("produit_key", "ds", "y", *columns).withColumn("remise_pct", F.explode(F.array(*[F.lit(a) for a in arms])))
     scored = s.transform(assemble(rows.withColumn("arm", F.col("remise_pct")), [*columns, "remise_pct"], "y")).select("produit_key", "ds", F.col("arm"), "s", *columns, F.lit(0).alias("y"))
-    parts = None
+    parts, seen = None, {r[0] for r in train.select("remise_pct").distinct().filter(F.col("remise_pct").isin(*arms)).collect()}  # at most one row per arm
     for a in arms:
-        sub = train.filter(F.col("remise_pct") == a)
+        # An arm without rows takes the model of all rows.
+        sub = train.filter(F.col("remise_pct") == a) if a in seen else train
         t = gbt("t").fit(assemble(sub, columns, "y")).transform(assemble(scored.filter(F.col("arm") == a), columns, "y")).drop("features")
         parts = t if parts is None else parts.unionByName(t)
     w = Window.partitionBy("produit_key", "ds").orderBy("arm").rowsBetween(Window.unboundedPreceding, 0)
