@@ -177,9 +177,9 @@ def _(t):
     return rounded(E.beyond_accuracy(recs(t), t.products, pop), ("nouveaute",), 8)
 
 
-@query("eva12_client_segments", "with n as (select client_key, count(*) n from confirmed where year(ds) = 2001 group by 1) select client_key, case when n is null then 'demarrage_a_froid' when n >= (select median(n) from n) then 'actif' else 'peu_actif' end as segment from clients left join n using (client_key)")
+@query("eva12_client_segments", "with n as (select client_key, count(*) n from confirmed group by 1) select client_key, case when n is null then 'demarrage_a_froid' when n >= (select median(n) from n) then 'actif' else 'peu_actif' end as segment from clients left join n using (client_key)")
 def _(t):
-    return E.client_segments(t.confirmed.filter("year(ds) = 2001"), t.clients)
+    return E.client_segments(t.confirmed, t.clients)
 
 
 def paired(t):

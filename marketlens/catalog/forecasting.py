@@ -77,7 +77,7 @@ def _(t):
 
 @query("for7_direct_forecast")
 def _(t):
-    return P.direct_forecast(_features(t), ["y_lag1", "y_lag7", "y_ma28", "dow"], "2001-06-01", (1, 7), trees=5, depth=3)
+    return P.stacked_forecast(_features(t), ["y_lag1", "y_lag7", "y_ma28", "dow"], "2001-06-01")
 
 
 @query("for8_stacked_horizon_frame", """

@@ -34,15 +34,15 @@ DECISIONS = """dec as (select produit_key, ds, cast(ds as timestamp) + interval
 
 @query("joi1_resolve_surrogate_keys", """
 select vente_id, p.produit_key, c.client_key, m.promo_key, quantite from (select vente_id, quantite, promo_key as promotion_id,
-  'P' || substr(produit_key, 4)::int as product_id, 'C' || substr(client_key, 4)::int as customer_id from sales) s
-left join products p using (product_id) left join (select customer_id, client_key from clients where region <> 'ASIA') c using (customer_id)
+  'P' || substr(produit_key, 4)::int as product_id, case when quantite = 50 then 'inconnu' else 'C' || substr(client_key, 4)::int end as customer_id from sales) s
+left join products p using (product_id) left join (select customer_id, client_key from clients) c using (customer_id)
 left join (select promo_key, promo_key as promotion_id from promotions) m using (promotion_id)""")
 def _(t):
     fact = t.sales.select("vente_id", "quantite", F.col("promo_key").alias("promotion_id"),
                           F.concat(F.lit("P"), F.substring("produit_key", 4, 6).cast("int")).alias("product_id"),
-                          F.concat(F.lit("C"), F.substring("client_key", 4, 6).cast("int")).alias("customer_id"))
+                          F.when(F.col("quantite") == 50, "inconnu").otherwise(F.concat(F.lit("C"), F.substring("client_key", 4, 6).cast("int"))).alias("customer_id"))
     promos = t.promotions.select("promo_key", F.col("promo_key").alias("promotion_id"))
-    return (J.resolve_surrogate_keys(fact, [(t.products, "product_id", "produit_key"), (t.clients.filter("region <> 'ASIA'"), "customer_id", "client_key"),
+    return (J.resolve_surrogate_keys(fact, [(t.products, "product_id", "produit_key"), (t.clients, "customer_id", "client_key"),
                                             (promos, "promotion_id", "promo_key")])
             .select("vente_id", "produit_key", "client_key", "promo_key", "quantite"))
 

@@ -106,12 +106,12 @@ def _(t):
     return R.client_list(K.client_status(K.purchase_rhythm(t.confirmed), ref), 300).select("client_key", "statut", "jours_inactif", "ca_total")
 
 
-LISTS = """l2 as (select client_key, produit_key, count(*)::double as score from confirmed group by 1, 2), l3 as (select client_key, produit_key, sum(montant_net) as score from confirmed where year(ds) >= 2000 group by 1, 2)"""
+LISTS = """l2 as (select client_key, produit_key, count(*)::double as score from confirmed group by 1, 2), l3 as (select client_key, produit_key, sum(montant_net) as score from confirmed group by 1, 2)"""
 
 
 def _lists(t):
     return [scores(t), t.confirmed.groupBy("client_key", "produit_key").agg(F.count(F.lit(1)).cast("double").alias("score")),
-            t.confirmed.filter("year(ds) >= 2000").groupBy("client_key", "produit_key").agg(F.sum("montant_net").alias("score"))]
+            t.confirmed.groupBy("client_key", "produit_key").agg(F.sum("montant_net").alias("score"))]
 
 
 @query("top7_rrf", f"""

@@ -79,15 +79,14 @@ def _(t):
 
 
 @query("rec4_content_score", f"""
-with {LN}, sel as (select * from ln where year(ds) < 1998), wv as (select w.client_key, p.categorie from web w join products p using (produit_key) where event_type in ('view', 'add_to_cart') and client_key is not null and produit_key in (select produit_key from sel)),
+with {LN}, sel as (select * from ln), wv as (select w.client_key, p.categorie from web w join products p using (produit_key) where event_type in ('view', 'add_to_cart') and client_key is not null and produit_key in (select produit_key from sel)),
 sb as (select client_key, categorie, count(*) / sum(count(*)) over (partition by client_key) as v from sel group by 1, 2), sw as (select client_key, categorie, count(*) / sum(count(*)) over (partition by client_key) as v from wv group by 1, 2),
 pr as (select client_key, avg(prix_base) as ref from sel group by 1), s as (select produit_key, count(distinct client_key)::double n from sel group by 1), gp as (select produit_key, n / (select max(n) from s) as pop from s)
 select cd.client_key, cd.produit_key, round(coalesce(0.7::double * case when cd.client_key in (select client_key from sb) then coalesce(sb.v, 0) when cd.client_key in (select client_key from sw) then coalesce(sw.v, 0) end
   + 0.3::double * case when ref is not null then 1 / (1 + abs(p.prix_base - ref) / greatest(ref, 1)) else 0.5 end, pop, 0), 8) as score
 from cd join products p using (produit_key) left join sb on sb.client_key = cd.client_key and sb.categorie = p.categorie left join sw on sw.client_key = cd.client_key and sw.categorie = p.categorie left join pr on pr.client_key = cd.client_key left join gp on gp.produit_key = cd.produit_key""")
 def _(t):
-    early = t.confirmed.filter("year(ds) < 1998")
-    return R.content_score(early, t.web, t.products, candidates(t)).withColumn("score", r("score", 8))
+    return R.content_score(t.confirmed, t.web, t.products, candidates(t)).withColumn("score", r("score", 8))
 
 
 BM25 = """mx as (select client_key, produit_key, count(*)::double as v from confirmed group by 1, 2), ln2 as (select client_key, sum(v) as l from mx group by 1), st as (select avg(l) as av, count(*) as n from ln2), dfq as (select produit_key, count(*) as f from mx group by 1),
@@ -197,13 +196,13 @@ def _(t):
 
 
 @query("rec13_client_profiles", f"""
-with {LN}, sel as (select * from ln where year(ds) = 2000), n as (select client_key, categorie, count(*) c from sel group by 1, 2), tt as (select client_key, sum(c)::bigint as na, count(*) as nc from n group by 1),
+with {LN}, sel as (select * from ln), n as (select client_key, categorie, count(*) c from sel group by 1, 2), tt as (select client_key, sum(c)::bigint as na, count(*) as nc from n group by 1),
 d as (select n.*, na, nc, (sum(c) over (partition by client_key order by c desc, categorie) - c) / na < 0.6::double - 1e-12::double as dom from n join tt using (client_key)),
 p as (select client_key, any_value(na) as n_achats, any_value(nc) as n_categories, count(case when dom then 1 end) as nd, string_agg(categorie, '|' order by categorie) filter (dom) as cats from d group by 1),
 q as (select *, case when n_achats < 3 then 'moins_de_3_achats' when n_categories < 2 then 'moins_de_2_categories' when nd >= n_categories and n_categories > 2 then 'profil_trop_diffus' end as raison from p)
 select client_key, n_achats, n_categories, raison is null as eligible, raison, case when raison is null then cats else '' end as dominantes from q""")
 def _(t):
-    return R.client_profiles(lines(t).filter("year(ds) = 2000"))
+    return R.client_profiles(lines(t))
 
 
 @query("rec14_candidate_policy", f"""
@@ -214,11 +213,11 @@ def _(t):
 
 
 @query("rec14_score_with_fallback", f"""
-with {LN}, a as (select client_key, produit_key, sum(quantite)::double s from confirmed where year(ds) = 2001 group by 1, 2), g as (select produit_key, count(distinct client_key)::double n from confirmed group by 1)
+with {LN}, a as (select client_key, produit_key, sum(quantite)::double s from confirmed group by 1, 2), g as (select produit_key, count(distinct client_key)::double n from confirmed group by 1)
 select client_key, produit_key, case when client_key in (select client_key from a) then coalesce(s, 0.0) else coalesce(n / (select max(n) from g), 0.0) end as score, case when client_key in (select client_key from a) then 'achats' else 'popularite' end as modele
 from cd left join a using (client_key, produit_key) left join g using (produit_key)""")
 def _(t):
-    own = t.confirmed.filter("year(ds) = 2001").groupBy("client_key", "produit_key").agg(F.sum("quantite").cast("double").alias("score"))
+    own = t.confirmed.groupBy("client_key", "produit_key").agg(F.sum("quantite").cast("double").alias("score"))
     return R.score_with_fallback(candidates(t), [("achats", own), ("popularite", R.popularity(t.confirmed))])
 
 

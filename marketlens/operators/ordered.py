@@ -6,11 +6,12 @@ forward. The second step sees chunks, not rows, so its size is the number of sli
 """
 from __future__ import annotations
 
+import atexit
 import json
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
@@ -24,13 +25,22 @@ def time_chunk(ts: str, seconds: int) -> Column:
     return F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / seconds)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder through the session's file systems; nothing once the session has ended."""
+    context = spark.sparkContext
+    if context._jsc is not None:
+        folder = context._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Writes an intermediate result once to the shared checkpoint folder and reads it back.
 
     Used where a result is needed several times (sampling, chunks, carried rows): the work before it is done once,
-    its lineage ends there, and the loss of an executor does not bring it back.
+    its lineage ends there, and the loss of an executor does not bring it back. Lazy results read the files, so they are deleted when the session's process ends.
     """
     path = f"{checkpoint_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    atexit.register(remove, df.sparkSession, path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -44,13 +54,15 @@ def carry_over(df: DataFrame, keys: Sequence[str], summary: dict[str, Column],
     return per_chunk.select(*keys, CHUNK, *[combine(n).over(earlier).alias(n) for n in summary])
 
 
-def range_chunks(df: DataFrame, order: Sequence[Column], chunks: int = 64, sample: int = 1024) -> DataFrame:
+def range_chunks(df: DataFrame, order: Sequence[Column], chunks: int | None = None, sample: int | None = None) -> DataFrame:
     """Adds a chunk number that grows with the sort key (ascending, all parts of the key together).
 
-    The input is written once, then cut points come from a hash sample of at most `sample` keys. They only balance the chunks; results
-    never depend on them. Including the tie-break column in `order` also splits long runs of equal values.
+    The input is written once, then cut points come from a hash sample of keys. Chunks are twice the shuffle partitions by default, as the session
+    sets these by the size of the data, and the sample 16 keys a chunk. Cut points only balance the chunks; results never depend on them. Including the tie-break column in `order` also splits long runs of equal values.
     """
     df = materialise(df)
+    chunks = chunks or max(64, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sample = sample or 16 * chunks
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
     slot = F.pmod(F.xxhash64("k"), F.lit(sample))
     rows = (df.select(key.alias("k")).groupBy(slot.alias("slot"))

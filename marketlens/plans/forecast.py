@@ -238,6 +238,34 @@ def stacked_horizon_frame(features: DataFrame, test_start: Column, horizons: Seq
     return rows.join(targets, [key, "target_ds"])
 
 
+def stacked_forecast(features: DataFrame, columns: Sequence[str], origin, settings: Sequence[tuple[int, int]] = ((20, 3), (40, 3)), horizons: Sequence[int] = tuple(range(1, 31)), gap: int = 30, key: str = "unique_id") -> DataFrame:
+    """All horizons by one boosted-tree model with the horizon as a feature, trained on targets known at the origin, the last day of history.
+
+    The number of trees and their depth are those with the lowest relative error when the same is done `gap` days earlier.
+    """
+    from pyspark.ml.regression import GBTRegressor
+    names = [*columns, "horizon", "target_dow", "target_month", "planned_discount"]
+    day = F.lit(origin).cast("date")
+
+    def dated(d: DataFrame) -> DataFrame:
+        return d.withColumn("target_dow", F.weekday("target_ds")).withColumn("target_month", F.month("target_ds"))
+
+    def scored(at: Column, trees: int, depth: int) -> DataFrame:
+        train = assemble(dated(stacked_horizon_frame(features, F.date_add(at, 1), horizons, key=key)), names, "target")
+        rows = features.filter(F.col("ds") == at).withColumn("horizon", F.explode(F.lit(list(horizons)))).withColumn("target_ds", F.expr("date_add(ds, horizon)"))
+        targets = features.select(key, F.col("ds").alias("target_ds"), F.col("y").alias("target"), F.col("remise_pct").alias("planned_discount"))
+        test = assemble(dated(rows.join(targets, [key, "target_ds"], "left").withColumn("target", F.coalesce("target", F.lit(0)))), names, "target")
+        model = GBTRegressor(labelCol="target", featuresCol="features", maxIter=trees, maxDepth=depth, seed=42).fit(train)
+        return model.transform(test).select(key, "target_ds", F.col("horizon").cast("int").alias("h"), F.col("target").alias("y"), F.greatest("prediction", F.lit(0.0)).alias("pred"))
+
+    def error(setting: tuple[int, int]) -> float:
+        past = scored(F.date_sub(day, gap), *setting)
+        return past.agg(F.sum(F.abs(F.col("pred") - F.col("y"))) / F.greatest(F.sum("y"), F.lit(1.0))).first()[0]
+
+    best = min(settings, key=error) if len(settings) > 1 else settings[0]
+    return scored(day, *best)
+
+
 def cumulative_model(train: DataFrame, test: DataFrame, columns: Sequence[str], label: str = "target_sum_30", family: str = "tweedie") -> DataFrame:
     """Direct model of the 30-day total: Tweedie regression with log link, or boosted trees with absolute loss."""
     from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
