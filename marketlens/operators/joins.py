@@ -71,28 +71,30 @@ def overlap_count(episodes: DataFrame, key: str = "produit_key", start: str = "d
             .drop("_e", "_n_started", "_n_ended"))
 
 
+#: Slice for facts with one instant a day: a key has at most so many rows in a slice.
+HALF_YEAR = 180 * 86400
+
+
 def counts_before(left: DataFrame, facts: DataFrame, keys: Sequence[str], ts: str, fact_ts: str,
-                  measures: dict[str, Column], trailing: dict[str, int] | None = None) -> DataFrame:
+                  measures: dict[str, Column], trailing: dict[str, int] | None = None, seconds: int = 86400) -> DataFrame:
     """Adds sums of facts strictly before `ts`; `trailing` adds `<measure>_<suffix>` over [ts - days, ts).
 
-    Rows with a NULL key or without earlier facts get 0.
+    Rows with a NULL key or without earlier facts get 0. All instants that are asked for share one pass of running sums, over slices of
+    `seconds`, and come back in one row per key and instant.
     """
-    trailing = trailing or {}
+    slots = {"": 0, **{f"_{suffix}": n for suffix, n in (trailing or {}).items()}}
     named = facts.select(*keys, F.col(fact_ts).cast("timestamp").alias("_t"), *[c.alias(n) for n, c in measures.items()])
     at = left.withColumn("_t", F.col(ts).cast("timestamp"))
-    known = at.filter(" and ".join(f"`{k}` is not null" for k in keys))
-    probes = known.select(*keys, "_t")
-    for n in trailing.values():
-        probes = probes.unionByName(known.select(*keys, (F.col("_t") - days(n)).alias("_t")))
-    sums = prefix_at(named, probes, keys, "_t", {n: F.col(n) for n in measures})
-    zero = {n: F.coalesce(F.col(n), F.lit(0)) for n in measures}
-    out = at.join(sums, [*keys, "_t"], "left").withColumns(zero)
-    for suffix, n in trailing.items():
-        older = sums.select(*keys, (F.col("_t") + days(n)).alias("_t"), *[F.col(m).alias(f"_old_{m}") for m in measures])
-        out = (out.join(older, [*keys, "_t"], "left")
-               .withColumns({f"{m}_{suffix}": F.col(m) - F.coalesce(f"_old_{m}", F.lit(0)) for m in measures})
-               .drop(*[f"_old_{m}" for m in measures]))
-    return out.drop("_t")
+    known = at.filter(" and ".join(f"`{k}` is not null" for k in keys)).select(*keys, "_t").distinct()
+    instants = F.array(*[F.struct(F.lit(i).alias("slot"), (F.col("_t") - days(n)).alias("at")) for i, n in enumerate(slots.values())])
+    asked = known.select(*keys, "_t", F.explode(instants).alias("_a")).select(*keys, "_t", "_a.slot", "_a.at")
+    sums = prefix_at(named, asked.select(*keys, F.col("at").alias("_t")), keys, "_t", {n: F.col(n) for n in measures}, seconds)
+    found = asked.join(sums.withColumnRenamed("_t", "at"), [*keys, "at"], "left")
+    wide = found.groupBy(*keys, "_t").agg(*[F.max(F.when(F.col("slot") == i, F.col(m))).alias(f"_{i}_{m}") for m in measures for i in range(len(slots))])
+    out = at.join(wide, [*keys, "_t"], "left")
+    value = {(i, m): F.coalesce(f"_{i}_{m}", F.lit(0)) for m in measures for i in range(len(slots))}
+    added = {f"{m}{suffix}": value[0, m] if not i else value[0, m] - value[i, m] for i, suffix in enumerate(slots) for m in measures}
+    return out.withColumns(added).drop("_t", *[f"_{i}_{m}" for i, m in value])
 
 
 def stock_available_at(stock: DataFrame, cutoff: Column) -> DataFrame:
@@ -104,10 +106,10 @@ def stock_available_at(stock: DataFrame, cutoff: Column) -> DataFrame:
 
 def client_history_asof(exposures: DataFrame, purchases: DataFrame, ts: str = "impression_timestamp") -> DataFrame:
     """Purchase count, recency (9999 if none), 90-day frequency and same-category count strictly before the impression."""
-    counted = counts_before(exposures, purchases, ["client_key"], ts, "ds", {"n_achats": F.lit(1)}, {"90j": 90})
-    by_cat = counts_before(counted, purchases, ["client_key", "categorie"], ts, "ds", {"affinite_categorie": F.lit(1)})
+    counted = counts_before(exposures, purchases, ["client_key"], ts, "ds", {"n_achats": F.lit(1)}, {"90j": 90}, HALF_YEAR)
+    by_cat = counts_before(counted, purchases, ["client_key", "categorie"], ts, "ds", {"affinite_categorie": F.lit(1)}, seconds=HALF_YEAR)
     last = asof_before(by_cat, purchases.select("client_key", F.col("ds").cast("timestamp").alias("_bought")),
-                       ["client_key"], ts, "_bought", [])
+                       ["client_key"], ts, "_bought", [], seconds=HALF_YEAR)
     age = (F.unix_micros(ts) - F.unix_micros("_bought")) / F.lit(86400000000.0)
     known = F.col("client_key").isNotNull() & F.col("_bought").isNotNull()
     return last.withColumn("recence_jours", F.when(known, age).otherwise(9999.0)).drop("_bought")
@@ -115,7 +117,7 @@ def client_history_asof(exposures: DataFrame, purchases: DataFrame, ts: str = "i
 
 def product_popularity_asof(exposures: DataFrame, purchases: DataFrame, ts: str = "impression_timestamp") -> DataFrame:
     """Units sold before the impression, in total and over the previous 28 days."""
-    return counts_before(exposures, purchases, ["produit_key"], ts, "ds", {"popularite": F.col("quantite")}, {"28j": 28})
+    return counts_before(exposures, purchases, ["produit_key"], ts, "ds", {"popularite": F.col("quantite")}, {"28j": 28}, HALF_YEAR)
 
 
 def session_context(exposures: DataFrame, web: DataFrame, columns: Sequence[str] = ("appareil", "source_trafic", "canal")) -> DataFrame:
