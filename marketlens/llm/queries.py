@@ -15,9 +15,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str):
+def query(name: str, sql: str | None = None):
     def register(fn):
         QUERIES[name] = fn
+        if sql is not None:
+            ORACLES[name] = sql
         return fn
     return register
 
@@ -50,7 +52,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, model, keep=["doc_id"]).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
-@query("op2_minhash_neardup")
+@query("op2_minhash_neardup", r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents where text is not null),
+s as (select doc_id, unnest(list_distinct(case when len(ws) >= 5 then list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end)) as g from w),
+n as (select doc_id, count(*) as n from s group by 1), p as (select x.doc_id as a, y.doc_id as b, count(*) as k from s x join s y on x.g = y.g and x.doc_id < y.doc_id group by 1, 2),
+e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 85 * (x.n + y.n - k)), l as (select a, b from e union all select b, a from e),
+r as (select a as doc_id, b as other from l union select r.doc_id, l.b from r join l on l.a = r.other), m as (select doc_id, min(other) as other from r group by 1)
+select d.doc_id, coalesce(n, 0) as n_shingles, least(d.doc_id, coalesce(other, d.doc_id)) as component_id, d.doc_id = least(d.doc_id, coalesce(other, d.doc_id)) as kept from documents d left join n using (doc_id) left join m using (doc_id)""")
 def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
 
