@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from marketlens.session import checkpoint_dir
 
 #: One block holds about this many bytes of text; a longer document is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 #: A task keeps the ids of at most so many distinct words.
 CACHE_WORDS = 200_000
 #: A space that white space precedes and no other character follows: here words can't be cut apart at spaces.

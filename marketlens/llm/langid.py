@@ -20,6 +20,8 @@ BUCKETS = 1 << 15
 PENALTY = 12.0
 #: A language is a candidate for a script from this share of its words on.
 SCRIPT_SHARE = 0.005
+#: Texts that are labelled together; their words advance side by side, so larger blocks take fewer steps.
+LABEL_BYTES = 4 << 20
 UNKNOWN = "und"
 #: Script ranges as (first, last) UTF-8 lead byte of their code points; ASCII letters are Latin too.
 SCRIPTS = (("latin", 0xC3, 0xCA), ("greek", 0xCD, 0xCF), ("cyrillic", 0xD0, 0xD4), ("armenian_hebrew", 0xD5, 0xD7), ("arabic", 0xD8, 0xDC),
@@ -188,7 +190,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: li
     context = docs.sparkSession.sparkContext
     shared = context.broadcast((model.languages, model.logp, model.candidates))  # BUCKETS rows per language
     outputs = "lang_pred string, score double" + ", spans array<struct<first:int,last:int,lang:string>>" * spans
-    made = map_texts(docs, text, outputs, lambda m, t: label_texts(m, t, penalty)[:2 + spans], keep, lambda: LanguageModel(*shared.value))
+    made = map_texts(docs, text, outputs, lambda m, t: label_texts(m, t, penalty)[:2 + spans], keep, lambda: LanguageModel(*shared.value), LABEL_BYTES)
     return made
 
 
