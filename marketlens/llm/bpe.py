@@ -15,7 +15,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import by_spaced_words, map_texts
+from marketlens.llm.common import CACHE_WORDS, by_spaced_words, map_texts
 
 NONE = 2147483647
 BUCKETS = 1 << 16
@@ -98,14 +98,20 @@ def fold_bytes(word: bytes, table: dict[bytes, int]) -> list[int]:
     own = table.get(word)
     if own is not None:
         return [own]
-    pieces = [word[i:i + 1] for i in range(len(word))]
-    while len(pieces) > 1:
-        found = [table.get(a + b, NONE) for a, b in zip(pieces, pieces[1:])]
+    rank, pieces = table.get, [word[i:i + 1] for i in range(len(word))]
+    found = [rank(word[i:i + 2], NONE) for i in range(len(word) - 1)]
+    while found:
         lowest = min(found)
         if lowest == NONE:
             break
         at = found.index(lowest)
-        pieces[at:at + 2] = [pieces[at] + pieces[at + 1]]
+        joined = pieces[at] + pieces[at + 1]
+        pieces[at:at + 2] = [joined]
+        del found[at]
+        if at:
+            found[at - 1] = rank(pieces[at - 1] + joined, NONE)
+        if at < len(found):
+            found[at] = rank(joined + pieces[at + 1], NONE)
     return [table[p] for p in pieces]
 
 
@@ -121,11 +127,21 @@ def encoder(path: str, pattern: str, known: dict[bytes, list[int]]) -> Callable[
     long_ = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=table, special_tokens={})
     words = regex.compile(pattern)
 
+    folded: dict[str, list[int]] = {}
+
+    def word_ids(word: str) -> list[int]:
+        raw = word.encode()
+        if len(raw) > LONG_WORD:
+            return long_.encode_ordinary(word)
+        if len(folded) >= CACHE_WORDS:
+            folded.clear()
+        ids = folded[word] = known.get(raw) or fold_bytes(raw, table)
+        return ids
+
     def piece_ids(text: str) -> bytes:
         ids: list[int] = []
         for word in words.findall(text):
-            raw = word.encode()
-            ids += known.get(raw) or (fold_bytes(raw, table) if len(raw) <= LONG_WORD else long_.encode_ordinary(word))
+            ids += folded.get(word) or word_ids(word)
         return np.asarray(ids, dtype="<u4").tobytes()
 
     return by_spaced_words(piece_ids)
