@@ -117,7 +117,8 @@ def fold_bytes(word: bytes, table: dict[bytes, int]) -> list[int]:
 
 def encoder(path: str, pattern: str, known: dict[bytes, list[int]]) -> Callable[[str], bytes]:
     """Text to ids as little-endian unsigned 32-bit integers; each distinct word of a task is folded once, as long as it is kept."""
-    import numpy as np
+    from array import array
+
     import regex
     import tiktoken
 
@@ -139,10 +140,12 @@ def encoder(path: str, pattern: str, known: dict[bytes, list[int]]) -> Callable[
         return ids
 
     def piece_ids(text: str) -> bytes:
+        if text[1:].isalpha() and text[0] == " ":  # one match of the pattern
+            return array("I", word_ids(text)).tobytes()
         ids: list[int] = []
         for word in words.findall(text):
             ids += folded.get(word) or word_ids(word)
-        return np.asarray(ids, dtype="<u4").tobytes()
+        return array("I", ids).tobytes()
 
     return by_spaced_words(piece_ids)
 
