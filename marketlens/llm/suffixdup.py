@@ -233,12 +233,13 @@ def counted_runs(rows: DataFrame, scratch: Scratch) -> DataFrame:
 def repeated_spans(docs: DataFrame, scratch: Scratch, merge_rows: int = MERGE_ROWS) -> DataFrame:
     """(doc_id, mark, spans) of docs (doc_id, mark, text): spans [from, to) of repeated bytes, not yet united; texts without any are left out."""
     found = scratch.table("segments", find_segments(docs))
-    twice = found.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor")
+    # Written first, so that the join deals both sides out itself and can split the rows of a frequent anchor.
+    twice = scratch.table("twice", found.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor"))
     alike = scratch.table("alike", found.join(twice, "anchor"))
-    scratch.drop("segments")
+    scratch.drop("segments", "twice")
     kinds = alike.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "loc")).alias("rep"))
     kinds = scratch.table("kinds", kinds)
-    several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    several = scratch.table("several", kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
     compared = scratch.table("compared", kinds.join(several, "anchor").select("anchor", "segment", "n", "kinds", "rep.*"))
     asked = compared.select("doc_id", unpacked("mark").alias("mark"), F.struct("anchor", "segment", "n", "kinds", unpacked("start").cast("int").alias("start"), unpacked("count").cast("int").alias("count"), unpacked("offset").cast("int").alias("offset")).alias("ask"))
     asked = asked.groupBy("doc_id", "mark").agg(F.collect_list("ask").alias("asks"))  # at most one per byte of one text
@@ -259,7 +260,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, merge_rows: int = MERGE_RO
     spans = F.transform(F.coalesce("runs", all_), lambda r: F.struct((start + r["first"]).alias("from"), (start + r["last"] + LENGTH).alias("to")))
     made = alike.join(results, ["anchor", "segment"]).select("doc_id", unpacked("mark").alias("mark"), F.explode(spans).alias("span"))
     out = scratch.table("spans", made.groupBy("doc_id", "mark").agg(F.collect_list("span").alias("spans")))
-    scratch.drop("alike", "kinds", "compared", "cut", "strings", "runs")
+    scratch.drop("alike", "kinds", "several", "compared", "cut", "strings", "runs")
     return out
 
 
