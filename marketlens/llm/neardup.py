@@ -132,23 +132,26 @@ def listed(classes: DataFrame, scratch: Scratch) -> DataFrame:
     """Inverted lists (v, cid, n, held): of each sketch the rarest values that it can't miss to share, where two classes or more list them."""
     limits = F.lit([0, *[min(n, K) - must_share(n) + 1 for n in range(1, K + 1)]])
     values = classes.select("cid", "n", F.explode("sketch").alias("v"))
-    common = values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
+    # Counts are written first, so that the join deals both sides out itself and can split the rows of a frequent value.
+    common = scratch.table("common", values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"))
     shared = values.join(common, "v").groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("s"))  # at most K values
     held = F.least("n", F.lit(K)).cast("int")
     # Values of one class only are the rarest and use up places first.
     places = F.element_at(limits, held + 1) - (held - F.size("s"))
     entries = shared.filter(places > 0).select("cid", "n", F.explode(F.slice("s", F.lit(1), F.greatest(places, F.lit(0)))).alias("e")).select("e.v", "cid", "n")
     entries = scratch.table("entries", entries)
-    return entries.join(entries.groupBy("v").agg(F.count("*").alias("held")).filter("held > 1"), "v")
+    held_by = scratch.table("held", entries.groupBy("v").agg(F.count("*").alias("held")).filter("held > 1"))
+    return entries.join(held_by, "v")
 
 
-def star_pairs(lists: DataFrame) -> DataFrame:
+def star_pairs(lists: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs of each member of a long list with one hub, and of neighbours by set size in chunks of about CHUNK members.
 
     The hub is the member that most long lists hold: where texts are edited copies of one, each edit drops out of lists, so the least edited one is taken.
     """
     often = lists.groupBy("cid").agg(F.count("*").alias("lists"))
     hub = lists.join(often, "cid").groupBy("v").agg(F.max(F.struct("lists", (-F.col("cid")).alias("c"))).alias("hub")).select("v", (-F.col("hub.c")).alias("hub"))
+    hub = scratch.table("hubs", hub)
     stars = lists.join(hub, "v").filter("cid <> hub").select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b"))
     chunk = F.pmod(F.xxhash64("cid"), F.ceil(F.col("held") / CHUNK))
     chain = lists.withColumn("c", chunk).withColumn("next", F.lead("cid").over(Window.partitionBy("v", "c").orderBy("n", "cid")))
@@ -191,7 +194,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     lists = scratch.table("lists", listed(classes, scratch))
     short, long_ = lists.filter(F.col("held") <= SHORT_LIST), lists.filter(F.col("held") > SHORT_LIST)
     near = short.alias("x").join(short.alias("y"), (F.col("x.v") == F.col("y.v")) & similar_sizes()).select(*ordered_pair())
-    pairs = scratch.table("pairs", estimates(near.unionByName(star_pairs(long_)).distinct(), classes))
+    pairs = scratch.table("pairs", estimates(near.unionByName(star_pairs(long_, scratch)).distinct(), classes))
     ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).unionByName(long_.select("cid")).distinct()
     texts = docs.select(F.col(doc_id).cast("long").alias("cid"), F.col(text).alias("text")).join(ids, "cid")
     sets = map_texts(texts, "text", "values binary", lambda t: [[shingle_values(x).tobytes() for x in t]], ["cid"])
@@ -205,7 +208,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     merged = first.select(F.col("cid").alias("a"), F.col("root").alias("b")).unionByName(more)
     roots = components(merged, scratch, "last")
     known = scratch.table("components", classes.join(roots, "cid", "left").select("set_key", F.coalesce("root", "cid").alias("root")))
-    scratch.drop("classes", "entries", "lists", "pairs", "sets", "links", "members", "rest")
+    scratch.drop("classes", "common", "entries", "held", "hubs", "lists", "pairs", "sets", "links", "members", "rest")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
     out = rows.join(known, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
     return out.select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
