@@ -2,8 +2,9 @@
 
 An entity is a value that a pattern finds (an address, a number). A term is a word of letters next to it. As in information-theoretic
 sanitisation, a term discloses an entity if their pointwise mutual information comes near the entity's own information:
-log p(e|t) / p(e) >= ALPHA * log 1 / p(e). Probabilities are shares of documents, counted over the whole corpus. A pair counts only if
-it stands in MIN_CONTEXTS different surroundings, so a copied text gives nothing away by being copied.
+log p(e|t) / p(e) >= ALPHA * log 1 / p(e). Probabilities are shares of different texts, counted over the whole corpus: copies of a text count
+once. p(e|t) is smoothed towards p(e) with the weight of PRIOR texts, so pairs of a single text are judged by the same threshold, which they pass
+in a corpus large enough for one text to be telling.
 """
 from __future__ import annotations
 
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 from marketlens.llm.common import Scratch
 
 ALPHA = .9
-MIN_CONTEXTS = 3
+#: Texts' worth of evidence for p(e) in the estimate of p(e|t).
+PRIOR = 1
 #: Characters on either side of an entity whose words are terms.
 REACH = 80
 MIN_LETTERS = 3
@@ -105,44 +107,44 @@ def prepared(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def contexts(found: DataFrame) -> DataFrame:
-    """One row per entity and term beside it: doc_id, mark, entity, context (hash of the surroundings), term, start, end."""
+    """One row per entity and term beside it: doc_id, mark, entity, term, start, end."""
     entity = found.filter(F.size("found") > 0).select("doc_id", "mark", "text", F.explode("found").alias("e"))
     left = F.greatest(F.col("e.start") - REACH, F.lit(0))
     sides = F.array(F.struct(left.alias("at"), F.substr("text", left + 1, F.col("e.start") - left).alias("s")), F.struct(F.col("e.end").alias("at"), F.substr("text", F.col("e.end") + 1, F.lit(REACH)).alias("s")))
     beside = entity.select("doc_id", "mark", F.concat_ws(":", "e.kind", F.lower("e.value")).alias("entity"), sides.alias("sides"))
-    beside = beside.withColumn("context", F.xxhash64("sides.s")).select("doc_id", "mark", "entity", "context", F.explode("sides").alias("side"))
-    words = beside.select("doc_id", "mark", "entity", "context", "side.*").withColumn("m", F.regexp_extract_all("s", F.lit(TERM), F.lit(0))).withColumn("g", F.split("s", TERM, -1))
+    beside = beside.select("doc_id", "mark", "entity", F.explode("sides").alias("side"))
+    words = beside.select("doc_id", "mark", "entity", "side.*").withColumn("m", F.regexp_extract_all("s", F.lit(TERM), F.lit(0))).withColumn("g", F.split("s", TERM, -1))
     wanted = F.filter(numbers(F.col("m")), lambda j: F.length(F.get("m", j)) >= MIN_LETTERS)
     terms = located(F.col("m"), F.col("g"), wanted, F.col("at"), lambda value, start: F.struct(F.lower(value).alias("term"), start.alias("start"), (start + F.length(value)).alias("end")))
-    return words.select("doc_id", "mark", "entity", "context", F.explode(terms).alias("t")).select("doc_id", "mark", "entity", "context", "t.*")
+    return words.select("doc_id", "mark", "entity", F.explode(terms).alias("t")).select("doc_id", "mark", "entity", "t.*")
 
 
-def disclosing(beside: DataFrame, corpus: DataFrame, alpha: float = ALPHA, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
+def disclosing(beside: DataFrame, corpus: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """Pairs (entity, term) above the threshold, and whether the term stands beside nothing else (sure).
 
-    All counts are added up before the shuffle; a term or entity in a third of all documents is one row per task.
+    All counts are of different texts and added up before the shuffle; a term or entity in a third of all texts is one row per task.
     """
-    doc = F.xxhash64("doc_id", "mark")
-    pairs = beside.groupBy("entity", "term", "context").agg(F.min(F.lit(1)).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= min_contexts)
-    both = beside.select("entity", "term", doc.alias("d")).distinct().groupBy("entity", "term").agg(F.count("*").alias("both"))
-    held = beside.select("entity", doc.alias("d")).distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
-    words = corpus.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term")).filter(F.length("term") >= MIN_LETTERS)
+    both = beside.select("entity", "term", "mark").distinct().groupBy("entity", "term").agg(F.count("*").alias("both"))
+    held = beside.select("entity", "mark").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
+    texts = corpus.dropDuplicates(["mark"])
+    words = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term")).filter(F.length("term") >= MIN_LETTERS)
     spread = words.groupBy("term").agg(F.count("*").alias("with_term"))
-    total = corpus.agg(F.count("*").alias("documents"))
-    counted = pairs.join(both, ["entity", "term"]).join(held, "entity").join(spread, "term").withColumn("documents", total.scalar())
-    share = F.col("both") / F.greatest("with_term", "both")
-    gained = F.log(share) + F.log(F.col("documents") / F.col("with_entity"))
-    return counted.filter(gained >= alpha * F.log(F.col("documents") / F.col("with_entity"))).filter(F.col("documents") > F.col("with_entity")).select("entity", "term", (share >= 1).alias("sure"))
+    total = corpus.select("mark").distinct().agg(F.count("*").alias("texts"))
+    counted = both.join(held, "entity").join(spread, "term").withColumn("texts", total.scalar())
+    base, of = F.col("with_entity") / F.col("texts"), F.greatest("with_term", "both")
+    share = (F.col("both") + PRIOR * base) / (of + PRIOR)
+    passed = F.log(share / base) >= -alpha * F.log(base)
+    return counted.filter(passed & (base < 1)).select("entity", "term", (F.col("both") >= of).alias("sure"))
 
 
-def added_spans(docs: DataFrame, beside: DataFrame, alpha: float, min_contexts: int) -> DataFrame:
+def added_spans(docs: DataFrame, beside: DataFrame, alpha: float) -> DataFrame:
     """(doc_id, mark, terms): the spans of disclosing terms of each text that has some."""
-    pairs = disclosing(beside, docs, alpha, min_contexts)
+    pairs = disclosing(beside, docs, alpha)
     hits = beside.join(pairs, ["entity", "term"]).groupBy("doc_id", "mark", "start", "end").agg(F.max("sure").alias("sure"))
     return hits.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list(F.struct("start", "end", "sure"))).alias("terms"))  # spans of one text
 
 
-def find_private(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", alpha: float = ALPHA, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
+def find_private(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", alpha: float = ALPHA) -> DataFrame:
     """One row per document: doc_id, mark, found (entities) and terms (start, end, sure).
 
     Null and empty texts have no spans. Repeated rows get a row each with the same spans; an empty table gives an empty result; a null id is kept; other
@@ -152,7 +154,7 @@ def find_private(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", al
     inner = prepared(docs, doc_id, text)
     rows = scratch.table("rows", with_found(inner, "text", "found").select("doc_id", "mark", "found", F.when(F.size("found") > 0, F.col("text")).alias("text")))
     beside = scratch.table("beside", contexts(rows))
-    terms = scratch.table("terms", added_spans(inner, beside, alpha, min_contexts))
+    terms = scratch.table("terms", added_spans(inner, beside, alpha))
     scratch.drop("beside")
     key = rows["doc_id"].eqNullSafe(terms["doc_id"]) & (rows["mark"] == terms["mark"])
     return rows.join(terms, key, "left").select(rows["doc_id"], rows["mark"], "found", F.coalesce("terms", F.array().cast(terms.schema["terms"].dataType)).alias("terms"))
@@ -171,7 +173,7 @@ def span_list(found: Column, terms: Column | None = None) -> Column:
     return F.array_join(spans, ",")
 
 
-def sanitised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", alpha: float = ALPHA, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
+def sanitised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", alpha: float = ALPHA) -> DataFrame:
     """The documents with entities generalised to their kind, as [EMAIL]; terms that are sure to disclose are removed, other disclosing ones become [TERM].
 
     Null texts stay null. Of overlapping spans the first stands for both. Columns keep their names and order, whatever these are.
@@ -180,7 +182,7 @@ def sanitised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", alpha
     inner = docs.toDF(*names.values())
     key, body = F.col(names[doc_id]).cast("long"), F.coalesce(F.col(names[text]), F.lit(""))
     beside = Scratch(docs.sparkSession).table("beside", contexts(with_found(prepared(docs, doc_id, text), "text", "found")))
-    terms = added_spans(prepared(docs, doc_id, text), beside, alpha, min_contexts)
+    terms = added_spans(prepared(docs, doc_id, text), beside, alpha)
     terms = terms.select(F.col("doc_id").alias("t_id"), F.col("mark").alias("t_mark"), "terms")
     found = with_found(inner.withColumn("body", body), "body", "found")
     joined = found.join(terms, key.eqNullSafe(F.col("t_id")) & (F.xxhash64("body") == F.col("t_mark")), "left")

@@ -142,6 +142,17 @@ def test_disclosing_terms(make):
     assert "Zorblax" not in clean[0] and "+1 555" not in clean[0] and "[PHONE]" in clean[0] and clean[20] == texts[20]
 
 
+def test_terms_of_rare_entities(make):
+    """Entities in one text or two, each between other words, have terms; a copied text counts once, and words that stand elsewhere give nothing away."""
+    texts = [prose(15, 3000 + s) for s in range(1500)]
+    texts += [f"{prose(9, 1)} ask Wumbold at w.u@m.example {prose(9, 2)}"] * 4 + [f"{prose(9, s)} Trelliq has +1 555 010 2000 {prose(9, s + 1)}" for s in (5, 8)]
+    got = {r.doc_id: r for r in pii.find_private(make(texts)).collect()}
+    named = {i: {texts[i][t.start:t.end] for t in got[i].terms} for i in range(1500, 1506)}
+    assert all(named[i] == {"ask", "Wumbold"} for i in range(1500, 1504))
+    assert named[1504] == named[1505] == {"Trelliq", "has"}
+    assert not any(got[i].terms for i in range(1500))
+
+
 def test_bpe_round_trip(spark, edge_dir, edge_rows):
     import base64
 
