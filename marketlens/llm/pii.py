@@ -1,6 +1,6 @@
 """Personal data: patterns find protected entities, corpus statistics find the terms that give them away. Column expressions only.
 
-An entity is a value that a pattern finds (an address, a number). A term is a word of letters next to it. As in information-theoretic
+An entity is a value that a pattern finds (an address, a number). A term is a word of letters anywhere in a text, outside entities. As in information-theoretic
 sanitisation, a term discloses an entity if their pointwise mutual information comes near the entity's own information:
 log p(e|t) / p(e) >= ALPHA * log 1 / p(e). Probabilities are shares of different texts, counted over the whole corpus: copies of a text count
 once. p(e|t) is smoothed towards p(e) with the weight of PRIOR texts, so pairs of a single text are judged by the same threshold, which they pass
@@ -19,11 +19,13 @@ from marketlens.llm.common import Scratch
 ALPHA = .9
 #: Texts' worth of evidence for p(e) in the estimate of p(e|t).
 PRIOR = 1
-#: Characters on either side of an entity whose words are terms.
-REACH = 80
 MIN_LETTERS = 3
+#: Numbers of 64 bits in the sieve of disclosing terms (2 MB).
+SIEVE = 1 << 18
 TERM = r"\p{L}++"
 FOUND = "array<struct<kind:int,start:int,end:int,value:string>>"
+HITS = "array<struct<term:string,sure:boolean>>"
+SPANS = "array<struct<start:int,end:int,sure:boolean>>"
 EMAIL = "A-Za-z0-9._%+-"
 
 
@@ -106,58 +108,126 @@ def prepared(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), F.xxhash64(body).alias("mark"), body.alias("text"))
 
 
-def contexts(found: DataFrame) -> DataFrame:
-    """One row per entity and term beside it: doc_id, mark, entity, term, start, end."""
-    entity = found.filter(F.size("found") > 0).select("doc_id", "mark", "text", F.explode("found").alias("e"))
-    left = F.greatest(F.col("e.start") - REACH, F.lit(0))
-    sides = F.array(F.struct(left.alias("at"), F.substr("text", left + 1, F.col("e.start") - left).alias("s")), F.struct(F.col("e.end").alias("at"), F.substr("text", F.col("e.end") + 1, F.lit(REACH)).alias("s")))
-    beside = entity.select("doc_id", "mark", F.concat_ws(":", "e.kind", F.lower("e.value")).alias("entity"), sides.alias("sides"))
-    beside = beside.select("doc_id", "mark", "entity", F.explode("sides").alias("side"))
-    words = beside.select("doc_id", "mark", "entity", "side.*").withColumn("m", F.regexp_extract_all("s", F.lit(TERM), F.lit(0))).withColumn("g", F.split("s", TERM, -1))
-    wanted = F.filter(numbers(F.col("m")), lambda j: F.length(F.get("m", j)) >= MIN_LETTERS)
-    terms = located(F.col("m"), F.col("g"), wanted, F.col("at"), lambda value, start: F.struct(F.lower(value).alias("term"), start.alias("start"), (start + F.length(value)).alias("end")))
-    return words.select("doc_id", "mark", "entity", F.explode(terms).alias("t")).select("doc_id", "mark", "entity", "t.*")
+def masked(text: Column, found: Column) -> Column:
+    """The text with a space for each character of an entity, so that places stay."""
+    def step(state, s):
+        gap = F.substr(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
+        blank = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], state["at"]), F.lit(0)))
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], F.array(gap, blank)).alias("out"))
+
+    spans = F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    cut = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step,
+                      lambda s: F.concat(F.array_join(s["out"], ""), F.substr(text, s["at"] + 1, F.length(text))))
+    return F.when(F.size(found) > 0, cut).otherwise(text)
+
+
+def distinct_terms(masked_text: Column) -> Column:
+    words = F.array_distinct(F.regexp_extract_all(masked_text, F.lit(TERM), F.lit(0)))
+    return F.array_distinct(F.transform(F.filter(words, lambda w: F.length(w) >= MIN_LETTERS), F.lower))
+
+
+def with_term_spans(df: DataFrame, text: str, found: str, hits: str, out: str) -> DataFrame:
+    """Adds the spans (start, end, sure) of all occurrences of the terms in `hits`, by start.
+
+    Words and terms are sorted together, so each word meets its term in one pass; a second pass over the words found adds up lengths.
+    """
+    word = f"{out}_w"
+    plain = df.withColumn(f"{out}_x", masked(F.col(text), F.col(found)))
+    cut = plain.withColumn(word, F.when(F.size(hits) > 0, F.struct(F.regexp_extract_all(f"{out}_x", F.lit(TERM), F.lit(0)).alias("m"), F.split(f"{out}_x", TERM, -1).alias("g"))))
+    m, g = F.col(f"{word}.m"), F.col(f"{word}.g")
+    both = F.concat(F.transform(hits, lambda h: F.struct(h["term"].alias("w"), F.lit(-1).alias("i"), h["sure"].alias("sure"))),
+                    F.transform(m, lambda w, i: F.struct(F.lower(w).alias("w"), i.alias("i"), F.lit(False).alias("sure"))))
+
+    def meet(state, s):
+        hit = F.struct(s["i"].alias("i"), state["sure"].alias("sure"))
+        same = F.struct(state["w"].alias("w"), state["sure"].alias("sure"), F.concat(state["out"], F.array(hit)).alias("out"))
+        return F.when(s["i"] < 0, F.struct(s["w"].alias("w"), s["sure"].alias("sure"), state["out"].alias("out"))).when(s["w"] == state["w"], same).otherwise(state)
+
+    none = F.struct(F.lit("").alias("w"), F.lit(False).alias("sure"), F.array().cast("array<struct<i:int,sure:boolean>>").alias("out"))
+    wanted = F.aggregate(F.array_sort(both), none, meet, lambda s: F.array_sort(s["out"]))
+
+    def size(parts):
+        return F.aggregate(parts, F.lit(0), lambda n, x: n + F.length(x))
+
+    def place(state, s):
+        start = state["at"] + size(F.slice(g, state["next"] + 1, s["i"] - state["next"] + 1)) + size(F.slice(m, state["next"] + 1, s["i"] - state["next"]))
+        end = start + F.length(F.get(m, s["i"]))
+        span = F.struct(start.alias("start"), end.alias("end"), s["sure"].alias("sure"))
+        return F.struct((s["i"] + 1).alias("next"), end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("next"), F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
+    spans = F.aggregate(wanted, zero, place, lambda s: s["out"])
+    return cut.withColumn(out, F.when(F.size(hits) > 0, spans).otherwise(F.array().cast(SPANS))).drop(f"{out}_x", word)
 
 
-def disclosing(beside: DataFrame, corpus: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """Pairs (entity, term) above the threshold, and whether the term stands beside nothing else (sure).
+def disclosing(rows: DataFrame, scratch: Scratch, alpha: float = ALPHA) -> DataFrame:
+    """Terms that disclose an entity, and whether they stand in no text without one that they disclose (sure), from rows (mark, entities, terms).
 
-    All counts are of different texts and added up before the shuffle; a term or entity in a third of all texts is one row per task.
+    All counts are of different texts and added up before the shuffle; a term or entity in a third of all texts is one row per task. Entities of the
+    same texts are one class. Of a text's terms only those rare enough to disclose one of its classes are paired with them.
     """
-    both = beside.select("entity", "term", "mark").distinct().groupBy("entity", "term").agg(F.count("*").alias("both"))
-    held = beside.select("entity", "mark").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
-    texts = corpus.dropDuplicates(["mark"])
-    words = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term")).filter(F.length("term") >= MIN_LETTERS)
-    spread = words.groupBy("term").agg(F.count("*").alias("with_term"))
-    total = corpus.select("mark").distinct().agg(F.count("*").alias("texts"))
-    counted = both.join(held, "entity").join(spread, "term").withColumn("texts", total.scalar())
-    base, of = F.col("with_entity") / F.col("texts"), F.greatest("with_term", "both")
-    share = (F.col("both") + PRIOR * base) / (of + PRIOR)
-    passed = F.log(share / base) >= -alpha * F.log(base)
-    return counted.filter(passed & (base < 1)).select("entity", "term", (F.col("both") >= of).alias("sure"))
-
-
-def added_spans(docs: DataFrame, beside: DataFrame, alpha: float) -> DataFrame:
-    """(doc_id, mark, terms): the spans of disclosing terms of each text that has some."""
-    pairs = disclosing(beside, docs, alpha)
-    hits = beside.join(pairs, ["entity", "term"]).groupBy("doc_id", "mark", "start", "end").agg(F.max("sure").alias("sure"))
-    return hits.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list(F.struct("start", "end", "sure"))).alias("terms"))  # spans of one text
+    copies = scratch.table("copies", rows.groupBy("mark").agg(F.count("*").alias("copies")).filter("copies > 1"))
+    total = rows.select("mark").distinct().agg(F.count("*").alias("texts"))
+    # The rows of a text with n copies are n of those counted with n.
+    words = rows.select("mark", "terms").join(copies, "mark", "left").select(F.coalesce("copies", F.lit(1)).alias("copies"), F.explode("terms").alias("term"))
+    spread = words.groupBy("term", "copies").agg(F.count("*").alias("n")).groupBy("term").agg(F.sum((F.col("n") / F.col("copies")).cast("long")).alias("with_term"))
+    spread = scratch.table("spread", spread)
+    private = scratch.table("private", rows.filter(F.size("entities") > 0).select("mark", "entities", "terms").dropDuplicates(["mark"]))
+    stands = private.select("mark", F.explode("entities").alias("entity"))
+    held = scratch.table("held", stands.groupBy("entity").agg(F.count("*").alias("with_entity"), F.min("mark").alias("least"), F.bit_xor("mark").alias("crossed")))
+    base = F.col("with_entity") / F.col("texts")
+    threshold = F.pow(base, F.lit(1 - alpha))
+    classes = stands.join(held, "entity").select("mark", "with_entity", "least", "crossed").distinct().withColumn("texts", total.scalar()).filter(base < 1)
+    classes = scratch.table("classes", classes.withColumn("most", (F.col("with_entity") + PRIOR * base) / threshold - PRIOR + 1e-6))
+    near = private.select("mark", F.explode("terms").alias("term")).join(spread.filter(F.col("with_term") <= classes.agg(F.max("most")).scalar()), "term")
+    pairs = near.join(classes, "mark").filter(F.col("with_term") <= F.col("most"))
+    both = pairs.groupBy("term", "with_term", "with_entity", "least", "crossed", "texts").agg(F.count("*").alias("both"))
+    share = (F.col("both") + PRIOR * base) / (F.col("with_term") + PRIOR)
+    return both.filter(share >= threshold).groupBy("term").agg(F.max(F.col("both") >= F.col("with_term")).alias("sure"))
+
+
+def sieve_place(term: str) -> tuple[Column, Column]:
+    h = F.xxhash64(term)
+    return F.pmod(h, F.lit(SIEVE)), F.pmod(F.shiftright(h, 32), F.lit(64)).cast("int")
+
+
+def sieve(terms: DataFrame) -> DataFrame:
+    """One row of SIEVE numbers in which each term has set a bit. It only saves rows before a join; terms that share a bit are told apart there."""
+    i, bit = sieve_place("term")
+    filled = terms.select(i.alias("id"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b")).groupBy("id").agg(F.bit_or("b").alias("b"))
+    numbers_ = terms.sparkSession.range(SIEVE).join(filled, "id", "left").select("id", F.coalesce("b", F.lit(0).cast("long")).alias("b"))
+    return numbers_.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "b"))), lambda s: s["b"]).alias("bits"))
+
+
+def in_sieve(bits: Column, term: str) -> Column:
+    i, bit = sieve_place(term)
+    return F.call_function("shiftright", F.get(bits, i.cast("int")), bit).bitwiseAND(F.lit(1)) == 1
+
+
+def disclosed(docs: DataFrame, scratch: Scratch, alpha: float) -> DataFrame:
+    """(doc_id, mark, hits): the disclosing terms (term, sure) of each prepared text that has some, wherever they stand in it."""
+    entity = F.array_distinct(F.transform("found", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))
+    plain = with_found(docs, "text", "found").withColumn("plain", masked(F.col("text"), F.col("found")))
+    rows = scratch.table("words", plain.select("doc_id", "mark", entity.alias("entities"), distinct_terms(F.col("plain")).alias("terms")))
+    telling = scratch.table("telling", disclosing(rows, scratch, alpha))
+    bits = scratch.table("sieve", sieve(telling))
+    met = rows.select("doc_id", "mark", F.explode("terms").alias("term")).filter(in_sieve(bits.scalar(), "term")).join(telling, "term")
+    hits = scratch.table("hits", met.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("term", "sure")).alias("hits")))  # terms of one text
+    scratch.drop("words", "copies", "spread", "private", "held", "classes", "telling", "sieve")
+    return hits
 
 
 def find_private(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", alpha: float = ALPHA) -> DataFrame:
     """One row per document: doc_id, mark, found (entities) and terms (start, end, sure).
 
-    Null and empty texts have no spans. Repeated rows get a row each with the same spans; an empty table gives an empty result; a null id is kept; other
-    columns are not read.
+    A disclosing term is found at each of its places, in texts without the entity too. Null and empty texts have no spans. Repeated rows get a row each
+    with the same spans; an empty table gives an empty result; a null id is kept; other columns are not read.
     """
-    scratch = Scratch(docs.sparkSession)
     inner = prepared(docs, doc_id, text)
-    rows = scratch.table("rows", with_found(inner, "text", "found").select("doc_id", "mark", "found", F.when(F.size("found") > 0, F.col("text")).alias("text")))
-    beside = scratch.table("beside", contexts(rows))
-    terms = scratch.table("terms", added_spans(inner, beside, alpha))
-    scratch.drop("beside")
-    key = rows["doc_id"].eqNullSafe(terms["doc_id"]) & (rows["mark"] == terms["mark"])
-    return rows.join(terms, key, "left").select(rows["doc_id"], rows["mark"], "found", F.coalesce("terms", F.array().cast(terms.schema["terms"].dataType)).alias("terms"))
+    hits = disclosed(inner, Scratch(docs.sparkSession), alpha).toDF("h_id", "h_mark", "hits")
+    made = inner.join(hits, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("mark") == F.col("h_mark")), "left")
+    made = with_found(made.withColumn("hits", F.coalesce("hits", F.array().cast(HITS))), "text", "found")
+    return with_term_spans(made, "text", "found", "hits", "terms").select("doc_id", "mark", "found", "terms")
 
 
 def of_kind(found: Column, i: int) -> Column:
@@ -181,14 +251,13 @@ def sanitised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", alpha
     names = {c: f"in_{i}" for i, c in enumerate(docs.columns)}
     inner = docs.toDF(*names.values())
     key, body = F.col(names[doc_id]).cast("long"), F.coalesce(F.col(names[text]), F.lit(""))
-    beside = Scratch(docs.sparkSession).table("beside", contexts(with_found(prepared(docs, doc_id, text), "text", "found")))
-    terms = added_spans(prepared(docs, doc_id, text), beside, alpha)
-    terms = terms.select(F.col("doc_id").alias("t_id"), F.col("mark").alias("t_mark"), "terms")
-    found = with_found(inner.withColumn("body", body), "body", "found")
-    joined = found.join(terms, key.eqNullSafe(F.col("t_id")) & (F.xxhash64("body") == F.col("t_mark")), "left")
+    hits = disclosed(prepared(docs, doc_id, text), Scratch(docs.sparkSession), alpha).toDF("h_id", "h_mark", "hits")
+    joined = inner.withColumn("body", body).join(hits, key.eqNullSafe(F.col("h_id")) & (F.xxhash64(body) == F.col("h_mark")), "left")
+    found = with_found(joined.withColumn("hits", F.coalesce("hits", F.array().cast(HITS))), "body", "found")
+    joined = with_term_spans(found, "body", "found", "hits", "terms")
     labels = F.array(*[F.lit(f"[{k.name.upper()}]") for k in KINDS])
     entities = F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(labels, s["kind"]).alias("label")))
-    others = F.transform(F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,sure:boolean>>")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["sure"], "").otherwise("[TERM]").alias("label")))
+    others = F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["sure"], "").otherwise("[TERM]").alias("label")))
     planned = joined.withColumn("spans", F.array_sort(F.concat(entities, others)))
 
     def step(state, s):

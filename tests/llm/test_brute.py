@@ -153,6 +153,18 @@ def test_terms_of_rare_entities(make):
     assert not any(got[i].terms for i in range(1500))
 
 
+def test_terms_anywhere_in_texts(make):
+    """Terms count far from entities, and go at each place, in texts without the entity too; words of entities are no terms."""
+    far = prose(60, 7)
+    texts = [prose(15, 4000 + s) for s in range(150)] + [f"{prose(5, s)} Zorblax {far} 😀 +1 555 010 1000 {far} Zorblax" for s in range(9)] + [f"about zorblax {far}", "mail zorblax@y.example"]
+    got = {r.doc_id: [texts[r.doc_id][t.start:t.end] for t in r.terms] for r in pii.find_private(make(texts)).collect()}
+    assert all(got[i] == ["Zorblax"] * 2 for i in range(150, 159)) and got[159] == ["zorblax"]
+    assert not any(got[i] for i in range(150)) and not got[160]
+    clean = {r.doc_id: r.text for r in pii.sanitised(make(texts)).collect()}
+    assert clean[159] == f"about [TERM] {far}" and clean[160] == "mail [EMAIL]" and clean[3] == texts[3]
+    assert clean[150] == f"{prose(5, 0)} [TERM] {far} 😀 [PHONE] {far} [TERM]"
+
+
 def test_bpe_round_trip(spark, edge_dir, edge_rows):
     import base64
 
