@@ -22,10 +22,10 @@ from marketlens.llm.common import Scratch, free_name, map_texts
 
 WORDS = 5
 K = 64
-#: Similarity in percent.
+#: Similarity in percent, if none is given.
 PERCENT = 85
-#: Of the K smallest values of a union, similar texts share .85 K on average; with fewer than this they are similar with a chance below 1e-7.
-SHARED = 36
+#: Chance of missing a similar pair that the number of shared values is set for.
+MISS = 1e-8
 #: Lists up to this length are paired out.
 SHORT_LIST = 32
 CHUNK = 1000
@@ -66,20 +66,28 @@ def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return map_texts(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "text", "n_shingles long, set_key binary, sketch array<long>", make, ["doc_id"])
 
 
-def must_share(n: int) -> int:
+def least_shared(percent: int) -> int:
+    """Of the K smallest values of a union, similar texts share percent of K or more on average, and fewer than this with a chance below MISS."""
+    p, below, s = percent / 100, 0.0, 0
+    while s < K and (below := below + math.comb(K, s) * p ** s * (1 - p) ** (K - s)) <= MISS:
+        s += 1
+    return s
+
+
+def must_share(n: int, percent: int = PERCENT) -> int:
     """Retained values that a text of n shingles shares with any similar text's sketch; where sets fit into sketches this is exact."""
-    return SHARED if n >= K else max(1, min(math.ceil(PERCENT * n / 100), K - math.ceil(.18 * n)))
+    return least_shared(percent) if n >= K else max(1, min(-(-percent * n // 100), K + (-(100 - percent) * n // percent)))
 
 
-def estimates(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def estimates(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose similarity, estimated from the K smallest values of the union of both sketches, may reach the bound."""
     a, b = (classes.select(F.col("cid").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
     shared = F.size(F.array_intersect(union, F.array_intersect("sa", "sb")))
-    return pairs.join(a, "a").join(b, "b").filter(shared * K >= SHARED * F.size(union)).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").filter(shared * K >= least_shared(percent) * F.size(union)).select("a", "b")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that are similar by their full sets."""
     a, b = (sets.select(F.col("cid").alias(x), F.col("values").alias(f"s{x}")) for x in "ab")
 
@@ -90,7 +98,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for x, y in zip(left, right):
                 x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
@@ -119,18 +127,18 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         before, i = state, i + 1
 
 
-def similar_sizes() -> F.Column:
+def similar_sizes(percent: int) -> F.Column:
     """The smaller set of x and y comes first and is large enough to reach the similarity."""
-    return ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.cid") < F.col("y.cid")))) & (100 * F.col("x.n") >= PERCENT * F.col("y.n"))
+    return ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.cid") < F.col("y.cid")))) & (100 * F.col("x.n") >= percent * F.col("y.n"))
 
 
 def ordered_pair() -> list[F.Column]:
     return [F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")]
 
 
-def listed(classes: DataFrame, scratch: Scratch) -> DataFrame:
+def listed(classes: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """Inverted lists (v, cid, n, held): of each sketch the rarest values that it can't miss to share, where two classes or more list them."""
-    limits = F.lit([0, *[min(n, K) - must_share(n) + 1 for n in range(1, K + 1)]])
+    limits = F.lit([0, *[min(n, K) - must_share(n, percent) + 1 for n in range(1, K + 1)]])
     values = classes.select("cid", "n", F.explode("sketch").alias("v"))
     # Counts are written first, so that the join deals both sides out itself and can split the rows of a frequent value.
     common = scratch.table("common", values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"))
@@ -159,7 +167,7 @@ def star_pairs(lists: DataFrame, scratch: Scratch) -> DataFrame:
     return stars.unionByName(chains)
 
 
-def full_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
+def full_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of members (cid, root) of different components that can be similar: they share one of the rarest shingles that a similar
     text can't miss, and behind it enough shingles are left in both. No pair that is similar is missed."""
     def values(batches):
@@ -173,15 +181,15 @@ def full_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
     common = rows.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
     own = Window.partitionBy("cid")  # one text's shingles
     ranked = rows.join(common, "v").select("*", (F.row_number().over(own.orderBy("df", "v")) + F.col("n") - F.count("*").over(own)).alias("place"))
-    entries = ranked.filter(100 * (F.col("place") - 1) <= (100 - PERCENT) * F.col("n")).select("v", "cid", "root", "n", "place")
+    entries = ranked.filter(100 * (F.col("place") - 1) <= (100 - percent) * F.col("n")).select("v", "cid", "root", "n", "place")
     overlap = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) + 1
-    enough = (100 + PERCENT) * overlap >= PERCENT * (F.col("x.n") + F.col("y.n"))
-    on = (F.col("x.v") == F.col("y.v")) & (F.col("x.root") != F.col("y.root")) & similar_sizes() & enough
+    enough = (100 + percent) * overlap >= percent * (F.col("x.n") + F.col("y.n"))
+    on = (F.col("x.v") == F.col("y.v")) & (F.col("x.root") != F.col("y.root")) & similar_sizes(percent) & enough
     return entries.alias("x").join(entries.alias("y"), on).select(*ordered_pair()).distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept. Texts are similar from `percent` of shared shingles on.
 
     Null, empty and wordless texts have no shingles and are linked with nothing. Repeated rows are copies of each other and share a component; of
     rows with the same id each says the same; where their texts differ, one of these stands for the id in comparisons. A null id is linked with nothing, and its component is null and kept. An empty table gives an
@@ -191,20 +199,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rows = scratch.table("rows", sketches(docs, doc_id, text))
     usable = rows.filter("doc_id is not null and n_shingles > 0")
     classes = scratch.table("classes", usable.groupBy("set_key").agg(F.min("doc_id").alias("cid"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
-    lists = scratch.table("lists", listed(classes, scratch))
+    lists = scratch.table("lists", listed(classes, scratch, percent))
     short, long_ = lists.filter(F.col("held") <= SHORT_LIST), lists.filter(F.col("held") > SHORT_LIST)
-    near = short.alias("x").join(short.alias("y"), (F.col("x.v") == F.col("y.v")) & similar_sizes()).select(*ordered_pair())
-    pairs = scratch.table("pairs", estimates(near.unionByName(star_pairs(long_, scratch)).distinct(), classes))
+    near = short.alias("x").join(short.alias("y"), (F.col("x.v") == F.col("y.v")) & similar_sizes(percent)).select(*ordered_pair())
+    pairs = scratch.table("pairs", estimates(near.unionByName(star_pairs(long_, scratch)).distinct(), classes, percent))
     ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).unionByName(long_.select("cid")).distinct()
     texts = docs.select(F.col(doc_id).cast("long").alias("cid"), F.col(text).alias("text")).join(ids, "cid")
     sets = map_texts(texts, "text", "values binary", lambda t: [[shingle_values(x).tobytes() for x in t]], ["cid"])
     sets = scratch.table("sets", classes.select("cid", "n").join(sets, "cid").filter(F.col("n") * 8 == F.octet_length("values")).dropDuplicates(["cid"]).select("cid", "values"))
-    links = scratch.table("links", confirmed(pairs, sets))
+    links = scratch.table("links", confirmed(pairs, sets, percent))
     first = components(links, scratch, "first")
     labelled = long_.join(first, "cid", "left").select("v", "cid", F.coalesce("root", "cid").alias("root"))
     open_ = labelled.groupBy("v").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
     members = scratch.table("members", labelled.join(open_, "v").select("cid", "root").distinct())
-    more = confirmed(scratch.table("rest", estimates(full_pairs(members, sets), classes)), sets)
+    more = confirmed(scratch.table("rest", estimates(full_pairs(members, sets, percent), classes, percent)), sets, percent)
     merged = first.select(F.col("cid").alias("a"), F.col("root").alias("b")).unionByName(more)
     roots = components(merged, scratch, "last")
     known = scratch.table("components", classes.join(roots, "cid", "left").select("set_key", F.coalesce("root", "cid").alias("root")))
@@ -214,9 +222,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return out.select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One document of each component, with all its columns; of rows with the same id the one with the smallest text. Rows without an id stay."""
-    found = near_duplicates(docs, doc_id, text).filter("doc_id is not null")
+    found = near_duplicates(docs, doc_id, text, percent).filter("doc_id is not null")
     gone = found.filter("not kept").select(F.col("doc_id").alias("gone")).distinct()
     left = docs.join(gone, docs[doc_id].cast("long") == F.col("gone"), "left_anti")
     if found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():

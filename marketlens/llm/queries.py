@@ -60,7 +60,7 @@ e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where
 r as (select a as doc_id, b as other from l union select r.doc_id, l.b from r join l on l.a = r.other), m as (select doc_id, min(other) as other from r group by 1)
 select d.doc_id, coalesce(n, 0) as n_shingles, least(d.doc_id, coalesce(other, d.doc_id)) as component_id, d.doc_id = least(d.doc_id, coalesce(other, d.doc_id)) as kept from documents d left join n using (doc_id) left join m using (doc_id)""")
 def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(documents(spark, sf_dir))
+    return neardup.near_duplicates(documents(spark, sf_dir), percent=85)
 
 
 @query("op5_suffix_dedup")

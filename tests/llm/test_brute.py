@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from made_up import prose
 
+import corpus_pipeline
 from marketlens.llm import bpe, fingerprints, neardup, packing, pii, quality, queries, suffixdup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -50,6 +51,28 @@ def test_near_duplicates(make, corpus, monkeypatch):
     assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {i: (len(s), find(i), find(i) == i) for i, s in enumerate(sets)}
 
 
+def test_near_duplicates_from_80_percent(spark, make, monkeypatch):
+    monkeypatch.setattr(neardup, "SHORT_LIST", 8)
+    base = prose(300, 1)
+    texts = [base, *[edited(base, every, every) for every in range(30, 150, 3)], *[edited(prose(n, n), 1000, 1) for n in range(10, 60)], *[f"{prose(n, n)} {prose(n // 6, 7)}" for n in range(10, 60)]]
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    between = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both, union = 100 * len(a & sets[j]), len(a | sets[j])
+            between += 80 * union <= both < 85 * union
+            if both >= 80 * union and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert between
+    docs = make(texts)
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, percent=80).collect()} == dict(enumerate(root))
+    kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "").collect()
+    assert {r.doc_id for r in kept} == set(root)
+    assert neardup.least_shared(85) == 36 and neardup.least_shared(80) < 36
+
+
 @pytest.mark.parametrize("merge_rows", [16384, 3])
 def test_repeats(make, corpus, merge_rows):
     texts = [(t or "").encode() for t in corpus]
