@@ -32,6 +32,24 @@ def free_name(name: str, taken: Iterable[str]) -> str:
     return name
 
 
+#: Bytes as terms hold them: A-Z lower-cased, all else that is not a digit, a letter or beyond ASCII a space.
+TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
+#: Rows of a query set, such as benchmark items, are met by all documents in blocks of about this many bytes of text.
+ITEM_BYTES = 1 << 20
+
+
+def plain_terms(raw: bytes) -> list[bytes]:
+    """The maximal runs of digits, ASCII letters (A-Z lower-cased) and characters beyond ASCII."""
+    return raw.translate(TERM_BYTES).split()
+
+
+def item_blocks(items: DataFrame, text: str, size: int = ITEM_BYTES) -> list[DataFrame]:
+    """Cuts a query set into parts of about `size` bytes of text, each small enough for the driver and every task; at least one part."""
+    total = items.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    parts = max(1, -(-total // size))
+    return [items.filter(F.pmod(F.xxhash64(*items.columns), F.lit(parts)) == i) for i in range(parts)]
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for the fifth of the documents that no model may learn from; false for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import bpe, fingerprints, langid, licenses, neardup, packing, pii, quality, suffixdup, toxicity
+from marketlens.llm import bpe, decontaminate, filteraudit, fingerprints, langid, lexical, licenses, neardup, packing, pii, quality, suffixdup, toxicity
 from marketlens.llm.common import documents, held_out
 from marketlens.llm.packing import byte_bpe_encoder
 
@@ -96,3 +96,48 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = F.array_max(F.transform("notices", lambda n: F.struct(n["coverage"].alias("coverage"), n["name"].alias("name"))))
     spans = F.array_join(F.transform("notices", lambda n: F.concat_ws(":", n["name"], n["start"], n["end"])), ",")
     return made.select("doc_id", F.size("notices").cast("long").alias("n_notices"), F.coalesce(best["name"], F.lit("")).alias("license"), F.coalesce(best["coverage"], F.lit(0.0)).alias("coverage"), spans.alias("spans"))
+
+
+@query("op11_filter_audit", r"""
+with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+m as (select part, coalesce(quality, 0) as good, coalesce(toxic, 0) as toxic, len(ws) < 200 as a, 100 * len(list_distinct(ws)) < 50 * len(ws) as b,
+  100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) as c, regexp_matches(t, '[#$%&*|]') as d, doc_id > min(doc_id) over (partition by t) as e from d left join labels using (doc_id)),
+n as (select part, concat(if(a, 'A', ''), if(b, 'B', ''), if(c, 'C', ''), if(d, 'D', ''), if(e, 'E', '')) as fails, count(*) as n, sum((good = 1)::int) as good, sum((toxic = 1)::int) as toxic from m group by 1, 2),
+l as (select unnest(['A', 'B', 'C', 'D', 'E']) as x), o as (select concat(p.x, q.x, r.x, s.x, t.x) as filter_order from l p, l q, l r, l s, l t where len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+s as (select filter_order, step::int as step, filter_order[step] as f, filter_order[1:step - 1] as earlier from o, range(1, 6) g(step)),
+k as (select part, filter_order, step, f, n, good, toxic, fails, contains(fails, f) as fail, length(translate(fails, earlier, '')) < length(fails) as gone from n, s),
+r as (select part, filter_order, step, f, sum(if(fail or gone, 0, n)) as kept, sum(if(fail and not gone, n, 0)) as removed, sum(if(fail and gone, n, 0)) as redundant, sum(if(fails = f, n, 0)) as unique_fails,
+  sum(if(fail and not gone, good, 0)) as good_lost, sum(if(fail and not gone, toxic, 0)) as toxic_lost from k group by all)
+select part, filter_order, step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails, good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost,
+  (sum(removed) over (partition by part, f))::bigint as shapley from r""")
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op12_lexical_search", r"""
+with t as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ws from documents),
+n as (select doc_id, len(ws) as n from t where len(ws) > 0), s as (select count(*) as docs, sum(n)::bigint as total from n),
+i as (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+p as (select doc_id, term, count(*) as tf from (select doc_id, unnest(ws) as term from t) where term in (select term from i) group by 1, 2),
+w as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)))::bigint as w from p, s group by term, docs),
+q as (select item_id, p.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total))))::bigint as score from i join p using (term) join w using (term) join n using (doc_id), s group by 1, 2),
+r as (select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::int as rank, doc_id, score from q where score > 0)
+select item_id, rank, doc_id, score from r where rank <= 20""")
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=20)
+
+
+@query("op13_decontaminate", r"""
+with t as (select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as ws from documents),
+i as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark),
+g as (select item_id, ws, least(10, len(ws)) as k from i where len(ws) > 0),
+v as (select distinct item_id, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda a: array_to_string(ws[a:a + k - 1], ' '))) as run from g),
+u as (select doc_id, k, unnest(range(1, len(ws) - k + 2)) as pos, ws from t, (select distinct k from v) where len(ws) >= k),
+f as (select doc_id, item_id, pos, u.k as k from u join v on u.k = v.k and array_to_string(ws[pos:pos + u.k - 1], ' ') = run),
+h as (select doc_id, count(distinct place) as n_hit from (select doc_id, unnest(range(pos, pos + k)) as place from f) group by 1),
+x as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item_id::varchar as item from f) group by 1)
+select doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from t left join h using (doc_id) left join x using (doc_id)""")
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = decontaminate.decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["doc_id"])
+    return made.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

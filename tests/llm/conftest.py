@@ -3,7 +3,7 @@ from made_up import prose
 from pyspark.sql import types as T
 
 #: Names that operators give to columns of their own.
-CLASHES = "kept score votes spans ids removed found terms n_words body mark rank span words sketch own_0 in_0".split()
+CLASHES = "part mask n_hit items cleaned text_key item kept score votes spans ids removed found terms n_words body mark rank span words sketch own_0 in_0".split()
 
 
 @pytest.fixture(scope="session")
@@ -24,6 +24,9 @@ def edge_dir(spark, edge_rows, tmp_path_factory):
     labels = "doc_id long, quality int, toxic int"
     spark.createDataFrame([(4, 1, 1), (8, 0, 0), (10, None, None), (None, 1, 1), (5, 1, 0), (5, 1, 0)], labels).write.parquet(f"{path}/full/labels.parquet")
     spark.createDataFrame([], labels).write.parquet(f"{path}/empty/labels.parquet")
+    items = "item_id long, text string, rank string, found string"
+    spark.createDataFrame([(1, prose(120, 8), "x", "x"), (2, None, "x", "x"), (3, "", "x", "x"), (None, prose(12, 8), "x", "x"), (4, "one", "x", "x"), (4, "two", "x", "x"), (5, "漢字 😀 Ünï", "x", "x")], items).write.parquet(f"{path}/full/benchmark.parquet")
+    spark.createDataFrame([], items).write.parquet(f"{path}/empty/benchmark.parquet")
     return str(path)
 
 
