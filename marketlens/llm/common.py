@@ -2,6 +2,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -108,6 +110,20 @@ def by_spaced_words(ids: Callable[[str], bytes]) -> Callable[[str], bytes]:
     return encode
 
 
+def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that ends by giving freed memory back to the system: workers live on, and would keep what one task took."""
+    def run_and_release(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return run_and_release
+
+
 def text_blocks(batches: Iterator[pa.RecordBatch], text: str, size: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Cuts Arrow batches into slices of about `size` bytes of text; null texts come as empty ones."""
     for batch in batches:
@@ -128,15 +144,16 @@ def map_texts(df: DataFrame, text: str, outputs: str, function: Callable[[list[b
               size: int = BLOCK_BYTES) -> DataFrame:
     """Adds columns made from whole texts: `function(texts)` gives one list of values per output column.
 
-    `outputs` is a DDL string; `setup()` runs once per task and its result goes to the function first.
+    `outputs` is a DDL string; `setup()` runs once per task and its result goes to the function first. An output whose name `keep` has
+    gets underscores in front.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+    from pyspark.sql.types import StructField, StructType
 
     raw = free_name("raw_text", keep)
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("binary").alias(raw))
     added = StructType.fromDDL(outputs)
-    schema = StructType([*source.schema.fields[:-1], *added.fields])
+    schema = StructType([*source.schema.fields[:-1], *[StructField(free_name(f.name, keep), f.dataType) for f in added.fields]])
     types = [f.type for f in to_arrow_schema(added)]
 
     def run(batches):
@@ -146,4 +163,4 @@ def map_texts(df: DataFrame, text: str, outputs: str, function: Callable[[list[b
             arrays = [part.column(i) for i in range(len(keep))] + [pa.array(v, t) for v, t in zip(made, types, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(giving_back(run), schema)

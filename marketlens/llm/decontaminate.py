@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from marketlens.llm.common import BLOCK_BYTES, ITEM_BYTES, Scratch, free_name, item_blocks, map_texts, plain_terms, text_blocks
+from marketlens.llm.common import BLOCK_BYTES, ITEM_BYTES, Scratch, free_name, giving_back, item_blocks, map_texts, plain_terms, text_blocks
 
 WORDS = 10
 TERM = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -214,4 +214,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id
             yield pa.RecordBatch.from_arrays([*part.columns[:len(names)], *[pa.array(v, t) for v, t in zip(made, kinds)]], names=schema.names)
 
     own = [F.col(f).alias(free_name(f, keep)) for f in added.fieldNames()]
-    return inner.mapInArrow(run, schema).select(*[F.col(n).alias(c) for c, n in names.items()], *own)
+    return inner.mapInArrow(giving_back(run), schema).select(*[F.col(n).alias(c) for c, n in names.items()], *own)

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import ITEM_BYTES, Scratch, item_blocks, map_texts, plain_terms
+from marketlens.llm.common import ITEM_BYTES, Scratch, giving_back, item_blocks, map_texts, plain_terms
 
 #: A shard ends after so many documents or postings.
 SHARD_DOCS, SHARD_POSTINGS = 1 << 14, 1 << 19
@@ -176,7 +176,7 @@ def hits(posted: DataFrame, items: Items, stats: Statistics, k: int, least: np.n
         if docs:
             yield shard_hits(held)
 
-    return posted.filter(F.size("terms") > 0).mapInArrow(run, HITS)
+    return posted.filter(F.size("terms") > 0).mapInArrow(giving_back(run), HITS)
 
 
 def best_of(found: DataFrame, k: int) -> DataFrame:

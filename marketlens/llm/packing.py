@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import Scratch, by_spaced_words, text_blocks
+from marketlens.llm.common import Scratch, by_spaced_words, giving_back, text_blocks
 
 LENGTH = 1024
 OPEN_WINDOWS = 16
@@ -130,7 +130,7 @@ def pack_partitions(docs: DataFrame, doc_id: str, text: str, encoder: Callable[[
         packer.finish(True)
         yield pieces_batch(rows)
 
-    return source.mapInArrow(run, PIECES)
+    return source.mapInArrow(giving_back(run), PIECES)
 
 
 def merge_group(fan: int, length: int, windows: int, last: bool) -> Callable[[pa.Table], pa.Table]:

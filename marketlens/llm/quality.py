@@ -10,10 +10,11 @@ import string
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import Scratch, free_name, map_texts
+from marketlens.llm.common import Scratch, map_texts
 
 BAD, GOOD, ABSTAIN = 0, 1, 2
 MIN_WORDS = 50
@@ -177,11 +178,22 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents that the rules keep, with all their columns and whatever names these have.
 
-    The texts are measured twice rather than written once: the second pass reads what the first has read and filters at once.
+    The texts are measured twice rather than written once. Only the text goes to Python: the second pass answers whether a row is kept, and the JVM
+    filters and hands on the rows themselves.
     """
-    names = {c: free_name(f"in_{i}", ()) for i, c in enumerate(docs.columns)}
-    inner = docs.toDF(*names.values())
-    body = names[text]
-    _, patterns = fit(with_measures(inner.select(body), body, keep=[]))
-    measured = with_measures(inner.withColumn("body", F.col(body)), "body", keep=list(names.values()))
-    return judge(measured, patterns).filter("kept").select(*[F.col(v).alias(k) for k, v in names.items()])
+    model, _ = fit(with_measures(docs.select(F.col(f"`{text}`").alias("text")), keep=[]))
+    return docs.filter(verdict(model)(F.col(f"`{text}`")))
+
+
+def verdict(model: VoteModel, threshold: float = .5, slice_rows: int = 256):
+    """An Arrow function of texts: true where `judge` keeps them."""
+    @F.arrow_udf("boolean")
+    def kept(texts: pa.Array) -> pa.Array:
+        out = []
+        for first in range(0, len(texts), slice_rows):
+            made = [measure((t or "").encode()) for t in texts.slice(first, slice_rows).to_pylist()]
+            n, repeats, votes = (np.array([m[i] for m in made], dtype=np.int64) for i in (0, 4, 5))
+            out.append(pa.array((n >= MIN_WORDS) & (100 * repeats <= 50 * n) & (model.posterior(votes) >= threshold)))
+        return pa.concat_arrays(out) if out else pa.array([], pa.bool_())
+
+    return kept
