@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import Scratch, free_name, map_texts
+from marketlens.llm.common import Scratch, free_name, giving_back, map_texts
 
 WORDS = 5
 K = 64
@@ -93,15 +93,14 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def check(batches):
         for batch in batches:
-            left, right = (batch.column(i).to_pylist() for i in (2, 3))
             keep = []
-            for x, y in zip(left, right):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+            for x, y in zip(batch.column(2), batch.column(3)):  # one pair of sets at a time; they stay in the batch's memory
+                x, y = (np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in (x, y))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(giving_back(check), "a long, b long")
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -176,10 +175,10 @@ def full_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             offsets = np.cumsum([0, *map(len, arrays)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(arrays)))], names=["cid", "root", "s"])
 
-    rows = (members.join(sets, "cid").select("cid", "root", "values").mapInArrow(values, "cid long, root long, s array<long>")
+    rows = (members.join(sets, "cid").select("cid", "root", "values").mapInArrow(giving_back(values), "cid long, root long, s array<long>")
             .select("cid", "root", F.size("s").cast("long").alias("n"), F.explode("s").alias("v")))
     common = rows.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
-    own = Window.partitionBy("cid")  # one text's shingles
+    own = Window.partitionBy("cid", "n")  # one text's shingles
     ranked = rows.join(common, "v").select("*", (F.row_number().over(own.orderBy("df", "v")) + F.col("n") - F.count("*").over(own)).alias("place"))
     entries = ranked.filter(100 * (F.col("place") - 1) <= (100 - percent) * F.col("n")).select("v", "cid", "root", "n", "place")
     overlap = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) + 1
@@ -188,11 +187,18 @@ def full_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return entries.alias("x").join(entries.alias("y"), on).select(*ordered_pair()).distinct()
 
 
+def keyed_sets(texts: list[bytes]) -> list[list[bytes]]:
+    import xxhash
+
+    sets = [shingle_values(t).tobytes() for t in texts]
+    return [sets, [xxhash.xxh3_128_digest(s) for s in sets]]
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept. Texts are similar from `percent` of shared shingles on.
 
     Null, empty and wordless texts have no shingles and are linked with nothing. Repeated rows are copies of each other and share a component; of
-    rows with the same id each says the same; where their texts differ, one of these stands for the id in comparisons. A null id is linked with nothing, and its component is null and kept. An empty table gives an
+    rows with the same id and text each says the same; where texts differ, each row says what its text is linked with. A null id is linked with nothing, and its component is null and kept. An empty table gives an
     empty result; other columns are not read.
     """
     scratch = Scratch(docs.sparkSession)
@@ -205,8 +211,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     pairs = scratch.table("pairs", estimates(near.unionByName(star_pairs(long_, scratch)).distinct(), classes, percent))
     ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).unionByName(long_.select("cid")).distinct()
     texts = docs.select(F.col(doc_id).cast("long").alias("cid"), F.col(text).alias("text")).join(ids, "cid")
-    sets = map_texts(texts, "text", "values binary", lambda t: [[shingle_values(x).tobytes() for x in t]], ["cid"])
-    sets = scratch.table("sets", classes.select("cid", "n").join(sets, "cid").filter(F.col("n") * 8 == F.octet_length("values")).dropDuplicates(["cid"]).select("cid", "values"))
+    sets = map_texts(texts, "text", "values binary, set_key binary", keyed_sets, ["cid"])
+    # An id whose rows have different texts can stand for several classes; each has its own set.
+    sets = scratch.table("sets", classes.select("cid", "set_key").join(sets, ["cid", "set_key"]).dropDuplicates(["cid", "set_key"]).select("cid", "values"))
     links = scratch.table("links", confirmed(pairs, sets, percent))
     first = components(links, scratch, "first")
     labelled = long_.join(first, "cid", "left").select("v", "cid", F.coalesce("root", "cid").alias("root"))
@@ -225,8 +232,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One document of each component, with all its columns; of rows with the same id the one with the smallest text. Rows without an id stay."""
     found = near_duplicates(docs, doc_id, text, percent).filter("doc_id is not null")
-    gone = found.filter("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    left = docs.join(gone, docs[doc_id].cast("long") == F.col("gone"), "left_anti")
+    name = free_name("gone", docs.columns)
+    gone = found.filter("not kept").select(F.col("doc_id").alias(name)).distinct()
+    left = docs.join(gone, docs[doc_id].cast("long") == F.col(name), "left_anti")
     if found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
         return left
     rank = free_name("rank", docs.columns)
