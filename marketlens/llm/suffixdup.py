@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import Scratch, map_texts, text_blocks
+from marketlens.llm.common import Scratch, free_name, giving_back, text_blocks
 
 LENGTH = 200
 K = 32
@@ -95,18 +95,18 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 
 
 def find_segments(docs: DataFrame) -> DataFrame:
-    """(doc_id, loc, anchor, segment) of docs (doc_id, mark, text); loc packs the place, number of strings, anchor's place and mark."""
+    """(doc_id, mark, loc, anchor, segment) of docs (doc_id, mark, text); loc packs the place, number of strings and anchor's place."""
     def run(batches: Iterator[pa.RecordBatch]):
         for part, texts in text_blocks(batches, "text"):
             text, start, count, offset, anchor, segment = anchors(texts)
-            loc = start << 32 | count << 24 | offset << 16 | part.column(1).to_numpy()[text]
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), pa.array(loc), pa.array(anchor.view(np.int64)), pa.array(segment.view(np.int64))], names=["doc_id", "loc", "anchor", "segment"])
+            loc, owner = start << 32 | count << 24 | offset << 16, pa.array(text)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(owner), part.column(1).take(owner), pa.array(loc), pa.array(anchor.view(np.int64)), pa.array(segment.view(np.int64))], names=["doc_id", "mark", "loc", "anchor", "segment"])
 
-    return docs.mapInArrow(run, "doc_id long, loc long, anchor long, segment long")
+    return docs.mapInArrow(giving_back(run), "doc_id long, mark long, loc long, anchor long, segment long")
 
 
 def unpacked(name: str) -> F.Column:
-    shift, mask = {"start": (32, 0x7FFFFFFF), "count": (24, 0xFF), "offset": (16, 0xFF), "mark": (0, 0xFFFF)}[name]
+    shift, mask = {"start": (32, 0x7FFFFFFF), "count": (24, 0xFF), "offset": (16, 0xFF)}[name]
     return F.shiftrightunsigned("loc", shift).bitwiseAND(F.lit(mask))
 
 
@@ -224,7 +224,7 @@ def counted_runs(rows: DataFrame, scratch: Scratch) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*[pa.array(string_hashes(x, LENGTH, b)[at].view(np.int64)) for b in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)], *[part.column(i).take(pick) for i in range(3)], pa.array(place.astype(np.int32))],
                                                  names=["h1", "h2", "anchor", "segment", "n", "place"])
 
-    found = scratch.table("strings", rows.select("anchor", "segment", "n", "bytes").mapInArrow(strings, "h1 long, h2 long, anchor long, segment long, n long, place int"))
+    found = scratch.table("strings", rows.select("anchor", "segment", "n", "bytes").mapInArrow(giving_back(strings), "h1 long, h2 long, anchor long, segment long, n long, place int"))
     often = found.groupBy("h1", "h2").agg(F.sum("n").alias("times")).filter("times > 1")
     return (found.filter("n = 1").join(often, ["h1", "h2"]).groupBy("anchor", "segment")
             .agg(F.collect_list(F.struct(F.col("place").alias("first"), F.col("place").alias("last"))).alias("runs")))  # at most REACH
@@ -237,11 +237,11 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, merge_rows: int = MERGE_RO
     twice = scratch.table("twice", found.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor"))
     alike = scratch.table("alike", found.join(twice, "anchor"))
     scratch.drop("segments", "twice")
-    kinds = alike.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "loc")).alias("rep"))
+    kinds = alike.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "mark", "loc")).alias("rep"))
     kinds = scratch.table("kinds", kinds)
     several = scratch.table("several", kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
     compared = scratch.table("compared", kinds.join(several, "anchor").select("anchor", "segment", "n", "kinds", "rep.*"))
-    asked = compared.select("doc_id", unpacked("mark").alias("mark"), F.struct("anchor", "segment", "n", "kinds", unpacked("start").cast("int").alias("start"), unpacked("count").cast("int").alias("count"), unpacked("offset").cast("int").alias("offset")).alias("ask"))
+    asked = compared.select("doc_id", "mark", F.struct("anchor", "segment", "n", "kinds", unpacked("start").cast("int").alias("start"), unpacked("count").cast("int").alias("count"), unpacked("offset").cast("int").alias("offset")).alias("ask"))
     asked = asked.groupBy("doc_id", "mark").agg(F.collect_list("ask").alias("asks"))  # at most one per byte of one text
     cut = (docs.join(asked, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).select(F.col("text"), F.explode("asks").alias("ask"))
            .select("ask.*", F.substring("text", F.col("ask.start") + 1, F.col("ask.count") + (LENGTH - 1)).alias("bytes")).drop("start"))
@@ -250,7 +250,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, merge_rows: int = MERGE_RO
     if largest > merge_rows:
         cut = scratch.table("cut", cut)
     few = cut.filter(~many).repartition("anchor").sortWithinPartitions("anchor")
-    runs = few.mapInArrow(merge_partition, "anchor long, segment long, runs array<struct<first:int,last:int>>")
+    runs = few.mapInArrow(giving_back(merge_partition), "anchor long, segment long, runs array<struct<first:int,last:int>>")
     if largest > merge_rows:
         runs = runs.unionByName(counted_runs(cut.filter(many), scratch))
     whole = kinds.filter("n > 1").select("anchor", "segment", F.lit(None).cast("array<struct<first:int,last:int>>").alias("runs"))
@@ -258,7 +258,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, merge_rows: int = MERGE_RO
     start, count = unpacked("start").cast("int"), unpacked("count").cast("int")
     all_ = F.array(F.struct(F.lit(0).alias("first"), (count - 1).alias("last")))
     spans = F.transform(F.coalesce("runs", all_), lambda r: F.struct((start + r["first"]).alias("from"), (start + r["last"] + LENGTH).alias("to")))
-    made = alike.join(results, ["anchor", "segment"]).select("doc_id", unpacked("mark").alias("mark"), F.explode(spans).alias("span"))
+    made = alike.join(results, ["anchor", "segment"]).select("doc_id", "mark", F.explode(spans).alias("span"))
     out = scratch.table("spans", made.groupBy("doc_id", "mark").agg(F.collect_list("span").alias("spans")))
     scratch.drop("alike", "kinds", "several", "compared", "cut", "strings", "runs")
     return out
@@ -275,22 +275,26 @@ def united(spans: list[dict] | None) -> list[tuple[int, int]]:
     return out
 
 
-def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
+def without(raw: bytes, spans: list[tuple[int, int]], whole: bool = False) -> bytes:
+    """The bytes outside the spans; if `whole`, without the rest of a character that a span cuts apart."""
     edges = [0, *[e for s in spans for e in s], len(raw)]
-    return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
+    parts = [raw[a:b] for a, b in zip(edges[::2], edges[1::2])]
+    return b"".join(p.decode("utf-8", "ignore").encode() for p in parts) if whole else b"".join(parts)
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None, merge_rows: int = MERGE_ROWS) -> DataFrame:
-    """The columns `keep`, removed (spans [from, to) of bytes) and kept_bytes of each row.
+def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None, merge_rows: int = MERGE_ROWS, whole: bool = False) -> DataFrame:
+    """The columns `keep`, removed (spans [from, to) of bytes) and kept_bytes of each row; these two get underscores in front where `keep` has their names.
 
     A byte goes if a string of LENGTH bytes that covers it also starts anywhere else, in the same text or another; all strings are judged on the
     input. Null texts are empty; texts shorter than LENGTH lose nothing. Repeated rows are copies of each other: each loses all that is long
-    enough. Rows with one id and different texts are told apart by a hash of the text. An empty table gives an empty result.
+    enough. Rows with one id and different texts are told apart by a 64-bit hash of the text, rows without an id by two such hashes. An empty table gives an empty
+    result. With `whole`, kept_bytes has whole characters only.
     """
     keep = docs.columns if keep is None else keep
     names = {c: f"in_{i}" for i, c in enumerate(keep)}
-    inner = docs.select(*[docs[c].alias(n) for c, n in names.items()], F.coalesce(docs[doc_id].cast("long"), F.lit(-1 << 63)).alias("doc_id"),
-                        F.xxhash64(docs[text]).bitwiseAND(F.lit(0xFFFF)).alias("mark"), F.coalesce(docs[text].cast("binary"), F.lit(b"")).alias("text"))
+    body = F.col(f"`{text}`")
+    inner = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.xxhash64(F.lit("no id"), body)).alias("doc_id"),
+                        F.xxhash64(body).alias("mark"), F.coalesce(body.cast("binary"), F.lit(b"")).alias("text"))
     scratch = Scratch(docs.sparkSession)
     spans = repeated_spans(inner.select("doc_id", "mark", "text"), scratch, merge_rows)
     joined = inner.join(spans, ["doc_id", "mark"], "left").select(*names.values(), "spans", "text")
@@ -299,11 +303,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         for part, texts in text_blocks(batches, "text", 1 << 20):
             found = [united(s) for s in part.column(len(names)).to_pylist()]
             pairs = pa.array([[{"from": a, "to": b} for a, b in s] for s in found], pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())])))
-            yield pa.RecordBatch.from_arrays([*part.columns[:len(names)], pairs, pa.array([without(t, s) for t, s in zip(texts, found)], pa.binary())], names=[*names.values(), "removed", "kept_bytes"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:len(names)], pairs, pa.array([without(t, s, whole) for t, s in zip(texts, found)], pa.binary())], names=[*names.values(), "removed", "kept_bytes"])
 
-    fields = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in names.items())
-    made = joined.mapInArrow(cut, f"{fields}, removed array<struct<from:int,to:int>>, kept_bytes binary")
-    return made.select(*[F.col(n).alias(c) for c, n in names.items()], "removed", "kept_bytes")
+    fields = "".join(f"{n} {docs.schema[c].dataType.simpleString()}, " for c, n in names.items())
+    made = joined.mapInArrow(giving_back(cut), f"{fields}removed array<struct<from:int,to:int>>, kept_bytes binary")
+    return made.select(*[F.col(n).alias(c) for c, n in names.items()], *[F.col(c).alias(free_name(c, keep)) for c in ("removed", "kept_bytes")])
 
 
 def shortened(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -314,7 +318,5 @@ def shortened(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
     names = {c: f"own_{i}" for i, c in enumerate(docs.columns)}
     inner = docs.toDF(*names.values())
     inner = inner.withColumn("was_null", inner[names[text]].isNull())
-    kept = ["was_null", *[n for c, n in names.items() if c != text]]
-    made = remove_repeats(inner, names[text], names[doc_id], keep=kept)
-    done = map_texts(made, "kept_bytes", "made string", lambda texts: [[t.decode("utf-8", "ignore") for t in texts]], kept)
-    return done.select(*[F.when(~F.col("was_null"), F.col("made")).alias(c) if c == text else F.col(n).alias(c) for c, n in names.items()])
+    made = remove_repeats(inner, names[text], names[doc_id], keep=["was_null", *[n for c, n in names.items() if c != text]], whole=True)
+    return made.select(*[F.when(~F.col("was_null"), F.col("kept_bytes").cast("string")).alias(c) if c == text else F.col(n).alias(c) for c, n in names.items()])
