@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import map_texts, text_blocks
+from marketlens.llm.common import giving_back, map_texts, text_blocks
 
 BUCKETS = 1 << 15
 #: Score of a change of language, in nats.
@@ -22,6 +22,8 @@ PENALTY = 12.0
 SCRIPT_SHARE = 0.005
 #: Texts that are labelled together; their words advance side by side, so larger blocks take fewer steps.
 LABEL_BYTES = 4 << 20
+#: A language column with more values than this is refused.
+MAX_LANGUAGES = 512
 UNKNOWN = "und"
 #: Script ranges as (first, last) UTF-8 lead byte of their code points; ASCII letters are Latin too.
 SCRIPTS = (("latin", 0xC3, 0xCA), ("greek", 0xCD, 0xCF), ("cyrillic", 0xD0, 0xD4), ("armenian_hebrew", 0xD5, 0xD7), ("arabic", 0xD8, 0xDC),
@@ -85,7 +87,7 @@ class LanguageModel:
 def train(docs: DataFrame, text: str, lang: str) -> LanguageModel:
     """Counts over all given documents with a language; null texts count as empty.
 
-    The driver gets at most (BUCKETS + scripts) rows per language, whatever the corpus size.
+    The driver gets at most (BUCKETS + scripts) rows per language, whatever the corpus size; more than MAX_LANGUAGES values are refused.
     """
     known = docs.filter(F.col(lang).isNotNull()).select(F.col(text).cast("binary").alias("text"), F.col(lang).cast("string").alias("lang"))
     table, width = script_table(), BUCKETS + NO_SCRIPT + 1
@@ -103,7 +105,10 @@ def train(docs: DataFrame, text: str, lang: str) -> LanguageModel:
             at = np.flatnonzero(held)
             yield pa.RecordBatch.from_arrays([pa.array([one] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(held[at], pa.int64())], names=["lang", "bucket", "n"])
 
-    rows = known.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    values = known.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
+    if values > MAX_LANGUAGES:
+        raise ValueError(f"{lang} has more than {MAX_LANGUAGES} values, so it does not name languages")
+    rows = known.mapInArrow(giving_back(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(set(rows["lang"]))
     counts = np.zeros((width, len(languages)))
     counts[rows["bucket"].to_numpy(), [languages.index(x) for x in rows["lang"]]] = rows["n"]
@@ -134,8 +139,9 @@ def viterbi(scores: np.ndarray, text: np.ndarray, penalty: float) -> np.ndarray:
     longest = np.argsort(-size, kind="stable")
     first, size = first[longest], size[longest]
     active = np.searchsorted(-size, -np.arange(size[0]), side="left")  # texts that have a word at this step
-    back = np.empty(scores.shape, dtype=np.uint8)
-    own = np.arange(scores.shape[1], dtype=np.uint8)
+    kind = np.min_scalar_type(max(0, scores.shape[1] - 1))  # as wide as the number of languages needs
+    back = np.empty(scores.shape, dtype=kind)
+    own = np.arange(scores.shape[1], dtype=kind)
     best = scores[first].astype(np.float64)
     final = best.copy()
     for t in range(1, size[0]):
@@ -144,7 +150,7 @@ def viterbi(scores: np.ndarray, text: np.ndarray, penalty: float) -> np.ndarray:
         top = previous.argmax(axis=1)
         change = previous[np.arange(n), top] - penalty
         stay = previous >= change[:, None]
-        back[at] = np.where(stay, own, top[:, None].astype(np.uint8))
+        back[at] = np.where(stay, own, top[:, None].astype(kind))
         best = np.where(stay, previous, change[:, None]) + scores[at]
         final[:n] = best
     labels = np.empty(len(scores), dtype=np.int64)
@@ -190,7 +196,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: li
     context = docs.sparkSession.sparkContext
     shared = context.broadcast((model.languages, model.logp, model.candidates))  # BUCKETS rows per language
     outputs = "lang_pred string, score double" + ", spans array<struct<first:int,last:int,lang:string>>" * spans
-    made = map_texts(docs, text, outputs, lambda m, t: label_texts(m, t, penalty)[:2 + spans], keep, lambda: LanguageModel(*shared.value), LABEL_BYTES)
+    made = map_texts(docs, text, outputs, lambda m, t: label_texts(m, t, penalty)[:2 + spans], keep, lambda: LanguageModel(*shared.value), max(1 << 16, LABEL_BYTES * 8 // max(8, len(model.languages))))  # scores are words x languages
     return made
 
 
