@@ -16,8 +16,8 @@ WORDS = 5
 K = 64
 BITS = 48
 DIGITS = BITS // 4
-#: Ranges of ids that are ordered apart from each other; their largest ids are broadcast.
-RANGES = 1 << 16
+#: Square root of the number of ranges of ids that are ordered apart from each other; their largest ids are broadcast.
+SIDE = 64
 
 
 def word_hashes(text: Column) -> Column:
@@ -85,27 +85,40 @@ def merge_groups(df: DataFrame, keys: Sequence[str], sketch: str, k: int = K) ->
     return values.withColumn("_r", rank).filter(F.col("_r") <= k).groupBy(*keys).agg(F.array_sort(F.collect_list("_h")).alias(sketch))
 
 
+def id_range(docs: DataFrame) -> Column:
+    """Number of the range of an id, from 0: how many cut points are not above it, looked up in two steps of SIDE comparisons."""
+    shares = F.array(*[F.lit(i / (SIDE * SIDE)) for i in range(1, SIDE * SIDE)])
+    cuts = docs.agg(F.percentile_approx("id", shares, 8 * SIDE * SIDE)).first()[0] or []
+    blocks = [cuts[i:i + SIDE] for i in range(0, len(cuts), SIDE)]
+    firsts, blocks = (F.from_json(F.lit(str(x)), t) for x, t in (([b[0] for b in blocks], "array<bigint>"), (blocks, "array<array<bigint>>")))
+
+    def not_above(points: Column) -> Column:
+        return F.size(F.filter(points, lambda c: c <= F.col("id")))
+
+    block = not_above(firsts)
+    return F.when(block > 0, (block - 1) * SIDE + not_above(F.get(blocks, block - 1))).otherwise(0).cast("long")
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows (id, text) with the sketch of each and the text and sketch of the next row by descending id; after the last comes the first.
 
-    Ids are cut into RANGES ranges of equal width. Each range gets one guest, the largest id below it (the smallest range that of all), so the rows of a range
-    find their next ones among themselves. Equal ids are ordered by a hash of the text, null ids come last.
+    Ids are cut at approximate quantiles into SIDE * SIDE ranges, so these are alike in rows however ids are spread; rows without an id come last, in as many
+    ranges of a hash of their text. Each range gets one guest, the first row of the range behind it (the last range that of all), so the rows of a range
+    find their next ones among themselves. Equal ids are ordered by the hash.
     """
-    bounds = docs.agg(F.min("id").alias("low"), F.max("id").alias("high")).first()
-    low, width = float(bounds["low"] or 0), max(256.0, (float(bounds["high"] or 0) - float(bounds["low"] or 0)) / RANGES)
-    span = F.coalesce(F.floor((F.col("id").cast("double") - low) / width), F.lit(-1)).cast("long")
-    own = docs.withColumn("span", span)
-    # At most RANGES + 2 rows: one window and a broadcast suffice.
-    tops = own.groupBy("span").agg(F.max("id").alias("top"), F.max(F.col("id").isNull()).alias("nulls"))
+    hashed = docs.withColumn("hash", F.xxhash64("text"))
+    own = hashed.withColumn("span", F.when(F.col("id").isNotNull(), id_range(hashed)).otherwise(-1 - SIDE * SIDE // 2 - F.shiftright("hash", 64 - (SIDE * SIDE).bit_length() + 1)))
+    # At most 2 * SIDE * SIDE + 1 rows: one window and a broadcast suffice.
+    tops = own.groupBy("span").agg(F.struct(F.max("id").alias("id"), F.when(F.max("id").isNull(), F.min("hash")).alias("hash")).alias("top"))
     order = Window.partitionBy(F.lit(0)).orderBy(F.desc("span"))
     all_ = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     guests = tops.select(F.col("span").alias("host"), F.coalesce(F.lead(F.struct("top", "span")).over(order), F.first(F.struct("top", "span")).over(all_)).alias("g")).select("host", F.col("g.top").alias("top"), F.col("g.span").alias("from"))
-    seen = own.join(F.broadcast(guests), (F.col("span") == F.col("from")) & F.col("id").eqNullSafe(F.col("top")), "left")
+    seen = own.join(F.broadcast(guests), (F.col("span") == F.col("from")) & ((F.col("id") == F.col("top.id")) | (F.col("id").isNull() & (F.col("hash") == F.col("top.hash")))), "left")
     places = F.when(F.col("host").isNull(), F.array(F.struct(F.col("span"), F.lit(False).alias("guest")))).otherwise(F.array(F.struct(F.col("span"), F.lit(False).alias("guest")), F.struct(F.col("host").alias("span"), F.lit(True).alias("guest"))))
-    dealt = seen.select("id", "text", F.explode(places).alias("p")).select("id", "text", "p.*").repartition("span")
+    dealt = seen.select("id", "hash", "text", F.explode(places).alias("p")).select("id", "hash", "text", "p.*").repartition("span")
     sketched = with_sketch(dealt, "text", "sketch")
-    follow = Window.partitionBy("span").orderBy("guest", F.desc_nulls_last("id"), F.xxhash64("text"))
-    return sketched.select("*", F.lead("text").over(follow).alias("next_text"), F.lead("sketch").over(follow).alias("next_sketch")).filter("not guest").drop("guest", "span")
+    follow = Window.partitionBy("span").orderBy("guest", F.desc_nulls_last("id"), "hash")
+    return sketched.select("*", F.lead("text").over(follow).alias("next_text"), F.lead("sketch").over(follow).alias("next_sketch")).filter("not guest").drop("guest", "span", "hash")
 
 
 def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
