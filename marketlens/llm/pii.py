@@ -25,6 +25,8 @@ SIEVE = 1 << 18
 TERM = r"\p{L}++"
 FOUND = "array<struct<kind:int,start:int,end:int,value:string>>"
 HITS = "array<struct<term:string,sure:boolean>>"
+#: Matches are counted up in strides of so many.
+STRIDE = 256
 SPANS = "array<struct<start:int,end:int,sure:boolean>>"
 EMAIL = "A-Za-z0-9._%+-"
 
@@ -71,14 +73,31 @@ def luhn_digit(d: Column, twice: Column) -> Column:
     return F.when(twice, 2 * d - F.when(d > 4, 9).otherwise(0)).otherwise(d)
 
 
-def located(matches: Column, gaps: Column, wanted: Column, base: Column, value) -> Column:
-    """Structs `value(match, start, end)` of the matches numbered in `wanted`: a match starts behind all gaps and matches before it."""
+def located(matches: Column, gaps: Column, sizes: Column, wanted: Column, base: Column, value) -> Column:
+    """Structs `value(match, start, end)` of the matches numbered in `wanted`: a match starts behind all gaps and matches before it.
+
+    `sizes` holds the lengths of each gap with the match behind it and their sums by STRIDE, so that a start adds up few numbers however many matches there are.
+    """
     def at(i):
-        start = base + F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda s, x: s + F.length(x)) + F.aggregate(F.slice(matches, 1, i), F.lit(0), lambda s, x: s + F.length(x))
+        block = F.floor(i / STRIDE).cast("int")
+        start = base + total(F.slice(sizes["sums"], 1, block)) + total(F.slice(sizes["own"], block * STRIDE + 1, i - block * STRIDE)) + F.length(F.get(gaps, i))
         return value(F.get(matches, i), start)
     return F.transform(wanted, at)
 
 
+def total(numbers_: Column) -> Column:
+    return F.aggregate(numbers_, F.lit(0), lambda s, x: s + x)
+
+
+def piece_sizes(matches: Column, gaps: Column) -> Column:
+    return F.transform(matches, lambda m, i: F.length(m) + F.length(F.get(gaps, i)))
+
+
+def with_sums(own: Column) -> Column:
+    sums = F.transform(F.sequence(F.lit(0), F.floor(F.size(own) / STRIDE).cast("int")), lambda b: total(F.slice(own, b * STRIDE + 1, STRIDE)))
+    return F.struct(own.alias("own"), sums.alias("sums"))
+
+
 def numbers(array: Column) -> Column:
     return F.when(F.size(array) > 0, F.sequence(F.lit(0), F.size(array) - 1)).otherwise(F.array().cast("array<int>"))
 
@@ -95,11 +114,16 @@ def with_found(df: DataFrame, text: str, out: str) -> DataFrame:
     for i, kind in enumerate(KINDS):
         w = F.col(f"{out}_w{i}")
         made = made.withColumn(f"{out}_g{i}", F.when(F.size(w) > 0, F.split(F.col(text), kind.pattern, -1)).otherwise(F.array().cast("array<string>")))
+    for i in range(len(KINDS)):
+        m, g = F.col(f"{out}_m{i}"), F.col(f"{out}_g{i}")
+        made = made.withColumn(f"{out}_l{i}", F.when(F.size(g) > 0, piece_sizes(m, g)))
+    for i in range(len(KINDS)):
+        made = made.withColumn(f"{out}_s{i}", with_sums(F.col(f"{out}_l{i}")))
     lists = []
     for i in range(len(KINDS)):
-        m, g, w = (F.col(f"{out}_{x}{i}") for x in "mgw")
-        lists.append(located(m, g, w, F.lit(0), lambda value, start, i=i: F.struct(F.lit(i).alias("kind"), start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"))))
-    return made.withColumn(out, F.concat(*lists).cast(FOUND)).drop(*[f"{out}_{x}{i}" for x in "mgw" for i in range(len(KINDS))])
+        m, g, s, w = (F.col(f"{out}_{x}{i}") for x in "mgsw")
+        lists.append(located(m, g, s, w, F.lit(0), lambda value, start, i=i: F.struct(F.lit(i).alias("kind"), start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"))))
+    return made.withColumn(out, F.concat(*lists).cast(FOUND)).drop(*[f"{out}_{x}{i}" for x in "mgwls" for i in range(len(KINDS))])
 
 
 def prepared(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -110,15 +134,40 @@ def prepared(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def masked(text: Column, found: Column) -> Column:
     """The text with a space for each character of an entity, so that places stay."""
-    def step(state, s):
-        gap = F.substr(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
-        blank = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], state["at"]), F.lit(0)))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], F.array(gap, blank)).alias("out"))
+    spans = F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(None).cast("string").alias("label"))))
+    return F.when(F.size(found) > 0, rewritten(text, spans)).otherwise(text)
+
+
+def bound(value: Column, function: Callable[[Column], Column]) -> Column:
+    """`function` of a value that is made only once, although lambdas in it use it often."""
+    return F.get(F.transform(F.array(value), function), F.lit(0))
 
-    spans = F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    cut = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step,
-                      lambda s: F.concat(F.array_join(s["out"], ""), F.substr(text, s["at"] + 1, F.length(text))))
-    return F.when(F.size(found) > 0, cut).otherwise(text)
+
+def rewritten(text: Column, spans: Column) -> Column:
+    """The text with labels in place of spans (start, end, label), which come by start; a null label is a space for each character.
+
+    Of overlapping spans the first label stands for both. Spans are taken in strides, and each stride's part of the text is cut out once, as the way to a
+    place in a text grows with the text.
+    """
+    def stride(state, b):
+        some = F.slice(spans, b * STRIDE + 1, STRIDE)
+        stop = F.greatest(state["at"], F.array_max(F.transform(some, lambda s: s["end"])))
+
+        def inside(piece):
+            def step(inner, s):
+                gap = F.substr(piece, inner["at"] - state["at"] + 1, F.greatest(s["start"] - inner["at"], F.lit(0)))
+                blank = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], inner["at"]), F.lit(0)))
+                label = F.when(s["label"].isNull(), blank).when(s["start"] >= inner["at"], s["label"]).otherwise("")
+                return F.struct(F.greatest(inner["at"], s["end"]).alias("at"), F.concat(inner["out"], F.array(gap, label)).alias("out"))
+
+            return F.aggregate(some, F.struct(state["at"].alias("at"), F.array().cast("array<string>").alias("out")), step, lambda s: F.struct(s["at"].alias("at"), F.array_join(s["out"], "").alias("made")))
+
+        done = bound(F.substr(text, state["at"] + 1, stop - state["at"]), inside)
+        return bound(done, lambda d: F.struct(d["at"].alias("at"), F.concat(state["out"], F.array(d["made"])).alias("out")))
+
+    strides = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / STRIDE).cast("int"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(strides, start, stride, lambda s: F.concat(F.array_join(s["out"], ""), F.substr(text, s["at"] + 1, F.length(text))))
 
 
 def distinct_terms(masked_text: Column) -> Column:
@@ -259,14 +308,5 @@ def sanitised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", alpha
     entities = F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(labels, s["kind"]).alias("label")))
     others = F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["sure"], "").otherwise("[TERM]").alias("label")))
     planned = joined.withColumn("spans", F.array_sort(F.concat(entities, others)))
-
-    def step(state, s):
-        free = s["start"] >= state["at"]
-        piece = F.concat(F.substr("body", state["at"] + 1, s["start"] - state["at"]), s["label"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(free, F.concat(state["out"], F.array(piece))).otherwise(state["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    cut = planned.withColumn("cut", F.when(F.size("spans") > 0, F.aggregate("spans", start, step)))
-    rest = F.substr("body", F.col("cut.at") + 1, F.length("body"))
-    clean = F.when(F.col("cut").isNull(), F.col(names[text])).otherwise(F.concat(F.array_join("cut.out", ""), rest))
-    return cut.select(*[clean.alias(c) if c == text else F.col(n).alias(c) for c, n in names.items()])
+    clean = F.when(F.size("spans") > 0, rewritten(F.col("body"), F.col("spans"))).otherwise(F.col(names[text]))
+    return planned.select(*[clean.alias(c) if c == text else F.col(n).alias(c) for c, n in names.items()])
