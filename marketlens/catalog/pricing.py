@@ -107,6 +107,18 @@ def _(t):
     return P.arm_learners(tr, te, (0, 5, 10))
 
 
+@query("pri8_isotonic_arms", f"""
+with {PN}, a as (select produit_key, remise_pct, count(*) as n, sum(y)::double as s from tr group by 1, 2),
+c as (select *, sum(s) over w as cs, sum(n) over w as cn from a window w as (partition by produit_key order by remise_pct)),
+p as (select x.produit_key, x.remise_pct as low, y.remise_pct as high, (y.cs - x.cs + x.s) / (y.cn - x.cn + x.n) as m from c x join c y on x.produit_key = y.produit_key and x.remise_pct <= y.remise_pct),
+f as (select c.produit_key, c.remise_pct, p.low, min(p.m) as m from c join p on p.produit_key = c.produit_key and p.low <= c.remise_pct and p.high >= c.remise_pct group by 1, 2, 3)
+select produit_key, remise_pct, round(max(m), 6) as y_croissant from f group by 1, 2""")
+def _(t):
+    """Mean quantity by discount of each product, made non-decreasing."""
+    tr = split(t)[0].withColumn("n", F.lit(1))
+    return P.isotonic(tr, ["produit_key"], "remise_pct", "y", "n", "y_croissant").withColumn("y_croissant", r("y_croissant"))
+
+
 @query("pri9_baseline_mean", f"with {PN}, m as (select produit_key, avg(y) v from tr group by 1) select produit_key, ds, coalesce(v, (select avg(y) from tr)) as pred from te left join m using (produit_key)")
 def _(t):
     return P.baseline_mean(*split(t)).select("produit_key", "ds", "pred")

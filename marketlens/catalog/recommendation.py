@@ -11,6 +11,8 @@ from marketlens.operators import filters as L
 from marketlens.operators import joins as J
 from marketlens.operators import ranking as K
 from marketlens.operators.ordered import materialise
+from marketlens.plans import factors as X
+from marketlens.plans import rankers
 from marketlens.plans import recsys as R
 
 CUT = "2001-01-01"
@@ -113,7 +115,23 @@ def _(t):
     return R.implicit_factors(m, rank=6, iterations=3)
 
 
-WEB_CUT = "2024-01-20"
+def purchase_matrix(t):
+    return t.confirmed.groupBy("client_key", "produit_key").agg(F.log1p(F.sum("quantite").cast("double")).alias("v"))
+
+
+@query("rec6_svd_factors")
+def _(t):
+    users, items, values = X.truncated_svd(purchase_matrix(t), components=32)
+    return X.factor_scores(candidates(t), users, items, len(values)).withColumn("score", r("score", 6))
+
+
+@query("rec6_bpr_factors")
+def _(t):
+    users, items = X.bpr_factors(purchase_matrix(t), factors=24, epochs=8)
+    return X.factor_scores(candidates(t), users, items, 24).withColumn("score", r("score", 6))
+
+
+WEB_CUT = "2001-01-20"
 
 
 @query("rec7_hybrid_purchase_web", f"""
@@ -244,10 +262,28 @@ def _labelled(t, cut):
 @query("rec16_pointwise_ranker")
 def _(t):
     known = t.web.filter(F.col("event_timestamp") < F.lit(WEB_CUT).cast("timestamp"))
-    earlier = _labelled(SimpleNamespace(web=known, confirmed=t.confirmed, products=t.products, stock=t.stock), "2024-01-10")
+    earlier = _labelled(SimpleNamespace(web=known, confirmed=t.confirmed, products=t.products, stock=t.stock), "2001-01-10")
     return R.pointwise_ranker(earlier, _labelled(t, WEB_CUT).drop("y"), ["popularite", "affinite", "recence", "stock", "prix_base", "marge"]).select("client_key", "produit_key", "score")
 
 
+def ranked_events(t, cut):
+    """Ten events in a row are a slate; of each row the features of client and product before the cutoff, and whether it is a purchase."""
+    rows = t.web.filter("client_key is not null").select(F.floor(F.col("event_id") / 10).alias("slate"), "event_id", "event_timestamp", "client_key", "produit_key", (F.col("event_type") == "purchase").cast("int").alias("y"))
+    known = R.ranker_features(rows.select("client_key", "produit_key").distinct(), t.confirmed, t.products, t.stock, F.lit(cut).cast("date"))
+    return materialise(rows.join(known, ["client_key", "produit_key"]))
+
+
+RANKED_BY = ["popularite", "affinite", "recence", "frequence", "stock", "prix_base", "marge"]
+
+
+@query("rec16_lambda_ranker")
+def _(t):
+    rows = ranked_events(t, "2001-01-01")
+    before = F.col("event_timestamp") < F.lit(WEB_CUT).cast("timestamp")
+    scored = rankers.lambda_ranker(rows.filter(before), rows.filter(~before).drop("y"), RANKED_BY, "slate", "event_id")
+    return scored.select("slate", "event_id", "produit_key", "score")
+
+
 def slates(t):
     group = F.when(F.substring(F.coalesce("client_key", "anonymous_id"), -1, 1).isin("0", "2", "4", "6", "8"), "controle").otherwise("traitement")
     return R.weekly_slates(t.web, t.confirmed, t.products, group)

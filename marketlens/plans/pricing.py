@@ -196,23 +196,58 @@ def calibration_factors(history: DataFrame, windows: DataFrame, variant: str = "
     return grid.select("window", "categorie", F.when(F.col("_p").isNull(), F.lit(1.0)).otherwise(chosen).alias("facteur"), F.coalesce("n", F.lit(0)).alias("support"))
 
 
+#: Blocks of pooled values: sum, weight, number of values.
+BLOCKS = "array<struct<s:double,w:double,n:int>>"
+
+
+def non_decreasing(values: Column, weights: Column) -> Column:
+    """Weighted isotonic regression of an array: the non-decreasing one with the least squared distance.
+
+    Pool adjacent violators as a fold: each new value is a block of its own, which takes in the blocks before it as long as their mean is greater.
+    """
+    def pool(blocks, x):
+        def take(state, block):
+            merge = ~state["done"] & (block["s"] / block["w"] > state["s"] / state["w"])
+            together = F.struct((state["s"] + block["s"]).alias("s"), (state["w"] + block["w"]).alias("w"), (state["n"] + block["n"]).alias("n"), F.lit(False).alias("done"), state["left"].alias("left"))
+            apart = F.struct(state["s"].alias("s"), state["w"].alias("w"), state["n"].alias("n"), F.lit(True).alias("done"), F.concat(F.array(block), state["left"]).alias("left"))
+            return F.when(merge, together).otherwise(apart)
+
+        start = F.struct(x["s"].alias("s"), x["w"].alias("w"), x["n"].alias("n"), F.lit(False).alias("done"), F.array().cast(BLOCKS).alias("left"))
+        return F.aggregate(F.reverse(blocks), start, take, lambda e: F.concat(e["left"], F.array(F.struct(e["s"].alias("s"), e["w"].alias("w"), e["n"].alias("n")))))
+
+    own = F.zip_with(values, weights, lambda v, w: F.struct((v * w).cast("double").alias("s"), w.cast("double").alias("w"), F.lit(1).alias("n")))
+    blocks = F.aggregate(own, F.array().cast(BLOCKS), pool)
+    return F.flatten(F.transform(blocks, lambda b: F.array_repeat(b["s"] / b["w"], b["n"])))
+
+
+def isotonic(rows: DataFrame, keys: Sequence[str], arm: str, value: str, weight: str, out: str) -> DataFrame:
+    """(keys, arm, out): of each group the values made non-decreasing along the arms, of which a group has few. Values of one arm are averaged first."""
+    w = F.col(weight).cast("double")
+    arms = rows.groupBy(*keys, arm).agg((F.sum(F.col(value) * w) / F.sum(w)).alias("v"), F.sum(w).alias("w"))
+    lists = arms.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(arm).alias("a"), "v", "w"))).alias("s"))
+    fit = non_decreasing(F.transform("s", lambda x: x["v"]), F.transform("s", lambda x: x["w"]))
+    return lists.withColumn("f", fit).select(*keys, F.explode(F.arrays_zip(F.transform("s", lambda x: x["a"]).alias("a"), F.col("f").alias("f"))).alias("z")).select(*keys, F.col("z.a").alias(arm), F.col("z.f").alias(out))
+
+
 def arm_learners(train: DataFrame, test: DataFrame, arms: Sequence[int], columns: Sequence[str] = ("prix_base", "cout", "dow")) -> DataFrame:
-    """Predicted quantity per arm: one model with the discount as feature (s), one model per arm (t), a non-decreasing
-    version along the discount, and their equal-weight mean."""
+    """Predicted quantity per arm: one model with the discount as feature (s), one model per arm (t), the isotonic fit of s along the discount, each arm
+    weighed by its rows in `train` (monotone), and the equal-weight mean of s and t."""
     from pyspark.ml.regression import GBTRegressor
     from marketlens.plans.forecast import assemble
     gbt = lambda out: GBTRegressor(labelCol="y", featuresCol="features", maxIter=8, maxDepth=3, seed=42, predictionCol=out)
     s = gbt("s").fit(assemble(train, [*columns, "remise_pct"], "y"))
     rows = test.select("produit_key", "ds", "y", *columns).withColumn("remise_pct", F.explode(F.array(*[F.lit(a) for a in arms])))
     scored = s.transform(assemble(rows.withColumn("arm", F.col("remise_pct")), [*columns, "remise_pct"], "y")).select("produit_key", "ds", F.col("arm"), "s", *columns, F.lit(0).alias("y"))
-    parts, seen = None, {r[0] for r in train.select("remise_pct").distinct().filter(F.col("remise_pct").isin(*arms)).collect()}  # at most one row per arm
+    parts, seen = None, {r["remise_pct"]: r["n"] for r in train.filter(F.col("remise_pct").isin(*arms)).groupBy("remise_pct").agg(N().alias("n")).collect()}  # at most one row per arm
     for a in arms:
         # An arm without rows takes the model of all rows.
         sub = train.filter(F.col("remise_pct") == a) if a in seen else train
         t = gbt("t").fit(assemble(sub, columns, "y")).transform(assemble(scored.filter(F.col("arm") == a), columns, "y")).drop("features")
         parts = t if parts is None else parts.unionByName(t)
-    w = Window.partitionBy("produit_key", "ds").orderBy("arm").rowsBetween(Window.unboundedPreceding, 0)
-    return parts.select("produit_key", "ds", "arm", "s", "t", F.max("s").over(w).alias("monotone"), ((F.col("s") + F.col("t")) / 2).alias("ensemble"))
+    keys = ["produit_key", "ds"]
+    support = F.coalesce(F.get(F.map_values(F.map_filter(F.create_map(*[F.lit(x) for a in arms for x in (a, seen.get(a, 1))]), lambda a, n: a == F.col("arm"))), F.lit(0)), F.lit(1))
+    grown = isotonic(parts.select(*keys, "arm", "s", support.alias("n")), keys, "arm", "s", "n", "monotone")
+    return parts.join(grown, [*keys, "arm"]).select(*keys, "arm", "s", "t", "monotone", ((F.col("s") + F.col("t")) / 2).alias("ensemble"))
 
 
 def baseline_mean(train: DataFrame, rows: DataFrame) -> DataFrame:
