@@ -108,9 +108,13 @@ def unbounded(fn, part):
 
 
 CUT = {**{f"sales_lag_{n}": (lag("y", n - 1, "produit_key") if n > 1 else "y") for n in (1, 2, 3, 7, 14, 21, 28)},
-       **{f"sales_{s}_{n}": roll("y", s, "produit_key", n, max(3, n // 4), 0) for n in (7, 28) for s in ("mean", "median", "std", "min", "max", "zero_rate")},
+       **{f"sales_{s}_{n}": roll("y", s, "produit_key", n, max(3, n // 4), 0) for n in (7, 14, 28, 56, 84) for s in ("mean", "median", "std", "min", "max", "zero_rate")},
        "sales_cumulative": unbounded("sum(y)", "produit_key"), "active_days_cumulative": unbounded("sum((y > 0)::int)", "produit_key"), "observed_days": unbounded("count(*)", "produit_key"),
-       **{f"views_lag_{n}": (lag('"view"', n - 1, "produit_key") if n > 1 else '"view"') for n in (1, 3, 7)},
+       **{f"{p}_lag_{n}": (lag(c, n - 1, "produit_key") if n > 1 else c) for p, c in (("views", '"view"'), ("cart", "add_to_cart")) for n in (1, 3, 7, 14, 28)},
+       "view_to_cart_28": f"{roll('add_to_cart', 'sum', 'produit_key', 28, 7, 0)} / nullif({roll(chr(34) + 'view' + chr(34), 'sum', 'produit_key', 28, 7, 0)}, 0)",
+       "stock_at_cutoff": "niveau_stock", "version_age_days": "greatest(ds - valid_from, 0)", "cutoff_dow": "isodow(ds) - 1", "cutoff_month": "month(ds)",
+       "cv2_84": f"pow({roll('y', 'std', 'produit_key', 84, 21, 0)} / nullif({roll('y', 'mean', 'produit_key', 84, 21, 0)}, 0), 2)",
+       **{c: c for c in ("product_code", "category_code", "brand_code")},
        "views_trend_7_28": f"{roll(chr(34) + 'view' + chr(34), 'mean', 'produit_key', 7, 3, 0)} - {roll(chr(34) + 'view' + chr(34), 'mean', 'produit_key', 28, 7, 0)}",
        "restock_frequency_84": roll("(quantite_reapprovisionnee > 0)::int", "mean", "produit_key", 84, 14, 0),
        "adi": f"{unbounded('count(*)', 'produit_key')} / nullif({unbounded('sum((y > 0)::int)', 'produit_key')}, 0)",
@@ -118,12 +122,12 @@ CUT = {**{f"sales_lag_{n}": (lag("y", n - 1, "produit_key") if n > 1 else "y") f
        "category_mean_28": "category_mean_28", "category_cumulative_mean": "category_cumulative_mean", "brand_mean_28": "brand_mean_28", "brand_cumulative_mean": "brand_cumulative_mean"}
 GROUPS = ", ".join(f"""g_{p} as (select {g}, ds, {roll('tt', 'mean', g, 28, 7, 0)} as {p}_mean_28, {unbounded('avg(tt)', g)} as {p}_cumulative_mean from (select {g}, ds, sum(y) as tt from daily group by 1, 2))"""
                    for g, p in (("categorie", "category"), ("marque", "brand")))
-RICH = "rich as (select d.*, row_number() over (partition by produit_key order by ds) as rn, category_mean_28, category_cumulative_mean, brand_mean_28, brand_cumulative_mean from daily d join g_category using (categorie, ds) join g_brand using (marque, ds))"
+RICH = "rich as (select d.*, row_number() over (partition by produit_key order by ds) as rn, category_mean_28, category_cumulative_mean, brand_mean_28, brand_cumulative_mean, valid_from, product_code, dense_rank() over (order by categorie) - 1 as category_code, dense_rank() over (order by marque) - 1 as brand_code from daily d join g_category using (categorie, ds) join g_brand using (marque, ds) join (select produit_key, valid_from, dense_rank() over (order by produit_key) - 1 as product_code from products) using (produit_key))"
 
 
 @query("win7_cutoff_features", f"with {GROUPS}, {RICH}, {features_sql('rich', CUT)} " + digest_sql("feats", ["produit_key"], list(CUT), 3))
 def _(t):
-    return digest(W.cutoff_features(t.daily, lags=(1, 2, 3, 7, 14, 21, 28), sizes=(7, 28, 84)), ["produit_key"], list(CUT), 3)
+    return digest(W.cutoff_features(t.daily, products=t.products), ["produit_key"], list(CUT), 3)
 
 
 @query("win7_abc_rank_per_day", """

@@ -6,15 +6,19 @@ calendar has days, because facts are added up per day before the window sees the
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketlens.functions.scalar import FUNNEL_STEPS, ratio, strip_accents_lower
 from marketlens.operators.filters import exclude_bots
 from marketlens.operators.grids import dense_days, explode_days
-from marketlens.operators.ordered import CHUNK, carry_over, exact_quantiles, running_totals, time_chunk
+from marketlens.operators.ordered import CHUNK, carry_over, exact_quantiles, materialise, running_totals, time_chunk
 from marketlens.operators.schema import require_columns
 
 
@@ -133,33 +137,124 @@ def days_since_positive(df: DataFrame, value: str, key: str, out: str) -> DataFr
     return d.withColumn(out, F.coalesce(F.col("_rn") - last, F.col("_rn"))).drop("_rn")
 
 
-def cutoff_features(daily: DataFrame, key: str = "produit_key", lags: Sequence[int] = (1, 2, 3, 7, 14, 21, 28),
-                    sizes: Sequence[int] = (7, 14, 28, 56, 84)) -> DataFrame:
+def running(w, measures: dict[str, Column]) -> dict[str, Column]:
+    """Running sum and count of each measure, the current row included (columns _s_ and _c_)."""
+    full = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return {f"_{k}_{n}": (F.coalesce(F.sum(c).over(full), F.lit(0)) if k == "s" else F.count(c).over(full)) for n, c in measures.items() for k in "sc"}
+
+
+def trailing(w, name: str, size: int) -> tuple[Column, Column]:
+    """Sum and count of the last `size` rows of a measure, as differences of its running ones: one lag each instead of a frame."""
+    return tuple(F.col(f"_{k}_{name}") - F.coalesce(F.lag(f"_{k}_{name}", size).over(w), F.lit(0)) for k in "sc")
+
+
+def trailing_sums(daily: DataFrame, key: str, value: str, sizes: Sequence[int], prefix: str) -> DataFrame:
+    """Mean, deviation and share of zeros of the last `size` rows, the current one included; null under max(3, size / 4) values.
+
+    They come from running sums, which are exact for whole numbers.
+    """
+    w = series(key)
+    y = F.col(value).cast("double")
+    d = daily.withColumns(running(w, {"y1": y, "y2": y * y, "y0": (y == 0).cast("int")}))
+    d = d.withColumns({f"_{m}{n}": trailing(w, m, n)[0] for n in sizes for m in ("y1", "y2", "y0")} | {f"_n{n}": trailing(w, "y1", n)[1] for n in sizes})
+    stats = {}
+    for n in sizes:
+        count, total = F.col(f"_n{n}"), F.col(f"_y1{n}")
+        variance = (F.col(f"_y2{n}") - total * total / count) / (count - 1)
+        for s, c in {"mean": total / count, "std": F.when(count > 1, F.sqrt(F.greatest(variance, F.lit(0.0)))), "zero_rate": F.col(f"_y0{n}") / count}.items():
+            stats[f"{prefix}_{s}_{n}"] = F.when(count >= max(3, n // 4), c)
+    return d.withColumns(stats).drop(*[f"_{k}_{m}" for k in "sc" for m in ("y1", "y2", "y0")], *[f"_{m}{n}" for n in sizes for m in ("y1", "y2", "y0", "n")])
+
+
+def with_order_statistics(batches: Iterator[pa.RecordBatch], key: int, value: int, sizes: Sequence[int], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Appends minimum, maximum and median of the last `size` rows of each series to rows that come by key and day.
+
+    The ends of the series are windows into one array, in which each series is preceded by empty places; the last values of a batch are kept for the next one.
+    """
+    longest = max(sizes)
+    tail, last = np.full(longest - 1, np.nan), None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys, y = batch.column(key), batch.column(value).cast(pa.float64()).to_numpy(zero_copy_only=False)
+        new = np.r_[last is None or keys[0] != last, pc.fill_null(pc.not_equal(keys[1:], keys[:-1]), True).to_numpy(zero_copy_only=False).astype(bool)]
+        part = np.cumsum(new) + (not new[0])
+        at = np.arange(len(y)) + (longest - 1) * part
+        padded = np.full(len(y) + (longest - 1) * part[-1], np.nan)
+        padded[at] = y
+        if not new[0]:
+            padded[:longest - 1] = tail
+        ends = np.lib.stride_tricks.sliding_window_view(padded, longest)[at - (longest - 1)]
+        columns = []
+        for n in sizes:
+            order = np.sort(ends[:, longest - n:], axis=1)  # without a value, that is NaN, sorts last
+            count = n - np.isnan(order).sum(axis=1)
+            rows, few = np.arange(len(y)), count < max(3, n // 4)
+            pick = lambda i: order[rows, np.maximum(i, 0)]
+            columns += [pa.array(x, mask=few) for x in (order[:, 0], pick(count - 1), (pick((count - 1) // 2) + pick(count // 2)) / 2)]
+        tail, last = padded[len(padded) - (longest - 1):], keys[-1]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=names)
+
+
+def trailing_statistics(daily: DataFrame, key: str, value: str, sizes: Sequence[int], prefix: str) -> DataFrame:
+    """trailing_sums, and minimum, maximum and median of the same rows under the same rule.
+
+    The order statistics need sorted windows, which as window functions would be sorted anew for each row and size by interpreted code; they are one pass of Arrow
+    batches over rows that the window before has brought into order.
+    """
+    summed = trailing_sums(daily, key, value, sizes, prefix).sortWithinPartitions(key, "ds")
+    fields = [T.StructField(f"{prefix}_{s}_{n}", T.DoubleType()) for n in sizes for s in ("min", "max", "median")]
+    schema = T.StructType([*summed.schema.fields, *fields])
+    at = [summed.columns.index(c) for c in (key, value)]
+    made = summed.mapInArrow(lambda batches: with_order_statistics(batches, *at, sizes, schema.names), schema)
+    kind = daily.schema[value].dataType
+    return made.withColumns({f"{prefix}_{s}_{n}": F.col(f"{prefix}_{s}_{n}").cast(kind) for n in sizes for s in ("min", "max")})
+
+
+def codes(df: DataFrame, column: str, out: str) -> DataFrame:
+    """(column, out): number of each value in sorted order, from 0."""
+    numbered = running_totals(df.select(column).filter(F.col(column).isNotNull()).distinct(), [], [F.col(column)], {out: F.lit(1)})
+    return numbered.select(column, (F.col(out) - 1).cast("int").alias(out))
+
+
+def cutoff_features(daily: DataFrame, key: str = "produit_key", lags: Sequence[int] = (1, 2, 3, 7, 14, 21, 28), sizes: Sequence[int] = (7, 14, 28, 56, 84),
+                    web_lags: Sequence[int] = (1, 3, 7, 14, 28), products: DataFrame | None = None) -> DataFrame:
     """Features known at the end of each day: lags and windows include the current row.
 
-    Category and brand means are computed on day totals of the group and joined back.
+    Category and brand means are computed on day totals of the group and joined back. Codes number products, categories and brands in sorted order. `products`
+    (key, categorie, marque, valid_from), one row a product, gives the age of a product's version, and spares a pass over the days for the codes.
     """
     w = series(key)
     full = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     y = F.col("y")
-    cols = {f"sales_lag_{n}": F.lag("y", n - 1).over(w) if n > 1 else y for n in lags}
-    for size in sizes:
-        for s in ("mean", "median", "std", "min", "max", "zero_rate"):
-            cols[f"sales_{s}_{size}"] = rolling(y, s, w, size, max(3, size // 4), end=0)
-    cols |= {"sales_cumulative": F.sum("y").over(full), "active_days_cumulative": F.sum((y > 0).cast("int")).over(full),
-             "observed_days": F.row_number().over(w)}
-    for n in (1, 3, 7):
-        cols[f"views_lag_{n}"] = F.lag("view", n - 1).over(w) if n > 1 else F.col("view")
-    views, carts = (rolling(F.col(c), "sum", w, 28, 7, end=0) for c in ("view", "add_to_cart"))
-    cols |= {"view_to_cart_28": ratio(carts, views),
-             "views_trend_7_28": rolling(F.col("view"), "mean", w, 7, 3, end=0) - rolling(F.col("view"), "mean", w, 28, 7, end=0),
-             "restock_frequency_84": rolling((F.col("quantite_reapprovisionnee") > 0).cast("int"), "mean", w, 84, 14, end=0)}
-    d = days_since_positive(daily.withColumns(cols), "quantite_reapprovisionnee", key, "days_since_restock")
+    at = lambda c, n: F.lag(c, n - 1).over(w) if n > 1 else F.col(c)
+    cols = {f"sales_lag_{n}": at("y", n) for n in lags} | {f"{p}_lag_{n}": at(c, n) for p, c in (("views", "view"), ("cart", "add_to_cart")) for n in web_lags}
+    cols |= {"sales_cumulative": F.sum("y").over(full), "active_days_cumulative": F.sum((y > 0).cast("int")).over(full), "observed_days": F.row_number().over(w)}
+    again = F.col("quantite_reapprovisionnee") > 0
+    cols |= running(w, {"view": F.col("view"), "cart": F.col("add_to_cart"), "again": again.cast("int")})
+    every = sorted({*sizes, 84})
+    d = daily.repartition(key).withColumns(cols)
+    last = {n: trailing(w, *n) for n in (("view", 28), ("view", 7), ("cart", 28), ("again", 84))}
+    enough = lambda n, least, c: F.when(last[n][1] >= least, c)
+    mean = lambda n, least: enough(n, least, last[n][0] / last[n][1])
+    d = d.withColumns({"view_to_cart_28": ratio(enough(("cart", 28), 7, last["cart", 28][0]), enough(("view", 28), 7, last["view", 28][0])), "views_trend_7_28": mean(("view", 7), 3) - mean(("view", 28), 7),
+                       "restock_frequency_84": mean(("again", 84), 14)}).drop(*[f"_{k}_{m}" for k in "sc" for m in ("view", "cart", "again")])
+    d = days_since_positive(d, "quantite_reapprovisionnee", key, "days_since_restock")
     d = (d.withColumn("adi", ratio("observed_days", "active_days_cumulative"))
-         .withColumn("cv2_84", F.pow(ratio(rolling(y, "std", w, 84, 21, end=0), rolling(y, "mean", w, 84, 21, end=0)), 2))
-         .withColumn("intermittent", (F.coalesce(F.col("adi"), F.lit(0.0)) > 1.32).cast("int")))
+         .withColumn("intermittent", (F.coalesce(F.col("adi"), F.lit(0.0)) > 1.32).cast("int"))
+         .withColumns({"stock_at_cutoff": F.col("niveau_stock"), "cutoff_dow": F.weekday("ds"), "cutoff_month": F.month("ds")}))
+    d = trailing_statistics(d, key, "y", every, "sales")
+    d = d.withColumn("cv2_84", F.pow(ratio("sales_std_84", "sales_mean_84"), 2))
+    if 84 not in sizes:
+        d = d.drop(*[f"sales_{s}_84" for s in ("mean", "std", "zero_rate", "min", "max", "median")])
+    if products is not None:
+        d = d.join(products.select(key, "valid_from"), key, "left").withColumn("version_age_days", F.greatest(F.datediff("ds", "valid_from"), F.lit(0))).drop("valid_from")
+    for column, out in ((key, "product_code"), ("categorie", "category_code"), ("marque", "brand_code")):
+        d = d.join(codes(daily if products is None else products, column, out), column, "left")
+    # One pass over the days serves both groups.
+    totals = materialise(daily.groupBy("categorie", "marque", "ds").agg(F.sum("y").alias("_t")))
     for group, prefix in (("categorie", "category"), ("marque", "brand")):
-        total = daily.groupBy(group, "ds").agg(F.sum("y").alias("_t"))
+        total = totals.groupBy(group, "ds").agg(F.sum("_t").alias("_t"))
         gw = series(group)
         means = total.select(group, "ds", rolling(F.col("_t"), "mean", gw, 28, 7, end=0).alias(f"{prefix}_mean_28"),
                              F.avg("_t").over(gw.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias(f"{prefix}_cumulative_mean"))
