@@ -1,4 +1,6 @@
 """Demand forecasting."""
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from marketlens.catalog.base import digest, digest_sql, query
@@ -26,9 +28,15 @@ bt as (select b.unique_id, b.ds, b.y, "window", (b.ds - start + 1)::int as h, n.
   join (select unique_id, "window" as w2, avg(y) as v from brand_days, wn where ds between start - 28 and start - 1 group by 1, 2) m on m.unique_id = b.unique_id and m.w2 = "window")"""
 
 
-@query("for1_naive_family", f"with {BT} select * from bt")
+@query("for1_naive_family", """
+with mx as (select max(ds) as m from daily), wn as (select i as "window", m - b + 1 as start from mx, (values (1, 120), (2, 90), (3, 60), (4, 30)) v(i, b)),
+ma as (select produit_key, "window", avg(y) as v from daily, wn where ds between start - 28 and start - 1 group by 1, 2)
+select b.produit_key, b.ds, b.y, wn."window", (b.ds - start + 1)::int as h, n.y::double as naive, s.y::double as seasonal_naive7, v as moving_average28
+from wn join daily b on b.ds between start and start + 29 join daily n on n.produit_key = b.produit_key and n.ds = start - 1
+  join daily s on s.produit_key = b.produit_key and s.ds = start - 7 + ((b.ds - start) % 7)::int join ma on ma.produit_key = b.produit_key and ma."window" = wn."window" """)
 def _(t):
-    return backtest(t)
+    days = t.product_days.select("produit_key", "ds", "y")
+    return P.backtest_naive(days, P.backtest_windows(t.spark, t.stock.agg(F.max("ds")).first()[0], BACKS), "produit_key")
 
 
 @query("for2_signal_baselines", """
@@ -49,19 +57,53 @@ def _train(t):
     return t.brand_days.filter("ds < date '2001-06-01'")
 
 
-@query("for3_croston_level")
-def _(t):
-    return P.croston_level(_train(t))
+def _levels(t, level):
+    """Levels of all products over all days of the sales before June 2001."""
+    lo = t.sales.agg(F.min("ds")).first()[0]
+    return level(t.confirmed.select("produit_key", "ds", F.col("quantite").alias("y")), "produit_key", (lo, dt.date(2001, 5, 31)), t.products)
+
 
+SOLD = """
+with recursive lo as (select min(ds) as d from sales), sd as (select produit_key, (ds - d)::int as i, y::double as y, row_number() over (partition by produit_key order by ds) as k from pday, lo where ds < date '2001-06-01' and y > 0),
+n as (select (date '2001-06-01' - d)::int as n from lo)"""
 
-@query("for4_tsb_level")
+
+@query("for3_croston_level", SOLD + """,
+f as (select produit_key, a, k, i as last, y as q, (i + 1)::double as p, y as err from sd, (values (0.1::double), (0.2), (0.3), (0.5), (0.7)) v(a) where k = 1
+  union all select produit_key, a, k + 1, i, a * y + (1 - a) * q, a * (i - last) + (1 - a) * p, err + (i - last - 1) * fit + abs(fit - y)
+  from (select f.*, sd.i, sd.y, q / greatest(p, 1) as fit from f join sd on sd.produit_key = f.produit_key and sd.k = f.k + 1)),
+e as (select produit_key, a, last, q / greatest(p, 1) as level, err from f qualify k = max(k) over (partition by produit_key, a)),
+b as (select produit_key, arg_min(level, (l, a)) as level, arg_min(a, (l, a)) as alpha, min(l) as loss from (select *, round((err + (n - 1 - last) * level) / n, 9) as l from e, n) group by 1)
+select produit_key, coalesce(round(level, 6), 0.0) as croston, coalesce(alpha, 0.1) as alpha, coalesce(round(loss, 6), 0.0) as loss from products left join b using (produit_key)""")
 def _(t):
-    return P.tsb_level(_train(t))
+    return _levels(t, P.croston_level).withColumns({c: F.round(c, 6) for c in ("croston", "loss")})
 
 
-@query("for5_ets_damped")
+@query("for4_tsb_level", SOLD + """,
+g as (select (row_number() over (order by a, b))::int as g, a, b from (values (0.1::double), (0.3), (0.5)) x(a), (values (0.1::double), (0.3), (0.5)) z(b)),
+f as (select produit_key, g, a, b, 0::bigint as k, -1 as last, y as q, 1.0::double as p, 0.0::double as err from sd, g where k = 1
+  union all select produit_key, g, a, b, k + 1, i, a * y + (1 - a) * q, b + (1 - b) * p * pow(1 - b, i - last - 1), err + q * p * (1 - pow(1 - b, i - last - 1)) / b + abs(q * p * pow(1 - b, i - last - 1) - y)
+  from (select f.*, sd.i, sd.y from f join sd on sd.produit_key = f.produit_key and sd.k = f.k + 1)),
+e as (select produit_key, g, q * p * pow(1 - b, n - 1 - last) as level, round((err + q * p * (1 - pow(1 - b, n - 1 - last)) / b) / n, 9) as l from f, n qualify k = max(k) over (partition by produit_key, g)),
+c as (select produit_key, arg_min(level, (l, g)) as level, min(l) as loss from e group by 1)
+select produit_key, coalesce(round(level, 6), 0.0) as tsb, coalesce(round(loss, 6), 0.0) as loss from products left join c using (produit_key)""")
+def _(t):
+    return _levels(t, P.tsb_level).withColumns({c: F.round(c, 6) for c in ("tsb", "loss")})
+
+
+@query("for5_ets_damped", """
+with recursive d as (select produit_key, y::double as y, (ds - date '2000-12-31')::int as k from daily where ds < date '2001-06-01'),
+w as (select produit_key, avg(y) filter (k <= 7) as m1, avg(y) filter (k between 8 and 14) as m2, list(y order by k) filter (k <= 7) as ys from d group by 1),
+s as (select produit_key, i, a, b, c, 0 as k, m1 as l, (m2 - m1) / 7 as t, list_transform(ys, lambda x : x - m1) as s from w, (values (0, 0.1::double, 0.05::double, 0.1::double), (1, 0.2, 0.1, 0.2), (2, 0.4, 0.1, 0.3)) v(i, a, b, c)
+  union all select produit_key, i, a, b, c, k + 1, level, b * (level - l) + (1 - b) * 0.98::double * t, s[2:7] || [c * (y - level) + (1 - c) * s[1]]
+  from (select s.*, d.y, a * (d.y - s[1]) + (1 - a) * (l + 0.98::double * t) as level from s join d on d.produit_key = s.produit_key and d.k = s.k + 1)),
+pa as (select produit_key, i, s.k, h, l + 0.98::double * (1 - pow(0.98::double, h)) / (1 - 0.98::double) * t + s[1 + (h - 1) % 7] as f from s, range(1, 31) r(h) where s.k in (123, 151)),
+ls as (select produit_key, i, round(avg(abs(f - y)), 9) as loss from pa join d using (produit_key) where pa.k = 123 and d.k = 123 + h group by 1, 2),
+ch as (select produit_key, arg_min(i, (loss, i)) as i from ls group by 1)
+select produit_key, i as params, h::int as h, round(greatest(f, 0), 6) as ets from ch join pa using (produit_key, i) where k = 151""")
 def _(t):
-    return P.ets_forecast(_train(t))
+    days = t.product_days.filter("ds < date '2001-06-01'").select("produit_key", "ds", "y")
+    return P.ets_forecast(days, key="produit_key").withColumn("ets", F.round("ets", 6))
 
 
 def _features(t):

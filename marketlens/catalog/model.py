@@ -158,6 +158,8 @@ def with_views(sql: str) -> str:
         return sql.strip()
     views = ",\n".join(f"{n} as ({SQL_VIEWS[n].strip()})" for n in order)
     body = sql.strip()
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {views},\n{body[15:]}"
     if body.lower().startswith("with "):
         return f"with {views},\n{body[5:]}"
     return f"with {views}\n{body}"
@@ -236,6 +238,13 @@ class Tables:
         return (self.pday.join(self.products.select("produit_key", "categorie", "marque", "prix_base", "cout"), "produit_key")
                 .withColumn("en_promotion", promo).withColumn("remise_pct", F.when(promo, F.col("remise_pct")).otherwise(0)))
 
+    @cached_property
+    def product_days(self) -> DataFrame:
+        """The days of `daily` with sales alone, which needs no web events."""
+        sold = self.pday.select("produit_key", "ds", "y", "remise_pct")
+        return (self.stock.select("produit_key", "ds").join(sold, ["produit_key", "ds"], "left")
+                .select("produit_key", "ds", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("y", "remise_pct")]))
+
     @cached_property
     def daily(self) -> DataFrame:
         seen = (self.web.filter("not est_bot").groupBy("produit_key", F.to_date("event_timestamp").alias("ds"))

@@ -57,17 +57,26 @@ def backtest_windows(spark, last_day, backs: Sequence[int], length: int = 30) ->
 
 
 def backtest_naive(days: DataFrame, windows: DataFrame, key: str = "unique_id") -> DataFrame:
-    """The naive family on every window in one plan: each day row is used only by the windows that need it."""
-    w = F.broadcast(windows)
-    # The last 28 rows of each series before each window, however long ago: a series may have gaps or have ended.
-    newest = F.row_number().over(Window.partitionBy(key, "window").orderBy(F.desc("ds")))
-    recent = days.join(w, F.col("ds") < F.col("start")).withColumn("_r", newest).filter(F.col("_r") <= 28)
+    """The naive family on every window in one plan.
+
+    The starts of the windows cut the calendar into gaps. Of each gap a series keeps its last 28 rows, one window function for all gaps; only these meet the
+    windows that start later, which keep the last 28 of them, however long ago: a series may have gaps or have ended. `windows`: one row per window, a handful.
+    """
+    starts = sorted({r["start"] for r in windows.select("start").collect()})
+    passed = sum(((F.col("ds") >= F.lit(s)).cast("int") for s in starts), F.lit(0))
+    before = windows.withColumn("_before", F.array_position(F.array(*[F.lit(s) for s in starts]), F.col("start")).cast("int"))
+    w = F.broadcast(before.withColumn("_gap", F.explode(F.sequence(F.lit(0), F.col("_before") - 1))).select("window", "_gap"))
+    gaps = days.select(key, "ds", "y").withColumn("_gap", passed).filter(F.col("_gap") < len(starts))
+    newest = lambda by: F.row_number().over(Window.partitionBy(key, by).orderBy(F.desc("ds")))
+    recent = (gaps.withColumn("_r", newest("_gap")).filter(F.col("_r") <= 28).join(w, "_gap")
+              .withColumn("_r", newest("window")).filter(F.col("_r") <= 28))
     pairs = F.sort_array(F.collect_list(F.struct("ds", F.col("y").cast("double").alias("y"))))
     arrays = recent.groupBy(key, "window").agg(F.transform(pairs, lambda p: p["y"]).alias("ys"))
-    overall = days.join(w, F.col("ds") < F.col("start")).groupBy("window").agg(F.avg("y").alias("_g"))
-    test = (days.select(key, "ds", "y").join(w, F.col("ds").between(F.col("start"), F.col("end")))
+    totals = gaps.groupBy("_gap").agg(F.sum("y").alias("_t"), F.count("y").alias("_n"))
+    overall = totals.join(w, "_gap").groupBy("window").agg((F.sum("_t") / F.sum("_n")).alias("_g"))
+    test = (days.select(key, "ds", "y").join(F.broadcast(windows), F.col("ds").between(F.col("start"), F.col("end")))
             .withColumn("h", F.datediff("ds", "start") + 1).drop("start", "end"))
-    d = test.join(arrays, [key, "window"], "left").join(F.broadcast(overall), "window")
+    d = test.join(arrays, [key, "window"], "left").join(F.broadcast(overall), "window", "left")
     ys, known = F.col("ys"), F.col("ys").isNotNull()
     week = F.slice(ys, -F.least(F.lit(7), F.size(ys)), F.lit(7))
     clip = lambda c: F.greatest(F.when(known, c).otherwise(F.col("_g")), F.lit(0.0))
@@ -83,52 +92,78 @@ def _indexed(ys: Column) -> Column:
     return F.zip_with(F.sequence(F.lit(0), F.size(ys) - 1), ys, lambda i, y: F.struct(i.alias("i"), y.alias("y")))
 
 
-def croston_fold(ys: Column, alpha: float) -> Column:
-    """(mean absolute in-sample error, level) of Croston smoothing with one alpha."""
+def sale_arrays(train: DataFrame, key: str = "unique_id", span: tuple | None = None, keys: DataFrame | None = None) -> DataFrame:
+    """One row per series: its days with sales as `hits` (i: number of the day from 0, y) and its number of days `n`.
+
+    Without `span` the rows of a series are its days, zeros included. With `span` (first and last day) every series of `keys` has each day of the span and `train`
+    needs only days with sales: days without any never become rows, so the shuffle grows with the sales and not with products times days. Several rows of a day are
+    added up; values below zero count as none.
+    """
+    if span is None:
+        hits = F.filter(_indexed(F.col("ys")), lambda e: e["y"] > 0)
+        return series_arrays(train, key).select(key, hits.alias("hits"), F.size("ys").alias("n"))
+    lo, hi = (F.lit(d).cast("date") for d in span)
+    sold = (train.filter(F.col("ds").between(lo, hi)).groupBy(key, F.datediff("ds", lo).alias("i")).agg(F.sum(F.col("y").cast("double")).alias("y")).filter("y > 0")
+            .groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "y"))).alias("hits")))
+    none = F.array().cast("array<struct<i:int,y:double>>")
+    return keys.select(key).distinct().join(sold, key, "left").select(key, F.coalesce("hits", none).alias("hits"), (F.datediff(hi, lo) + 1).alias("n"))
+
+
+def croston_fold(hits: Column, n: Column, alpha: float) -> Column:
+    """(mean absolute in-sample error, level) of Croston smoothing with one alpha.
+
+    Only days with sales change the state; the days between two of them share one fitted value, so their error is a product.
+    """
     a = F.lit(float(alpha))
+    rate = lambda s: F.coalesce(s["q"] / F.greatest(s["p"], F.lit(1.0)), F.lit(0.0))
     start = F.struct(F.lit(None).cast("double").alias("q"), F.lit(None).cast("double").alias("p"), F.lit(-1).alias("last"), F.lit(0.0).alias("err"))
 
     def step(s, e):
         first = s["q"].isNull()
-        hit = e["y"] > 0
-        fitted = F.when(first, F.lit(0.0)).otherwise(s["q"] / F.greatest(s["p"], F.lit(1.0)))
-        q = F.when(first & hit, e["y"]).when(hit, a * e["y"] + (1 - a) * s["q"]).otherwise(s["q"])
-        p = (F.when(first & hit, F.greatest(e["i"] + 1, F.lit(1)).cast("double"))
-             .when(hit, a * (e["i"] - s["last"]) + (1 - a) * s["p"]).otherwise(s["p"]))
-        return F.struct(q.alias("q"), p.alias("p"), F.when(hit, e["i"]).otherwise(s["last"]).alias("last"), (s["err"] + F.abs(fitted - e["y"])).alias("err"))
+        q = F.when(first, e["y"]).otherwise(a * e["y"] + (1 - a) * s["q"])
+        p = F.when(first, (e["i"] + 1).cast("double")).otherwise(a * (e["i"] - s["last"]) + (1 - a) * s["p"])
+        err = s["err"] + (e["i"] - s["last"] - 1) * rate(s) + F.abs(rate(s) - e["y"])
+        return F.struct(q.alias("q"), p.alias("p"), e["i"].alias("last"), err.alias("err"))
 
-    return F.aggregate(_indexed(ys), start, step, lambda s: F.struct(
-        (s["err"] / F.size(ys)).alias("loss"), F.coalesce(s["q"] / F.greatest(s["p"], F.lit(1.0)), F.lit(0.0)).alias("level")))
+    return F.aggregate(hits, start, step, lambda s: F.struct(((s["err"] + (n - 1 - s["last"]) * rate(s)) / n).alias("loss"), rate(s).alias("level")))
 
 
 def best_of(candidates: Sequence[Column]) -> Column:
-    """Candidate with the smallest loss; the earliest on ties."""
-    tagged = [F.struct(c["loss"].alias("loss"), F.lit(i).alias("i"), c["level"].alias("level")) for i, c in enumerate(candidates)]
+    """Candidate with the smallest loss, compared to nine decimals; the earliest on ties."""
+    tagged = [F.struct(F.round(c["loss"], 9).alias("loss"), F.lit(i).alias("i"), c["level"].alias("level")) for i, c in enumerate(candidates)]
     return F.array_min(F.array(*tagged))
 
 
-def croston_level(train: DataFrame, key: str = "unique_id") -> DataFrame:
-    """Flat Croston level per series, alpha chosen on the in-sample error."""
-    arrays = series_arrays(train, key)
-    return (arrays.withColumn("_b", best_of([croston_fold(F.col("ys"), a) for a in ALPHAS]))
+def croston_level(train: DataFrame, key: str = "unique_id", span: tuple | None = None, keys: DataFrame | None = None) -> DataFrame:
+    """Flat Croston level per series, alpha chosen on the in-sample error; 0 without sales. Arguments as in `sale_arrays`."""
+    arrays = sale_arrays(train, key, span, keys)
+    return (arrays.withColumn("_b", best_of([croston_fold(F.col("hits"), F.col("n"), a) for a in ALPHAS]))
             .select(key, F.greatest(F.col("_b.level"), F.lit(0.0)).alias("croston"), F.element_at(F.array(*[F.lit(a) for a in ALPHAS]), F.col("_b.i") + 1).alias("alpha"), F.col("_b.loss").alias("loss")))
 
 
-def tsb_fold(ys: Column, a: float, b: float) -> Column:
-    first = F.element_at(F.concat(F.filter(ys, lambda y: y > 0), F.array(F.lit(0.0))), 1)
-    start = F.struct(first.alias("q"), F.lit(1.0).alias("p"), F.lit(0.0).alias("err"))
+def tsb_fold(hits: Column, n: Column, a: float, b: float) -> Column:
+    """(mean absolute in-sample error, level) of smoothed size times smoothed probability.
 
-    def step(s, y):
-        hit = (y > 0)
-        return F.struct(F.when(hit, F.lit(a) * y + (1 - F.lit(a)) * s["q"]).otherwise(s["q"]).alias("q"),
-                        (F.lit(b) * hit.cast("double") + (1 - F.lit(b)) * s["p"]).alias("p"), (s["err"] + F.abs(s["q"] * s["p"] - y)).alias("err"))
-    return F.aggregate(ys, start, step, lambda s: F.struct((s["err"] / F.size(ys)).alias("loss"), (s["q"] * s["p"]).alias("level")))
+    The probability decays geometrically over days without sales, so their fitted values add up in closed form.
+    """
+    start = F.struct(F.coalesce(F.get(hits, F.lit(0))["y"], F.lit(0.0)).alias("q"), F.lit(1.0).alias("p"), F.lit(-1).alias("last"), F.lit(0.0).alias("err"))
+    fade = lambda k: F.pow(F.lit(1 - b), k)
+    quiet = lambda s, k: s["q"] * s["p"] * (1 - fade(k)) / F.lit(b)
+
+    def step(s, e):
+        k = e["i"] - s["last"] - 1
+        p = s["p"] * fade(k)
+        err = s["err"] + quiet(s, k) + F.abs(s["q"] * p - e["y"])
+        return F.struct((F.lit(a) * e["y"] + (1 - F.lit(a)) * s["q"]).alias("q"), (F.lit(b) + (1 - F.lit(b)) * p).alias("p"), e["i"].alias("last"), err.alias("err"))
+
+    rest = lambda s: n - 1 - s["last"]
+    return F.aggregate(hits, start, step, lambda s: F.struct(((s["err"] + quiet(s, rest(s))) / n).alias("loss"), (s["q"] * s["p"] * fade(rest(s))).alias("level")))
 
 
-def tsb_level(train: DataFrame, key: str = "unique_id") -> DataFrame:
-    """Flat level: smoothed size times smoothed probability, 3 x 3 grid on the in-sample error."""
-    arrays = series_arrays(train, key)
-    return (arrays.withColumn("_b", best_of([tsb_fold(F.col("ys"), a, b) for a in SMOOTHING for b in SMOOTHING]))
+def tsb_level(train: DataFrame, key: str = "unique_id", span: tuple | None = None, keys: DataFrame | None = None) -> DataFrame:
+    """Flat level: smoothed size times smoothed probability, 3 x 3 grid on the in-sample error; 0 without sales. Arguments as in `sale_arrays`."""
+    arrays = sale_arrays(train, key, span, keys)
+    return (arrays.withColumn("_b", best_of([tsb_fold(F.col("hits"), F.col("n"), a, b) for a in SMOOTHING for b in SMOOTHING]))
             .select(key, F.greatest(F.col("_b.level"), F.lit(0.0)).alias("tsb"), F.col("_b.loss").alias("loss")))
 
 
@@ -167,7 +202,7 @@ def ets_forecast(train: DataFrame, horizon: int = 30, key: str = "unique_id") ->
         losses[f"_loss{i}"] = F.when(F.col("_held"), F.aggregate(err, F.lit(0.0), lambda s, x: s + x) / F.size("_rest")).otherwise(F.lit(0.0))
     d = arrays.withColumn("_held", held & enough).withColumn("_rest", rest)
     d = d.withColumns({f"_h{i}": F.when(enough, ets_state(head, *p)) for i, p in enumerate(ETS_SETS)}).withColumns(losses)
-    pick = F.array_min(F.array(*[F.struct(F.col(f"_loss{i}").alias("loss"), F.lit(i).alias("i")) for i in range(3)])).getField("i")
+    pick = F.array_min(F.array(*[F.struct(F.round(f"_loss{i}", 9).alias("loss"), F.lit(i).alias("i")) for i in range(3)])).getField("i")
     d = d.withColumn("_i", pick).withColumns({f"_f{i}": F.when(enough & (F.col("_i") == i), ets_state(ys, *p)) for i, p in enumerate(ETS_SETS)})
     d = d.withColumn("_state", F.coalesce("_f0", "_f1", "_f2"))
     path = F.when(enough, ets_path(F.col("_state"), F.lit(horizon))).otherwise(F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda h: tail_mean(F.col("ys"), 10**6)))

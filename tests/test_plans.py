@@ -69,6 +69,41 @@ def test_intermittent_folds(spark):
         assert c[k] == pytest.approx(croston(v)) and t[k] == pytest.approx(tsb(v))
 
 
+def test_levels_from_days_with_sales_alone(spark):
+    """Series of a span without rows for days without sales give what their dense forms give; a series may have none."""
+    rnd = random.Random(7)
+    data = {f"s{k}": [rnd.choice([0] * (3 * k + 1) + [2, 5, 9]) for _ in range(90)] for k in range(5)} | {"none": [0] * 90, "last": [0] * 89 + [4], "first": [3] + [0] * 89}
+    dense = frame(spark, *[series(v, k) for k, v in data.items()])
+    first, last = dense.agg(F.min("ds"), F.max("ds")).first()
+    half = F.col("y") / 2
+    sold = dense.filter("y > 0").select("unique_id", "ds", half.alias("y"))
+    keys = spark.createDataFrame([(k,) for k in data], "unique_id string")
+    outside = sold.withColumn("ds", F.date_add("ds", 1000))
+    for level, plain, name in ((P.croston_level, croston, "croston"), (P.tsb_level, tsb, "tsb")):
+        got = {r["unique_id"]: r for r in level(sold.unionByName(sold).unionByName(outside), span=(first, last), keys=keys).collect()}
+        same = {r["unique_id"]: r for r in level(dense).collect()}
+        assert set(got) == set(data)
+        for k, v in data.items():
+            assert got[k][name] == pytest.approx(plain(v)) and got[k]["loss"] == pytest.approx(same[k]["loss"])
+
+
+def test_naive_family_reads_rows_of_its_gap_only(spark):
+    """Last 28 rows before each window, also where a series pauses or ends gaps earlier."""
+    rnd = random.Random(3)
+    days = {k: sorted(rnd.sample(range(200), n)) for k, n in (("a", 150), ("b", 40), ("c", 12))} | {"d": list(range(30)) + [190]}
+    rows = [(k, dt.date(2024, 1, 1) + dt.timedelta(d), rnd.randrange(9)) for k, v in days.items() for d in v]
+    df = spark.createDataFrame(rows, "unique_id string, ds date, y long")
+    windows = P.backtest_windows(spark, dt.date(2024, 1, 1) + dt.timedelta(199), (90, 60, 30))
+    got = P.backtest_naive(df, windows).collect()
+    starts = {r["window"]: (r["start"], r["end"]) for r in windows.collect()}
+    assert len(got) == sum(a <= d <= b for a, b in starts.values() for _, d, _ in rows)
+    for r in got:
+        start = starts[r["window"]][0]
+        past = [y for k, d, y in sorted(rows) if k == r["unique_id"] and d < start]
+        assert past and r["naive"] == past[-1] and r["moving_average28"] == pytest.approx(np.mean(past[-28:]))
+        assert r["seasonal_naive7"] == np.resize(past[-7:], r["h"])[-1]
+
+
 def test_damped_smoothing_follows_a_weekly_pattern_and_falls_back(spark):
     weekly = [10, 12, 14, 9, 8, 20, 25] * 10
     out = P.ets_forecast(frame(spark, series(weekly, "w"), series([4, 6, 5], "short")), horizon=14).collect()
