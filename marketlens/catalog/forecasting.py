@@ -7,6 +7,7 @@ from marketlens.catalog.base import digest, digest_sql, query
 from marketlens.catalog.windows import LAGF, features_sql  # noqa: F401
 from marketlens.functions.scalar import r
 from marketlens.operators import aggregates as A
+from marketlens.operators import joins as J
 from marketlens.operators import windows as W
 from marketlens.plans import forecast as P
 
@@ -117,7 +118,22 @@ def _(t):
     return P.recursive_forecast(train, 30, coefficients, intercept)
 
 
+AT_CUTOFF = [f"sales_lag_{n}" for n in (1, 2, 3, 7, 14, 28)] + [f"sales_{s}_{n}" for n in (7, 28, 84) for s in ("mean", "std", "zero_rate")] + ["adi", "observed_days"]
+
+
+def _cutoffs(t):
+    """Sales of each product known at the end of each day, and the discount of the promotion calendar: the discount of a sale would tell that there is one."""
+    planned = W.best_promo_per_day(J.expand_promotions(t.promotions, t.products)).select("produit_key", "ds", "remise_pct")
+    days = t.product_days.drop("remise_pct").join(planned, ["produit_key", "ds"], "left").withColumn("remise_pct", F.coalesce("remise_pct", F.lit(0)))
+    return W.sales_at_cutoff(days)
+
+
 @query("for7_direct_forecast")
+def _(t):
+    return P.direct_forecast(_cutoffs(t), AT_CUTOFF, dt.date(2001, 5, 30), settings=((10, 4), (20, 3)), key="produit_key")
+
+
+@query("for8_stacked_forecast")
 def _(t):
     return P.stacked_forecast(_features(t), ["y_lag1", "y_lag7", "y_ma28", "dow"], "2001-06-01")
 

@@ -166,6 +166,15 @@ def trailing_sums(daily: DataFrame, key: str, value: str, sizes: Sequence[int],
     return d.withColumns(stats).drop(*[f"_{k}_{m}" for k in "sc" for m in ("y1", "y2", "y0")], *[f"_{m}{n}" for n in sizes for m in ("y1", "y2", "y0", "n")])
 
 
+def sales_at_cutoff(daily: DataFrame, key: str = "produit_key", lags: Sequence[int] = (1, 2, 3, 7, 14, 21, 28), sizes: Sequence[int] = (7, 28, 84)) -> DataFrame:
+    """What the sales of a series alone tell at the end of each day: lags and trailing statistics, the current row included, and days per day with sales (`adi`)."""
+    w = series(key)
+    full = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = daily.withColumns({f"sales_lag_{n}": F.lag("y", n - 1).over(w) if n > 1 else F.col("y") for n in lags}
+                          | {"observed_days": F.row_number().over(w), "adi": ratio(F.row_number().over(w), F.sum((F.col("y") > 0).cast("int")).over(full))})
+    return trailing_sums(d, key, "y", sizes, "sales")
+
+
 def with_order_statistics(batches: Iterator[pa.RecordBatch], key: int, value: int, sizes: Sequence[int], names: list[str]) -> Iterator[pa.RecordBatch]:
     """Appends minimum, maximum and median of the last `size` rows of each series to rows that come by key and day.
 

@@ -6,13 +6,14 @@ sales are added up per day first. Folds run in the JVM (`aggregate`), one row pe
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.functions.scalar import ratio
-from marketlens.operators.ordered import exact_quantiles
-from marketlens.operators.windows import horizon_frame, series
+from marketlens.operators.ordered import exact_quantiles, materialise
+from marketlens.operators.windows import series
 
 ALPHAS = (0.1, 0.2, 0.3, 0.5, 0.7)
 SMOOTHING = (0.1, 0.3, 0.5)
@@ -248,20 +249,56 @@ def assemble(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
     return VectorAssembler(inputCols=list(columns), outputCol="features").transform(filled.withColumn(label, F.col(label).cast("double")))
 
 
-def direct_forecast(features: DataFrame, columns: Sequence[str], origin, horizons: Sequence[int], trees: int = 20, depth: int = 4, key: str = "unique_id") -> DataFrame:
-    """One boosted-tree model per horizon, trained on targets known at the origin. `origin`: last day of history (date)."""
+def direct_frame(features: DataFrame, columns: Sequence[str], horizons: Sequence[int], key: str = "unique_id") -> DataFrame:
+    """Each day as a cutoff: its features, and per horizon the target (`y_<h>`) and the planned discount (`plan_<h>`) of the day so far ahead.
+
+    One window serves all horizons, and the result is written, so the models don't shuffle the series again. Series have a row for each day of their span.
+    """
+    w = series(key)
+    ahead = {f"y_{h}": F.lead("y", h).over(w) for h in horizons} | {f"plan_{h}": F.lead("remise_pct", h).over(w) for h in horizons}
+    return materialise(features.select(key, "ds", *columns, "y", "remise_pct").withColumns(ahead).drop(*{"y", "remise_pct"} - set(columns)))
+
+
+def fit_horizon(frame: DataFrame, columns: Sequence[str], h: int, origin: Column, trees: int, depth: int, least: int = 60, key: str = "unique_id") -> DataFrame:
+    """Forecast of the day `h` days after the origin, by boosted trees (leaves of `least` rows or more) fitted to the cutoffs whose target was known at the origin."""
     from pyspark.ml.regression import GBTRegressor
+    day = F.date_add("ds", h)
+    names = [*columns, "target_dow", "target_month", "target_week", "planned_discount"]
+    rows = frame.select(key, "ds", *columns, F.weekday(day).alias("target_dow"), F.month(day).alias("target_month"), F.weekofyear(day).alias("target_week"),
+                        F.col(f"plan_{h}").alias("planned_discount"), F.col(f"y_{h}").alias("target"), day.alias("target_ds"))
+    train = assemble(rows.filter((F.col("target_ds") <= origin) & F.col("target").isNotNull()), names, "target")
+    test = assemble(rows.filter(F.col("ds") == origin).withColumn("target", F.coalesce("target", F.lit(0))), names, "target")
+    model = GBTRegressor(labelCol="target", featuresCol="features", maxIter=trees, maxDepth=depth, stepSize=0.1, subsamplingRate=0.85, featureSubsetStrategy="0.8", minInstancesPerNode=least, seed=42).fit(train)
+    return model.transform(test).select(key, "target_ds", F.lit(h).alias("h"), F.col("target").alias("y"), F.greatest("prediction", F.lit(0.0)).alias("pred"))
+
+
+def direct_forecast(features: DataFrame, columns: Sequence[str], origin, horizons: Sequence[int] = tuple(range(1, 31)), settings: Sequence[tuple[int, int]] = ((20, 4), (40, 3)),
+                    tuning_horizons: Sequence[int] = (1, 7, 14, 30), gap: int = 31, at_once: int = 8, least: int = 60, key: str = "unique_id") -> DataFrame:
+    """One boosted-tree model per horizon, each trained on targets known at the origin (a date, the last day of history), never fed with predictions.
+
+    Trees and depth are those with the lowest relative error over `tuning_horizons` of the window before, whose origin lies `gap` days earlier: what it forecasts was
+    known at the origin. `features`: key, ds, y, remise_pct (the planned discount) and `columns`, a row for each day. Fits are Spark jobs, `at_once` of them run side by side.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+    frame = direct_frame(features, columns, sorted({*horizons, *tuning_horizons}), key)
     day = F.lit(origin).cast("date")
-    out = None
-    for h in horizons:
-        frame = horizon_frame(features, h, key)
-        names = [*columns, "target_dow", "target_month", "planned_discount"]
-        train = assemble(frame.filter((F.col("target_ds") <= day) & F.col("target").isNotNull()), names, "target")
-        test = assemble(frame.filter(F.col("ds") == day).withColumn("target", F.coalesce("target", F.lit(0))), names, "target")
-        model = GBTRegressor(labelCol="target", featuresCol="features", maxIter=trees, maxDepth=depth, seed=42).fit(train)
-        part = model.transform(test).select(key, "target_ds", F.lit(h).alias("h"), F.col("target").alias("y"), F.greatest("prediction", F.lit(0.0)).alias("pred"))
-        out = part if out is None else out.unionByName(part)
-    return out
+
+    def forecasts(jobs: list[tuple[int, Column, tuple[int, int]]]) -> list[DataFrame]:
+        with ThreadPoolExecutor(at_once) as pool:
+            return list(pool.map(lambda j: fit_horizon(frame, columns, j[0], j[1], *j[2], least, key), jobs))
+
+    def union(parts: Sequence[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, parts)
+
+    best = settings[0]
+    if len(settings) > 1:
+        past = forecasts([(h, F.date_sub(day, gap), s) for s in settings for h in tuning_horizons])
+        k = len(tuning_horizons)
+        scores = union([union(past[i * k:i * k + k]).withColumn("_s", F.lit(i)) for i in range(len(settings))])
+        error = F.sum(F.abs(F.col("pred") - F.col("y"))) / F.greatest(F.sum("y"), F.lit(1.0))
+        found = scores.groupBy("_s").agg(error.alias("e")).orderBy("e", "_s").first()
+        best = settings[found["_s"]] if found else best
+    return union(forecasts([(h, day, best) for h in horizons]))
 
 
 def stacked_horizon_frame(features: DataFrame, test_start: Column, horizons: Sequence[int] = tuple(range(1, 31)), stride: int = 14, key: str = "unique_id") -> DataFrame:

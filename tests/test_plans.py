@@ -11,6 +11,7 @@ from marketlens.operators import joins as J
 from marketlens.operators import quality as Q
 from marketlens.operators import ranking as K
 from marketlens.operators import schema as SC
+from marketlens.operators import windows as W
 from marketlens.plans import evaluate as E
 from marketlens.plans import forecast as P
 from marketlens.plans import pricing as PR
@@ -104,6 +105,23 @@ def test_naive_family_reads_rows_of_its_gap_only(spark):
         assert r["seasonal_naive7"] == np.resize(past[-7:], r["h"])[-1]
 
 
+def test_direct_models_know_nothing_after_the_origin(spark):
+    """One model per horizon: a weekly pattern is met, and sales after the origin change the targets only."""
+    weekly, origin = [2, 4, 6, 8, 10, 20, 30], D0 + dt.timedelta(days=104)
+    rows = [(f"s{k}", D0 + dt.timedelta(days=i), weekly[i % 7] + k, 0) for k in range(4) for i in range(120)]
+    schema = "unique_id string, ds date, y long, remise_pct int"
+    later = [(k, d, y if d <= origin else 999, r) for k, d, y, r in rows]
+    columns = ["sales_lag_1", "sales_lag_7", "sales_mean_7"]
+    runs = []
+    for data in (rows, later):
+        features = W.sales_at_cutoff(spark.createDataFrame(data, schema), "unique_id", (1, 7), (7,))
+        runs.append({(r["unique_id"], r["h"]): r for r in P.direct_forecast(features, columns, origin, (1, 3), ((15, 3), (2, 1)), (1,), gap=7, least=1).collect()})
+    assert set(runs[0]) == set(runs[1]) == {(f"s{k}", h) for k in range(4) for h in (1, 3)}
+    for (k, h), r in runs[0].items():
+        assert r["target_ds"] == origin + dt.timedelta(days=h) and r["pred"] == pytest.approx(runs[1][k, h]["pred"])
+        assert r["pred"] == pytest.approx(r["y"], abs=3) and runs[1][k, h]["y"] == 999
+
+
 def test_damped_smoothing_follows_a_weekly_pattern_and_falls_back(spark):
     weekly = [10, 12, 14, 9, 8, 20, 25] * 10
     out = P.ets_forecast(frame(spark, series(weekly, "w"), series([4, 6, 5], "short")), horizon=14).collect()
