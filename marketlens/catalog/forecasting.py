@@ -130,7 +130,7 @@ def _cutoffs(t):
 
 @query("for7_direct_forecast")
 def _(t):
-    return P.direct_forecast(_cutoffs(t), AT_CUTOFF, dt.date(2001, 5, 30), settings=((10, 4), (20, 3)), key="produit_key")
+    return P.direct_forecast(_cutoffs(t), AT_CUTOFF, dt.date(2001, 5, 30), settings=((10, 3), (10, 4)), key="produit_key")
 
 
 @query("for8_stacked_forecast")
