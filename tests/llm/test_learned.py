@@ -69,3 +69,26 @@ def test_patience_is_increasing_and_matches():
     pairs = licenses.patience(a, b)
     assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
     assert len(pairs) > 150
+
+
+def test_licenses_next_to_each_other(make):
+    """Versions and variants keep apart, a place has one name, and whole texts win over their parts."""
+    t = licenses.TEMPLATES
+    wanted = {
+        "Licensed under CC BY-SA 4.0.": ["cc-by-sa-4.0-notice"], "Licensed under CC BY 4.0.": ["cc-by-4.0-notice"], "Licensed under CC BY-NC-SA 4.0.": ["cc-by-nc-sa-4.0-notice"],
+        "Licensed under CC BY-NC 4.0.": ["cc-by-nc-4.0-notice"], "Licensed under CC BY-NC 9.0.": [],
+        t["gpl-3.0-notice"]: ["gpl-3.0-notice"], t["gpl-3.0-notice"].replace("3", "2"): ["gpl-2.0-notice"], t["gpl-3.0-notice"].replace("General", "Lesser General"): ["lgpl-3.0-notice"],
+        "Released under the BSD License.": ["bsd-notice"], "Released under the MPL License.": ["mpl-notice"], "Released under the Local License.": [],
+        "under the MIT license and under the BSD 3-Clause License": ["mit-notice", "bsd-3-clause-notice"],
+        t["gpl-3.0-header"].replace("version 3", "version 2"): ["gpl-2.0-header"], t["gpl-3.0-header"].replace("General", "Affero General"): ["agpl-3.0-header"],
+        t["gpl-3.0-header"].replace("version 3", "version 9"): ["gpl-notice"] * 2,
+        licenses.TEXTS["bsd-3-clause-text"]: ["bsd-3-clause", "bsd-3-clause-text"], licenses.TEXTS["bsd-2-clause-text"]: ["bsd-2-clause", "bsd-2-clause-text"], t["bsd-2-clause"]: ["bsd-2-clause"], licenses.TEXTS["mit-text"]: ["mit", "mit-text"]}
+    texts = [f"{prose(30, i)} {text} {prose(30, -1 - i)}" for i, text in enumerate(wanted)]
+    got = {r.doc_id: [n.name for n in r.notices] for r in licenses.license_scan(make(texts)).collect()}
+    assert got == dict(enumerate(wanted.values()))
+
+
+def test_own_templates_name_each_place_once(make):
+    docs = make(["alpha beta gamma delta epsilon zeta"] * 2)
+    own = {"short": "alpha beta gamma", "long": "alpha beta gamma delta epsilon"}
+    assert [[(n.name, n.start, n.end) for n in r.notices] for r in licenses.license_scan(docs, templates=own).collect()] == [[("long", 0, 30)]] * 2
