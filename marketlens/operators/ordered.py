@@ -54,13 +54,13 @@ def carry_over(df: DataFrame, keys: Sequence[str], summary: dict[str, Column],
     return per_chunk.select(*keys, CHUNK, *[combine(n).over(earlier).alias(n) for n in summary])
 
 
-def range_chunks(df: DataFrame, order: Sequence[Column], chunks: int | None = None, sample: int | None = None) -> DataFrame:
+def range_chunks(df: DataFrame, order: Sequence[Column], chunks: int | None = None, sample: int | None = None, write: bool = True) -> DataFrame:
     """Adds a chunk number that grows with the sort key (ascending, all parts of the key together).
 
-    The input is written once, then cut points come from a hash sample of keys. Chunks are twice the shuffle partitions by default, as the session
+    The input is written once (not if `write` is false, for inputs that are cheap to read again: the sample then needs the sort key alone), then cut points come from a hash sample of keys. Chunks are twice the shuffle partitions by default, as the session
     sets these by the size of the data, and the sample 16 keys a chunk. Cut points only balance the chunks; results never depend on them. Including the tie-break column in `order` also splits long runs of equal values.
     """
-    df = materialise(df)
+    df = materialise(df) if write else df
     chunks = chunks or max(64, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sample = sample or 16 * chunks
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
@@ -80,10 +80,10 @@ def range_chunks(df: DataFrame, order: Sequence[Column], chunks: int | None = No
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column], measures: dict[str, Column],
-                   seconds: int | None = None, ts: str | None = None) -> DataFrame:
+                   seconds: int | None = None, ts: str | None = None, write: bool = True) -> DataFrame:
     """Adds inclusive running sums (columns named after `measures`) along `order` within `keys` (never NULL)."""
     chunked = (df.withColumn(CHUNK, time_chunk(ts, seconds)) if seconds
-               else range_chunks(df, order))
+               else range_chunks(df, order, write=write))
     inputs = chunked.withColumns({f"_m_{n}": c for n, c in measures.items()})
     within = (Window.partitionBy(*keys, CHUNK).orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))

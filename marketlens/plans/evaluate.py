@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.functions.scalar import horizon_bucket, ratio
-from marketlens.operators.ordered import exact_quantiles, pick_rank
+from marketlens.operators.ordered import exact_quantiles, materialise, pick_rank, running_totals
 
 
 
@@ -227,18 +227,41 @@ def mondrian_intervals(current: DataFrame, previous: DataFrame, level: float, ce
     return d.withColumn("q", q).withColumn("borne_basse", F.greatest(F.col("pred") - F.col("q"), F.lit(0.0))).withColumn("borne_haute", F.col("pred") + F.col("q")).drop("_qf", "_qc", "_nf")
 
 
+def union_quantiles(counts: DataFrame, regime: str, probs: dict[str, float]) -> DataFrame:
+    """Exact quantiles of residuals (bucket, window, _v, _n copies; _v may be NULL) over the windows before each window, or over all but it: bucket, window, _n, quantiles.
+
+    Every window has its own running count along one common order of the residuals, so a residual is one row however many windows use it.
+    The driver sees the numbers of the evaluation windows only.
+    """
+    kind = counts.schema["window"].dataType
+    windows = [F.lit(w).cast(kind) for w in sorted(r["window"] for r in counts.select("window").distinct().collect()) or [None]]
+    used = [F.col("window") < w if regime == "prior" else F.col("window") != w for w in windows]
+    share = [F.when(u, F.col("_n")).otherwise(0) for u in used]
+    known = F.col("_v").isNotNull()
+    sizes = counts.groupBy("bucket").agg(*[F.sum(s).alias(f"_all{i}") for i, s in enumerate(share)], *[F.sum(F.when(known, s).otherwise(0)).alias(f"_total{i}") for i, s in enumerate(share)])
+    ranked = running_totals(counts.filter(known), ["bucket"], [F.col("_v"), F.col("window")], {f"_cum{i}": s for i, s in enumerate(share)}, write=False)
+    placed, ends, limits = ranked.join(F.broadcast(sizes), "bucket"), [], []  # a row for each of the horizon buckets
+    for i, (w, s) in enumerate(zip(windows, share)):
+        fields = [w.alias("window"), F.col(f"_all{i}").alias("_n")]
+        for name, p in probs.items():
+            pos = (F.col(f"_total{i}") - 1) * F.lit(float(p))
+            for end, at in (("low", F.floor(pos)), ("high", F.ceil(pos))):
+                ends.append(F.max(F.when((at < F.col(f"_cum{i}")) & (at >= F.col(f"_cum{i}") - s), F.col("_v"))).cast("double").alias(f"_{end}_{name}{i}"))
+            low, high = (F.col(f"_{end}_{name}{i}") for end in ("low", "high"))
+            fields.append((low + (high - low) * (pos - F.floor(pos))).alias(name))
+        limits.append(F.struct(*fields))
+    found = placed.groupBy("bucket").agg(*ends).join(F.broadcast(sizes), "bucket")
+    return found.select("bucket", F.explode(F.array(*limits)).alias("_l")).select("bucket", "_l.*")
+
+
 def bucket_intervals(df: DataFrame, level: float = 0.8, regime: str = "prior", min_rows: int = 30) -> DataFrame:
     """Residual quantiles by horizon bucket from earlier windows only ('prior') or all other windows ('leave_one_out').
 
     Lower bound at least 0, upper at least the lower; a window without calibration rows stays uncalibrated.
     """
     d = df.withColumn("bucket", horizon_bucket(F.col("h"))).withColumn("residual", F.col("y") - F.col("pred"))
-    windows = d.select(F.col("window").alias("_for")).distinct()
-    used = F.col("window") < F.col("_for") if regime == "prior" else F.col("window") != F.col("_for")
-    calib = d.select("window", "bucket", "residual").join(F.broadcast(windows), used)
-    q = exact_quantiles(calib, ["_for", "bucket"], "residual", {"lo": (1 - level) / 2, "hi": 1 - (1 - level) / 2})
-    n = calib.groupBy("_for", "bucket").agg(N().alias("_n"))
-    lim = q.join(n, ["_for", "bucket"]).filter(F.col("_n") >= min_rows).withColumnRenamed("_for", "window")
+    counts = materialise(d.filter("bucket is not null and window is not null").groupBy("bucket", "window", F.col("residual").alias("_v")).agg(N().alias("_n")))
+    lim = union_quantiles(counts, regime, {"lo": (1 - level) / 2, "hi": 1 - (1 - level) / 2}).filter(F.col("_n") >= min_rows)
     out = d.join(F.broadcast(lim), ["window", "bucket"], "left").withColumn("calibrable", F.col("lo").isNotNull())
     low = F.when(F.col("calibrable"), F.greatest(F.col("pred") + F.col("lo"), F.lit(0.0)))
     out = out.withColumn("borne_basse", low)

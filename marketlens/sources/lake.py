@@ -3,12 +3,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.functions.scalar import UNKNOWN_LABEL, zero_padded
 from marketlens.operators.grids import explode_days
-from marketlens.operators.ordered import running_totals
+from marketlens.operators.ordered import materialise, running_totals
 
 # fixed values: the six source tables, date columns, closed domains
 SOURCE_TABLES = ("dim_products", "dim_customers", "promotions", "fact_transactions", "stock_daily", "web_events")
@@ -84,25 +84,33 @@ def checked_rows(df: DataFrame, table: str, products: DataFrame | None = None) -
     return rows.select(*kept).withColumn("_bad", bad)
 
 
-def row_check_counts(df: DataFrame, table: str, products: DataFrame | None = None) -> DataFrame:
-    """Counts per rule, number of rejected rows and error rate, in one aggregate."""
-    rows = checked_rows(df, table, products)
+def check_counts(rows: DataFrame) -> list[Column]:
+    """Aggregates over checked rows: counts per rule, number of rejected rows and error rate."""
     named = [c for c in rows.columns if c.startswith(("_rule_", "_note_"))]
     rejected = F.sum(F.when(F.col("_bad"), F.col("_copies")).otherwise(F.col("_copies") - 1))
     total = F.sum("_copies")
-    return rows.agg(total.alias("n_rows"), F.sum(F.col("_copies") - 1).alias("duplicates"),
-                    *[F.sum(F.when(F.col(c), F.col("_copies")).otherwise(0)).alias(c.split("_", 2)[2]) for c in named],
-                    rejected.alias("n_rejected"), (rejected / total).alias("error_rate"))
+    return [total.alias("n_rows"), F.sum(F.col("_copies") - 1).alias("duplicates"),
+            *[F.sum(F.when(F.col(c), F.col("_copies")).otherwise(0)).alias(c.split("_", 2)[2]) for c in named],
+            rejected.alias("n_rejected"), (rejected / total).alias("error_rate")]
+
+
+def row_check_counts(df: DataFrame, table: str, products: DataFrame | None = None) -> DataFrame:
+    """Counts per rule, number of rejected rows and error rate, in one aggregate."""
+    rows = checked_rows(df, table, products)
+    return rows.agg(*check_counts(rows))
 
 
 def silver_gate(df: DataFrame, table: str, products: DataFrame | None = None,
                 error_threshold: float = 0.10) -> tuple[DataFrame, DataFrame]:
-    """(clean, rejects); raises when the share of rejected rows is above the threshold."""
-    columns = df.columns
-    rate = row_check_counts(df, table, products).first()
+    """(clean, rejects); raises when the share of rejected rows is above the threshold.
+
+    Rows are checked once: their counts are observed while they are written, and both results read the written rows.
+    """
+    columns, rows, seen = df.columns, checked_rows(df, table, products), Observation()
+    rows = materialise(rows.observe(seen, *check_counts(rows)))
+    rate = seen.get
     if rate["n_rows"] and rate["error_rate"] > error_threshold:
         raise ValueError(f"[{table}] error rate {rate['error_rate']:.1%} above {error_threshold:.0%}")
-    rows = checked_rows(df, table, products)
     clean = rows.filter(~F.col("_bad")).select(*columns)
     extra = F.when(F.col("_bad"), F.col("_copies")).otherwise(F.col("_copies") - 1).cast("int")
     rejects = (rows.filter(extra > 0).withColumn("_i", F.explode(F.sequence(F.lit(1), extra))).select(*columns))
@@ -110,8 +118,11 @@ def silver_gate(df: DataFrame, table: str, products: DataFrame | None = None,
 
 
 def surrogate_keys(df: DataFrame, natural_id: str, key: str, prefix: str, width: int = 6) -> DataFrame:
-    """Zero-based padded surrogate key in the order of the natural id, numbered without a single-task sort."""
-    numbered = running_totals(df, [], [F.col(natural_id)], {"_pos": F.lit(1)})
+    """Zero-based padded surrogate key in the order of the natural id, numbered without a single-task sort.
+
+    A position is the place inside a range of ids plus the rows of the ranges before. Ranges and their counts come from the id column alone, and nothing is written.
+    """
+    numbered = running_totals(df, [], [F.col(natural_id)], {"_pos": F.lit(1)}, write=False)
     return numbered.withColumn(key, zero_padded(prefix, F.col("_pos") - 1, width)).drop("_pos")
 
 
@@ -125,7 +136,7 @@ def canonical_category(df: DataFrame, column: str) -> DataFrame:
 
 
 def dim_product(products: DataFrame) -> DataFrame:
-    keyed = surrogate_keys(canonical_category(products, "category"), "product_id", "produit_key", "PRD")
+    keyed = canonical_category(surrogate_keys(products, "product_id", "produit_key", "PRD"), "category")
     return keyed.select("produit_key", "product_id", "product_name", F.col("category").alias("categorie"), F.col("brand").alias("marque"),
                         F.col("base_price_xof").alias("prix_base_xof"), F.col("cost_xof").alias("cout_xof"), F.col("launch_date").alias("valid_from"),
                         F.lit(None).cast("date").alias("valid_to"), F.lit(True).alias("is_current"))

@@ -115,3 +115,12 @@ def test_sessionize_matches_brute_force(spark):
             no += last is None or (r[2] - last).total_seconds() > 1800
             last = r[2]
             assert got[r[0]] == no
+
+
+def test_surrogate_keys_write_nothing(spark, tmp_path, monkeypatch):
+    from marketlens.operators import ordered
+    from marketlens.sources import lake
+    monkeypatch.setattr(ordered, "materialise", None)
+    df = spark.range(5000).select(F.format_string("p%07d", F.pmod(F.col("id") * 7919, F.lit(5000))).alias("product_id"))
+    got = {r.product_id: r.cle for r in lake.surrogate_keys(df, "product_id", "cle", "PRD").collect()}
+    assert got == {f"p{i:07d}": f"PRD{i:06d}" for i in range(5000)}

@@ -290,3 +290,31 @@ def test_later_orders_change_no_complement_score(spark):
                 by_hand[x, y] = by_hand.get((x, y), 0) + 1
     got = {(r["src"], r["dst"]): r["n_commandes"] for r in R.neighbours(stats["cooccurrence"], "n_commandes").filter("window = 2").collect()}
     assert got == by_hand
+
+
+@pytest.mark.parametrize("regime", ["prior", "leave_one_out"])
+def test_bucket_intervals_equal_pooled_residuals(spark, regime):
+    """Quantiles over unions of windows against pooled numpy quantiles: ties, residuals without value, a window with few rows."""
+    rng = random.Random(3)
+    rows = [(w, h, float(rng.randint(0, 9)) if rng.random() > .05 else None, 4.0) for w in (1, 2, 5, 9) for h in (1, 10, 20, 30) for _ in range(3 if w == 1 else 40)]
+    df = spark.createDataFrame(rows, "window int, h int, y double, pred double")
+    same_bucket = {1: {1}, 10: {10}, 20: {20, 30}, 30: {20, 30}}
+    for r in E.bucket_intervals(df, 0.8, regime, 30).select("window", "h", "calibrable", "borne_basse", "borne_haute").distinct().collect():
+        pool = [y for w, h, y, _ in rows if h in same_bucket[r.h] and (w < r.window if regime == "prior" else w != r.window)]
+        assert r.calibrable == (len(pool) >= 30)
+        if r.calibrable:
+            lo, hi = np.quantile([y - 4.0 for y in pool if y is not None], [.1, .9])
+            assert r.borne_basse == pytest.approx(max(4 + lo, 0)) and r.borne_haute == pytest.approx(max(4 + hi, max(4 + lo, 0)))
+    assert E.bucket_intervals(df.limit(0), 0.8, regime).count() == 0
+
+
+def test_silver_gate_checks_rows_once(spark):
+    columns = "order_id string, product_id string, quantity int, order_status string"
+    good = [(f"o{i}", "P1", 1, "confirmee") for i in range(99)]
+    products = spark.createDataFrame([("P1",)], "product_id string")
+    clean, rejects = lake.silver_gate(spark.createDataFrame(good + [("o0", "P1", 1, "confirmee"), ("x", "P1", 0, "confirmee")], columns), "fact_transactions", products)
+    assert clean.count() == 99 and sorted(r.order_id for r in rejects.collect()) == ["o0", "x"]
+    with pytest.raises(ValueError, match="error rate"):
+        lake.silver_gate(spark.createDataFrame(good[:5] + [("x", "P1", 0, "confirmee")] * 3, columns), "fact_transactions", products)
+    empty = lake.silver_gate(spark.createDataFrame([], columns), "fact_transactions", products)
+    assert empty[0].count() == empty[1].count() == 0
