@@ -318,3 +318,44 @@ def test_silver_gate_checks_rows_once(spark):
         lake.silver_gate(spark.createDataFrame(good[:5] + [("x", "P1", 0, "confirmee")] * 3, columns), "fact_transactions", products)
     empty = lake.silver_gate(spark.createDataFrame([], columns), "fact_transactions", products)
     assert empty[0].count() == empty[1].count() == 0
+
+
+def physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_days_are_never_broadcast(spark, tmp_path):
+    """Exploded rows are sized as their source, which is small enough for a broadcast."""
+    import re
+
+    from marketlens.catalog.model import Tables
+    from marketlens.operators.grids import explode_days
+    spark.range(50).selectExpr("id as p_partkey", "'n' as p_name", "'t' as p_type", "'b' as p_brand", "1.0d as p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    t = Tables(spark, str(tmp_path))
+    sold = t.stock.select("produit_key", "ds", F.lit(1).alias("x"))
+    spans = t.products.select("produit_key", "valid_from", F.date_add("valid_from", 400).alias("hi"))
+    laid = explode_days(spans, F.col("valid_from"), F.col("hi"))
+    broadcast_days = r"BroadcastExchange(?:(?!\n *[: ]*[-+:]*- *(?:\*\(\d+\) )?(?:Exchange|FileScan))[\s\S])*?Generate explode"
+    for df in (t.stock.join(t.products, "produit_key"), t.products.join(t.stock, "produit_key", "left"), sold.join(t.stock, ["produit_key", "ds"], "left"), laid.join(t.products.select("produit_key"), "produit_key"),
+               t.products.join(laid.groupBy("produit_key", "ds").count(), "produit_key", "left")):
+        assert not re.search(broadcast_days, physical(df)) and "SortMergeJoin" in physical(df)
+    assert t.stock.count() == 50 * 180 and t.stock.join(t.products, "produit_key").count() == 50 * 180 and laid.count() == 50 * 401
+
+
+def test_stock_days_are_dealt_over_tasks(spark, tmp_path):
+    from marketlens.catalog.model import Tables
+    spark.range(400).coalesce(1).selectExpr("id as p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    sizes = [r["count"] for r in Tables(spark, str(tmp_path)).stock.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 400 * 180 / 2
+
+
+def test_promotion_days_are_not_shuffled(spark):
+    day = [D0 + dt.timedelta(days=i) for i in range(10)]
+    products = spark.createDataFrame([("p1", "1", "a"), ("p2", "2", "a"), ("p3", "3", "b")], "produit_key string, product_id string, categorie string")
+    promos = spark.createDataFrame([("A", "product", "1", 10, day[0], day[4]), ("B", "category", "a", 20, day[3], day[6]), ("C", "category", "b", 5, day[9], day[2])],
+                                   "promo_key string, portee string, cible string, remise_pct int, date_debut date, date_fin date")
+    best = W.best_promo_per_day(J.expand_promotions(promos, products))
+    plan = physical(best)
+    assert plan.count("Generate explode") == 1 and "Exchange" not in plan[:plan.index("Generate explode")]
+    rows = {(r["produit_key"], r["ds"]): (r["remise_pct"], r["n_promotions"], r["portee_promo"]) for r in best.collect()}
+    assert rows == {("p1", d): (20, 2, "category") if i in (3, 4) else (10, 1, "product") if i < 3 else (20, 1, "category") for i, d in enumerate(day[:7])} | {("p2", d): (20, 1, "category") for d in day[3:7]}
