@@ -359,3 +359,19 @@ def test_promotion_days_are_not_shuffled(spark):
     assert plan.count("Generate explode") == 1 and "Exchange" not in plan[:plan.index("Generate explode")]
     rows = {(r["produit_key"], r["ds"]): (r["remise_pct"], r["n_promotions"], r["portee_promo"]) for r in best.collect()}
     assert rows == {("p1", d): (20, 2, "category") if i in (3, 4) else (10, 1, "product") if i < 3 else (20, 1, "category") for i, d in enumerate(day[:7])} | {("p2", d): (20, 1, "category") for d in day[3:7]}
+
+
+def test_rolling_whole_numbers_take_one_step_a_row(spark):
+    rng = random.Random(4)
+    rows = [(k, D0 + dt.timedelta(days=i), rng.choice([None, 0, 0, 3, 7]), rng.randrange(4), rng.randrange(3), rng.randrange(90), rng.randrange(2)) for k in ("a", "b", None) for i in range(100)]
+    daily = spark.createDataFrame(rows, "produit_key string, ds date, y long, view long, add_to_cart long, niveau_stock int, quantite_reapprovisionnee int")
+    w = W.series("produit_key")
+    want, got = {}, {}
+    for name, kind, size, least in (("y", "mean", 7, 3), ("y", "mean", 84, 21), ("y", "zero_rate", 28, 7), ("view", "sum", 28, 7), ("add_to_cart", "sum", 3, 1)):
+        want[f"{name}_{kind}_{size}"], got[f"{name}_{kind}_{size}"] = W.rolling(F.col(name), kind, w, size, least), W.rolling_of(daily, name, kind, w, size, least)
+    key = lambda r: (r["produit_key"] or "", r["ds"])
+    plain, quick = (sorted(daily.select("produit_key", "ds", *[c.alias(n) for n, c in cols.items()]).collect(), key=key) for cols in (want, got))
+    assert plain == quick and any(r["y_mean_84"] is not None for r in quick)
+    assert "RowFrame, -84" not in physical(W.daily_history(daily, {"y": "sales", "view": "views"}))
+    real = daily.withColumn("y", F.col("y") + 0.1)
+    assert str(W.rolling_of(real, "y", "mean", w, 7)) == str(W.rolling(F.col("y"), "mean", w, 7))
