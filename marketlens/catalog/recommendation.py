@@ -63,7 +63,8 @@ COS = f"{BM}, {PAIRS}, pn as (select produit_key, count(*) as p from bm group by
 
 @query("rec2_item_item_cosine", f"with {COS} select a, count(*) as n, round(sum(sim), 6) as s, round(max(sim), 8) as m from sm group by 1")
 def _(t):
-    return R.cosine(R.binary_matrix(t.confirmed)).groupBy("a").agg(F.count(F.lit(1)).alias("n"), r(F.sum("sim")).alias("s"), r(F.max("sim"), 8).alias("m"))
+    m, names = R.coded(R.binary_matrix(t.confirmed))
+    return R.named(R.cosine(m).groupBy("a").agg(F.count(F.lit(1)).alias("n"), r(F.sum("sim")).alias("s"), r(F.max("sim"), 8).alias("m")), names, "a")
 
 
 @query("rec2_item_item_scores", f"""
@@ -77,7 +78,8 @@ def _(t):
 
 @query("rec3_association_lift", f"with {BM}, {PAIRS}, pn as (select produit_key, count(*) as p from bm group by 1), u as (select count(distinct client_key) as k from bm) select a, count(*) as n, sum(co.n)::bigint as co, round(sum(co.n * k / (pa.p * pb.p)), 6) as lift from co join pn pa on pa.produit_key = a join pn pb on pb.produit_key = b, u group by 1")
 def _(t):
-    return R.association_lift(t.confirmed).groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.sum("co").alias("co"), r(F.sum("lift")).alias("lift"))
+    m, names = R.coded(R.binary_matrix(t.confirmed))
+    return R.named(R.association_lift(t.confirmed, m).groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.sum("co").alias("co"), r(F.sum("lift")).alias("lift")), names, "a")
 
 
 @query("rec4_content_score", f"""
@@ -106,7 +108,8 @@ with {BM25}, nm as (select produit_key, sqrt(sum(v * v)) as q from wt group by 1
 select a, count(*) as n, round(sum(d / (na.q * nb.q)), 6) as s from d join nm na on na.produit_key = a join nm nb on nb.produit_key = b group by 1""")
 def _(t):
     m = t.confirmed.groupBy("client_key", "produit_key").agg(F.count(F.lit(1)).cast("double").alias("v"))
-    return R.cosine(R.bm25_matrix(m)).groupBy("a").agg(F.count(F.lit(1)).alias("n"), r(F.sum("sim")).alias("s"))
+    d, names = R.coded(R.bm25_matrix(m))
+    return R.named(R.cosine(d).groupBy("a").agg(F.count(F.lit(1)).alias("n"), r(F.sum("sim")).alias("s")), names, "a")
 
 
 @query("rec6_implicit_factors")
@@ -141,7 +144,8 @@ nm as (select produit_key, sqrt(sum(v * v)) as q from h group by 1), d as (selec
 select a, count(*) as n, round(sum(d / nullif(na.q * nb.q, 0)), 6) as s from d join nm na on na.produit_key = a join nm nb on nb.produit_key = b group by 1""")
 def _(t):
     m = R.hybrid_matrix(t.confirmed, A.interactions(t.web), F.lit(WEB_CUT).cast("timestamp"))
-    return R.cosine(m).groupBy("a").agg(F.count(F.lit(1)).alias("n"), r(F.sum("sim")).alias("s"))
+    d, names = R.coded(m)
+    return R.named(R.cosine(d).groupBy("a").agg(F.count(F.lit(1)).alias("n"), r(F.sum("sim")).alias("s")), names, "a")
 
 
 MASK = f"""{LN}, mo as (select order_id, min(ds) as ds from ln group by 1 having count(distinct produit_key) >= 2), dn as (select ds, count(*) as n from mo group by 1),

@@ -1,7 +1,7 @@
 """Recommendation: popularity, similarity, content, fusion inputs, profiles, slates, audits.
 
-Matrices stay in long form (user, item, value). Similarities pair items inside a user with `pair_rows`, which
-splits very long histories over tasks, and add up with map-side partial sums.
+Matrices stay in long form (user, item, value). Similarities add up the pairs of items of a user with `pair_totals`,
+which splits very long histories over tasks and sends pairs as lists; `coded` numbers the items, so that these are short.
 """
 from __future__ import annotations
 
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from marketlens.functions.scalar import ratio
 from marketlens.operators import joins as J
 from marketlens.operators.filters import eligible_web_history
+from marketlens.operators.ordered import materialise
+from marketlens.operators.windows import codes
 
 
 
@@ -53,12 +55,24 @@ def popularity_by_category(sales: DataFrame, candidates: DataFrame) -> DataFrame
     return d.select("client_key", "produit_key", F.coalesce(score, F.lit(0.0)).alias("score"))
 
 
+def coded(matrix: DataFrame, item: str = "produit_key") -> tuple[DataFrame, DataFrame]:
+    """A matrix with its items numbered in sorted order, from 0, and the numbers (item, _code); rows without item are left out. Both are written once."""
+    m = materialise(matrix)
+    names = materialise(codes(m, item, "_code"))
+    return materialise(m.join(names, item).withColumn(item, F.col("_code")).drop("_code")), names
+
+
+def named(df: DataFrame, names: DataFrame, column: str, item: str = "produit_key") -> DataFrame:
+    """Items instead of their numbers in a column."""
+    back = names.select(F.col("_code").alias(column), F.col(item).alias("_item"))
+    return df.join(back, column).select(*[F.col("_item").alias(c) if c == column else c for c in df.columns])
+
+
 def cosine(matrix: DataFrame, user: str = "client_key", item: str = "produit_key", value: str = "v") -> DataFrame:
-    """Item-item cosine of a long matrix, zero diagonal; pairs a < b."""
+    """Item-item cosine of a long matrix, zero diagonal; pairs a < b, dealt by a."""
     norms = matrix.groupBy(item).agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias("_n"))
-    dots = J.pair_rows(matrix, user, item, [value]).groupBy("a", "b").agg(F.sum(F.col(f"{value}_a") * F.col(f"{value}_b")).alias("_d"))
-    na, nb = (norms.select(F.col(item).alias(x), F.col("_n").alias(f"_n{x}")) for x in ("a", "b"))
-    return dots.join(na, "a").join(nb, "b").select("a", "b", ratio("_d", F.col("_na") * F.col("_nb")).alias("sim"))
+    unit = matrix.join(norms, item).select(user, item, ratio(value, "_n").alias("_u"))
+    return J.pair_totals(unit, user, item, {"sim": F.sum(F.col("_u_a") * F.col("_u_b"))}, ["_u"])
 
 
 def binary_matrix(sales: DataFrame) -> DataFrame:
@@ -78,14 +92,14 @@ def item_item_scores(matrix: DataFrame, sims: DataFrame) -> DataFrame:
     return raw.join(best, "client_key").select("client_key", "produit_key", ratio("_s", "_m").alias("score"))
 
 
-def association_lift(sales: DataFrame) -> DataFrame:
-    """Joint buyers over the product of buyers by the number of users; pairs a < b."""
-    m = binary_matrix(sales)
-    users = m.agg(F.count_distinct("client_key")).scalar()
+def association_lift(sales: DataFrame, matrix: DataFrame | None = None) -> DataFrame:
+    """Joint buyers over the product of buyers by the number of users; pairs a < b, of the items of `matrix` (binary, of the sales) if given."""
+    m = binary_matrix(sales) if matrix is None else matrix
+    users = sales.agg(F.count_distinct("client_key")).scalar()
     pop = m.groupBy("produit_key").agg(N().alias("_p"))
-    co = J.pair_rows(m, "client_key", "produit_key").groupBy("a", "b").agg(N().alias("co"))
-    pa, pb = (pop.select(F.col("produit_key").alias(x), F.col("_p").alias(f"_p{x}")) for x in ("a", "b"))
-    return co.join(pa, "a").join(pb, "b").select("a", "b", "co", ratio(F.col("co") * users, F.col("_pa") * F.col("_pb")).alias("lift"))
+    totals = {"co": N(), "_pa": F.max("_p_a"), "_pb": F.max("_p_b")}
+    co = J.pair_totals(m.join(pop, "produit_key"), "client_key", "produit_key", totals, ["_p"])
+    return co.select("a", "b", "co", ratio(F.col("co") * users, F.col("_pa") * F.col("_pb")).alias("lift"))
 
 
 def content_score(sales: DataFrame, web: DataFrame, products: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from marketlens.operators import grids
+from marketlens.operators import joins as J
 from marketlens.operators import quality as Q
 from marketlens.plans import recsys as R
 
@@ -73,3 +74,26 @@ def test_neighbours_go_to_orders_in_lists(spark):
     assert "Exchange" not in plan(scores).split("Generate")[0].replace("REPARTITION", "")
     cells = R.neighbour_lists(stats, 1)
     assert rows(cells.select("window", "src", F.inline("liste")).select("window", "src", "dst", "n")) == rows(pairs)
+
+
+def test_pair_totals_travel_as_lists(spark):
+    cells = [(f"c{u}", f"p{i:02d}", float(u + i)) for u in range(9) for i in range(12) if (u * 5 + i * 3) % 4] + [("c1", "hot", 2.0), (None, "p01", 1.0), (None, "p02", 1.0), ("c2", None, 1.0), ("c3", "p01", None), ("solo", "p03", 4.0)]
+    m = spark.createDataFrame(cells + [(f"d{u}", "hot", 1.0) for u in range(30)] + [(f"d{u}", "p05", 3.0) for u in range(30)], "client_key string, produit_key string, v double")
+    totals = {"n": F.count("*"), "d": F.sum(F.col("v_a") * F.col("v_b"))}
+    want = rows(J.pair_rows(m, "client_key", "produit_key", ["v"]).groupBy("a", "b").agg(*[c.alias(n) for n, c in totals.items()]))
+    for part_size, lists in ((256, 16384), (3, 4), (1, 1)):
+        got = J.pair_totals(m, "client_key", "produit_key", totals, ["v"], part_size, lists)
+        assert rows(got) == want and len(want) > 60
+    assert plan(got).split("arrays_zip")[0].count("Exchange") == 0  # pairs are added up where they are laid out
+
+
+def test_numbered_items_keep_similarity_and_lift(spark):
+    s = spark.createDataFrame([(f"c{u}", f"p{i}") for u in range(7) for i in range(9) if (u * 5 + i * 3) % 4] + [(None, "p1"), ("c1", None), ("c9", None)], "client_key string, produit_key string")
+    m, names = R.coded(R.binary_matrix(s))
+    pairs = {(a, b): n for a, b, n in J.pair_rows(R.binary_matrix(s), "client_key", "produit_key").groupBy("a", "b").count().collect()}
+    pop = {k: n for k, n in s.distinct().groupBy("produit_key").count().collect()}
+    sims = {(a, b): v for a, b, v in R.named(R.named(R.cosine(m), names, "a"), names, "b").collect()}
+    assert sims.keys() == pairs.keys() and all(abs(sims[k] - pairs[k] / (pop[k[0]] * pop[k[1]]) ** 0.5) < 1e-12 for k in sims)
+    users = s.select("client_key").distinct().filter("client_key is not null").count()
+    lift = {(a, b): (co, v) for a, b, co, v in R.named(R.named(R.association_lift(s, m), names, "a"), names, "b").collect()}
+    assert lift == {k: (n, n * users / (pop[k[0]] * pop[k[1]])) for k, n in pairs.items()}
