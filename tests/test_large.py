@@ -97,3 +97,39 @@ def test_numbered_items_keep_similarity_and_lift(spark):
     users = s.select("client_key").distinct().filter("client_key is not null").count()
     lift = {(a, b): (co, v) for a, b, co, v in R.named(R.named(R.association_lift(s, m), names, "a"), names, "b").collect()}
     assert lift == {k: (n, n * users / (pop[k[0]] * pop[k[1]])) for k, n in pairs.items()}
+
+
+def both_ways(pairs, *columns):
+    return pairs.select("a", "b", *columns).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), *columns))
+
+
+def test_pair_lists_hold_both_directions(spark):
+    cells = [(f"c{u}", i) for u in range(9) for i in range(12) if (u * 5 + i * 3) % 4] + [(None, 1), ("c2", None), ("solo", 3)]
+    m = spark.createDataFrame(cells + [(f"d{u}", i) for u in range(30) for i in (5, 40)], "client_key string, produit_key int")
+    of = spark.createDataFrame([(5,), (5,), (7,), (99,), (None,)], "produit_key int")
+    pairs = both_ways(J.pair_rows(m, "client_key", "produit_key").groupBy("a", "b").agg(F.count("*").alias("n")), "n")
+    some = pairs.filter("a in (5, 7)")
+    for part_size, lists, per_list in ((256, 16384, 64), (3, 4, 2)):
+        got = J.pair_lists(m, "client_key", "produit_key", {"n": F.count("*")}, (), part_size, lists, None, per_list)
+        assert rows(got.select("a", F.inline(F.arrays_zip("b", "n")))) == rows(pairs)
+        assert rows(J.pair_totals(m, "client_key", "produit_key", {"n": F.count("*")}, (), part_size, lists, of)) == rows(some)
+
+
+def test_scores_by_lists_match_plain_joins(spark):
+    s = spark.createDataFrame([(f"c{u}", f"p{i}") for u in range(7) for i in range(9) if (u * 5 + i * 3) % 4] + [(None, "p1"), ("c1", None), ("c9", None), ("c8", "alone")], "client_key string, produit_key string")
+    m, names = R.coded(R.binary_matrix(s))
+    ways = both_ways(R.cosine(m), "sim")
+    raw = m.filter("client_key is not null").withColumnRenamed("produit_key", "a").join(ways, "a").groupBy("client_key", "b").agg(F.sum("sim").alias("s"))
+    best = {k: v for k, v in raw.groupBy("client_key").agg(F.max("s")).collect()}
+    want = {(c, b): round(v / best[c], 9) for c, b, v in raw.collect()}
+    scored = R.item_item_scores(m, R.cosine_lists(m))
+    assert {(c, b): round(v, 9) for c, b, v in scored.collect()} == want and len(want) > 50
+    below = plan(scored).split("arrays_zip")[0]
+    assert "Exchange" not in below and "Join" not in below  # sums, best scores and ranks need no shuffle of scored rows
+    asked = spark.createDataFrame([("c1", "p2"), ("c1", "p1"), ("c9", "p3"), ("new", "p3"), ("c0", "nowhere"), ("new", "nowhere"), ("c8", "alone"), ("c0", None)], "client_key string, produit_key string")
+    co = both_ways(J.pair_rows(s.distinct(), "client_key", "produit_key").groupBy("a", "b").agg(F.count("*").alias("n")), "n")
+    n = {(a, b): k for a, b, k in co.collect()}
+    held = {c: [p for x, p in s.distinct().collect() if x == c] for c in ("c0", "c1", "c8", "c9")}
+    pop = {p: k for p, k in s.distinct().groupBy("produit_key").count().collect() if p}
+    got = {(c, p): v for c, p, v in R.user_cooccurrence(s, asked).collect()}
+    assert got == {(c, p): float(sum(n.get((h, p), 0) for h in held[c]) if c in held else pop.get(p, 0)) for c, p in map(tuple, asked.collect())}
