@@ -1,5 +1,8 @@
 """Work that several steps share is done once."""
 import datetime as dt
+import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +10,7 @@ from pyspark.sql import functions as F
 from marketlens.catalog.model import Tables
 from marketlens.operators.ordered import dealt
 from marketlens.plans import pricing as PR
+from marketlens.plans import recsys as R
 
 D0 = dt.date(2024, 1, 1)
 
@@ -65,3 +69,35 @@ def test_dealt_rows_come_in_parts_of_bounded_size(spark):
     sizes = d.groupBy(F.spark_partition_id()).count().collect()
     assert d.count() == 1000 and d.agg(F.sum("id")).first()[0] == 499500
     assert len(sizes) >= 10 and max(r["count"] for r in sizes) <= 150
+
+
+def test_hidden_items_are_ranked_where_their_order_is(spark):
+    rng = random.Random(3)
+    baskets = [(f"o{i:02}", D0 + dt.timedelta(days=i), rng.sample("abcdefg", rng.randint(1, 4))) for i in range(40)]
+    # Item g has two categories, so it comes twice in each order.
+    lines = [(o, p, c, d) for o, d, items in baskets for p in items for c in ("x", "y")[:2 if p == "g" else 1]]
+    df = spark.createDataFrame(lines, "order_id string, produit_key string, categorie string, ds date")
+    out = R.leave_one_out(df, k=3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(order_id#\d+, (dst|target|window)", plan)
+
+    window = {r["order_id"]: r["window"] for r in R.order_windows(df).collect()}
+    held = {o: Counter({p: 2 if p == "g" else 1 for p in items}) for o, _, items in baskets if o in window}
+    co = Counter()
+    for row in R.basket_statistics(df)["cooccurrence"].collect():
+        for a, b in ((row["a"], row["b"]), (row["b"], row["a"])):
+            co[row["window"], a, b] += row["n_commandes"]
+    want = []
+    for o, items in held.items():
+        for target, copies in items.items():
+            found = []
+            for dst in "abcdefg":
+                if dst in items and dst != target:
+                    continue
+                sources = [(src, co[window[o], src, dst]) for src in items.elements() if co[window[o], src, dst]]
+                own = [n for src, n in sources if src == target] or [None]
+                rows = [(sum(n for _, n in sources) - (x or 0), len(sources) - (x is not None)) for x in own]
+                found += [(-c, dst, n) for c, n in rows if c > 0 for _ in range(copies * (copies if dst == target else 1))]
+            want += [(o, target, dst, -c, n) for c, dst, n in sorted(found)[:3]]
+    got = [tuple(r) for r in out.select("order_id", "target", "candidat", "cooccurrence", "n_sources").collect()]
+    assert sorted(got) == sorted(want) and len(got) > 50
