@@ -65,10 +65,13 @@ def test_models_compute_their_rows_once(spark, fit):
 
 
 def test_dealt_rows_come_in_parts_of_bounded_size(spark):
-    d = dealt(spark.range(1000).coalesce(1), rows=100)
+    d = dealt(spark.range(0, 1000, 1, 2), rows=100)
     sizes = d.groupBy(F.spark_partition_id()).count().collect()
     assert d.count() == 1000 and d.agg(F.sum("id")).first()[0] == 499500
-    assert len(sizes) >= 10 and max(r["count"] for r in sizes) <= 150
+    assert len(sizes) == 10 and max(r["count"] for r in sizes) == 100
+    same = spark.range(0, 1000, 1, 3)
+    assert dealt(same, rows=400).rdd.glom().collect() == same.rdd.glom().collect()
+    assert dealt(spark.range(0)).count() == 0
 
 
 def test_hidden_items_are_ranked_where_their_order_is(spark):
