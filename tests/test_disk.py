@@ -1,10 +1,13 @@
 """Results written on the way leave no shuffle files, and what goes to the orders is short."""
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from marketlens.operators.ordered import SHUFFLE_CLEANUP, forget, materialise
+from marketlens.plans import factors as X
 from marketlens.plans import recsys as R
+from marketlens.session import checkpoint_dir
 
 D0 = dt.date(2024, 1, 1)
 
@@ -48,3 +51,19 @@ def test_numbered_items_with_windows_give_the_same_scores(spark):
 def test_neighbours_travel_in_sorted_columns(spark):
     lists = R.packed_neighbours(R.basket_statistics(basket_lines(spark))).collect()
     assert lists and all(sorted(zip(r["pop"], r["n"], r["dst"])) == list(zip(r["pop"], r["n"], r["dst"])) for r in lists)
+
+
+def stages(spark):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(checkpoint_dir(spark))
+    names = [f.getPath().getName() for f in folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)]
+    return {n for n in names if n.startswith("stage-")}
+
+
+@pytest.mark.parametrize("fit, kept", [(lambda m: X.bpr_factors(m, 4, 2, 2), 2), (lambda m: X.truncated_svd(m, 3, rounds=5, tolerance=0.0)[:2], 3)])
+def test_steps_of_factors_are_deleted_when_the_next_is_there(spark, fit, kept):
+    """Left are the results and what they read (entries or numbers of items), and the input of the numbering."""
+    m = spark.createDataFrame([(f"c{u}", f"p{i}", float(1 + (u * i) % 5)) for u in range(12) for i in range(9) if (u * 5 + i * 3) % 4], "client_key string, produit_key string, v double")
+    before = stages(spark)
+    users, items = fit(m)
+    assert len(stages(spark) - before) <= kept + 1
+    assert users.count() == 12 and items.count() == 9
