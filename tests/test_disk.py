@@ -1,5 +1,6 @@
 """Results written on the way leave no shuffle files, and what goes to the orders is short."""
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,3 +68,37 @@ def test_steps_of_factors_are_deleted_when_the_next_is_there(spark, fit, kept):
     users, items = fit(m)
     assert len(stages(spark) - before) <= kept + 1
     assert users.count() == 12 and items.count() == 9
+
+
+def test_ranks_by_sets_of_categories_match_plain_ranks(spark):
+    """Every order's lists, made from the heads of shared lists, against scores of all items of all orders; item d has two categories."""
+    lines = basket_lines(spark)
+    k, stats = 3, R.basket_statistics(lines)
+    context = R.masked_context(lines, R.masked_target(lines))
+    pop = {(r["window"], r["produit_key"]): r["pop"] for r in stats["popularity"].collect()}
+    cpop = {(r["window"], r["categorie"], r["produit_key"]): r["cpop"] for r in stats["category"].collect()}
+    co = {}
+    for r in stats["cooccurrence"].collect():
+        co[r["window"], r["a"], r["b"]] = co[r["window"], r["b"], r["a"]] = r["n_commandes"]
+    held = {}
+    for r in context.collect():
+        held.setdefault((r["order_id"], r["window"]), set()).add((r["produit_key"], r["categorie"]))
+    want = {}
+    for (o, w), own in held.items():
+        inside, others = {p for p, _ in own}, [p for v, p in pop if v == w]
+        n = {p: sum(co.get((w, x, p), 0) for x in inside) for p in others}
+        score = {"cooccurrence": n, "bm25": {p: n[p] / (1 + math.log1p(pop[w, p])) for p in others}, "lift": {p: n[p] / pop[w, p] for p in others},
+                 "categorie_contexte": {p: sum(cpop.get((w, c, p), 0) for c in {c for _, c in own}) for p in others}, "popularite": dict.fromkeys(others, 0)}
+        lists = {g: sorted((p for p in others if p not in inside), key=lambda p: (-round(s[p], 9), -pop[w, p], p))[:k] for g, s in score.items()}
+        if others:
+            want |= {(o, g): x for g, x in lists.items()}
+            total = {p: round(sum(1 / (60 + x.index(p) + 1) for x in lists.values() if p in x), 9) for x in lists.values() for p in x}
+            want[o, "rrf"] = sorted(total, key=lambda p: (-total[p], p))[:k]
+    ranks = R.candidate_ranks(context, stats, k)
+    both = ranks.unionByName(R.fused_candidates(ranks, k))
+    assert {(r["order_id"], r["model"]): r["liste"] for r in both.collect()} == want and len(want) > 20
+    targets = R.masked_target(lines).join(R.order_windows(lines), "order_id")
+    hits = [(r["window"], m, r["target"] in want.get((r["order_id"], m), [])[:2]) for r in targets.collect() for m in (*R.GENERATORS, "rrf")]
+    for r in R.candidate_recall(targets, both, (2,)).collect():
+        mine = [h for w, m, h in hits if (w, m) == (r["window"], r["model"])]
+        assert r["n"] == len(mine) and abs(r["recall_2"] - sum(mine) / len(mine)) < 1e-12
