@@ -1,7 +1,9 @@
 """Results written on the way leave no shuffle files, and what goes to the orders is short."""
 import datetime as dt
+import functools
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +104,19 @@ def test_ranks_by_sets_of_categories_match_plain_ranks(spark):
     for r in R.candidate_recall(targets, both, (2,)).collect():
         mine = [h for w, m, h in hits if (w, m) == (r["window"], r["model"])]
         assert r["n"] == len(mine) and abs(r["recall_2"] - sum(mine) / len(mine)) < 1e-12
+
+
+def test_best_items_match_all_products(spark):
+    rng = np.random.default_rng(5)
+    u, v = rng.normal(size=(40, 3)).astype(np.float32), rng.normal(size=(60, 3)).astype(np.float32)
+    v[7], u[3] = v[2], 0  # items alike, and a user who likes all the same
+    frame = lambda x: spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id int, features array<float>")
+    score = lambda a, b: functools.reduce(lambda s, j: s + a[j] * b[j], range(3), np.float32(0))
+    for n, most, k in ((60, 1 << 20, 5), (60, 13, 5), (4, 2, 6)):
+        want = {i: sorted((-score(u[i], v[j]), j) for j in range(n))[:k] for i in range(40)}
+        got = {r["id"]: list(zip([-np.float32(s) for s in r["scores"]], r["ids"])) for r in X.best_items(frame(u), frame(v[:n]), k, most, 16).collect()}
+        assert got == want
+    scores, ids = np.full((40, 5), -np.inf, np.float32), np.zeros((40, 5), np.int32)
+    order = np.argsort(-(v.astype(float) ** 2).sum(1))
+    scores, ids = X.improved(u, scores, ids, v[order], order.astype(np.int32), block=8)  # several blocks
+    assert all([(-s, i) for s, i in zip(scores[r], ids[r])] == sorted((-score(u[r], v[j]), j) for j in range(60))[:5] for r in range(40))
