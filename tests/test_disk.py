@@ -11,6 +11,7 @@ from marketlens.operators.ordered import SHUFFLE_CLEANUP, forget, materialise
 from marketlens.plans import factors as X
 from marketlens.plans import recsys as R
 from marketlens.session import checkpoint_dir
+from marketlens.sources import tables
 
 D0 = dt.date(2024, 1, 1)
 
@@ -120,3 +121,10 @@ def test_best_items_match_all_products(spark):
     order = np.argsort(-(v.astype(float) ** 2).sum(1))
     scores, ids = X.improved(u, scores, ids, v[order], order.astype(np.int32), block=8)  # several blocks
     assert all([(-s, i) for s, i in zip(scores[r], ids[r])] == sorted((-score(u[r], v[j]), j) for j in range(60))[:5] for r in range(40))
+
+
+def test_written_datasets_leave_no_shuffle_files(spark, tmp_path):
+    before = shuffle_files(spark)
+    made = {n: spark.range(50).withColumn("k", F.col("id") % 3).repartition(3, "k") for n in ("a", "b")}
+    out = tables.write_datasets(made, f"file://{tmp_path}")
+    assert not shuffle_files(spark) - before and [r["dataset"] for r in out.select("dataset").collect()] == ["a", "b"]
